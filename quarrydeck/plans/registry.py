@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from . import queries_docs, queries_search
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+PARTS = (queries_docs, queries_search)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
+flagship = queries_search.flagship
