@@ -183,7 +183,7 @@ def deletions(c: Column, most: int = 2) -> Column:
 
 
 def near_name_pairs(features: DataFrame) -> DataFrame:
-    """(a, b, distance) of names in one type group: distance 1 from 5 characters on, or 2 from 8 on with three equal first
+    """features(key, name, entity_type) to (a, b, distance) of names in one type group: distance 1 from 5 characters on, or 2 from 8 on with three equal first
     and two equal last characters. Candidates share a deletion of their names; every such pair is found.
 
     Only the first three and last two characters of long names must agree, so these pairs are blocked by them too; equal
@@ -203,20 +203,22 @@ def near_name_pairs(features: DataFrame) -> DataFrame:
 
 
 def near_groups(pairs: DataFrame) -> DataFrame:
-    """Greedy groups over pairs: in key order, a free key is a seed and takes its free neighbours. (key, seed).
+    """Greedy groups over pairs: in a seeded order of the keys, a free key is a seed and takes its free neighbours. (key, seed).
 
-    A key is a seed if no smaller neighbour is one: settled in rounds of joins, each of which settles at least the
-    smallest open key of every component; a key then belongs to its smallest seed.
+    The order is that of the keys' hashes, so that rounds of joins settle it in about log(n) steps (in key order, chains of
+    numbered names would need one round a link); a key belongs to its first seed in that order.
     """
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("key", "other").distinct()
+    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("k"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("key", "other").distinct().withColumn("before", order("other") < order("key"))
+    before = cut(both.where("before").select("key", "other"))
     keys = both.select("key").distinct().withColumn("state", F.lit("open"))
     while keys.where("state = 'open'").limit(1).count():
-        s = both.join(keys.withColumnsRenamed({"key": "other", "state": "s"}), "other").where("other < key")
+        s = before.join(keys.withColumnsRenamed({"key": "other", "state": "s"}), "other")
         seen = s.groupBy("key").agg(F.bool_or(F.col("s") == "seed").alias("taken"), F.bool_or(F.col("s") == "open").alias("waits"))
-        keys = keys.join(seen, "key", "left").select("key", F.when(F.col("state") != "open", F.col("state")).when(F.coalesce("taken", F.lit(False)), "member").when(F.coalesce("waits", F.lit(False)), "open").otherwise("seed").alias("state"))
-        keys = cut(keys)
+        now = F.when(F.col("state") != "open", F.col("state")).when(F.coalesce("taken", F.lit(False)), "member").when(F.coalesce("waits", F.lit(False)), "open").otherwise("seed")
+        keys = cut(keys.join(seen, "key", "left").select("key", now.alias("state")))
     seeds = keys.where("state = 'seed'").select(F.col("key").alias("other"))
-    own = both.join(seeds, "other").where("other < key").groupBy("key").agg(F.min("other").alias("seed"))
+    own = before.join(seeds, "other").groupBy("key").agg(F.min(order("other")).alias("x")).select("key", F.col("x.k").alias("seed"))
     return keys.join(own, "key", "left").select("key", F.when(F.col("state") == "seed", F.col("key")).otherwise(F.col("seed")).alias("seed"))
 
 
@@ -257,13 +259,19 @@ def explicit_transitions(facts: DataFrame) -> DataFrame:
 
 def attribute_key(predicate, value, rules=L.ATTRIBUTE_KEYS) -> Column:
     """struct(key, confidence) by value shape and predicate words; null if no rule fits."""
-    shape, p = T.value_shape(value), T.predicate_norm(predicate)
-    out = F.lit(None).cast("struct<key:string,confidence:double>")
-    for shapes, words, key, sure in reversed(rules):
-        hit = shape.isin(*shapes.split()) & (T.any_of(p, words) if words else F.lit(True))
-        out = F.when(hit, F.struct(F.lit(key).alias("key"), F.lit(sure).alias("confidence"))).otherwise(out)
-    blocked = (p == "") | (shape.isin("money", "date") & (T.predicate_role(predicate) == "generic_action"))
-    return F.when(~blocked, out)
+    kind = "struct<key:string,confidence:double>"
+
+    def choose(x: Column) -> Column:
+        shape, p = x["shape"], x["p"]
+        out = F.lit(None).cast(kind)
+        for shapes, words, key, sure in reversed(rules):
+            hit = shape.isin(*shapes.split()) & (T.any_of(p, words) if words else F.lit(True))
+            out = F.when(hit, F.struct(F.lit(key).alias("key"), F.lit(sure).alias("confidence"))).otherwise(out)
+        blocked = (p == "") | (shape.isin("money", "date") & (x["role"] == "generic_action"))
+        return F.when(~blocked, out)
+
+    # Shape, predicate and role are computed once a row; spelled out in every rule they would outgrow generated code.
+    return T.let(F.struct(T.value_shape(value).alias("shape"), T.predicate_norm(predicate).alias("p"), T.predicate_role(predicate).alias("role")), choose)
 
 
 def attribute_clusters(facts: DataFrame, samples: int = 5) -> DataFrame:
@@ -281,11 +289,12 @@ def attribute_clusters(facts: DataFrame, samples: int = 5) -> DataFrame:
 def recommend_cluster(clusters: DataFrame, known_attributes: Sequence[str] = ()) -> DataFrame:
     """keep (known attribute), attribute (scalar shapes or a generic key), relation (action words), discard (empty or long
     text); confidence grows with the logarithm of the size by up to .10."""
-    key = attribute_key("predicate", F.get("samples", F.lit(0)))
+    clusters = clusters.withColumn("__key", attribute_key("predicate", F.get("samples", F.lit(0))))
+    key = F.col("__key")
     action = T.predicate_role("predicate") == "generic_action"
     choice = F.when(F.col("predicate").isin(*known_attributes), "keep").when(F.col("shape").isin("empty", "long_text"), "discard").when(key.isNotNull() | F.col("shape").isin("money", "percent", "date", "scalar"), "attribute").when(action, "relation").otherwise("keep")
     base = F.when(choice == "attribute", F.coalesce(key["confidence"], F.lit(0.8))).when(choice == "relation", 0.72).when(choice == "discard", 0.7).otherwise(0.6)
-    return clusters.withColumn("recommendation", choice).withColumn("attribute_key", key["key"]).withColumn("confidence", F.round(F.least(F.lit(0.99), base + F.least(F.lit(0.10), F.log10(F.col("facts")) / 20)), 6))
+    return clusters.withColumn("recommendation", choice).withColumn("attribute_key", key["key"]).withColumn("confidence", F.round(F.least(F.lit(0.99), base + F.least(F.lit(0.10), F.log10(F.col("facts")) / 20)), 6)).drop("__key")
 
 
 def name_value_mismatch(names: Column, values: Column) -> Column:
@@ -312,9 +321,10 @@ def govern_attributes(facts: DataFrame, hints: DataFrame) -> DataFrame:
     candidates. Adds reason and governed_key."""
     h = hints.select(norm("entity_type").alias("__t"), T.predicate_norm("attribute").alias("__a"), F.col("attribute")).groupBy("__t", "__a").agg(F.min("attribute").alias("__hint"))
     df = facts.withColumn("__t", norm("subject_type")).withColumn("__a", T.predicate_norm("predicate")).join(h, ["__t", "__a"], "left")
-    shape, key = T.value_shape("object"), attribute_key("predicate", "object")
+    df = df.withColumn("__shape", T.value_shape("object")).withColumn("__key", attribute_key("predicate", "object"))
+    shape, key = F.col("__shape"), F.col("__key")
     reason = F.when(shape == "empty", "demote_empty").when(shape == "long_text", "demote_long").when(F.col("__hint").isNotNull(), "template").when(key.isNotNull(), "generic_key").when(shape.isin("money", "percent", "date", "scalar"), "scalar").when(T.predicate_role("predicate") == "generic_action", "relation_candidate").otherwise("attribute_candidate")
-    return df.withColumn("reason", reason).withColumn("governed_key", F.when(F.col("reason").isin("template", "generic_key", "scalar"), F.coalesce("__hint", key["key"], F.col("__a")))).drop("__t", "__a", "__hint")
+    return df.withColumn("reason", reason).withColumn("governed_key", F.when(F.col("reason").isin("template", "generic_key", "scalar"), F.coalesce("__hint", key["key"], F.col("__a")))).drop("__t", "__a", "__hint", "__shape", "__key")
 
 
 def enhance_structure(chunks: DataFrame, mentions: DataFrame) -> DataFrame:

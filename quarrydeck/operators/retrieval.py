@@ -80,11 +80,6 @@ def candidate_documents(legs: DataFrame, n: int) -> DataFrame:
     return best.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, also where ``use`` names it inside a lambda."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
 
@@ -94,21 +89,21 @@ def cosine(a, b) -> Column:
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     fits = a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (F.size(a) > 0)
     parts = F.struct(_dot(a, b).alias("dot"), (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))).alias("norm"))
-    return F.when(fits, let(parts, lambda p: F.when(p["norm"] > 0, p["dot"] / p["norm"]).otherwise(0.0))).otherwise(0.0)
+    return F.when(fits, T.let(parts, lambda p: F.when(p["norm"] > 0, p["dot"] / p["norm"]).otherwise(0.0))).otherwise(0.0)
 
 
 def normalized(v) -> Column:
     """The vector at unit length; null for a zero vector."""
     own = F.transform(v, lambda x: x.cast("double"))
-    return let(F.struct(own.alias("v"), F.sqrt(_dot(own, own)).alias("n")), lambda p: F.when(p["n"] > 0, F.transform(p["v"], lambda x: x / p["n"])))
+    return T.let(F.struct(own.alias("v"), F.sqrt(_dot(own, own)).alias("n")), lambda p: F.when(p["n"] > 0, F.transform(p["v"], lambda x: x / p["n"])))
 
 
 def hash_embedding(text, dims: int = 32, most: int = 2048) -> Column:
     """Sums of (code point % 97) / 97 by position modulo ``dims``, with unit length; the text's first 2,048 characters."""
     chars = F.transform(F.split(F.substring(T.text(text), 1, most), ""), lambda c: F.when(c == "", 0.0).otherwise((F.ascii(c) % 97) / 97.0))
     places = lambda c, d: F.when(F.size(c) > d, F.sequence(d, F.size(c) - 1, F.lit(dims))).otherwise(F.array().cast("array<int>"))
-    sums = let(chars, lambda c: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(places(c, d), F.lit(0.0), lambda s, i: s + F.get(c, i))))
-    return let(sums, lambda x: F.coalesce(normalized(x), x))
+    sums = T.let(chars, lambda c: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(places(c, d), F.lit(0.0), lambda s, i: s + F.get(c, i))))
+    return T.let(sums, lambda x: F.coalesce(normalized(x), x))
 
 
 def vector_topk(queries: DataFrame, items: DataFrame, k: int, *, least: float = 0.05, weight: float = 3.0, q_vector: str = "vector", vector: str = "vector", blocks: int = 64) -> DataFrame:
