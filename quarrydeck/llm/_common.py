@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hash_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """About twice ``rows`` of ``total`` rows, by the hash of the key: few a partition, so that a sort of them stays small."""
+    share = min(1.0, 2.0 * rows / max(total, 1))
+    return df if share >= 1 else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the column as text, modulo ``n`` (null for null)."""
     return F.crc32(F.col(column).cast("string")) % n
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a worker's arrays stay small; freed Arrow memory goes back each time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+            pa.default_memory_pool().release_unused()
+
+
+def word_blocks(words: pa.Array, rows: int = 1 << 15) -> Iterator[pa.Array]:
+    for at in range(0, len(words), rows):
+        yield words.slice(at, rows)
+
+
 def tokens_of(texts: pa.Array, pattern: str | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct tokens of a batch, the token number at each place, and where each text starts (one more offset at the end).
 

@@ -20,12 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import subword_buckets, tokens_of
+from ._common import hash_sample, slices, subword_buckets, tokens_of, word_blocks
 
 ORDERS, AFFIXES = (2, 3, 4), (2, 3, 4, 5)
 BREAK = r"[^\p{L}]+"
 BITS = 18
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 18
 
 
 @dataclass
@@ -35,9 +35,12 @@ class LanguageModel:
     trans: np.ndarray  # from x to, log scale
 
     def emissions(self, words: pa.Array) -> np.ndarray:
-        bucket, owner = subword_buckets(words, ORDERS, BITS, AFFIXES)
-        count = np.maximum(np.bincount(owner, minlength=len(words)), 1)
-        return np.stack([np.bincount(owner, self.weight[bucket, k], len(words)) / count for k in range(len(self.labels))], 1).astype(np.float32)
+        out = [np.zeros((0, len(self.labels)), np.float32)]
+        for block in word_blocks(words):
+            bucket, owner = subword_buckets(block, ORDERS, BITS, AFFIXES)
+            count = np.maximum(np.bincount(owner, minlength=len(block)), 1)
+            out.append(np.stack([np.bincount(owner, self.weight[bucket, k], len(block)) / count for k in range(len(self.labels))], 1).astype(np.float32))
+        return np.concatenate(out)
 
     def marginals(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For groups of texts: their places, where each one's words start, and the words' distributions."""
@@ -57,8 +60,8 @@ class LanguageModel:
             yield own, starts, forward_backward(emit[ids[flat]], starts, self.trans)[0]
 
 
-def forward_backward(emit: np.ndarray, starts: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of each place, and expected transitions; sequences lie one behind another, longest first.
+def forward_backward(emit: np.ndarray, starts: np.ndarray, trans: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of each place, and (to learn) expected transitions; sequences lie one behind another, longest first.
 
     All sequences that reach place t are handled together, in probability space with a scale at each place.
     """
@@ -80,13 +83,13 @@ def forward_backward(emit: np.ndarray, starts: np.ndarray, trans: np.ndarray) ->
         back[spot] = b @ move.T
     post = ahead * back
     post /= np.maximum(post.sum(1, keepdims=True), 1e-30)
-    if longest > 1:
+    if learn and longest > 1:
         inner = np.ones(len(e), bool)
         inner[starts[:-1]] = False
         to = np.flatnonzero(inner)
         joint = ahead[to - 1][:, :, None] * move[None] * (e[to] * back[to])[:, None, :]
         joint /= np.maximum(joint.sum((1, 2), keepdims=True), 1e-30)
-        pairs = joint.sum(0, dtype=np.float64) if len(to) <= 1 << 18 else pairs
+        pairs = joint.sum(0, dtype=np.float64)
     return post, pairs
 
 
@@ -102,9 +105,12 @@ def train(texts: list[str], langs: list[str], steps: int = 320, batch: int = 64,
     gold = np.searchsorted(labels, langs)
     by_label = [usable[gold[usable] == y] for y in range(k)]
     known = [y for y in range(k) if len(by_label[y])]
-    bucket, owner = subword_buckets(words, ORDERS, BITS, AFFIXES)
-    order = np.argsort(owner, kind="stable")
-    bucket, counts = bucket[order], np.bincount(owner, minlength=len(words))
+    buckets, counts = [], []
+    for block in word_blocks(words):
+        found, owner = subword_buckets(block, ORDERS, BITS, AFFIXES)
+        buckets.append(found[np.argsort(owner, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(owner, minlength=len(block)))
+    bucket, counts = np.concatenate(buckets), np.concatenate(counts)
     first = np.concatenate([[0], np.cumsum(counts)])
     weight, square = np.zeros((1 << BITS, k), np.float32), np.full((1 << BITS, k), 1e-3, np.float32)
     trans, trans_square = np.zeros((k, k), np.float32), np.full((k, k), 1e-3, np.float32)
@@ -126,7 +132,7 @@ def train(texts: list[str], langs: list[str], steps: int = 320, batch: int = 64,
         flat = np.repeat(first[seq] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         place, found = np.repeat(np.arange(len(seq)), sizes), bucket[flat]
         emit = np.stack([np.bincount(place, weight[found, y], len(seq)) for y in range(k)], 1) / sizes[:, None]
-        post, pairs = forward_backward(emit.astype(np.float32), starts, trans)
+        post, pairs = forward_backward(emit.astype(np.float32), starts, trans, learn=True)
         post[np.arange(len(seq)), tag] -= 1
         seen, back = np.unique(found, return_inverse=True)
         share = (post / sizes[:, None])[place]
@@ -141,9 +147,10 @@ def train(texts: list[str], langs: list[str], steps: int = 320, batch: int = 64,
     return LanguageModel(labels, weight, trans)
 
 
-def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2000, sample_chars: int = 8000) -> LanguageModel:
-    """Fit on the ``sample_rows`` rows with the lowest hash of the id among those with a language and at most ``sample_chars`` characters."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= sample_chars))
+def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1500, sample_chars: int = 8000) -> LanguageModel:
+    """Fit on at most ``sample_rows`` rows with a language and at most ``sample_chars`` characters, drawn by the hash of the id."""
+    rows = docs.where(F.col(lang_col).isNotNull())
+    rows = hash_sample(rows, id_col, sample_rows, rows.count()).where(F.col(text_col).isNotNull() & (F.length(text_col) <= sample_chars))
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     got = rows.orderBy(F.xxhash64("id"), "id", "lang", "text").limit(sample_rows).toPandas()
     return train(got["text"].tolist(), got["lang"].tolist())
@@ -157,7 +164,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, *, text_col: str =
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         names = np.array([*model.labels, "und"], object)
-        for batch in batches:
+        for batch in slices(batches):
             best, score = np.full(batch.num_rows, len(model.labels)), np.zeros(batch.num_rows)
             for own, starts, post in model.marginals(batch.column(batch.schema.get_field_index("__text"))):
                 mean = np.add.reduceat(post, starts[:-1], axis=0, dtype=np.float64) / np.diff(starts)[:, None]
@@ -178,7 +185,7 @@ def label_words(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id"
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(held.value.labels, object)
-        for batch in batches:
+        for batch in slices(batches):
             for own, starts, post in held.value.marginals(batch.column(1)):
                 sizes = np.diff(starts)
                 place = np.arange(starts[-1]) - np.repeat(starts[:-1], sizes)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import subword_buckets, tokens_of
+from ._common import hash_sample, slices, subword_buckets, tokens_of, word_blocks
 
 ORDERS = (3, 4, 5)
 REPEAT_FEATURES = 8  # a word that repeats the one before counts as so many features
@@ -32,6 +32,16 @@ def repeats_of(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(same)])[at])
 
 
+def features_of(words: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words, word by word, and where each word's begin (one more at the end)."""
+    buckets, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for block in word_blocks(words):
+        bucket, owner = subword_buckets(block, ORDERS, bits)
+        buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(owner, minlength=len(block)))
+    return np.concatenate(buckets), np.cumsum(np.concatenate(counts))
+
+
 @dataclass
 class QualityModel:
     weight: np.ndarray  # logit difference per bucket; the last one is the repeated word's
@@ -40,9 +50,13 @@ class QualityModel:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         words, ids, at = tokens_of(texts)
-        bucket, owner = subword_buckets(words, ORDERS, self.bits)
-        total = np.bincount(owner, self.weight[bucket], len(words))
-        count = np.bincount(owner, minlength=len(words))
+        total, count = np.zeros(len(words)), np.zeros(len(words), np.int64)
+        at_word = 0
+        for block in word_blocks(words):
+            bucket, owner = subword_buckets(block, ORDERS, self.bits)
+            total[at_word : at_word + len(block)] = np.bincount(owner, self.weight[bucket], len(block))
+            count[at_word : at_word + len(block)] = np.bincount(owner, minlength=len(block))
+            at_word += len(block)
         sums = np.concatenate([[0.0], np.cumsum(total[ids])])
         counts = np.concatenate([[0], np.cumsum(count[ids])])
         again = repeats_of(ids, at) * REPEAT_FEATURES
@@ -53,7 +67,7 @@ class QualityModel:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, sample_chars: int) -> pd.DataFrame:
     """At most ``sample_rows`` labelled rows, by the hash of the id, whose texts have at most ``sample_chars`` characters."""
     ids = labels.where(F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("label"))
-    ids = ids.orderBy(F.xxhash64(id_col), id_col, "label").limit(sample_rows)
+    ids = hash_sample(ids, id_col, sample_rows, ids.count()).orderBy(F.xxhash64(id_col), id_col, "label").limit(sample_rows)
     texts = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).where(F.length("text") <= sample_chars)
     rows = texts.join(F.broadcast(ids), id_col)  # bounded by sample_rows
     return rows.select(id_col, "text", "label").toPandas().sort_values([id_col, "label", "text"], ignore_index=True)
@@ -69,9 +83,7 @@ def train(texts: list[str], labels: np.ndarray, bits: int = 18, dim: int = 16, e
     vectors = rng.uniform(-1 / dim, 1 / dim, ((1 << bits) + 1, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     words, ids, at = tokens_of(pa.array(texts, pa.string()))
-    bucket, owner = subword_buckets(words, ORDERS, bits)
-    order = np.argsort(owner, kind="stable")
-    bucket, starts = bucket[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+    bucket, starts = features_of(words, bits)
     rows, repeats = [], repeats_of(ids, at)
     for i in range(len(texts)):
         own, times = np.unique(ids[at[i] : at[i + 1]], return_counts=True)
@@ -100,7 +112,7 @@ def train(texts: list[str], labels: np.ndarray, bits: int = 18, dim: int = 16, e
     return QualityModel((vectors @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]), bits)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, sample_chars: int = 20_000, **training) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 2000, sample_chars: int = 20_000, **training) -> QualityModel:
     """Fit on a bounded sample: ``sample_rows`` rows of at most ``sample_chars`` characters each."""
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, sample_rows, sample_chars)
     return train(rows["text"].tolist(), (rows["label"].to_numpy() > 0).astype(int), **training)
@@ -112,7 +124,7 @@ def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text
     kept = [c for c in docs.columns if c != score_col]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = held.value.scores(batch.column(batch.schema.get_field_index("__text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(scores, pa.float64())], names=[*kept, score_col])
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import slices
+
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Bytes of a value by TIFF field type.
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
@@ -262,16 +264,14 @@ def texts_as_tiff(docs: DataFrame, *, text_col: str = "text", width: int = 64) -
     kept = [c for c in docs.columns if c not in (text_col, "n_bytes", "content")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                sizes, files = [], []
-                for text in part.column(len(kept)):
-                    text = text.as_py()
-                    data = payload(text, width)
-                    sizes.append(len((text or "").encode()))
-                    files.append(write_tiff([np.frombuffer(data, np.uint8).reshape(-1, width)]))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=[*kept, "n_bytes", "content"])
+        for part in slices(batches, 1024):
+            sizes, files = [], []
+            for text in part.column(len(kept)):
+                text = text.as_py()
+                data = payload(text, width)
+                sizes.append(len((text or "").encode()))
+                files.append(write_tiff([np.frombuffer(data, np.uint8).reshape(-1, width)]))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=[*kept, "n_bytes", "content"])
 
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__in"))
     return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), "n_bytes long, content binary"]))
@@ -292,7 +292,7 @@ def page_features(pages: DataFrame) -> DataFrame:
     kept = [c for c in pages.columns if c != "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pick = [batch.column(kept.index(c)) for c in ("pixels", "width", "height", "samples")]
             found = [average_hash(*(x.as_py() for x in row)) if row[0].is_valid else None for row in zip(*pick)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(found, pa.string())], names=[*kept, "feature"])

@@ -22,6 +22,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import slices
+
 
 @lru_cache(4)
 def encoding(ranks: bytes, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
@@ -55,7 +57,7 @@ def count_tokens(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sizes = encoding(held.value, pattern)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             columns = [batch.column(1 + i).to_pylist() for i in range(len(fields))]
             row, section, field, start, chars, tokens = [], [], [], [], [], []
             for r, parts in enumerate(zip(*columns)):
