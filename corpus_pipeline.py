@@ -19,8 +19,9 @@ from quarrydeck.llm import crf_langid, piece_codec, simhash_dedup, source_mix, s
 from quarrydeck.llm._common import crc_mod, table
 from quarrydeck.llm.queries import QUALITY_CUT, TOKENIZERS
 
-#: A text in a language that was learned has a mean marginal far above this; noise spreads over the languages.
-LANGUAGE_CUT = 0.5
+#: A text in a learned language has a mean marginal far above this, and a word or two of one stay above it as well; noise
+#: spreads over the languages.
+LANGUAGE_CUT = 0.35
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether decoding gives the text back."""
     model = piece_codec.load_model(os.path.join(TOKENIZERS, "piece_bpe_32k.model"))
-    done = piece_codec.decode_pieces(piece_codec.encode_pieces(docs, model), model, text_col="__back")
+    done = piece_codec.round_trip(docs, model, decoded_col="__back")
     return done.withColumn("round_trip", F.col("__back") == F.coalesce("text", F.lit(""))).drop("__back")
 
 

@@ -17,9 +17,9 @@ as the library does, so such a text doesn't come back as it was; words of any le
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from ._common import slices
+
 MARK = "\u2581"
 WORD = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-SLICE_ROWS, CACHE_WORDS = 2048, 400_000
+SLICE_ROWS, CACHE_WORDS = 1024, 300_000
 
 
 @dataclass
@@ -57,8 +59,8 @@ class PieceModel:
         by_name = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == "byte"}
         self.bytes_ = [by_name[f"<0x{b:02X}>"] for b in range(256)] if len(by_name) == 256 else None
 
-    def encode_sorted(self, words: Sequence[str]) -> list[list[int]]:
-        """Piece ids of each word; the words are sorted, so that neighbours share their prefixes."""
+    def encode_sorted(self, words: Sequence[str]) -> list[bytes]:
+        """Piece ids of each word, as the bytes of 32-bit numbers; the words are sorted, so that neighbours share their prefixes."""
         scored, longest, out, before = self.scored, self.longest, [], ""
         best, last = [0.0], [(0, -1)]  # at each depth of the path: the forward score; the last piece's start and id
         for word in words:
@@ -88,7 +90,7 @@ class PieceModel:
                 else:
                     ids.append(self.unknown)
                 end = start
-            out.append(ids[::-1])
+            out.append(array("i", ids[::-1]).tobytes())
             before = word
         return out
 
@@ -100,7 +102,7 @@ class PieceModel:
             return pa.array([WORD.findall(x) for x in texts.to_pylist()], pa.list_(pa.string()))
         return pc.split_pattern(pc.replace_substring_regex(texts, f"([^{MARK}]){MARK}", f"\\1\0{MARK}"), "\0")
 
-    def encode(self, texts: pa.Array, known: dict[str, list[int]]) -> pa.ListArray:
+    def encode(self, texts: pa.Array, known: dict[str, bytes]) -> pa.ListArray:
         """Ids of every text; ``known`` holds words of earlier batches and is cleared when it has grown too large."""
         words = self.marked_words(texts)
         lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
@@ -112,8 +114,8 @@ class PieceModel:
             new = sorted(distinct)
         known.update(zip(new, self.encode_sorted(new)))
         found = [known[w] for w in distinct]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
         at = np.concatenate([[0], np.cumsum(sizes)])
         ids = coded.indices.to_numpy(zero_copy_only=False)
         ends = np.concatenate([[0], np.cumsum(sizes[ids])])
@@ -155,18 +157,17 @@ def load_model(path: str | None = None, *, blob: bytes | None = None) -> PieceMo
     return PieceModel([sp.id_to_piece(i) for i in n], kinds, [sp.get_score(i) for i in n], norm.add_dummy_prefix)
 
 
-def _mapped(df: DataFrame, column: str, added: str, kind: str, made) -> DataFrame:
-    kept = [c for c in df.columns if c != added]
+def _mapped(df: DataFrame, column: str, added: dict[str, str], made) -> DataFrame:
+    """Add columns (name: type) that ``made`` gives for a slice of one column and the words known so far."""
+    kept = [c for c in df.columns if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), made(part.column(len(kept)), known)], names=[*kept, added])
+        known: dict[str, bytes] = {}
+        for part in slices(batches, SLICE_ROWS):
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *made(part.column(len(kept)), known)], names=[*kept, *added])
 
     rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{column}`").alias("__in"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept), f"`{added}` {kind}"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept), *(f"`{name}` {kind}" for name, kind in added.items())])
     return rows.mapInArrow(run, schema)
 
 
@@ -177,10 +178,21 @@ def _model(spark: SparkSession, model: PieceModel | str):
 def encode_pieces(df: DataFrame, model: PieceModel | str, *, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
     """Add the piece ids of the whole text."""
     held = _model(df.sparkSession, model)
-    return _mapped(df, text_col, ids_col, "array<int>", lambda texts, known: held.value.encode(texts, known))
+    return _mapped(df, text_col, {ids_col: "array<int>"}, lambda texts, known: [held.value.encode(texts, known)])
 
 
 def decode_pieces(df: DataFrame, model: PieceModel | str, *, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:
     """Add the text of the piece ids."""
     held = _model(df.sparkSession, model)
-    return _mapped(df, ids_col, text_col, "string", lambda ids, known: held.value.decode(ids))
+    return _mapped(df, ids_col, {text_col: "string"}, lambda ids, known: [held.value.decode(ids)])
+
+
+def round_trip(df: DataFrame, model: PieceModel | str, *, text_col: str = "text", ids_col: str = "piece_ids", decoded_col: str = "decoded") -> DataFrame:
+    """Add the piece ids and the text that they decode to, in one pass through the Python workers."""
+    held = _model(df.sparkSession, model)
+
+    def both(texts: pa.Array, known: dict[str, bytes]) -> list[pa.Array]:
+        ids = held.value.encode(texts, known)
+        return [ids, held.value.decode(ids)]
+
+    return _mapped(df, text_col, {ids_col: "array<int>", decoded_col: "string"}, both)

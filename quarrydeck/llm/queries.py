@@ -32,7 +32,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_piece_codec(spark: SparkSession, sf_dir: str, model: str = os.path.join(TOKENIZERS, "piece_bpe_32k.model")) -> DataFrame:
     pieces = piece_codec.load_model(model)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = piece_codec.decode_pieces(piece_codec.encode_pieces(docs, pieces), pieces)
+    done = piece_codec.round_trip(docs, pieces)
     back = F.coalesce("decoded", F.lit("")) == F.coalesce("text", F.lit(""))
     return done.select("doc_id", F.size("piece_ids").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), back.alias("round_trip"))
 
