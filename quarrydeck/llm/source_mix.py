@@ -16,6 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import cut
+
+#: Up to so many sources their targets are sent to all tasks; beyond, they are joined by a shuffle.
+BROADCAST_SOURCES = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,6 +66,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, id_col: st
         own = weights.select(F.col("source").alias("__s"), F.col("weight").cast("double").alias("weight"))
         sources = sources.join(own, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     filled = fill_targets(sources, share=share, max_epochs=max_epochs).select(F.col("source").alias("__s"), F.col("source_size"), F.col("source_rows"), "target")
+    filled = cut(filled)  # one row a source
+    if filled.count() <= BROADCAST_SOURCES:
+        filled = F.broadcast(filled)
     df = sized.join(filled, F.col(source_col).eqNullSafe(F.col("__s"))).drop("__s")
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     df = df.withColumn("__epochs", epochs).withColumn("__part", F.col("__epochs") - F.floor("__epochs"))
