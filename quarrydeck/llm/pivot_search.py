@@ -56,7 +56,7 @@ def choose_pivots(x: np.ndarray, count: int) -> np.ndarray:
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of each row of q with its own rows of x, exact."""
-    if q.size == 0 or x.size == 0 or np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2.0**53:
+    if q.size == 0 or x.size == 0 or np.abs(q.astype(np.float64)).max() * np.abs(x.astype(np.float64)).max() * q.shape[1] < 2.0**53:
         return np.einsum("qd,qcd->qc", q.astype(np.float64), x.astype(np.float64)).astype(np.int64)
     exact = (q.astype(object)[:, None] * x.astype(object)).sum(2)
     return np.clip(exact, -LONG - 1, LONG).astype(np.int64)
@@ -67,10 +67,10 @@ def search_cell(ids: np.ndarray, x: np.ndarray, table: np.ndarray, q_ids: np.nda
     bound = np.zeros((len(q), len(x)))
     for p in range(table.shape[1]):
         np.maximum(bound, np.abs(q_table[:, p, None] - table[None, :, p]), out=bound)
-    bound = np.maximum(bound * (1 - 1e-9) - 1e-3, 0)
+    bound = np.maximum(bound - 1e-3 - 1e-6 * limit**0.5, 0)  # more than the rounding of the distances
     square = (q.astype(np.float64) ** 2).sum(1)
     most = (square[:, None] + limit - bound**2) / 2
-    most += np.abs(most) * 1e-9 + 1
+    most += (square[:, None] + limit) * 1e-9 + 1
     order = np.argsort(bound, axis=1, kind="stable")
     best = np.full((len(q), k), -np.inf)
     best_id = np.full((len(q), k), LONG)
