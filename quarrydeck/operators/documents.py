@@ -194,7 +194,7 @@ def possible_duplicates(docs: DataFrame, threshold: float = 0.82, **candidates)
 
     score = .45 title ratio + .45 ratio of the first 1,200 characters + .1 same type + .1 sizes within a tenth.
     """
-    links = shingle_links(docs, threshold=candidates.pop("jaccard", 0.5), **candidates)
+    links = shingle_links(docs, threshold=candidates.pop("jaccard", 0.8), **candidates)
     side = lambda p: docs.select(F.col("doc_id").alias(p), F.col("title").alias(f"title_{p}"), F.substring("text", 1, 1200).alias(f"preview_{p}"), F.col("doc_type").alias(f"type_{p}"), F.col("size").alias(f"size_{p}"))
     df = links.join(side("a"), "a").join(side("b"), "b")
     near = F.least("size_a", "size_b") / F.greatest("size_a", "size_b", F.lit(1)) >= 0.9

@@ -170,3 +170,22 @@ def test_split_late(spark):
     df = spark.createDataFrame([("2024-01-01",), ("2024-01-03",)], "ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     fine, late = X.split_late(df, pd.Timestamp("2024-01-02"))
     assert fine.count() == late.count() == 1
+
+
+def test_embed_texts_retries(spark):
+    def provider(texts):
+        if any(len(t) > 1000 for t in texts):
+            raise ValueError("too long")
+        return [[float(len(t))] for t in texts]
+
+    df = spark.createDataFrame([(1, "short", None), (2, "x" * 3000, "y")], "k int, title string, content string")
+    got = {r.k: (r.vector, r.embed_error) for r in P.embed_texts(df, ["title", "content"], provider).collect()}
+    assert got == {1: ([5.0], None), 2: ([1000.0], None)}
+
+
+def test_possible_duplicates(spark):
+    base = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, "A title", base, "rule", 10), (2, "A title", base + " more", "rule", 10), (3, "Other", "nothing like it at all in here", "rule", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, text string, doc_type string, size long")
+    got = {r.doc_id: r.other_id for r in D.possible_duplicates(docs).collect()}
+    assert got == {1: 2, 2: 1}
