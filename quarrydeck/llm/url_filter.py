@@ -1,8 +1,8 @@
 """URL filters: rules for hosts and paths first, then a weighted vocabulary matched by Aho-Corasick.
 
 The vocabulary has strict terms and weighted soft terms. One pass of the automaton over the lower-cased URL finds them;
-a hit counts only if no letter a-z or digit touches it on either side. A URL is blocked on one strict hit, or when its
-distinct soft hits together weigh ``soft_limit`` or more.
+a hit counts only if no letter a-z or digit touches it on either side. A URL is blocked on one strict hit, or when at
+least ``soft_least`` distinct soft terms hit and together weigh ``soft_limit`` or more; one soft term alone never blocks.
 
 Rules are (host, path, verdict): a rule fits its host and all subdomains if the URL's path starts with the rule's; the
 longest fitting rule decides.
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STRICT = ("casino", "porn", "xxx", "viagra", "warez", "phishing", "malware", "escort", "jackpot", "torrent")
-SOFT = {"adult": 1.0, "bet": 1.0, "bonus": 1.0, "free": 0.5, "dating": 1.0, "loan": 1.0, "pills": 1.0, "win": 0.5, "utm_source": 0.5, "feed": 0.5, "page": 0.5, "ref": 0.5, "blog": 0.25, "top": 0.25}
-SOFT_LIMIT = 1.0
+SOFT = {"adult": 0.75, "bet": 0.75, "bets": 0.75, "dating": 0.75, "pills": 0.75, "spam": 0.75, "ads": 0.5, "bonus": 0.5, "cheap": 0.5, "farm": 0.5, "free": 0.5, "loan": 0.5, "track": 0.5, "win": 0.5}
+SOFT_LIMIT, SOFT_LEAST = 1.0, 2
 #: The rules of the registered query.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,7 +67,7 @@ def fitting_rule(host: str, path: str, rules: Mapping[str, Sequence[tuple[str, s
         rest = rest.split(".", 1)[1]
 
 
-def judge_urls(pages: DataFrame, *, url_col: str = "url", strict: Sequence[str] = STRICT, soft: Mapping[str, float] | None = None, soft_limit: float = SOFT_LIMIT, rules: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
+def judge_urls(pages: DataFrame, *, url_col: str = "url", strict: Sequence[str] = STRICT, soft: Mapping[str, float] | None = None, soft_limit: float = SOFT_LIMIT, soft_least: int = SOFT_LEAST, rules: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
     """Add host, path, rule, verdict, strict_hits (distinct), soft_hits (distinct) and soft_weight."""
     soft = SOFT if soft is None else dict(soft)
     made = ("host", "path", "rule", "verdict", "strict_hits", "soft_hits", "soft_weight")
@@ -86,7 +86,7 @@ def judge_urls(pages: DataFrame, *, url_col: str = "url", strict: Sequence[str]
                 hard, mild = found & banned, found - banned
                 weight = float(sum(soft[t] for t in sorted(mild)))
                 rule = fitting_rule(host, path, by_host)
-                verdict = rule[1] if rule else "block" if hard or weight >= soft_limit else "allow"
+                verdict = rule[1] if rule else "block" if hard or (len(mild) >= soft_least and weight >= soft_limit) else "allow"
                 rows.append((host, path, rule and rule[0], verdict, len(hard), len(mild), weight))
             own = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, (pa.string(),) * 4 + (pa.int32(),) * 2 + (pa.float64(),))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *own], names=[*kept, *made])
@@ -110,5 +110,5 @@ def oracle() -> str:
 WITH parts AS (SELECT page_id, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS u, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 counted AS (SELECT *, {hard} AS strict_hits, {mild} AS soft_hits, {weight} AS soft_weight,
   list_sort(list_filter([{", ".join(f"{{'n': -length({f.split(',')[0][1:]}), 'rule': {f.split(',')[0][1:]}, 'verdict': {f.split(', ')[1]}, 'fits': {f.split(', ', 2)[2][:-1]}}}" for f in fits)}], lambda r: r.fits))[1] AS best FROM parts)
-SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN strict_hits > 0 OR soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits::INT AS strict_hits, soft_hits::INT AS soft_hits, soft_weight FROM counted
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN strict_hits > 0 OR (soft_hits >= {SOFT_LEAST} AND soft_weight >= {SOFT_LIMIT}) THEN 'block' ELSE 'allow' END) AS verdict, strict_hits::INT AS strict_hits, soft_hits::INT AS soft_hits, soft_weight FROM counted
 """

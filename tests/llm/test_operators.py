@@ -78,14 +78,16 @@ def test_pivot_search_large_components(spark):
 
 
 def test_url_filter(spark):
-    urls = [None, "", "nothing", "https://A.Example.COM/en/7x?page=2", "http://b.net/de/8", "http://x.example.net/de/81", "http://org/es/", "http://casinox.io/", "http://a-casino.io/", "http://q.io/?page=2&ref=x", "http://q.io/?page=2&page=3", "http://notcom/en/", "HTTP://U.ORG/ES/"]
+    urls = [None, "", "nothing", "https://A.Example.COM/en/7x?page=2", "http://b.net/de/8", "http://x.example.net/de/81", "http://org/es/", "http://casinox.io/", "http://a-casino.io/", "http://cheap-pills.io/", "http://q.io/?bets=2&bets=3", "http://notcom/en/", "HTTP://U.ORG/ES/"]
     got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"), rules=url_filter.RULES).collect()}
     assert got[None] == ("", "", None, "allow") and got["nothing"] == ("", "", None, "allow")
     assert got["https://A.Example.COM/en/7x?page=2"] == ("a.example.com", "/en/7x", "example.com/en/7", "allow")
     assert got["http://b.net/de/8"][2:] == ("net/de/", "allow") and got["http://x.example.net/de/81"][2:] == ("example.net/de/8", "block")
     assert got["http://org/es/"][2:] == ("org/es/", "block") and got["http://notcom/en/"][2:] == (None, "allow") and got["HTTP://U.ORG/ES/"][:2] == ("u.org", "/ES/")
     assert got["http://casinox.io/"][3] == "allow" and got["http://a-casino.io/"][3] == "block"
-    assert got["http://q.io/?page=2&ref=x"][3] == "block" and got["http://q.io/?page=2&page=3"][3] == "allow"
+    assert got["http://cheap-pills.io/"][3] == "block" and got["http://q.io/?bets=2&bets=3"][3] == "allow"  # distinct soft terms count
+    heavy = url_filter.judge_urls(spark.createDataFrame([(1, "http://q.io/bets")], "page_id long, url string"), soft={"bets": 5.0})
+    assert heavy.first().verdict == "allow"  # one soft term alone never blocks
 
 
 # op4 -----------------------------------------------------------------------------------------------------------------
