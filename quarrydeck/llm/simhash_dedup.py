@@ -22,13 +22,15 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, slices
 from .components import connected_components
 
 SEED, SLICE, LEAF, FRONT = 42, 1 << 15, 16, 1 << 16
+#: A fingerprint with more than one row in so many of all counts as hot: fewer than so many can be.
+HOT_SHARE = 4096
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -134,17 +136,49 @@ def _forest(cells: pa.Table, budget: int) -> tuple[np.ndarray, np.ndarray]:
     return fp[own].view(np.int64), fp[parent[own]].view(np.int64)
 
 
-def hamming_forest(fps: DataFrame, *, fp_col: str = "fp", budget: int = 3, group_rows: int = 2048) -> DataFrame:
-    """(a, b) such that two fingerprints are connected by these rows exactly if a chain of links connects them."""
+def _bits(fp: Column, lo: int, hi: int) -> Column:
+    """Bits lo to hi of a fingerprint, counted from its most significant one."""
+    return F.shiftrightunsigned(fp, 64 - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+
+
+def block_keys(fp: Column, budget: int, levels: int) -> Column:
+    """Array of struct(block, value) such that two fingerprints within the budget share at least one.
+
+    One level: the values of budget + 1 blocks. Two levels: each of them together with those of budget + 1 blocks of the
+    bits that are left, which are within the budget as well.
+    """
     blocks = budget + 1
     cuts = [64 * i // blocks for i in range(blocks + 1)]
-    values = [F.shiftrightunsigned(F.col("fp"), 64 - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
-    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), v.cast("long").alias("value")) for i, v in enumerate(values)))).alias("key")
-    rows = fps.select(F.col(fp_col).alias("fp")).where("fp is not null").distinct().select("fp", keys).select("fp", "key.block", "key.value")
+    keys = []
+    for lo, hi in zip(cuts, cuts[1:]):
+        if levels == 1:
+            keys.append(_bits(fp, lo, hi))
+            continue
+        rest = 64 - (hi - lo)
+        left = F.shiftleft(_bits(fp, 0, lo), 64 - hi) if lo else F.lit(0).cast("long")
+        left = left.bitwiseOR(_bits(fp, hi, 64)) if hi < 64 else left
+        steps = [rest * i // blocks for i in range(blocks + 1)]
+        for at, to in zip(steps, steps[1:]):
+            own = F.shiftrightunsigned(left, rest - to).bitwiseAND(F.lit((1 << (to - at)) - 1))
+            keys.append(F.shiftleft(_bits(fp, lo, hi), to - at).bitwiseOR(own))
+    return F.array(*(F.struct(F.lit(i).alias("block"), key.cast("long").alias("value")) for i, key in enumerate(keys)))
+
+
+def hamming_forest(fps: DataFrame, *, fp_col: str = "fp", budget: int = 3, group_rows: int = 2048, levels: int | None = None) -> DataFrame:
+    """(a, b) such that two fingerprints are connected by these rows exactly if a chain of links connects them.
+
+    With one level a fingerprint goes to budget + 1 groups, of which each grows with the input; once the even share of a
+    group passes ``group_rows`` times (budget + 1), the copies for its cells would cost more than a second level's
+    (budget + 1) ** 2 keys, and two levels are taken. The links are the same.
+    """
+    found = fps.select(F.col(fp_col).alias("fp")).where("fp is not null").distinct()
+    if levels is None:
+        levels = 2 if budget and found.count() >> (64 // (budget + 1)) > group_rows * (budget + 1) else 1
+    rows = found.select("fp", F.explode(block_keys(F.col("fp"), budget, levels)).alias("key")).select("fp", "key.block", "key.value")
     large = rows.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > group_rows)
     large = large.select("block", "value", F.ceil(F.col("n") / group_rows).cast("int").alias("parts"))
-    # At most (budget + 1) * 2 ** 16 groups exist at the default budget, whatever the input: a proven bound.
-    rows = rows.join(F.broadcast(large) if budget >= 3 else large, ["block", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # At most (budget + 1) * 2 ** 16 groups exist on one level at the default budget, whatever the input: a proven bound.
+    rows = rows.join(F.broadcast(large) if budget >= 3 and levels == 1 else large, ["block", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     lo, hi = F.least("part", "other"), F.greatest("part", "other")
@@ -178,16 +212,19 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3, group_rows: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3, group_rows: int = 2048, hot_share: int = HOT_SHARE) -> DataFrame:
     """(id, fp, component_id) of every row; the component is named by the smallest id that a chain of links reaches."""
     fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, words=words))
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    nodes = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     linked = connected_components(hamming_forest(nodes.select("fp"), budget=budget, group_rows=group_rows))
     linked = linked.select(F.col("node").alias("fp"), "root")
     roots = nodes.join(linked, "fp").groupBy("root").agg(F.min("least").alias("lowest"))
     named = linked.join(roots, "root").select("fp", "lowest")
-    named = nodes.join(named, "fp", "left").select("fp", F.least("least", "lowest").alias("component_id"))
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = cut(nodes.join(named, "fp", "left").select("fp", F.least("least", "lowest").alias("component_id"), "n"))
+    # The rows of a hot fingerprint stay where they are, and all others meet its component by a shuffle.
+    hot = F.broadcast(named.where(F.col("n") > fps.count() / hot_share).drop("n"))
+    rest = fps.join(hot.select("fp"), "fp", "left_anti").join(named.drop("n"), "fp")
+    return fps.join(hot, "fp").unionByName(rest).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):

@@ -329,8 +329,8 @@ def test_simhash_components(docs):
     assert [got[r.doc_id] for r in rows] == plain_components([r.doc_id for r in rows], [plain_fingerprint(r.text) for r in rows])
 
 
-@pytest.mark.parametrize("group_rows", [16, 4096])
-def test_trie_join_on_clusters(spark, group_rows):
+@pytest.mark.parametrize(("group_rows", "levels"), [(16, 1), (4096, 1), (16, 2), (4096, 2), (1, None)])
+def test_trie_join_on_clusters(spark, group_rows, levels):
     rng = random.Random(9)
     fps = []
     for _ in range(6):
@@ -342,7 +342,7 @@ def test_trie_join_on_clusters(spark, group_rows):
             fps.append(x)
     fps = sorted({*fps, 0, (1 << 64) - 1, 1 << 63, 7})
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    edges = simhash_dedup.hamming_forest(spark.createDataFrame([(x,) for x in signed], "fp long"), group_rows=group_rows).collect()
+    edges = simhash_dedup.hamming_forest(spark.createDataFrame([(x,) for x in signed], "fp long"), group_rows=group_rows, levels=levels).collect()
     up = {x: x for x in signed}
 
     def root(x):
@@ -360,11 +360,27 @@ def test_trie_join_on_clusters(spark, group_rows):
     for x in signed:
         mine.setdefault(root(x), set()).add(x)
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, groups.values()))
-    assert len(edges) <= 4 * len(fps) * (1 + len(fps) // group_rows)
+    assert len(edges) <= 4 ** (levels or 1) * len(fps) * (1 + len(fps) // group_rows)
+
+
+def test_two_linked_fingerprints_share_a_key(spark):
+    rng, rows = random.Random(3), []
+    for _ in range(300):
+        x = y = rng.getrandbits(64)
+        for bit in rng.sample(range(64), 3):
+            y ^= 1 << bit
+        rows.append(tuple(v - (1 << 64) if v >> 63 else v for v in (x, y)))
+    df = spark.createDataFrame(rows, "x long, y long")
+    for levels, most in ((1, 1 << 16), (2, 1 << 28)):
+        keys = [simhash_dedup.block_keys(F.col(c), 3, levels) for c in "xy"]
+        assert df.where(~F.arrays_overlap(*keys)).count() == 0
+        top = df.select(F.explode(keys[0]).alias("k")).agg(F.min("k.value"), F.max("k.value")).first()
+        assert top[0] >= 0 and most // 64 < top[1] < most
 
 
 def test_simhash_odd(odd):
     got = simhash_dedup.near_duplicates(odd).collect()
+    assert sorted(got, key=repr) == sorted(simhash_dedup.near_duplicates(odd, hot_share=3).collect(), key=repr)
     assert len(got) == odd.count()
     zero = {r.component_id for r in got if r.fp == 0}
     assert zero == {0}
