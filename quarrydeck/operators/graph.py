@@ -400,6 +400,15 @@ def induced_edges(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     return f.join(nodes.select(F.col("entity").alias("subject")), "subject", "left_semi").join(nodes.select(F.col("entity").alias("object")), "object", "left_semi")
 
 
+def entity_list(entities: DataFrame, facts: DataFrame, search: str | None = None) -> DataFrame:
+    """Entities whose name holds a text, with their documents and the facts out of and into them."""
+    df = entities.where(F.lower("name").contains(search.lower())) if search else entities
+    df = df.groupBy("name", "entity_type").agg(F.countDistinct("doc_id").alias("documents"))
+    for end, n in (("subject", "n_out"), ("object", "n_in")):
+        df = df.join(facts.groupBy(F.col(end).alias("name"), F.col(f"{end}_type").alias("entity_type")).agg(F.count("*").alias(n)), ["name", "entity_type"], "left")
+    return df.fillna(0, ["n_out", "n_in"])
+
+
 def entity_detail(ids: DataFrame, facts: DataFrame, sources: int = 8) -> DataFrame:
     """For a batch of entities: formal attributes, connections out and in with their counts, and source documents."""
     a = facts.join(ids, facts["subject"] == ids["entity"]).where("object_type is null").groupBy("entity").agg(F.array_sort(F.collect_set(F.concat_ws("=", "predicate", "object"))).alias("attributes"))

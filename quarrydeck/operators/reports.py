@@ -170,3 +170,35 @@ def stage_gate(jobs: DataFrame) -> DataFrame:
     broken = F.max(F.col("status").isin(*FAILED).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     gate = F.when(F.coalesce(broken, F.lit(0)) == 1, "skip").when(F.row_number().over(w) == 1, "run").when(before == "success", "run").otherwise("wait")
     return latest_jobs(jobs).withColumn("gate", gate)
+
+
+def _share_out(df: DataFrame, size: Column) -> DataFrame:
+    """(source, total, pending, processing, success, failed) of ``size`` by the column ``state``."""
+    parts = [F.coalesce(F.sum(F.when(F.col("state") == s, size)), F.lit(0)).cast("long").alias(s) for s in ("pending", "processing", "success", "failed")]
+    return df.groupBy("source").agg(F.sum(size).cast("long").alias("total"), *parts)
+
+
+def doc_progress(wide: DataFrame) -> DataFrame:
+    """Files by the state of their document: failed if probe or parse failed, success once parsed, processing while one runs."""
+    any_of = lambda *states: F.coalesce(F.col("probe").isin(*states), F.lit(False)) | F.coalesce(F.col("parse").isin(*states), F.lit(False))
+    state = F.when(any_of(*FAILED), "failed").when(F.col("parse") == "success", "success").when(any_of("processing", "running"), "processing").otherwise("pending")
+    return _share_out(wide.withColumn("state", state), F.lit(1))
+
+
+def unit_progress(wide: DataFrame, chunks: DataFrame, stage: str = "extract", limit: int = 60) -> DataFrame:
+    """The same weighted by chunks, at most ``limit`` a file; files without chunks have no weight."""
+    n = chunks.groupBy(F.col("doc_id").alias("file_id")).agg(F.least(F.count("*"), F.lit(limit)).alias("size"))
+    state = F.when(F.col(stage) == "success", "success").when(F.col(stage).isin(*FAILED), "failed").when(F.col(stage).isin("processing", "running"), "processing").otherwise("pending")
+    return _share_out(wide.join(n, "file_id").withColumn("state", state), F.col("size"))
+
+
+def active_files(jobs: DataFrame) -> DataFrame:
+    """Stages of files whose last job waits or runs."""
+    return latest_jobs(jobs).where("status in ('queued', 'processing', 'running')").select("file_id", "source", "stage", "status")
+
+
+def build_overview(files: DataFrame, builds: DataFrame) -> DataFrame:
+    """One row: parsed files, and how many have a successful, active, failed or no build. builds has one row a doc_id."""
+    own = files.where("status = 'success'").select("doc_id").join(builds.select("doc_id", F.col("status").alias("build")), "doc_id", "left")
+    counts = own.agg(F.count("*").alias("eligible"), F.count_if(F.col("build") == "success").alias("built"), F.count_if(F.col("build").isin("queued", "processing", "running")).alias("active"), F.count_if(F.col("build").isin(*FAILED)).alias("failed"), F.count_if(F.isnull("build")).alias("missing"))
+    return counts.withColumn("coverage", F.round(F.col("built") / F.greatest("eligible", F.lit(1)), 6))

@@ -209,6 +209,33 @@ def resolve_refs(refs: DataFrame, docs: DataFrame, chunks: DataFrame, ref: str =
     return d.unionByName(c)
 
 
+def ref_context(refs: DataFrame, chunks: DataFrame, window: int = 1, ref: str = "ref") -> DataFrame:
+    """Chunk references with their neighbours up to ``window`` places away: (ref, doc_id, chunk_no, offset, text).
+
+    The few places of a window are spelled out, so that the join is one on equal keys.
+    """
+    p = F.split(ref, ":")
+    r = refs.where(F.col(ref).startswith("chunk:")).select(ref, F.get(p, F.lit(1)).try_cast("long").alias("doc_id"), F.get(p, F.lit(2)).try_cast("int").alias("at"))
+    r = r.select(ref, "doc_id", "at", F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("offset")).withColumn("chunk_no", F.col("at") + F.col("offset"))
+    return r.join(chunks.select("doc_id", "chunk_no", F.col("content").alias("text")), ["doc_id", "chunk_no"]).select(ref, "doc_id", "chunk_no", "offset", "text")
+
+
+def recent_fill(domains: DataFrame, have: DataFrame, items: DataFrame, least: int, weights: Sequence[tuple[str, float]] = (("document", 0.35), ("unit", 0.30), ("chunk", 0.25))) -> DataFrame:
+    """The newest items for domains with fewer than ``least``: (domain_id, item_id, score). items(item_id, kind, ts).
+
+    A domain needs at most ``least`` items and holds fewer, so the newest 2 * ``least`` items are enough for each.
+    """
+    score = F.lit(None).cast("double")
+    for kind, weight in weights:
+        score = F.when(F.col("kind") == kind, weight).otherwise(score)
+    newest = items.select("item_id", "ts", score.alias("score")).where("score is not null").orderBy(F.desc("ts"), "item_id").limit(2 * least)
+    newest = newest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("ts"), "item_id")))  # 2 * least rows
+    short = domains.select("domain_id").distinct().join(have.groupBy("domain_id").agg(F.countDistinct("item_id").alias("n")), "domain_id", "left").fillna(0, ["n"]).where(F.col("n") < least)
+    rows = short.withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(2 * least)))).join(newest, "place").join(have.select("domain_id", "item_id"), ["domain_id", "item_id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("domain_id").orderBy("place"))
+    return rows.withColumn("k", rank).where(F.col("n") + F.col("k") <= least).select("domain_id", "item_id", "score")
+
+
 def group_evidence(items: DataFrame, dimensions: DataFrame, most: int = 20) -> DataFrame:
     """Each item goes to its best dimension: 4 for the name, 2 a keyword; at most ``most`` items a dimension.
 

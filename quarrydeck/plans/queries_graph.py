@@ -562,3 +562,22 @@ def fallback_when_failed(spark, d):
     return P.fallback_when_failed(e, e.select("id", F.lit("h").alias("value")), approvals, ["id"]).select("id", "value", "status")
 
 
+@query("SELECT e.name, e.entity_type, documents, coalesce(o.n, 0) AS n_out, coalesce(i.n, 0) AS n_in FROM (SELECT name, entity_type, count(DISTINCT doc_id) AS documents FROM entities WHERE contains(lower(name), 'supplier') GROUP BY ALL) e LEFT JOIN (SELECT subject, subject_type, count(*) AS n FROM facts GROUP BY ALL) o ON o.subject = e.name AND o.subject_type = e.entity_type LEFT JOIN (SELECT object, object_type, count(*) AS n FROM facts GROUP BY ALL) i ON i.object = e.name AND i.object_type = e.entity_type", V.FACTS + "," + V.ENTITIES)
+def entity_list(spark, d):
+    return G.entity_list(V.entities(spark, d), V.facts(spark, d), "supplier")
+
+
+@query("SELECT 'chunk:' || a.doc_id || ':' || a.chunk_no AS ref, b.doc_id, b.chunk_no, b.chunk_no - a.chunk_no AS offset_, b.content AS text FROM chunks a JOIN chunks b ON a.doc_id = b.doc_id AND b.chunk_no BETWEEN a.chunk_no - 1 AND a.chunk_no + 1", V.CHUNKS)
+def ref_context(spark, d):
+    c = V.chunks(spark, d)
+    return O.ref_context(c.select(F.concat_ws(":", F.lit("chunk"), "doc_id", "chunk_no").alias("ref")), c).withColumnRenamed("offset", "offset_")
+
+
+FILL_LEAST = 30
+
+
+@query(f"SELECT domain_id, item_id, 0.25::DOUBLE AS score FROM (SELECT s.domain_id, w.item_id, n, row_number() OVER (PARTITION BY s.domain_id ORDER BY place) AS k FROM (SELECT domain_id, count(*) AS n FROM ri GROUP BY domain_id HAVING count(*) < {FILL_LEAST}) s, (SELECT item_id, row_number() OVER (ORDER BY split_part(item_id, ':', 1)::BIGINT DESC, item_id) AS place FROM it) w WHERE place <= {2 * FILL_LEAST} AND NOT EXISTS (FROM ri WHERE ri.domain_id = s.domain_id AND ri.item_id = w.item_id)) WHERE n + k <= {FILL_LEAST}", RECALL)
+def recent_fill(spark, d):
+    have = _recalled(spark, d)
+    items = _items(spark, d).select("item_id", F.lit("chunk").alias("kind"), F.col("doc_id").alias("ts"))
+    return O.recent_fill(have, have, items, FILL_LEAST)

@@ -131,6 +131,31 @@ def stage_gate(spark, d):
     return R.stage_gate(V.jobs(spark, d)).select("file_id", "stage", "gate")
 
 
+def _sums(size: str) -> str:
+    return f"sum({size})::BIGINT AS total, " + ", ".join(f"coalesce(sum(CASE WHEN state = '{x}' THEN {size} END), 0)::BIGINT AS {x}" for x in ("pending", "processing", "success", "failed"))
+
+
+@query(f"SELECT source, {_sums('1')} FROM (SELECT *, CASE WHEN coalesce(probe IN {BAD}, false) OR coalesce(parse IN {BAD}, false) THEN 'failed' WHEN parse = 'success' THEN 'success' WHEN coalesce(probe IN ('processing', 'running'), false) OR coalesce(parse IN ('processing', 'running'), false) THEN 'processing' ELSE 'pending' END AS state FROM w) GROUP BY source", LAST)
+def doc_progress(spark, d):
+    return R.doc_progress(R.wide_status(V.jobs(spark, d)))
+
+
+@query(f"SELECT source, {_sums('size')} FROM (SELECT w.source, size, CASE WHEN extract = 'success' THEN 'success' WHEN extract IN {BAD} THEN 'failed' WHEN extract IN ('processing', 'running') THEN 'processing' ELSE 'pending' END AS state FROM w JOIN (SELECT doc_id, least(count(*), 60) AS size FROM chunks GROUP BY doc_id) ON doc_id = file_id) GROUP BY source", LAST + "," + V.CHUNKS)
+def unit_progress(spark, d):
+    return R.unit_progress(R.wide_status(V.jobs(spark, d)), V.chunks(spark, d))
+
+
+@query("SELECT file_id, source, stage, status FROM lj WHERE status IN ('queued', 'processing', 'running')", LAST)
+def active_files(spark, d):
+    return R.active_files(V.jobs(spark, d))
+
+
+@query(f"SELECT count(*) AS eligible, count(*) FILTER (WHERE b = 'success') AS built, count(*) FILTER (WHERE b IN ('queued', 'processing', 'running')) AS active, count(*) FILTER (WHERE b IN {BAD}) AS failed, count(*) FILTER (WHERE b IS NULL) AS missing, round(count(*) FILTER (WHERE b = 'success') / greatest(count(*), 1), 6)::DOUBLE AS coverage FROM docs d LEFT JOIN (SELECT file_id, status AS b FROM lj WHERE stage = 'extract') ON file_id = doc_id WHERE d.status = 'success'", LAST + "," + V.DOCS)
+def build_overview(spark, d):
+    builds = R.latest_jobs(V.jobs(spark, d)).where("stage = 'extract'").select(F.col("file_id").alias("doc_id"), "status")
+    return R.build_overview(V.docs(spark, d), builds)
+
+
 # Streams: each query drains a stream over the whole table; the SQL is the batch twin ------------------------------------
 
 
