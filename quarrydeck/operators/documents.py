@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..functions.lineage import cut
 
 
 def classify_doc_type(df: DataFrame, *, ext: str = "ext", stem: str = "stem", preview: str = "preview", stem_cues=L.STEM_CUES, preview_cues=L.PREVIEW_CUES) -> DataFrame:
@@ -161,16 +162,31 @@ def _seeded(seed: int):
     return lambda v: F.xxhash64(v, F.lit(seed))
 
 
-def shingle_links(docs: DataFrame, *, text: str = "text", words: int = 5, hashes: int = 20, rows: int = 2, threshold: float = 0.8) -> DataFrame:
-    """Pairs (a, b, jaccard) of word-shingle sets at the threshold or more; candidates share a band of their min-hashes.
+def shingle_sets(docs: DataFrame, *, text: str = "text", words: int = 5) -> DataFrame:
+    """(doc_id, key, s): the word shingles of each text as a sorted set, and the set's hash; texts without a word have no row.
 
-    Sets of equal shingles meet once, through their smallest id, so copies make no pairs among themselves; the pairs are
-    between representatives. Texts with fewer words than a shingle are one shingle.
+    Texts with fewer words than a shingle are one shingle.
     """
     tokens = F.filter(F.split(F.lower(T.text(text)), r"\s+"), lambda x: x != "")
     sh = F.when(F.size("w") > words, F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, words), " ")))).otherwise(F.array(F.xxhash64(F.array_join("w", " "))))
     sets = docs.select("doc_id", tokens.alias("w")).where(F.size("w") > 0).select("doc_id", F.array_sort(F.array_distinct(sh)).alias("s"))
-    sets = sets.groupBy(F.xxhash64("s").alias("key")).agg(F.min(F.struct("doc_id", "s")).alias("x")).select("x.doc_id", "x.s")
+    return sets.select("doc_id", F.xxhash64("s").alias("key"), "s")
+
+
+def shingle_members(docs: DataFrame, *, text: str = "text", words: int = 5) -> DataFrame:
+    """(doc_id, representative): the smallest id whose text has the same shingles; the pairs of shingle_links are between these."""
+    keys = cut(shingle_sets(docs, text=text, words=words).select("doc_id", "key"))
+    return keys.join(keys.groupBy("key").agg(F.min("doc_id").alias("representative")), "key").select("doc_id", "representative")
+
+
+def shingle_links(docs: DataFrame, *, text: str = "text", words: int = 5, hashes: int = 20, rows: int = 2, threshold: float = 0.8) -> DataFrame:
+    """Pairs (a, b, jaccard) of word-shingle sets at the threshold or more; candidates share a band of their min-hashes.
+
+    Sets of equal shingles meet once, through their smallest id, so copies make no pairs among themselves; the pairs are
+    between representatives, whose members shingle_members returns.
+    """
+    sets = shingle_sets(docs, text=text, words=words)
+    sets = sets.groupBy("key").agg(F.min(F.struct("doc_id", "s")).alias("x")).select("x.doc_id", "x.s")
     signature = F.array(*(F.array_min(F.transform("s", _seeded(i))) for i in range(hashes)))
     bands = sets.select("doc_id", signature.alias("sig")).select("doc_id", F.explode(F.array(*(F.xxhash64(F.lit(b), *(F.col("sig")[b * rows + r] for r in range(rows))) for b in range(hashes // rows)))).alias("band"))
     a, b = bands.alias("a"), bands.alias("b")
@@ -190,18 +206,44 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
 
 def possible_duplicates(docs: DataFrame, threshold: float = 0.82, **candidates) -> DataFrame:
-    """Best near-duplicate (doc_id, other_id, score) of each document among those that share shingles.
+    """Best near-duplicate (doc_id, other_id, score) of each document among those that share shingles, ties by the smaller id.
 
     score = .45 title ratio + .45 ratio of the first 1,200 characters + .1 same type + .1 sizes within a tenth.
+
+    Documents of equal shingles, title, preview, type and size have the same scores and count as one copy group: groups are
+    weighed against each other and against themselves, and every document takes its group's best, so copies make no pairs.
     """
-    links = shingle_links(docs, threshold=candidates.pop("jaccard", 0.8), **candidates)
-    side = lambda p: docs.select(F.col("doc_id").alias(p), F.col("title").alias(f"title_{p}"), F.substring("text", 1, 1200).alias(f"preview_{p}"), F.col("doc_type").alias(f"type_{p}"), F.col("size").alias(f"size_{p}"))
-    df = links.join(side("a"), "a").join(side("b"), "b")
+    own = {k: candidates[k] for k in ("text", "words") if k in candidates}
+    links = cut(shingle_links(docs, threshold=candidates.pop("jaccard", 0.8), **candidates).select("a", "b"))
+    parts = ["representative", "title", "preview", "doc_type", "size"]
+    named = docs.select("doc_id", T.text("title").alias("title"), F.substring(T.text(own.get("text", "text")), 1, 1200).alias("preview"), "doc_type", F.col("size").cast("long").alias("size"))
+    # A document's group is a hash of the parts as JSON: null and empty differ, and no part runs into the next.
+    rows = named.join(shingle_members(docs, **own), "doc_id").withColumn("face", F.md5(F.to_json(F.struct(*parts[:3])))).withColumn("grp", F.md5(F.to_json(F.struct("face", *parts[3:]))))
+    members = cut(rows.select("doc_id", "grp").distinct())
+    groups = cut(rows.groupBy("grp").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("face", *parts))))
+    second = members.join(groups.select("grp", "first"), "grp").where(F.col("doc_id") > F.col("first")).groupBy("grp").agg(F.min("doc_id").alias("second"))
+
+    faces = groups.groupBy("face", "representative", "title", "preview").agg(F.min("first").alias("at"))
+    side = lambda df, p: df.select(*(F.col(c).alias(f"{c}_{p}") for c in df.columns))
+    a, b = side(faces, "a"), side(faces, "b")
+    within = a.join(b, F.col("representative_a") == F.col("representative_b")).where("at_a < at_b")
+    across = a.join(links, F.col("representative_a") == F.col("a")).join(b, F.col("representative_b") == F.col("b")).drop("a", "b")
+    ratio = 0.45 * sequence_ratio("title_a", "title_b") + 0.45 * sequence_ratio("preview_a", "preview_b")
+    weighed = within.unionByName(across).select("face_a", "face_b", ratio.alias("alike")).where(F.col("alike") + 0.2 >= threshold - 1e-6)
+    weighed = cut(weighed.union(weighed.select("face_b", "face_a", "alike"))).union(faces.select("face", F.col("face").alias("other"), F.lit(0.9)))
+
+    traits = groups.join(second, "grp", "left").select("grp", "face", "first", "second", "doc_type", "size")
+    a, b = side(traits, "a"), side(traits.drop("second"), "b")
+    df = a.join(weighed, "face_a").join(b, "face_b").where("grp_a != grp_b or second_a is not null")
     near = F.least("size_a", "size_b") / F.greatest("size_a", "size_b", F.lit(1)) >= 0.9
-    score = 0.45 * sequence_ratio(T.text("title_a"), T.text("title_b")) + 0.45 * sequence_ratio(T.text("preview_a"), T.text("preview_b")) + 0.1 * F.col("type_a").eqNullSafe(F.col("type_b")).cast("int") + 0.1 * near.cast("int")
-    df = df.select("a", "b", F.round(score, 6).alias("score")).where(F.col("score") >= threshold)
-    both = df.select(F.col("a").alias("doc_id"), F.col("b").alias("other_id"), "score").union(df.select("b", "a", "score"))
-    return both.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("n"), "other_id")).alias("x")).select("doc_id", F.col("x.other_id").alias("other_id"), (-F.col("x.n")).alias("score"))
+    score = F.round(F.col("alike") + 0.1 * F.col("doc_type_a").eqNullSafe(F.col("doc_type_b")).cast("int") + 0.1 * F.coalesce(near, F.lit(False)).cast("int"), 6)
+    df = df.withColumn("score", score).where(F.col("score") >= threshold)
+    # The first of a group has the second as its best copy, all others have the first.
+    best = lambda other: F.min(F.struct((-F.col("score")).alias("n"), other.alias("other_id")))
+    other = F.when(F.col("grp_a") == F.col("grp_b"), F.col("second_a")).otherwise(F.col("first_b"))
+    df = df.groupBy(F.col("grp_a").alias("grp")).agg(F.min("first_a").alias("first"), best(other).alias("of_first"), best(F.col("first_b")).alias("of_rest"))
+    df = members.join(df, "grp").withColumn("x", F.when(F.col("doc_id") == F.col("first"), F.col("of_first")).otherwise(F.col("of_rest")))
+    return df.select("doc_id", F.col("x.other_id").alias("other_id"), (-F.col("x.n")).alias("score"))
 
 
 def related_documents(docs: DataFrame, vectors: DataFrame, k: int = 5, least: float = 0.2) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators on small frames: default lexicons, folds, plug-ins and state."""
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +191,21 @@ def test_possible_duplicates(spark):
     docs = spark.createDataFrame(rows, "doc_id long, title string, text string, doc_type string, size long")
     got = {r.doc_id: r.other_id for r in D.possible_duplicates(docs).collect()}
     assert got == {1: 2, 2: 1}
+
+
+def test_possible_duplicates_of_copies(spark):
+    base = " ".join(f"word{i}" for i in range(200))
+    rows = [(i, "A title", base, "rule", len(base)) for i in (5, 7, 9)]
+    rows += [(2, "A title", base + " more", "rule", len(base) + 5), (3, "A title", base.replace("word150 ", "word150  "), "rule", len(base) + 1), (4, "A title", base, "report", len(base))]
+    rows += [(20, "B", "all alone with its own words", None, None), (21, "C", "short text", "rule", 10), (22, "C", "short text", "report", 10), (23, "D", "", "rule", 0), (24, "D", "", "rule", 0)]
+    got = {r.doc_id: r for r in D.possible_duplicates(spark.createDataFrame(rows, "doc_id long, title string, text string, doc_type string, size long")).collect()}
+    texts = {r[0]: r for r in rows[:6]}
+
+    def score(x, y):
+        (_, t, p, k, n), (_, u, q, m, o) = texts[min(x, y)], texts[max(x, y)]
+        return round(0.45 * SequenceMatcher(None, t, u).ratio() + 0.45 * SequenceMatcher(None, p[:1200], q[:1200]).ratio() + 0.1 * (k == m) + 0.1 * (min(n, o) >= 0.9 * max(n, o)), 6)
+
+    want = {x: min((-score(x, y), y) for y in texts if y != x) for x in texts}
+    assert max(want.values())[0] <= -0.82 and {x: (-got[x].score, got[x].other_id) for x in texts} == want
+    assert {x: (got[x].other_id, got[x].score) for x in got if x not in texts} == {21: (22, 1.0), 22: (21, 1.0)}
+    assert {r.doc_id: r.representative for r in D.shingle_members(spark.createDataFrame([r[:3] for r in rows], "doc_id long, title string, text string")).collect()} == {2: 2, 3: 3, 4: 3, 5: 3, 7: 3, 9: 3, 20: 20, 21: 21, 22: 21}
