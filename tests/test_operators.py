@@ -1,7 +1,10 @@
 """Operators on small frames: default lexicons, folds, plug-ins and state."""
 
+import random
+import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from quarrydeck.operators import graph as G
 from quarrydeck.operators import retrieval as S
 from quarrydeck.operators import topics as O
 from quarrydeck.operators import units as U
+from quarrydeck.plans import registry
 from quarrydeck.sources import inventory as I
 from quarrydeck.streaming import streams as X
 
@@ -209,3 +213,25 @@ def test_possible_duplicates_of_copies(spark):
     assert max(want.values())[0] <= -0.82 and {x: (-got[x].score, got[x].other_id) for x in texts} == want
     assert {x: (got[x].other_id, got[x].score) for x in got if x not in texts} == {21: (22, 1.0), 22: (21, 1.0)}
     assert {r.doc_id: r.representative for r in D.shingle_members(spark.createDataFrame([r[:3] for r in rows], "doc_id long, title string, text string")).collect()} == {2: 2, 3: 3, 4: 3, 5: 3, 7: 3, 9: 3, 20: 20, 21: 21, 22: 21}
+
+
+def test_related_documents_reads_whole_texts(spark, tmp_path):
+    rng = random.Random(3)
+    prose = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    head, body = prose("ab", 300), prose("acegikmoqsuwy ", 6000)
+    texts = [f"one title\n{head}{body}", f"one title\n{head}{body[::-1]}", f"one title\n{prose('yz', 300)}{body}"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    score = {(r.doc_id, r.other_id): r.score for r in registry.QUERIES["related_documents"](spark, str(tmp_path)).collect()}
+    assert score[1, 2] < 0.99
+    whole = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("doc_id", S.hash_embedding("text", most=2**31 - 1).alias("v"))
+    v = {r.doc_id: np.array(r.v) for r in whole.collect()}
+    want = {i: [0.0] * 32 for i in v}
+    for i, t in enumerate(texts, 1):
+        for at, c in enumerate(t):
+            want[i][at % 32] += ord(c) % 97 / 97
+    assert all(np.allclose(v[i], np.array(want[i]) / np.linalg.norm(want[i])) for i in v)
+    grams = lambda t: {w[j : j + 3] for x in re.findall(r"[a-z0-9]+", t) for w in [f"  {x} "] for j in range(len(w) - 2)}
+    for a, b in ((1, 2), (1, 3), (2, 3)):
+        x, y = grams(texts[a - 1][:2000]), grams(texts[b - 1][:2000])
+        assert score[a, b] == pytest.approx(0.25 + 0.15 * len(x & y) / len(x | y) + 0.6 * v[a] @ v[b], abs=2e-6)
