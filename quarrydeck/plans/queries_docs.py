@@ -243,7 +243,7 @@ def related_documents(spark, d):
     from ..operators import retrieval as S
 
     df = V.docs(spark, d)
-    return D.related_documents(df, df.select("doc_id", S.hash_embedding("text", most=2**31 - 1).alias("vector")))
+    return D.related_documents(df, df.select("doc_id", S.hash_embedding("text", most=2**31 - 1).alias("vector")), queries=df.where("doc_id % 100 = 0"))
 
 
 @query("SELECT d.doc_id, title, filename, source, coalesce(nc, 0) AS n_chunks, coalesce(nu, 0) AS n_units, count(*) OVER (PARTITION BY file_hash) - 1 AS n_copies FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS nc FROM chunks GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS nu FROM units GROUP BY 1) USING (doc_id)", V.UNITS)

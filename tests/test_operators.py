@@ -235,3 +235,24 @@ def test_related_documents_reads_whole_texts(spark, tmp_path):
     for a, b in ((1, 2), (1, 3), (2, 3)):
         x, y = grams(texts[a - 1][:2000]), grams(texts[b - 1][:2000])
         assert score[a, b] == pytest.approx(0.25 + 0.15 * len(x & y) / len(x | y) + 0.6 * v[a] @ v[b], abs=2e-6)
+
+
+def test_related_documents_exact_for_stated_queries(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"common title t{i}", f"p{i} preview", f"h{i}", [float(x) for x in rng.normal(size=8)]) for i in range(1, 130)]
+    rows += [(i, "copies", "same", "same", [1.0] * 8) for i in range(200, 210)]
+    rows[9] = (10, "common title", "other words", "h10", rows[99][4])
+    docs = spark.createDataFrame(rows, "doc_id long, title string, preview string, file_hash string, vector array<double>")
+    got = D.related_documents(docs, docs.select("doc_id", "vector"), queries=docs.where("doc_id % 100 = 0"), blocks=7).collect()
+    grams = lambda t: {w[j : j + 3] for x in t.split() for w in [f"  {x} "] for j in range(len(w) - 2)}
+    alike = lambda x, y: len(grams(x) & grams(y)) / len(grams(x) | grams(y))
+    cos = lambda x, y: np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)
+    for q in (100, 200):
+        _, t, p, h, v = next(r for r in rows if r[0] == q)
+        best = sorted((-(1.0 if r[3] == h else round(0.25 * alike(t, r[1]) + 0.15 * alike(p, r[2]) + 0.6 * cos(v, r[4]), 6)), r[0]) for r in rows if r[0] != q)[:5]
+        mine = sorted((r for r in got if r.doc_id == q), key=lambda r: r["rank"])
+        assert [r.other_id for r in mine] == [i for _, i in best] and [r.score for r in mine] == pytest.approx([-s for s, _ in best], abs=2e-6)
+    assert 10 in {r.other_id for r in got if r.doc_id == 100}
+    assert {r.other_id for r in got if r.doc_id == 203} == {200, 201, 202, 204, 205}
+    alone = D.related_documents(docs, docs.select("doc_id", "vector")).collect()
+    assert {r.other_id for r in alone if r.doc_id == 200} == {201, 202, 203, 204, 205}
