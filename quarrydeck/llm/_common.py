@@ -19,18 +19,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, which survives the loss of executors.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is taken.
+    The folder is the session's ``spark.checkpoint.dir``, see ``shared_folder``.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
-def hash_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
-    """About twice ``rows`` of ``total`` rows, by the hash of the key: few a partition, so that a sort of them stays small."""
-    share = min(1.0, 2.0 * rows / max(total, 1))
-    return df if share >= 1 else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only a local session may go without: it gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def join_one(rows: DataFrame, facts: DataFrame, key: str, total: int, share: int = 4096) -> DataFrame:
+    """Inner join of ``rows`` with at most one row of ``facts`` a key; ``facts`` has n, the key's count of rows.
+
+    Keys with more than one of ``share`` of all ``total`` rows, fewer than ``share`` keys whatever the input, are sent to
+    the rows; only the other keys meet by a shuffle, so that no task gets a hot key's rows.
+    """
+    hot = F.broadcast(facts.where(F.col("n") > total / share).drop("n"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def stretch(text, most: int, *parts):
+    """The text itself up to ``most`` characters; of a longer one ``most`` characters at a place drawn by the hash of
+    ``parts``, without the cut words at its ends (if it has white space at all)."""
+    at = F.pmod(F.xxhash64(*parts), F.length(text) - most + 1).cast("int") + 1
+    inner = F.substring(text, at, F.lit(most))
+    whole = F.regexp_replace(inner, r"^\S+\s|\s\S+$", "")
+    return F.when(F.length(text) <= most, text).otherwise(F.when(whole == "", inner).otherwise(whole))
+
+
+def hash_below(share, *parts):
+    """True for about ``share`` (0 to 1) of the rows, by the hash of ``parts``."""
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) < share * (1 << 30)
 
 
 def crc_mod(column: str, n: int):

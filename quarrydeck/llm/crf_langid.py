@@ -6,7 +6,10 @@ its distribution over languages, so that code-switched text is labelled word by
 with the highest mean.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; without labelled rows every text is ``und``;
-words beyond the alphabet seen in training fall back on the transitions and the bias of the classes.
+words beyond the alphabet seen in training fall back on the transitions and the bias of the classes; languages with equal
+means: the first in the order of their names; very long texts count as a whole, a word at a time in memory of its batch;
+repeated rows stay rows with equal results; an empty table gives an empty one; other columns pass through, but one that is
+called like a made column (``lang_pred``, ``score``) is replaced by it.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import hash_sample, slices, subword_buckets, tokens_of, word_blocks
+from ._common import cut, hash_below, slices, stretch, subword_buckets, tokens_of, word_blocks
 
 ORDERS, AFFIXES = (2, 3, 4), (2, 3, 4, 5)
 BREAK = r"[^\p{L}]+"
@@ -148,11 +151,19 @@ def train(texts: list[str], langs: list[str], steps: int = 320, batch: int = 64,
 
 
 def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1500, sample_chars: int = 8000) -> LanguageModel:
-    """Fit on at most ``sample_rows`` rows with a language and at most ``sample_chars`` characters, drawn by the hash of the id."""
-    rows = docs.where(F.col(lang_col).isNotNull())
-    rows = hash_sample(rows, id_col, sample_rows, rows.count()).where(F.col(text_col).isNotNull() & (F.length(text_col) <= sample_chars))
-    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    got = rows.orderBy(F.xxhash64("id"), "id", "lang", "text").limit(sample_rows).toPandas()
+    """Fit on about ``sample_rows`` rows, at most as many from each language, so that a rare one is learned as well.
+
+    Rows are drawn by the hash of id and text. A text of more than ``sample_chars`` characters gives a stretch of so many,
+    at a place drawn by its hash; no row is left out for its length.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang is not null and text is not null")
+    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))  # one row a language
+    quota = -(-sample_rows // max(sizes.count(), 1))
+    rows = rows.join(F.broadcast(sizes) if quota > 1 else sizes, "lang").where(hash_below(F.least(F.lit(1.0), 2.0 * quota / F.col("n")), "id", "text"))
+    rows = rows.select("id", "lang", stretch(F.col("text"), sample_chars, "id", "text").alias("text"), F.xxhash64("id", "text").alias("draw"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))  # about twice the quota a language
+    got = rows.withColumn("place", place).where(F.col("place") <= quota).orderBy("place", "lang").limit(sample_rows).select("id", "text", "lang").toPandas()
+    got = got.sort_values(["lang", "id", "text"], ignore_index=True)
     return train(got["text"].tolist(), got["lang"].tolist())
 
 

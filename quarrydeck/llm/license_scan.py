@@ -1,86 +1,107 @@
 """License scans: sparse TF-IDF cosine of passages to licence templates, then inheritance along the directory tree.
 
-Passages are the lines of a whole text that hold a licence cue, and whole texts of files that are named like a licence
-file. Equal passages are scored once. A passage matches its best template if the cosine reaches ``threshold``. A file
-with no licence of its own takes that of the nearest directory, its own or one above, that has a licence file; among
-several licence files of a directory the best score counts, then the smaller licence name, then the smaller path.
-
-Only DataFrame functions run. Cases: null or empty texts have no passage; a null path has no directory and inherits
-nothing; repeated rows stay rows; an empty table gives an empty one; of the input only the named columns are kept.
+Passages of a whole text are its sentences with a licence cue, each also together with its two neighbours (a notice that is
+wrapped over lines), and the whole text of a file that is named like a licence file. Equal passages are scored once.
+Templates are names, headers and whole texts; each is a unit vector. Version numbers are terms of their own ("v. 2.0",
+"version 2" and "2.0" are the same one). A passage is of a template's licence if the cosine reaches ``threshold``, if it
+holds all words that the template needs, and if some version number agrees where both have any; the best score counts,
+then the smaller licence name. Document frequencies are those among the licences; a word of no template counts as rarest.
+
+A file with no licence of its own takes that of the nearest directory, its own or one above, that has a licence file;
+among several licence files of a directory the best score counts, then the smaller licence name, then the smaller path.
+
+Only DataFrame functions run; a directory or passage with a large share of all rows stays spread out. Cases: null or empty
+texts have no passage; a null path has no directory and inherits nothing; rows that share id and path but not the text are
+files of their own; equal rows stay rows with equal results; long texts are read whole; an empty table gives an empty one; of
+the input only the named columns are read, so that others can't clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CUES = r"(?i)licen[cs]|copyright|spdx|warrant|redistribut|permission is"
+from ._common import cut, join_one
+from .license_texts import TEMPLATES
+
+CUES = r"(?i)licen[cs]|copyright|spdx|warrant|redistribut|permission|creative commons|public domain|\b[al]?gpl"
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)[^/]*$"
+SENTENCE = r"([.!?;])\s+([A-Z(])"
+VERSION = r"^[0-9]{1,2}(_[0-9]{1,2})*$"
 
-#: Header and grant sentences of common licences (public texts).
-TEMPLATES = {
-    "MIT": "Released under the MIT License. Licensed under the MIT license. Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3. This program is free software: you can redistribute it under the terms of the GNU General Public License",
-    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3. This library is free software",
-    "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted. Licensed under the BSD 3-Clause License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "CC-BY-4.0": "Licensed under CC BY 4.0. Creative Commons Attribution 4.0 International",
-    "CC-BY-SA-4.0": "Licensed under CC BY SA 4.0. Creative Commons Attribution ShareAlike 4.0 International",
-    "CC-BY-NC-4.0": "Licensed under CC BY NC 4.0. Creative Commons Attribution NonCommercial 4.0 International",
-}
+Template = tuple[str, str, str]
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
+    """Words and version numbers: letters and digits apart, 2.0 as 2, 2.1 as 2_1, without "v" and "version"."""
+    apart = F.regexp_replace(F.regexp_replace(F.lower(text), "([a-z])v?([0-9])", "$1 $2"), r"([0-9])\.([0-9])", "$1_$2")
+    words = F.transform(F.split(apart, "[^a-z0-9_]+"), lambda x: F.regexp_replace(x, "(_0)+$", ""))
+    return F.filter(words, lambda x: ~x.isin("", "v", "version"))
 
 
-def template_weights(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(licence, term, weight) with unit length per licence, and idf of the term; one row a sentence and term.
+def template_weights(spark: SparkSession, templates: Sequence[Template]) -> DataFrame:
+    """(part, licence, needed, term, idf, weight, need, version): one row a template and term, of unit length a template.
 
-    A licence has one vector a sentence of its template, so that a one-line header can match in full.
+    ``needed``: how many words the template needs; ``need``: whether the term is one; ``version``: whether it is a version.
     """
-    rows = spark.createDataFrame(sorted(templates.items()), "licence string, body string")
-    rows = rows.select("licence", F.posexplode(F.split("body", r"\. ")).alias("part", "sentence")).select("licence", "part", F.explode(_terms(F.col("sentence"))).alias("term"))
-    idf = rows.groupBy("term").agg(F.countDistinct("licence").alias("df")).select("term", (F.log((F.lit(1.0) + len(templates)) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
-    tf = rows.groupBy("licence", "part", "term").agg(F.count("*").alias("tf")).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = tf.groupBy("licence", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return tf.join(norm, ["licence", "part"]).select("licence", "part", "term", "idf", (F.col("w") / F.col("norm")).alias("weight"))
-
-
-def scan_licenses(files: DataFrame, *, templates: dict[str, str] | None = None, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = 0.6) -> DataFrame:
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "part int, licence string, needs string, body string")
+    rows = rows.withColumn("needs", F.array_distinct(F.filter(F.split("needs", " "), lambda x: x != "")))
+    terms = rows.select("part", "licence", "needs", F.explode(_terms(F.col("body"))).alias("term"))
+    n = len({t[0] for t in templates})
+    idf = terms.groupBy("term").agg((F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.countDistinct("licence"))) + 1).alias("idf"))
+    tf = terms.groupBy("part", "licence", "needs", "term").agg(F.count("*").alias("tf")).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = tf.groupBy("part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.max(F.col("term").rlike(VERSION)).alias("versions"))
+    need = F.array_contains("needs", F.col("term")).cast("int")
+    return tf.join(norm, "part").select("part", "licence", F.size("needs").alias("needed"), "versions", "term", "idf", (F.col("w") / F.col("norm")).alias("weight"), need.alias("need"), F.col("term").rlike(VERSION).cast("int").alias("version"))
+
+
+def passage_licenses(passages: DataFrame, templates: Sequence[Template], threshold: float) -> DataFrame:
+    """(key, n, best): of each distinct passage the best licence as struct(neg score, licence); ``n`` counts its places."""
+    weights = F.broadcast(template_weights(passages.sparkSession, templates))  # as long as the given templates
+    rarest = F.log(F.lit(1.0 + len({t[0] for t in templates}))) + 1
+    keys = passages.groupBy("key").agg(F.first("passage").alias("passage"), F.count("*").alias("n"))
+    counts = keys.select("key", "n", F.explode(_terms(F.col("passage"))).alias("term")).groupBy("key", "n", "term").agg(F.count("*").alias("tf"))
+    vector = counts.join(F.broadcast(weights.select("term", "idf").distinct()), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rarest)).drop("idf")
+    norm = vector.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.max(F.col("term").rlike(VERSION)).alias("dated"))
+    dots = vector.join(weights, "term").groupBy("key", "n", "part", "licence", "needed", "versions").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.sum("need").alias("have"), F.max("version").alias("agrees"))
+    fits = (F.col("have") == F.col("needed")) & ((F.col("agrees") == 1) | ~F.col("versions") | ~F.col("dated"))
+    scores = dots.where("have = needed").join(norm, "key").where(fits).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
+    return scores.groupBy("key", "n").agg(F.min(F.struct((-F.col("score")).alias("neg"), "licence")).alias("best"))
+
+
+def scan_licenses(files: DataFrame, *, templates: Sequence[Template] = TEMPLATES, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = 0.6) -> DataFrame:
     """(id, path, own, own_score, licence, via, from_dir): ``via`` is own, inherited or null."""
-    spark, templates = files.sparkSession, templates or TEMPLATES
-    weights = F.broadcast(template_weights(spark, templates))  # as long as the given templates
-    rare = F.log(F.lit(1.0 + len(templates))) + 1
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
     files = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    cued = files.where(F.col("text").rlike(CUES)).withColumn("named", F.coalesce(name.rlike(LICENSE_FILE), F.lit(False)))
-    lines = F.filter(F.split("text", "[\\r\\n]+"), lambda x: x.rlike(CUES))
-    passages = cued.select("id", "path", F.explode(F.array_distinct(F.when(F.col("named"), F.concat(lines, F.array("text"))).otherwise(lines))).alias("passage"))
-    passages = passages.withColumn("key", F.md5("passage"))
-    terms = passages.select("key", "passage").dropDuplicates(["key"]).select("key", F.explode(_terms(F.col("passage"))).alias("term"))
-    counts = terms.groupBy("key", "term").agg(F.count("*").alias("tf"))
-    idf = F.broadcast(weights.select("term", "idf").distinct())
-    vector = counts.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare)).select("key", "term", "w")
-    norm = vector.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = vector.join(weights, "term").groupBy("key", "licence", "part").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scores = dots.join(norm, "key").select("key", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
-    best = scores.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("neg"), "licence")).alias("best"))
-    own = passages.join(best, "key").groupBy("id", "path").agg(F.min("best").alias("best"))
-    own = own.select("id", "path", F.col("best.licence").alias("own"), (-F.col("best.neg")).alias("own_score"))
+    file_keys = ["id", "path", F.xxhash64("text").alias("h")]
+    named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE), F.lit(False))
+    cued = files.where(F.col("text").rlike(CUES)).select(*file_keys, named.alias("named"), "text", F.split(F.regexp_replace("text", SENTENCE, "$1\n$2"), "[\r\n]+").alias("parts"))
+    around = F.transform("parts", lambda x, i: F.struct(x.alias("one"), F.concat_ws(" ", F.get("parts", i - 1), x, F.get("parts", i + 1)).alias("wide")))
+    lines = cued.select("id", "path", "h", F.explode(around).alias("s")).where(F.col("s.one").rlike(CUES)).select("id", "path", "h", F.explode(F.array("s.one", "s.wide")).alias("passage"))
+    whole = cued.where("named").select("id", "path", "h", F.col("text").alias("passage"))
+    passages = cut(lines.unionByName(whole).withColumn("key", F.md5("passage")))
+    best = passage_licenses(passages, templates, threshold)
+    own = join_one(passages.select("id", "path", "h", "key"), best, "key", passages.count()).groupBy("id", "path", "h").agg(F.min("best").alias("best"))
+    own = cut(own.select("id", "path", "h", F.col("best.licence").alias("own"), (-F.col("best.neg")).alias("own_score")))
+    rows = cut(files.select(*file_keys, F.coalesce(directory(F.col("path")), F.lit("\0")).alias("home")))  # no text from here on
+    near = nearest_license(rows, own)
+    rows = rows.join(own.select(F.col("id").alias("__i"), F.col("path").alias("__p"), F.col("h").alias("__h"), "own", "own_score"), F.col("id").eqNullSafe(F.col("__i")) & F.col("path").eqNullSafe(F.col("__p")) & F.col("h").eqNullSafe(F.col("__h")), "left")
+    rows = join_one(rows, near, "home", rows.count())
+    via = F.when(F.col("own").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited")
+    return rows.select(F.col("id").alias(id_col), "path", "own", "own_score", F.coalesce("own", "given").alias("licence"), via.alias("via"), F.when(via == "inherited", F.col("from_dir")).alias("from_dir"))
+
+
+def nearest_license(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """(home, n, from_dir, given) of every directory: its rows, and the nearest licence at it or above, if there is any."""
     held = own.where(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE)).withColumn("dir", directory(F.col("path")))
     held = held.groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("neg"), "own", "path")).alias("at")).select("dir", F.col("at.own").alias("given"))
-    dirs = files.select(directory(F.col("path")).alias("home")).distinct().where("home is not null")
+    homes = cut(rows.groupBy("home").agg(F.count("*").alias("n")))
     parts = F.split("home", "/")
-    up = dirs.select("home", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("dir"))
-    near = up.join(held, "dir").groupBy("home").agg(F.max(F.struct(F.length("dir").alias("depth"), "dir", "given")).alias("near")).select("home", F.col("near.dir").alias("from_dir"), F.col("near.given").alias("given"))
-    rows = files.select("id", "path", directory(F.col("path")).alias("home"))
-    rows = rows.join(own.withColumnRenamed("id", "__i").withColumnRenamed("path", "__p"), F.col("id").eqNullSafe(F.col("__i")) & F.col("path").eqNullSafe(F.col("__p")), "left").drop("__i", "__p")
-    rows = rows.join(near, "home", "left")
-    via = F.when(F.col("own").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited")
-    return rows.select(F.col("id").alias(id_col), "path", "own", "own_score", F.coalesce("own", "given").alias("licence"), via.alias("via"), F.when(via == "inherited", F.col("from_dir")).alias("from_dir"))
+    up = homes.where("home != '\0'").select("home", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("dir"))
+    counted = held.join(up.groupBy("dir").agg(F.count("*").alias("n")), "dir")
+    near = join_one(up, counted, "dir", up.count()).groupBy("home").agg(F.max(F.struct(F.length("dir").alias("depth"), "dir", "given")).alias("near"))
+    return homes.join(near, "home", "left").select("home", "n", F.col("near.dir").alias("from_dir"), F.col("near.given").alias("given"))
 
 
 def directory(path: Column) -> Column:
@@ -90,33 +111,41 @@ def directory(path: Column) -> Column:
 
 def document_files(docs: DataFrame) -> DataFrame:
     """Documents as a tree of files: source / thousands / hundreds / id.txt; texts of under 1,000 characters lie one level
-    up, and a document that opens with a licence cue is its directory's LICENSE file."""
+    up, and a document that opens with a licence cue, or a short one that ends with one, is its directory's LICENSE file."""
     top = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 10000)))
     home = F.when(F.length("text") < 1000, top).otherwise(F.concat_ws("/", top, F.concat(F.lit("e"), F.floor(F.col("doc_id") / 100))))
-    opens = F.element_at(F.split("text", "\n"), 1).rlike(CUES)
-    name = F.when(opens, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    cue = F.substring_index("text", "\n", 1).rlike(CUES) | (F.substring_index("text", "\n", -1).rlike(CUES) & (F.length("text") < 1000))
+    name = F.when(cue, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
     return docs.select("doc_id", F.concat_ws("/", home, name).alias("path"), "text")
 
 
-def oracle(templates: dict[str, str], threshold: float = 0.6) -> str:
+def oracle(templates: Sequence[Template] = TEMPLATES, threshold: float = 0.6) -> str:
     """The whole scan of ``document_files`` in DuckDB SQL."""
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(templates.items()))
-    n = float(len(templates))
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quoted(a)}, {quoted(b)}, {quoted(c)})" for i, (a, b, c) in enumerate(templates))
+    n = float(len({t[0] for t in templates}))
     cue, lic = CUES, LICENSE_FILE
+
+    def terms(text: str) -> str:
+        apart = f"regexp_replace(regexp_replace(lower({text}), '([a-z])v?([0-9])', '\\1 \\2', 'g'), '([0-9])\\.([0-9])', '\\1_\\2', 'g')"
+        return f"list_filter(list_transform(regexp_split_to_array({apart}, '[^a-z0-9_]+'), lambda x: regexp_replace(x, '(_0)+$', '')), lambda x: x NOT IN ('', 'v', 'version'))"
+
     return f"""
-WITH tpl(licence, body) AS (VALUES {values}),
-files AS (SELECT doc_id AS id, text, CASE WHEN length(text) < 1000 THEN top ELSE top || '/e' || (doc_id // 100) END || '/' || CASE WHEN regexp_matches(string_split(text, chr(10))[1], '{cue}') THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path
+WITH tpl(part, licence, needs, body) AS (VALUES {values}),
+files AS (SELECT doc_id AS id, text, CASE WHEN length(text) < 1000 THEN top ELSE top || '/e' || (doc_id // 100) END || '/' || CASE WHEN regexp_matches(string_split(text, chr(10))[1], '{cue}') OR (length(text) < 1000 AND regexp_matches(string_split(text, chr(10))[-1], '{cue}')) THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path
   FROM (SELECT *, coalesce(source, 'none') || '/d' || (doc_id // 10000) AS top FROM documents)),
-sent AS (SELECT licence, unnest(range(1, len(s) + 1)) AS part, unnest(s) AS sentence FROM (SELECT licence, string_split(body, '. ') AS s FROM tpl)),
-tt AS (SELECT licence, part, unnest(list_filter(regexp_split_to_array(lower(sentence), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM sent),
+tt AS (SELECT part, licence, list_distinct(list_filter(string_split(needs, ' '), lambda x: x <> '')) AS needs, unnest({terms('body')}) AS term FROM tpl),
 idf AS (SELECT term, ln((1.0 + {n}) / (1.0 + count(DISTINCT licence))) + 1 AS idf FROM tt GROUP BY term),
-tw AS (SELECT licence, part, term, count(*) * any_value(idf) AS w FROM tt JOIN idf USING (term) GROUP BY ALL),
-tn AS (SELECT licence, part, term, w / sqrt(sum(w * w) OVER (PARTITION BY licence, part)) AS weight FROM tw),
-pas AS (SELECT DISTINCT id, path, p FROM (SELECT id, path, unnest(list_concat(list_filter(regexp_split_to_array(text, '[\\r\\n]+'), lambda x: regexp_matches(x, '{cue}')), CASE WHEN regexp_matches(string_split(path, '/')[-1], '{lic}') THEN [text] ELSE [] END)) AS p FROM files WHERE regexp_matches(text, '{cue}'))),
-pt AS (SELECT p, term, count(*) AS tf FROM (SELECT p, unnest(list_filter(regexp_split_to_array(lower(p), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM (SELECT DISTINCT p FROM pas)) GROUP BY ALL),
+tw AS (SELECT part, licence, needs, term, regexp_matches(term, '{VERSION}') AS version, count(*) * any_value(idf) AS w FROM tt JOIN idf USING (term) GROUP BY ALL),
+tn AS (SELECT part, licence, needs, term, version, w / sqrt(sum(w * w) OVER (PARTITION BY part)) AS weight, bool_or(version) OVER (PARTITION BY part) AS versions FROM tw),
+cued AS (SELECT id, path, text, regexp_split_to_array(regexp_replace(text, '{SENTENCE}', '\\1' || chr(10) || '\\2', 'g'), '[\\r\\n]+') AS parts FROM files WHERE regexp_matches(text, '{cue}')),
+around AS (SELECT id, path, unnest(list_transform(range(1, len(parts) + 1), lambda i: {{'one': parts[i], 'wide': concat_ws(' ', CASE WHEN i > 1 THEN parts[i - 1] END, parts[i], CASE WHEN i < len(parts) THEN parts[i + 1] END)}})) AS s FROM cued),
+pas AS (SELECT DISTINCT * FROM (SELECT id, path, unnest([s.one, s.wide]) AS p FROM around WHERE regexp_matches(s.one, '{cue}') UNION ALL SELECT id, path, text FROM cued WHERE regexp_matches(string_split(path, '/')[-1], '{lic}'))),
+pt AS (SELECT p, term, count(*) AS tf FROM (SELECT p, unnest({terms('p')}) AS term FROM (SELECT DISTINCT p FROM pas)) GROUP BY ALL),
 pv AS (SELECT p, term, tf * coalesce(idf, ln(1.0 + {n}) + 1) AS w FROM pt LEFT JOIN idf USING (term)),
-pn AS (SELECT p, sqrt(sum(w * w)) AS norm FROM pv GROUP BY p),
-sc AS (SELECT p, licence, round(sum(w * weight) / any_value(norm), 6) AS score FROM pv JOIN tn USING (term) JOIN pn USING (p) GROUP BY p, licence, part),
+pn AS (SELECT p, sqrt(sum(w * w)) AS norm, bool_or(regexp_matches(term, '{VERSION}')) AS dated FROM pv GROUP BY p),
+sc AS (SELECT p, licence, round(sum(w * weight) / any_value(norm), 6) AS score FROM pv JOIN tn USING (term) JOIN pn USING (p) GROUP BY p, licence, part
+  HAVING count(*) FILTER (WHERE list_contains(needs, term)) = any_value(len(needs)) AND (bool_or(version) OR NOT any_value(versions) OR NOT any_value(dated))),
 own AS (SELECT id, path, licence AS own, score AS own_score FROM (SELECT *, row_number() OVER (PARTITION BY id, path ORDER BY score DESC, licence) AS k FROM pas JOIN sc USING (p) WHERE score >= {threshold}) WHERE k = 1),
 held AS (SELECT dir, own AS given FROM (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir, row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY own_score DESC, own, path) AS k FROM own WHERE regexp_matches(string_split(path, '/')[-1], '{lic}')) WHERE k = 1),
 near AS (SELECT id, path, dir, given FROM (SELECT f.id, f.path, h.dir, h.given, row_number() OVER (PARTITION BY f.id, f.path ORDER BY length(h.dir) DESC) AS k FROM files f JOIN held h ON starts_with(f.path, h.dir || '/')) WHERE k = 1)

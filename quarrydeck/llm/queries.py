@@ -83,16 +83,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pivot_search, op3_url_filter, op4_piece_codec, op5_tiff_media, op6_crf_langid, op7_token_counts, op8_source_mix, op9_subword_quality, op10_simhash_dedup, pipeline)}
 
 OP2_SQL = """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, q.v AS key, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id AND len(x.v) = len(q.v)),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+s AS (SELECT q.row, q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.row <> q.row AND len(x.v) = len(q.v)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 SQL = {
-    "op1_license_scan": license_scan.oracle(license_scan.TEMPLATES),
+    "op1_license_scan": license_scan.oracle(),
     "op2_pivot_search": OP2_SQL,
     "op3_url_filter": url_filter.oracle(),
     "op8_source_mix": source_mix.ORACLE,

@@ -11,7 +11,8 @@ a forest over its links, so that thousands of near copies cost a row each and no
 joined before, equal texts therefore too.
 
 Cases: null and empty texts have fingerprint 0 and link like any other; a row with a null id gets the component of its
-fingerprint (null if that has no id at all); repeated rows stay rows; other columns are not read.
+component (null if that has no id at all); repeated rows stay rows; other columns, also ones that are called like a made
+one, are not read; an empty table gives an empty one; long texts are hashed in slices, whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, slices
+from ._common import cut, join_one, slices
 from .components import connected_components
 
 SEED, SLICE, LEAF, FRONT = 42, 1 << 15, 16, 1 << 16
@@ -45,16 +46,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0]) if total else 0
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp long) of every row."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, others: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp long, others) of every row."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(x.as_py(), words) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], names=["id", "fp", *others])
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(made, f"id {kind}, fp long")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([f"id {kinds[id_col]}", "fp long", *(f"`{c}` {kinds[c]}" for c in others)])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *others).mapInArrow(made, schema)
 
 
 def trie_pairs(fp: np.ndarray, node_pairs: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -214,17 +216,32 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3, group_rows: int = 2048, hot_share: int = HOT_SHARE) -> DataFrame:
     """(id, fp, component_id) of every row; the component is named by the smallest id that a chain of links reaches."""
-    fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, words=words))
+    fps = fingerprints(docs, id_col=id_col, text_col=text_col, words=words)
+    return linked_rows(fps, budget=budget, group_rows=group_rows, hot_share=hot_share).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def linked_rows(fps: DataFrame, *, budget: int = 3, group_rows: int = 2048, hot_share: int = HOT_SHARE) -> DataFrame:
+    """Add component_id (smallest id) and root (smallest fingerprint) to rows of (id, fp, ...)."""
+    fps = cut(fps)
+    total = fps.count()
     nodes = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     linked = connected_components(hamming_forest(nodes.select("fp"), budget=budget, group_rows=group_rows))
-    linked = linked.select(F.col("node").alias("fp"), "root")
-    roots = nodes.join(linked, "fp").groupBy("root").agg(F.min("least").alias("lowest"))
-    named = linked.join(roots, "root").select("fp", "lowest")
-    named = cut(nodes.join(named, "fp", "left").select("fp", F.least("least", "lowest").alias("component_id"), "n"))
-    # The rows of a hot fingerprint stay where they are, and all others meet its component by a shuffle.
-    hot = F.broadcast(named.where(F.col("n") > fps.count() / hot_share).drop("n"))
-    rest = fps.join(hot.select("fp"), "fp", "left_anti").join(named.drop("n"), "fp")
-    return fps.join(hot, "fp").unionByName(rest).select(F.col("id").alias(id_col), "fp", "component_id")
+    nodes = cut(nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    roots = nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = cut(join_one(nodes.select("root", "fp", F.col("n").alias("rows")), roots, "root", total, hot_share).withColumnRenamed("rows", "n"))
+    return join_one(fps, named, "fp", total, hot_share)
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
+    """One row of each component, with all columns of ``docs``: the smallest id (rows without one last), then the smallest
+    digest of the whole row. Rows that are equal in every column count as one; rows that share an id only do not."""
+    digest = F.md5(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), {"ignoreNullFields": "false"}))
+    keyed = docs.withColumn("__digest", digest)
+    fps = fingerprints(keyed, id_col=id_col, text_col=text_col, words=words, others=("__digest",))
+    rows = linked_rows(fps, budget=budget)
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("__digest").alias("digest"))).alias("best"))
+    keep = best.select(F.col("best.digest").alias("__digest"))
+    return keyed.join(keep, "__digest", "left_semi").dropDuplicates(["__digest"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def hex_fingerprint(fp: str = "fp"):

@@ -7,8 +7,10 @@ size, in a seeded order, every 1/f-th row once more. Strata are small, so that a
 the words taken stay near the target.
 
 All of it is DataFrame functions. Cases: a null text has size 0; a null source is a source of its own; a source without
-words has target 0; rows with equal ids, texts or sizes are rows of their own; an empty table gives an empty table. A
-source without a row in ``weights`` weighs 1. Other columns pass through.
+words has target 0; rows with equal ids, texts or sizes are rows of their own, and rows equal in all of these may be taken
+unequally often; an empty table gives an empty table; texts of any length are counted whole. A source without a row in
+``weights`` weighs 1, one with a weight of 0 or less gives nothing. Other columns pass through, but one that is called like
+a made column (``size``, ``source_size``, ``target``, ``repeats``, ``taken``) is replaced by it; ``sample_mix`` keeps all.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, join_one
 
 #: Up to so many sources their targets are sent to all tasks; beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
@@ -36,55 +38,80 @@ def seeded(seed: int, *parts: Column) -> Column:
 def fill_targets(sources: DataFrame, *, share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
     """Add ``target`` to (source, source_size, weight), one row a source.
 
-    Sources fill up in the order of cap / weight; with everything before it at its cap, a source is capped exactly if
-    its share of what is left would reach its cap. The window runs over one row a source, not over rows of the data.
+    Each round gives all sources their weight's share of what the capped ones leave, and caps those that reach their end,
+    until no round caps another one. The rounds are aggregations; the driver sees three numbers of each.
     """
-    cap = F.col("source_size") * max_epochs
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    df = sources.where("weight > 0").withColumn("cap", cap).withColumn("total", F.sum("source_size").over(whole) * share)
-    df = df.withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("heavy", F.sum("weight").over(after))
-    df = df.withColumn("full", F.col("left") * F.col("weight") >= F.col("cap") * F.col("heavy"))
-    rest = (F.first("total").over(whole) - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(whole), F.lit(0.0))) / F.sum(F.when(~F.col("full"), F.col("weight"))).over(whole)
-    df = df.withColumn("rest", rest).withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * F.col("rest")))
-    none = sources.where("not coalesce(weight > 0, false)").withColumn("target", F.lit(0.0))
-    return df.select(*sources.columns, "target").unionByName(none.select(*sources.columns, "target"))
+    cap = F.col("source_size") * float(max_epochs)
+    live = F.coalesce(F.col("weight") > 0, F.lit(False))
+    total, left, heavy, count = *sources.where(live).agg(F.sum("source_size") * float(share), F.sum("source_size") * float(share), F.sum("weight")).first(), -1
+    while heavy:
+        full = F.lit(left) * F.col("weight") >= cap * F.lit(heavy)
+        taken, rest, capped = sources.where(live).agg(F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("weight"))), F.count(F.when(full, 1))).first()
+        if capped == count or not rest:
+            break
+        left, heavy, count = total - (taken or 0.0), rest, capped
+    if not heavy:
+        return sources.withColumn("target", F.lit(0.0))
+    own = F.when(F.lit(left) * F.col("weight") >= cap * F.lit(heavy), cap).otherwise(F.col("weight") * F.lit(left / heavy))
+    return sources.withColumn("target", F.when(live, own).otherwise(0.0))
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Add the place (from 0) in the order of ``key``, nulls last, by a range partitioning: no task gets all rows."""
+    parts = cut(df.repartitionByRange(F.col(key).asc_nulls_last()).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a partition
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("__part").orderBy(F.col(key).asc_nulls_last()))
+    return parts.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + inner - 1).drop("__part", "__before")
+
+
+def _mixed(docs: DataFrame, weights: DataFrame | None, id_col: str, text_col: str, source_col: str, share: float, max_epochs: float, seed: int, stratum_rows: int) -> DataFrame:
+    """``docs`` with the columns __mix_size, __mix_source_size, __mix_target and __mix_repeats."""
+    at = lambda c: F.col(f"`{c}`")
+    source = at(source_col)
+    key = F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("none"))
+    sized = docs.withColumn("__mix_size", word_count(f"`{text_col}`")).withColumn("__mix_key", key)
+    sources = sized.groupBy("__mix_key").agg(F.first(source).alias("source"), F.sum("__mix_size").alias("source_size"), F.count("*").alias("n"))
+    if weights is None:
+        sources = numbered(sources, "source", "place")
+        sources = sources.withColumn("weight", F.element_at(F.array(F.lit(3.0), F.lit(1.0), F.lit(2.0)), (F.pmod("place", F.lit(3)) + 1).cast("int")))
+    else:
+        own = weights.select(F.col("source").alias("__s"), F.col("weight").cast("double").alias("weight"))
+        sources = sources.join(own, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    sources = cut(sources)  # one row a source
+    filled = fill_targets(sources, share=share, max_epochs=max_epochs)
+    filled = filled.select("__mix_key", F.col("source_size").alias("__mix_source_size"), F.col("n").alias("__mix_rows"), F.col("target").alias("__mix_target"), "n")
+    total = sources.agg(F.count("*"), F.sum("n")).first()
+    if total[0] <= BROADCAST_SOURCES:
+        df = sized.join(F.broadcast(filled.drop("n")), "__mix_key")
+    else:
+        df = join_one(sized, filled, "__mix_key", total[1])
+    epochs = F.when(F.col("__mix_source_size") > 0, F.col("__mix_target") / F.col("__mix_source_size")).otherwise(0.0)
+    df = df.withColumn("__mix_epochs", epochs).withColumn("__mix_part", F.col("__mix_epochs") - F.floor("__mix_epochs"))
+    df = df.withColumn("__mix_class", F.length(F.bin("__mix_size"))).withColumn("__mix_draw", seeded(seed, at(id_col)))
+    df = df.withColumn("__mix_bucket", F.pmod("__mix_draw", F.ceil(F.col("__mix_rows") / stratum_rows)))
+    place = F.row_number().over(Window.partitionBy("__mix_key", "__mix_class", "__mix_bucket").orderBy("__mix_size", "__mix_draw", at(id_col)))
+    phase = seeded(seed, source, F.col("__mix_class"), F.col("__mix_bucket")) / F.lit(4294967296.0)
+    df = df.withColumn("__mix_place", place).withColumn("__mix_phase", phase)
+    once = F.floor(F.col("__mix_place") * F.col("__mix_part") + F.col("__mix_phase")) - F.floor((F.col("__mix_place") - 1) * F.col("__mix_part") + F.col("__mix_phase"))
+    return df.withColumn("__mix_repeats", (F.floor("__mix_epochs") + once).cast("int"))
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, stratum_rows: int = 512) -> DataFrame:
-    """Add size, source_size, target (of the source) and taken (words, repeats counted) to every row.
+    """Add size, source_size, target (of the source), repeats and taken (words, repeats counted) to every row.
 
     ``weights``: (source, weight). Without it the sources weigh 3, 1, 2 and so on in the order of their code points.
     """
-    sized = docs.withColumn("size", word_count(text_col))
-    sources = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    if weights is None:
-        place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))  # one row a source
-        sources = sources.withColumn("weight", F.element_at(F.array(F.lit(3.0), F.lit(1.0), F.lit(2.0)), (F.pmod(place - 1, F.lit(3)) + 1).cast("int")))
-    else:
-        own = weights.select(F.col("source").alias("__s"), F.col("weight").cast("double").alias("weight"))
-        sources = sources.join(own, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    filled = fill_targets(sources, share=share, max_epochs=max_epochs).select(F.col("source").alias("__s"), F.col("source_size"), F.col("source_rows"), "target")
-    filled = cut(filled)  # one row a source
-    if filled.count() <= BROADCAST_SOURCES:
-        filled = F.broadcast(filled)
-    df = sized.join(filled, F.col(source_col).eqNullSafe(F.col("__s"))).drop("__s")
-    epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    df = df.withColumn("__epochs", epochs).withColumn("__part", F.col("__epochs") - F.floor("__epochs"))
-    df = df.withColumn("__class", F.length(F.bin("size"))).withColumn("__draw", seeded(seed, F.col(id_col)))
-    df = df.withColumn("__bucket", F.pmod("__draw", F.ceil(F.col("source_rows") / stratum_rows)))
-    place = F.row_number().over(Window.partitionBy(source_col, "__class", "__bucket").orderBy("size", "__draw", id_col))
-    phase = seeded(seed, F.col(source_col), F.col("__class"), F.col("__bucket")) / F.lit(4294967296.0)
-    df = df.withColumn("__place", place).withColumn("__phase", phase)
-    once = F.floor(F.col("__place") * F.col("__part") + F.col("__phase")) - F.floor((F.col("__place") - 1) * F.col("__part") + F.col("__phase"))
-    df = df.withColumn("repeats", (F.floor("__epochs") + once).cast("int")).withColumn("taken", (F.col("size") * F.col("repeats")).cast("long"))
-    return df.drop("source_rows", "__epochs", "__part", "__class", "__draw", "__bucket", "__place", "__phase")
-
-
-def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each row as often as it is taken."""
-    return mixed.where("repeats > 0").withColumn("__k", F.explode(F.array_repeat(F.lit(0), F.col("repeats")))).select(*columns)
+    df = _mixed(docs, weights, id_col, text_col, source_col, share, max_epochs, seed, stratum_rows)
+    made = {c: F.col(f"__mix_{c}") for c in ("size", "source_size", "target", "repeats")}
+    made["taken"] = (F.col("__mix_size") * F.col("__mix_repeats")).cast("long")
+    return df.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made), *(x.alias(c) for c, x in made.items()))
+
+
+def sample_mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, stratum_rows: int = 512) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns as they are, each as often as it is taken."""
+    df = _mixed(docs, weights, id_col, text_col, source_col, share, max_epochs, seed, stratum_rows).where("__mix_repeats > 0")
+    return df.withColumn("__mix_k", F.explode(F.array_repeat(F.lit(0), F.col("__mix_repeats")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = r"""

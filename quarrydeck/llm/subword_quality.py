@@ -1,11 +1,13 @@
 """Quality classifier: supervised subword embeddings.
 
-Learned vectors of hashed words and byte n-grams are averaged per document; a softmax over the average gives the
-score. Training is plain stochastic gradient descent in numpy on a bounded sample of labelled rows; scoring is a map
+Learned vectors of hashed words, byte n-grams and word bigrams are averaged per document; a softmax over the average
+gives the score. Training is plain stochastic gradient descent in numpy on a bounded sample of labelled rows; scoring is a map
 over whole texts. As the model is linear behind the average, each distinct word of a batch is looked up once.
 
 Cases: a null or empty text has no feature and gets the learned bias alone; without labelled rows, or with one class
-only, every score is the share of label 1 (0.5 without any); other columns of the input pass through untouched.
+only, every score is the share of label 1 (0.5 without any); repeated rows stay rows with equal scores, so ties are
+possible and stay ties; very long texts count as a whole; an empty table gives an empty one; other columns pass through
+untouched, but one that is called like the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -19,17 +21,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hash_sample, slices, subword_buckets, tokens_of, word_blocks
+from ._common import PRIME, framed_bytes, hash_below, slices, stretch, subword_buckets, tokens_of, word_blocks
 
 ORDERS = (3, 4, 5)
-REPEAT_FEATURES = 8  # a word that repeats the one before counts as so many features
+BIGRAM_BITS = 16
 
 
-def repeats_of(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How many words of each text repeat the word before: the one word bigram that holds for any vocabulary."""
-    same = np.concatenate([[False], ids[1:] == ids[:-1]]) if len(ids) else np.zeros(0, bool)
-    same[at[:-1][at[:-1] < len(ids)]] = False
-    return np.diff(np.concatenate([[0], np.cumsum(same)])[at])
+def bigrams_of(words: pa.Array, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the word bigrams of all texts, text by text, and where each text's begin (one more at the end).
+
+    A bigram's bucket is the exclusive or of its words' hashes: no order counts, and all words that stand beside
+    themselves share one bucket, so that repetition is learned from any vocabulary.
+    """
+    own = np.zeros(0, np.uint64)
+    for block in word_blocks(words):
+        buf, starts = framed_bytes(block)
+        place = np.arange(len(buf)) - np.repeat(starts[:-1], np.diff(starts))
+        powers = np.cumprod(np.full(int(np.diff(starts).max(initial=1)), PRIME | np.uint64(1), np.uint64))
+        own = np.concatenate([own, np.add.reduceat(buf.astype(np.uint64) * powers[place], starts[:-1])])
+    own = (own ^ (own >> np.uint64(29))) * PRIME >> np.uint64(64 - BIGRAM_BITS)
+    inner = np.ones(max(len(ids) - 1, 0), bool)
+    edge = at[1:-1] - 1
+    inner[edge[(edge >= 0) & (edge < len(inner))]] = False
+    found = (own[ids[:-1]] ^ own[ids[1:]]).astype(np.int64)[inner] if len(ids) > 1 else np.zeros(0, np.int64)
+    counts = np.maximum(np.diff(at) - 1, 0)
+    return found, np.concatenate([[0], np.cumsum(counts)])
 
 
 def features_of(words: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +60,7 @@ def features_of(words: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class QualityModel:
-    weight: np.ndarray  # logit difference per bucket; the last one is the repeated word's
+    weight: np.ndarray  # logit difference per bucket of words and n-grams, then of word bigrams
     bias: float
     bits: int
 
@@ -59,40 +75,49 @@ class QualityModel:
             at_word += len(block)
         sums = np.concatenate([[0.0], np.cumsum(total[ids])])
         counts = np.concatenate([[0], np.cumsum(count[ids])])
-        again = repeats_of(ids, at) * REPEAT_FEATURES
-        mean = (np.diff(sums[at]) + again * self.weight[-1]) / np.maximum(np.diff(counts[at]) + again, 1)
+        pair, first = bigrams_of(words, ids, at)
+        pairs = np.concatenate([[0.0], np.cumsum(self.weight[(1 << self.bits) + pair])])
+        mean = (np.diff(sums[at]) + np.diff(pairs[first])) / np.maximum(np.diff(counts[at]) + np.diff(first), 1)
         return 1 / (1 + np.exp(-np.clip(mean + self.bias, -60, 60)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, sample_chars: int) -> pd.DataFrame:
-    """At most ``sample_rows`` labelled rows, by the hash of the id, whose texts have at most ``sample_chars`` characters."""
-    ids = labels.where(F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("label"))
-    ids = hash_sample(ids, id_col, sample_rows, ids.count()).orderBy(F.xxhash64(id_col), id_col, "label").limit(sample_rows)
-    texts = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).where(F.length("text") <= sample_chars)
-    rows = texts.join(F.broadcast(ids), id_col)  # bounded by sample_rows
-    return rows.select(id_col, "text", "label").toPandas().sort_values([id_col, "label", "text"], ignore_index=True)
+    """(text, label) of at most ``sample_rows`` rows of ``docs`` with a label, by the hash of id and text.
+
+    A text of more than ``sample_chars`` characters gives a stretch of so many, at a place drawn by its hash. An id with
+    several labels gives a row each; an id with several rows takes part with each.
+    """
+    ids = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
+    many = ids.count()
+    ids = ids.where(hash_below(min(1.0, 4.0 * sample_rows / max(many, 1)), "id")).distinct()
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(f"`{text_col}`", F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(ids), "id")  # about four times sample_rows ids at most, by the share above
+    rows = rows.select("id", "label", F.xxhash64("id", "text").alias("draw"), stretch(F.col("text"), sample_chars, "id", "text").alias("text"))
+    return rows.orderBy("draw", "id", "label", "text").limit(sample_rows).select("text", "label").toPandas()
 
 
 def train(texts: list[str], labels: np.ndarray, bits: int = 18, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> QualityModel:
     """Fit vectors and softmax by stochastic gradient descent, one document a step, with a linearly falling rate."""
     rng = np.random.default_rng(seed)
     share = float(labels.mean()) if len(labels) else 0.5
+    size = (1 << bits) + (1 << BIGRAM_BITS)
     if len(labels) == 0 or share in (0.0, 1.0):
         edge = min(max(share, 1e-6), 1 - 1e-6)
-        return QualityModel(np.zeros((1 << bits) + 1), float(np.log(edge / (1 - edge))), bits)
-    vectors = rng.uniform(-1 / dim, 1 / dim, ((1 << bits) + 1, dim)).astype(np.float32)
+        return QualityModel(np.zeros(size), float(np.log(edge / (1 - edge))), bits)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (size, dim)).astype(np.float32)
+    vectors[1 << bits :] = 0  # a bigram that was never seen says nothing
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     words, ids, at = tokens_of(pa.array(texts, pa.string()))
     bucket, starts = features_of(words, bits)
-    rows, repeats = [], repeats_of(ids, at)
+    pair, first = bigrams_of(words, ids, at)
+    rows = []
     for i in range(len(texts)):
         own, times = np.unique(ids[at[i] : at[i + 1]], return_counts=True)
         sizes = starts[own + 1] - starts[own]
         flat = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(own) else np.zeros(0, np.int64)
-        found, back = np.unique(bucket[flat], return_inverse=True)
-        weight = np.bincount(back, np.repeat(times, sizes), len(found))
-        if repeats[i]:
-            found, weight = np.append(found, 1 << bits), np.append(weight, repeats[i] * REPEAT_FEATURES)
+        near = pair[first[i] : first[i + 1]]
+        found, back = np.unique(np.concatenate([bucket[flat], (1 << bits) + near]), return_inverse=True)
+        weight = np.bincount(back, np.concatenate([np.repeat(times, sizes), np.ones(len(near))]), len(found))
         rows.append((found.astype(np.int32), (weight / max(weight.sum(), 1)).astype(np.float32)))
     step, steps = 0, epochs * len(rows)
     for _ in range(epochs):
@@ -113,9 +138,9 @@ def train(texts: list[str], labels: np.ndarray, bits: int = 18, dim: int = 16, e
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 2000, sample_chars: int = 20_000, **training) -> QualityModel:
-    """Fit on a bounded sample: ``sample_rows`` rows of at most ``sample_chars`` characters each."""
+    """Fit on a bounded sample: ``sample_rows`` rows, and of a long text a stretch of ``sample_chars`` characters."""
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, sample_rows, sample_chars)
-    return train(rows["text"].tolist(), (rows["label"].to_numpy() > 0).astype(int), **training)
+    return train(rows["text"].tolist(), rows["label"].to_numpy().astype(int), **training)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

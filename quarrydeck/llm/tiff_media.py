@@ -4,8 +4,12 @@ Baseline grey or RGB images of 8 bits a sample, either byte order, chunky sample
 compression; strips or tiles; no predictor or horizontal differencing. The writer makes the same kinds (multi-page, for
 tests and for storing payloads without loss).
 
-Cases: a null or empty content, a broken file and a page of an unsupported kind give one row each with ``error`` set and
-null pixels, never a failed job; a directory chain that comes back to itself ends with an error row.
+Cases: a null or empty content, a broken file and a page of an unsupported kind, without a size, with missing or short
+strips or of more than ``most_bytes`` pixels (a column value has an end) give one row each with ``error`` set and null
+pixels, never a failed job; memory follows the decoded strips and not what a header claims. A directory chain that comes
+back to itself ends with an error row. Texts: null counts as empty, and any length is one page. Repeated rows stay rows with
+equal results; an empty table gives an empty one; other columns pass through, but one that is called like a made column
+(``page``, ``width``, ``n_bytes`` and so on) is replaced by it.
 """
 
 from __future__ import annotations
@@ -27,9 +31,9 @@ TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4
 PAGE_SCHEMA = "page int, width int, height int, samples int, compression int, predictor int, pixels binary, error string"
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int) -> bytes:
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and len(out) < most:
         head = data[at]
         at += 1
         if head < 128:
@@ -59,11 +63,13 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
+def unpack_lzw(data: bytes, most: int) -> bytes:
     """TIFF's LZW: most significant bit first, 256 clears, 257 ends, codes widen one entry early."""
     out, table, bits, held, width, before = bytearray(), [], 0, 0, 9, b""
     start = [bytes([i]) for i in range(256)] + [b"", b""]
     for byte in data:
+        if len(out) >= most:
+            break
         held, bits = (held << 8) | byte, bits + 8
         while bits >= width:
             bits -= width
@@ -126,7 +132,14 @@ def pack_lzw(data: bytes) -> bytes:
 
 
 PACK = {NONE: bytes, LZW: pack_lzw, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: pack_bits}
-UNPACK = {NONE: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+
+
+def inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most) if most else b""
+
+
+#: Each takes the data and the number of bytes that are wanted of it, and stops there.
+UNPACK = {NONE: lambda data, most: data[:most], LZW: unpack_lzw, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
 
 
 def write_tiff(pages: list[np.ndarray], *, compression: int = DEFLATE, predictor: int = 2, strip_rows: int = 1024, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
@@ -167,10 +180,10 @@ def write_tiff(pages: list[np.ndarray], *, compression: int = DEFLATE, predictor
     return bytes(out)
 
 
-def read_pages(data: bytes) -> Iterator[dict]:
-    """Each page as a dict of PAGE_SCHEMA's columns."""
+def read_pages(data: bytes, most_bytes: int = 1 << 30) -> Iterator[dict]:
+    """Each page as a dict of PAGE_SCHEMA's columns. A broken page is a page with an error; a broken chain raises."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+    if order is None or len(data) < 8 or struct.unpack(order + "H", data[2:4])[0] != 42:
         raise ValueError("no TIFF header")
     at, seen, page = struct.unpack(order + "I", data[4:8])[0], set(), 0
     while at:
@@ -184,38 +197,49 @@ def read_pages(data: bytes) -> Iterator[dict]:
             if kind in (1, 3, 4):
                 size = TYPE_BYTES[kind] * n
                 place = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
-                tags[tag] = struct.unpack_from(f"{order}{n}{'?B?HI'[kind]}", data, place)
+                if place + size <= len(data):  # else the tag counts as absent
+                    tags[tag] = struct.unpack_from(f"{order}{n}{'?B?HI'[kind]}", data, place)
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * count)[0]
-        yield _page(data, tags, page)
+        yield _page(data, tags, page, most_bytes)
         page += 1
 
 
-def _page(data: bytes, tags: dict[int, tuple[int, ...]], page: int) -> dict:
-    one = lambda tag, default=None: tags.get(tag, (default,))[0]
+def _page(data: bytes, tags: dict[int, tuple[int, ...]], page: int, most_bytes: int) -> dict:
+    one = lambda tag, default=None: (tags.get(tag) or (default,))[0]
     width, height, samples, how, predictor = one(256), one(257), one(277, 1), one(259, 1), one(317, 1)
     head = {"page": page, "width": width, "height": height, "samples": samples, "compression": how, "predictor": predictor, "pixels": None}
     if how not in UNPACK or predictor not in (1, 2) or set(tags.get(258, (1,))) != {8} or one(284, 1) != 1:
         return head | {"error": "unsupported compression, predictor, sample size or layout"}
     try:
-        if 324 in tags:
-            cols, rows, places, sizes = one(322), one(323), tags[324], tags[325]
-        else:
-            cols, rows, places, sizes = width, min(one(278, height), height), tags[273], tags[279]
-        image = np.zeros((height, width, samples), np.uint8)
-        across = -(-width // cols)
-        for i, (place, size) in enumerate(zip(places, sizes)):
+        tiled = 324 in tags
+        cols, rows = (one(322), one(323)) if tiled else (width, min(one(278) or height or 0, height or 0))
+        places, sizes = (tags.get(324), tags.get(325)) if tiled else (tags.get(273), tags.get(279))
+        if not (width and height and samples and cols and rows and places and sizes):
+            raise ValueError("a size, strip or tile tag is missing or zero")
+        if width * height * samples > most_bytes or cols * rows * samples > most_bytes:
+            raise ValueError(f"more than {most_bytes} bytes of pixels")
+        across, down = -(-width // cols), -(-height // rows)
+        if min(len(places), len(sizes)) < across * down:
+            raise ValueError(f"{min(len(places), len(sizes))} of {across * down} strips or tiles")
+        parts = []
+        for i in range(across * down):  # all of them before the image, so that its size is paid for by their bytes
+            tall = rows if tiled else min(rows, height - i * rows)
+            part = np.frombuffer(UNPACK[how](data[places[i] : places[i] + sizes[i]], tall * cols * samples), np.uint8)
+            if len(part) < tall * cols * samples:
+                raise ValueError(f"strip or tile {i} is short")
+            parts.append(part[: tall * cols * samples].reshape(tall, cols, samples))
+        image = np.empty((height, width, samples), np.uint8)
+        for i, part in enumerate(parts):
             y, x = i // across * rows, i % across * cols
-            tall = rows if 324 in tags else min(rows, height - y)
-            part = np.frombuffer(UNPACK[how](data[place : place + size]), np.uint8)[: tall * cols * samples].reshape(tall, cols, samples)
             if predictor == 2:
                 part = np.cumsum(part, axis=1, dtype=np.uint8)
-            image[y : y + tall, x : x + cols] = part[: height - y, : width - x]
+            image[y : y + rows, x : x + cols] = part[: height - y, : width - x]
         return head | {"pixels": image.tobytes(), "error": None}
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+    except Exception as e:  # noqa: BLE001  whatever is wrong with a page is its row's error, never the job's
         return head | {"error": f"page {page}: {e}"}
 
 
-def tiff_pages(df: DataFrame, *, content_col: str = "content") -> DataFrame:
+def tiff_pages(df: DataFrame, *, content_col: str = "content", most_bytes: int = 1 << 30) -> DataFrame:
     """One row a page: the other columns of ``df``, then PAGE_SCHEMA."""
     names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
     kept = [c for c in df.columns if c not in (*names, content_col)]
@@ -225,10 +249,11 @@ def tiff_pages(df: DataFrame, *, content_col: str = "content") -> DataFrame:
             for i in range(batch.num_rows):
                 found: list[dict] = []
                 try:
-                    found.extend(read_pages(batch.column(len(kept))[i].as_py() or b""))
-                except (ValueError, struct.error) as e:
+                    for page in read_pages(batch.column(len(kept))[i].as_py() or b"", most_bytes):
+                        found.append(page)
+                except Exception as e:  # noqa: BLE001
                     found.append({"error": str(e)})
-                own = [pa.array([p.get(n) for p in found], t) for n, t in zip(names, [pa.int32()] * 6 + [pa.binary(), pa.string()])]
+                own = [pa.array([_fitting(p.get(n), t) for p in found], t) for n, t in zip(names, [pa.int32()] * 6 + [pa.binary(), pa.string()])]
                 row = pa.array([i] * len(found))
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).take(row) for j in range(len(kept))), *own], names=[*kept, *names])
 
@@ -236,6 +261,11 @@ def tiff_pages(df: DataFrame, *, content_col: str = "content") -> DataFrame:
     return rows.mapInArrow(_gathered(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept), PAGE_SCHEMA]))
 
 
+def _fitting(value, kind: pa.DataType):
+    """Header values beyond an int become null."""
+    return None if kind == pa.int32() and value is not None and value > 2**31 - 1 else value
+
+
 def _gathered(run, least: int = 4 << 20):
     """The same rows in batches of at least ``least`` bytes, but for the last."""
 

@@ -7,12 +7,15 @@ byte) or ``longest`` (the section with most of its bytes, the first among equals
 the section before it, so the sections cover the document and the counts add up to its tokens.
 
 Cases: a null field is an empty field and keeps its row (0 tokens, or its separator's); an empty text is one section;
-special tokens' strings are ordinary text; repeated rows stay rows, each with its own sections.
+special tokens' strings are ordinary text; repeated rows stay rows, each with its own sections; a token with equal shares
+of several sections goes to the first; texts of any length, also long runs of white space, are encoded whole; an empty
+table gives an empty one; of other columns only the fields and the id are read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -34,6 +37,25 @@ def encoding(ranks: bytes, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=found, special_tokens={}), sizes
 
 
+#: White space as the pattern's engine has it; the library's search can't bear long runs of it.
+BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
+
+
+def encode(coder: tiktoken.Encoding, text: str) -> list[int]:
+    """The tokens of the whole text.
+
+    A run of white space is one pre-token without its last character, which goes with what follows; at the end of the text
+    it is one as a whole. Long runs are therefore cut off there and encoded as the single pre-tokens that they are.
+    """
+    ids, at = [], 0
+    for run in BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += coder.encode_ordinary(text[at : run.start()])
+        ids += coder._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + coder.encode_ordinary(text[at:])
+
+
 def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str) -> np.ndarray:
     """Tokens of each section; section i spans bounds[i] to bounds[i + 1] and may be empty."""
     section = np.searchsorted(bounds, starts, "right") - 1
@@ -64,7 +86,7 @@ def count_tokens(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "
                 parts = [x or "" for x in parts]
                 lines = parts[-1].split("\n")
                 pieces = [*(x + separator for x in parts[:-1]), *(x + "\n" for x in lines[:-1]), lines[-1]]
-                ids = np.array(coder.encode_ordinary("".join(pieces)), np.int64)
+                ids = np.array(encode(coder, "".join(pieces)), np.int64)
                 ends = np.cumsum(sizes[ids])
                 bounds = np.concatenate([[0], np.cumsum([len(x.encode()) for x in pieces])])
                 counts = attribute(ends - sizes[ids], ends, bounds, rule)

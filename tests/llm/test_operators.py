@@ -49,9 +49,9 @@ def test_license_odd(odd):
 def brute_top(rows, k=10):
     ints = [(i, np.floor(1024 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows]
     out = []
-    for q, x in ints:
+    for at, (q, x) in enumerate(ints):
         if q % 100 == 0:
-            found = sorted((-int(x @ y), i) for i, y in ints if i != q and len(y) == len(x))[:k]
+            found = sorted((-int(x @ y), i) for n, (i, y) in enumerate(ints) if n != at and len(y) == len(x))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     return sorted(out)
 
@@ -61,6 +61,7 @@ def test_pivot_search(spark, seed):
     rng = np.random.default_rng(seed)
     hub = rng.normal(size=8)
     rows = [(int(i), [float(x) for x in (hub if i % 3 == 0 else np.round(rng.normal(size=8), 2))]) for i in range(401)]
+    rows += [(100, rows[100][1]), (200, rows[7][1]), (200, rows[200][1]), (200, rows[200][1])]  # rows that repeat, or share an id
     odd = [(900, None), (1000, [1.0, None] + [0.0] * 6), (1100, [float("nan")] * 8), (1200, [float("inf")] * 8), (1300, [1.0, 2.0])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, pivot_search.top_k(df, df.where("vec_id % 100 = 0")).select("query_id", "rank", "vec_id", "score").collect()))
@@ -68,6 +69,30 @@ def test_pivot_search(spark, seed):
     assert pivot_search.top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def test_pivot_search_prunes_clusters(spark):
+    """Far clusters get no query, tiles are left out, and the result is still whole."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 9
+    x = np.floor(1024 * (centres[np.arange(3000) % 12] + rng.normal(size=(3000, 16)) * 0.1)).astype(np.int64)
+    pivots = x[:12].astype(np.float64)
+    limit = float((x.astype(np.float64) ** 2).sum(1).max())
+    far = pivot_search._distances(x.astype(np.float64), np.sqrt(limit - (x.astype(np.float64) ** 2).sum(1)), pivots, np.sqrt(limit - (pivots**2).sum(1)))
+    q_far = pivot_search._distances(x[::100].astype(np.float64), np.zeros(30), pivots, np.sqrt(limit - (pivots**2).sum(1)))
+    scored, plain = [], pivot_search._scores
+    pivot_search._scores = lambda a, b: scored.append(len(a) * len(b)) or plain(a, b)
+    try:
+        at, found, score = pivot_search.search_cell(np.arange(3000), x, far, x[::100], q_far, limit, np.full(30, -np.inf), 11, tile=64)
+    finally:
+        pivot_search._scores = plain
+    assert sum(scored) < 0.5 * 30 * 3000
+    for i in range(30):
+        want = sorted((-int(s), j) for j, s in enumerate(x @ x[100 * i]))[:11]
+        assert [(-int(s), int(j)) for s, j in zip(score[at == i], found[at == i])] == want
+    df = spark.createDataFrame([(i, (v / 1024).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, pivot_search.top_k(df, df.where("vec_id % 100 = 0")).collect()))
+    assert got == brute_top([(i, (v / 1024).tolist()) for i, v in enumerate(x)])
+
+
 def test_pivot_search_large_components(spark):
     rows = [(i, [1e15 * (i + 1), -1e15]) for i in range(0, 300, 50)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -86,8 +111,18 @@ def test_url_filter(spark):
     assert got["http://org/es/"][2:] == ("org/es/", "block") and got["http://notcom/en/"][2:] == (None, "allow") and got["HTTP://U.ORG/ES/"][:2] == ("u.org", "/ES/")
     assert got["http://casinox.io/"][3] == "allow" and got["http://a-casino.io/"][3] == "block"
     assert got["http://cheap-pills.io/"][3] == "block" and got["http://q.io/?bets=2&bets=3"][3] == "allow"  # distinct soft terms count
-    heavy = url_filter.judge_urls(spark.createDataFrame([(1, "http://q.io/bets")], "page_id long, url string"), soft={"bets": 5.0})
-    assert heavy.first().verdict == "allow"  # one soft term alone never blocks
+    one = lambda url, **kw: url_filter.judge_urls(spark.createDataFrame([(1, url)], "page_id long, url string"), **kw).first()
+    assert one("http://farm.org/free").verdict == "allow" and one("http://spam-farm.org/").verdict == "block"  # weights decide
+    assert one("http://q.io/c%61sino").verdict == "block" and one("http://q.io/%C3%A9casino%").verdict == "block" and one("http://q.io/%ZZcasinos1").verdict == "allow"
+    table = spark.createDataFrame([("BETS", "soft", 5.0), ("bets", "soft", None), ("bad", "strict", None), ("bad", "soft", 1.0), ("x", "soft", None), (None, "strict", None), ("", "strict", None)], "term string, kind string, weight double")
+    assert one("http://q.io/bets", vocabulary=table).verdict == "allow"  # one soft term alone never blocks
+    assert one("http://q.io/bets/x", vocabulary=table).verdict == "block" and one("http://q.io/bad", vocabulary=table).strict_hits == 1
+    assert one("http://casino.io/", vocabulary=table.where("false")).verdict == "allow"
+    with pytest.raises(ValueError):
+        one("http://q.io", vocabulary=table, most_terms=2)
+    assert one("http://q.io/" + "a-" * 500_000 + "casino").verdict == "block"
+    built = url_filter.judge_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"), rules=url_filter.RULES, vocabulary=url_filter.vocabulary_table(spark))
+    assert {r.url: r.verdict for r in built.collect()} == {u: v[3] for u, v in got.items()}
 
 
 # op4 -----------------------------------------------------------------------------------------------------------------
