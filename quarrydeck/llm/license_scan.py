@@ -18,7 +18,9 @@ the input only the named columns are read, so that others can't clash.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import cut, join_one
 from .license_texts import TEMPLATES
 
-CUES = r"(?i)licen[cs]|copyright|spdx|warrant|redistribut|permission|creative commons|public domain|\b[al]?gpl"
+CUES = ("licenc", "licens", "copyright", "spdx", "warrant", "redistribut", "permission", "creative commons", "public domain", "gpl")
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)[^/]*$"
 SENTENCE = r"([.!?;])\s+([A-Z(])"
 VERSION = r"^[0-9]{1,2}(_[0-9]{1,2})*$"
@@ -34,6 +36,11 @@ VERSION = r"^[0-9]{1,2}(_[0-9]{1,2})*$"
 Template = tuple[str, str, str]
 
 
+def has_cue(text: Column) -> Column:
+    """Whether the text holds a cue word in any case; the lambda has the lower-cased text made once."""
+    return F.transform(F.array(F.lower(text)), lambda low: reduce(operator.or_, (low.contains(word) for word in CUES)))[0]
+
+
 def _terms(text: Column) -> Column:
     """Words and version numbers: letters and digits apart, 2.0 as 2, 2.1 as 2_1, without "v" and "version"."""
     apart = F.regexp_replace(F.regexp_replace(F.lower(text), "([a-z])v?([0-9])", "$1 $2"), r"([0-9])\.([0-9])", "$1_$2")
@@ -76,9 +83,9 @@ def scan_licenses(files: DataFrame, *, templates: Sequence[Template] = TEMPLATES
     files = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     file_keys = ["id", "path", F.xxhash64("text").alias("h")]
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE), F.lit(False))
-    cued = files.where(F.col("text").rlike(CUES)).select(*file_keys, named.alias("named"), "text", F.split(F.regexp_replace("text", SENTENCE, "$1\n$2"), "[\r\n]+").alias("parts"))
+    cued = files.where(has_cue(F.col("text"))).select(*file_keys, named.alias("named"), "text", F.split(F.regexp_replace("text", SENTENCE, "$1\n$2"), "[\r\n]+").alias("parts"))
     around = F.transform("parts", lambda x, i: F.struct(x.alias("one"), F.concat_ws(" ", F.get("parts", i - 1), x, F.get("parts", i + 1)).alias("wide")))
-    lines = cued.select("id", "path", "h", F.explode(around).alias("s")).where(F.col("s.one").rlike(CUES)).select("id", "path", "h", F.explode(F.array("s.one", "s.wide")).alias("passage"))
+    lines = cued.select("id", "path", "h", F.explode(around).alias("s")).where(has_cue(F.col("s.one"))).select("id", "path", "h", F.explode(F.array("s.one", "s.wide")).alias("passage"))
     whole = cued.where("named").select("id", "path", "h", F.col("text").alias("passage"))
     passages = cut(lines.unionByName(whole).withColumn("key", F.md5("passage")))
     best = passage_licenses(passages, templates, threshold)
@@ -114,7 +121,7 @@ def document_files(docs: DataFrame) -> DataFrame:
     up, and a document that opens with a licence cue, or a short one that ends with one, is its directory's LICENSE file."""
     top = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 10000)))
     home = F.when(F.length("text") < 1000, top).otherwise(F.concat_ws("/", top, F.concat(F.lit("e"), F.floor(F.col("doc_id") / 100))))
-    cue = F.substring_index("text", "\n", 1).rlike(CUES) | (F.substring_index("text", "\n", -1).rlike(CUES) & (F.length("text") < 1000))
+    cue = has_cue(F.substring_index("text", "\n", 1)) | (has_cue(F.substring_index("text", "\n", -1)) & (F.length("text") < 1000))
     name = F.when(cue, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
     return docs.select("doc_id", F.concat_ws("/", home, name).alias("path"), "text")
 
@@ -124,7 +131,8 @@ def oracle(templates: Sequence[Template] = TEMPLATES, threshold: float = 0.6) ->
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({i}, {quoted(a)}, {quoted(b)}, {quoted(c)})" for i, (a, b, c) in enumerate(templates))
     n = float(len({t[0] for t in templates}))
-    cue, lic = CUES, LICENSE_FILE
+    lic = LICENSE_FILE
+    cued = lambda x: "(" + " OR ".join(f"contains(lower({x}), '{word}')" for word in CUES) + ")"
 
     def terms(text: str) -> str:
         apart = f"regexp_replace(regexp_replace(lower({text}), '([a-z])v?([0-9])', '\\1 \\2', 'g'), '([0-9])\\.([0-9])', '\\1_\\2', 'g')"
@@ -132,15 +140,15 @@ def oracle(templates: Sequence[Template] = TEMPLATES, threshold: float = 0.6) ->
 
     return f"""
 WITH tpl(part, licence, needs, body) AS (VALUES {values}),
-files AS (SELECT doc_id AS id, text, CASE WHEN length(text) < 1000 THEN top ELSE top || '/e' || (doc_id // 100) END || '/' || CASE WHEN regexp_matches(string_split(text, chr(10))[1], '{cue}') OR (length(text) < 1000 AND regexp_matches(string_split(text, chr(10))[-1], '{cue}')) THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path
+files AS (SELECT doc_id AS id, text, CASE WHEN length(text) < 1000 THEN top ELSE top || '/e' || (doc_id // 100) END || '/' || CASE WHEN {cued('string_split(text, chr(10))[1]')} OR (length(text) < 1000 AND {cued('string_split(text, chr(10))[-1]')}) THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path
   FROM (SELECT *, coalesce(source, 'none') || '/d' || (doc_id // 10000) AS top FROM documents)),
 tt AS (SELECT part, licence, list_distinct(list_filter(string_split(needs, ' '), lambda x: x <> '')) AS needs, unnest({terms('body')}) AS term FROM tpl),
 idf AS (SELECT term, ln((1.0 + {n}) / (1.0 + count(DISTINCT licence))) + 1 AS idf FROM tt GROUP BY term),
 tw AS (SELECT part, licence, needs, term, regexp_matches(term, '{VERSION}') AS version, count(*) * any_value(idf) AS w FROM tt JOIN idf USING (term) GROUP BY ALL),
 tn AS (SELECT part, licence, needs, term, version, w / sqrt(sum(w * w) OVER (PARTITION BY part)) AS weight, bool_or(version) OVER (PARTITION BY part) AS versions FROM tw),
-cued AS (SELECT id, path, text, regexp_split_to_array(regexp_replace(text, '{SENTENCE}', '\\1' || chr(10) || '\\2', 'g'), '[\\r\\n]+') AS parts FROM files WHERE regexp_matches(text, '{cue}')),
+cued AS (SELECT id, path, text, regexp_split_to_array(regexp_replace(text, '{SENTENCE}', '\\1' || chr(10) || '\\2', 'g'), '[\\r\\n]+') AS parts FROM files WHERE {cued('text')}),
 around AS (SELECT id, path, unnest(list_transform(range(1, len(parts) + 1), lambda i: {{'one': parts[i], 'wide': concat_ws(' ', CASE WHEN i > 1 THEN parts[i - 1] END, parts[i], CASE WHEN i < len(parts) THEN parts[i + 1] END)}})) AS s FROM cued),
-pas AS (SELECT DISTINCT * FROM (SELECT id, path, unnest([s.one, s.wide]) AS p FROM around WHERE regexp_matches(s.one, '{cue}') UNION ALL SELECT id, path, text FROM cued WHERE regexp_matches(string_split(path, '/')[-1], '{lic}'))),
+pas AS (SELECT DISTINCT * FROM (SELECT id, path, unnest([s.one, s.wide]) AS p FROM around WHERE {cued('s.one')} UNION ALL SELECT id, path, text FROM cued WHERE regexp_matches(string_split(path, '/')[-1], '{lic}'))),
 pt AS (SELECT p, term, count(*) AS tf FROM (SELECT p, unnest({terms('p')}) AS term FROM (SELECT DISTINCT p FROM pas)) GROUP BY ALL),
 pv AS (SELECT p, term, tf * coalesce(idf, ln(1.0 + {n}) + 1) AS w FROM pt LEFT JOIN idf USING (term)),
 pn AS (SELECT p, sqrt(sum(w * w)) AS norm, bool_or(regexp_matches(term, '{VERSION}')) AS dated FROM pv GROUP BY p),

@@ -96,8 +96,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return rows.orderBy("draw", "id", "label", "text").limit(sample_rows).select("text", "label").toPandas()
 
 
-def train(texts: list[str], labels: np.ndarray, bits: int = 18, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> QualityModel:
-    """Fit vectors and softmax by stochastic gradient descent, one document a step, with a linearly falling rate."""
+def train(texts: list[str], labels: np.ndarray, bits: int = 18, dim: int = 16, epochs: int = 6, least_steps: int = 12_000, rate: float = 0.5, seed: int = 7) -> QualityModel:
+    """Fit vectors and softmax by stochastic gradient descent, one document a step, with a linearly falling rate; few rows are
+    gone through more often, so that there are at least ``least_steps`` steps."""
     rng = np.random.default_rng(seed)
     share = float(labels.mean()) if len(labels) else 0.5
     size = (1 << bits) + (1 << BIGRAM_BITS)
@@ -119,6 +120,7 @@ def train(texts: list[str], labels: np.ndarray, bits: int = 18, dim: int = 16, e
         found, back = np.unique(np.concatenate([bucket[flat], (1 << bits) + near]), return_inverse=True)
         weight = np.bincount(back, np.concatenate([np.repeat(times, sizes), np.ones(len(near))]), len(found))
         rows.append((found.astype(np.int32), (weight / max(weight.sum(), 1)).astype(np.float32)))
+    epochs = max(epochs, -(-least_steps // len(rows)))
     step, steps = 0, epochs * len(rows)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
