@@ -83,3 +83,17 @@ ATTRIBUTE_KEYS = (
     ("short_text long_text", ("主题", "方向"), "主题", 0.85),
     ("short_text long_text", ("描述", "说明", "定义", "含义"), "描述", 0.85),
 )
+
+# Names that are no entities or topics.
+STOP_NAMES = ("hyperlink", "pageref", "ref", "doi", "journal", "of", "and", "the", "to", "key", "vol", "no", "pp", "et", "al")
+TITLE_HEADS = ("关于", "基于", "面向", "围绕", "有关")
+TITLE_TAILS = ("研究", "分析", "探析", "综述", "报告", "方案", "通知")
+TITLE_INNER = ("建设方案", "实践研究")
+GENERIC_TERMS = ("领域", "专题", "知识库", "全文检索", "自动归纳候选领域", "内容", "资料", "文件", "问题", "情况", "信息", "管理", "研究", "系统", "平台", "通知", "公告", "报告")
+
+# Fragments of scope texts.
+GENERIC_FRAGMENTS = ("领域", "专题", "知识库", "相关", "内容", "资料", "文件", "问题", "要求", "情况", "信息")
+CONNECTORS = "以及|及其|以及其|与|和|及|或|并|并且|相关|包括|涉及|围绕|关于|中的|中|的"
+QUESTION_HEAD = "^(请问|如何|怎么|哪些|什么是|什么|用于|为了|围绕|关于)"
+QUESTION_TAIL = "(有哪些|是什么|怎么做|如何做|吗|呢)$"
+NEGATIVE_CUES = "(排除|不包含|不包括|不纳入范围|不纳入)"

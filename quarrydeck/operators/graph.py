@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..functions.lineage import cut
+from .contain import held_terms, holding
+from .retrieval import small
 
 
 def norm(c) -> Column:
@@ -431,43 +433,60 @@ def multi_hop(facts: DataFrame, first: Column, second: Column) -> DataFrame:
 
 def fact_search(queries: DataFrame, facts: DataFrame, k: int) -> DataFrame:
     """(query_id, fact_id, token_score, rank): facts whose texts hold tokens of the query; most tokens, then newest, first."""
-    q = queries.select("query_id", F.explode(T.search_terms("query")).alias("term"))
-    f = facts.select("fact_id", F.explode(T.search_terms(F.concat_ws(" ", "subject", "predicate", "object"))).alias("term"))
-    df = f.join(q, "term").groupBy("query_id", "fact_id").agg(F.count("*").alias("token_score"))
+    q = queries.select("query_id", F.explode(T.graph_tokens("query")).alias("term"))
+    held = holding(facts, ["fact_id"], {"text": F.lower(F.concat_ws(" ", "subject", "predicate", "object"))}, q)
+    df = held.join(small(q), "term").groupBy("query_id", "fact_id").agg(F.countDistinct("term").alias("token_score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("token_score"), F.desc("fact_id")))
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def graph_hits(found: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts as search rows: 4.2 + .35 * min(3, tokens) + max(0, confidence)."""
-    df = found.join(facts.select("fact_id", "doc_id", "confidence"), "fact_id")
+    """Facts as search rows: 4.2 + .35 * min(3, tokens) + max(0, confidence); rows that share a fact's id count as one."""
+    one = facts.join(small(found.select("fact_id").distinct()), "fact_id", "left_semi").groupBy("fact_id").agg(F.min("doc_id").alias("doc_id"), F.max("confidence").alias("confidence"))
+    df = found.join(one, "fact_id")
     return df.select("query_id", F.concat(F.lit("fact:"), "fact_id").alias("item_id"), "doc_id", F.round(4.2 + 0.35 * F.least(F.lit(3), "token_score") + F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.0))), 6).alias("score"))
 
 
+SCOPE_DOCUMENT = (140.0, (("title", 80.0), ("filename", 60.0)))
+SCOPE_CHUNK = (70.0, (("title", 55.0), ("content", 28.0)))
+SCOPE_UNIT = (90.0, (("subject", 70.0), ("indicator", 60.0), ("title", 45.0), ("normalized", 35.0)))
+
+
 def scope_recall(scopes: DataFrame, docs: DataFrame, chunks: DataFrame, units: DataFrame, most: int) -> DataFrame:
-    """(scope_id, doc_id, score): files for a scope's terms. A document scores 140 / 80 / 60 by terms in title, path and name, the
-    best chunk 70 / 55, the best unit 90 / 70; known documents are left to the caller's anti join."""
-    terms = scopes.select("scope_id", F.explode(T.search_terms("scope")).alias("term"))
-
-    def leg(df: DataFrame, fields: Sequence[tuple[str, int]]) -> DataFrame:
-        parts = None
-        for name, weight in fields:
-            p = df.select("doc_id", F.explode(T.search_terms(name)).alias("term")).join(terms, "term").groupBy("scope_id", "doc_id").agg(F.lit(float(weight)).alias("s"))
-            parts = p if parts is None else parts.unionByName(p)
-        return parts
-
-    d = leg(docs, (("title", 140), ("path", 80), ("filename", 60))).groupBy("scope_id", "doc_id").agg(F.sum("s").alias("s"))
-    c = leg(chunks, (("title", 70), ("content", 55))).groupBy("scope_id", "doc_id").agg(F.max("s").alias("s"))
-    u = leg(units, (("subject", 90), ("content", 70))).groupBy("scope_id", "doc_id").agg(F.max("s").alias("s"))
-    df = d.unionByName(c).unionByName(u).groupBy("scope_id", "doc_id").agg(F.sum("s").alias("score"))
+    """(scope_id, doc_id, score, rank): the ``most`` best files of each scope; known documents are left to an anti join.
+
+    A document, chunk or unit hits if a field holds the scope, or if its words include all words of the scope; it scores its
+    base and the weight of each field that holds the scope. A file has the best score of its hits. (The share of a full-text
+    rank isn't added.)
+    """
+    words = F.filter(T.search_terms("scope"), lambda w: w != "")
+    s = scopes.select("scope_id", F.lower(F.trim("scope")).alias("phrase"), F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))).alias("words")).where("phrase != ''")
+    phrases = s.select("scope_id", F.col("phrase").alias("term"))
+    anchors = s.where(F.size("words") > 0).select("scope_id", "words", F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("term"))
+    terms = phrases.select("term").unionByName(s.select(F.explode("words").alias("term")))
+
+    def leg(df: DataFrame, base: float, fields: Sequence[tuple[str, float]]) -> DataFrame:
+        weight = F.create_map(*(x for name, w in fields for x in (F.lit(name), F.lit(w))))
+        every = F.regexp_replace(F.concat(F.lit(" "), F.lower(F.concat_ws(" ", *(name for name, _ in fields))), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
+        held = held_terms(df, ["doc_id", "item"], {name: F.lower(T.text(name)) for name, _ in fields} | {"__words": every}, terms)
+        one = held.select("doc_id", "item", "field", "terms", F.explode("terms").alias("term"))
+        whole = one.where("field != '__words'").join(small(phrases), "term").select("scope_id", "doc_id", "item", weight[F.col("field")].alias("w"))
+        all_ = one.where("field = '__words'").join(small(anchors), "term").where(F.forall("words", lambda w: F.array_contains("terms", w))).select("scope_id", "doc_id", "item", F.lit(0.0).alias("w"))
+        return whole.unionByName(all_).groupBy("scope_id", "doc_id", "item").agg((F.lit(base) + F.sum("w")).alias("s")).select("scope_id", "doc_id", "s")
+
+    d = leg(docs.withColumn("item", F.lit(0)), *SCOPE_DOCUMENT)
+    c, u = (leg(df.withColumn("item", F.col("chunk_no")), *x) for df, x in ((chunks, SCOPE_CHUNK), (units, SCOPE_UNIT)))
+    df = d.unionByName(c).unionByName(u).groupBy("scope_id", "doc_id").agg(F.max("s").alias("score"))
     rank = F.row_number().over(Window.partitionBy("scope_id").orderBy(F.desc("score"), "doc_id"))
     return df.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def enrichment_queue(recall: DataFrame, active: DataFrame) -> DataFrame:
-    """Files by the number of scopes that want them, then the summed score; files in work are skipped."""
+def enrichment_queue(recall: DataFrame, active: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` files by the number of scopes that want them, then the summed score, then the id: (doc_id, scopes,
+    score, place); files in work are skipped."""
     df = recall.groupBy("doc_id").agg(F.countDistinct("scope_id").alias("scopes"), F.sum("score").alias("score")).join(active.select("doc_id"), "doc_id", "left_anti")
-    return df.withColumn("key", F.struct(-F.col("scopes"), -F.col("score"), "doc_id")).select("doc_id", "scopes", "score")
+    order = (F.desc("scopes"), F.desc("score"), "doc_id")
+    return df.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # ``most`` rows
 
 
 def missing_builds(files: DataFrame, builds: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Batches of queries against documents, units and chunks: lexical, vector and graph legs, merged and ranked.
 
-Queries are a table (query_id, query). Lexical legs find candidates through a postings table (token, item), so that a
-query meets the items that hold one of its tokens and not the whole corpus; scores are then computed on those.
+Queries are a table (query_id, query). Lexical legs send blocks of queries to the texts and find what these hold, as LIKE
+does; the corpus isn't shuffled, and each task keeps the best of its own.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from .contain import nearest, score_items
 from .relational import sum_of_best
 
 BROADCAST_ROWS = 100_000
@@ -29,46 +30,27 @@ def prepared(queries: DataFrame, most_tokens: int = 6) -> DataFrame:
     return queries.select("query_id", "query", F.lower(F.trim(T.text("query"))).alias("raw"), T.tight("query").alias("tight"), tokens.alias("tokens"))
 
 
-def field_score(fields: Sequence[tuple[str, float, float, bool]]) -> Column:
-    """Sum over fields: the phrase weight if it holds the query, half of it without punctuation, a token weight a token."""
-    total = F.lit(0.0)
-    for name, phrase, token, loose in fields:
-        low = F.lower(T.text(name))
-        total = total + F.when(low.contains(F.col("raw")), phrase).otherwise(0.0)
-        if loose:
-            total = total + F.when((F.col("tight") != "") & T.tight(name).contains(F.col("tight")), phrase * 0.5).otherwise(0.0)
-        total = total + F.size(F.filter("tokens", low.contains)) * F.lit(token)
-    return F.round(total, 6)
-
-
 def postings(items: DataFrame, id_cols: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """(term, ids): the distinct terms of an item's fields, to be written once and bucketed by term for repeated use."""
     return items.select(*id_cols, F.explode(T.search_terms(F.concat_ws(" ", *fields))).alias("term"))
 
 
-def keyword_leg(queries: DataFrame, items: DataFrame, kind: str, id_cols: Sequence[str], fields) -> DataFrame:
-    """(query_id, kind, doc_id, item_id, score, match_type) of items that hold at least one of the query's terms.
+def keyword_leg(queries: DataFrame, items: DataFrame, kind: str, id_cols: Sequence[str], fields, top: int | None = None) -> DataFrame:
+    """(query_id, kind, doc_id, item_id, score, match_type) of items that hold the query, its tight form or a token of it.
 
-    The terms of a query and of an item meet in an equi-join; the scores then look at the texts themselves.
+    Containment finds the items (see ``contain``), so a hit inside a word or an unspaced run counts. A blank query finds
+    nothing. With ``top`` each query has its best so many items.
     """
-    names = [f[0] for f in fields]
-    q = prepared(queries)
-    terms = q.select("query_id", F.explode(T.search_terms("query")).alias("term"))
-    found = postings(items, id_cols, names).join(small(terms), "term").select("query_id", *id_cols).distinct()
-    df = found.join(items.select(*id_cols, *names), list(id_cols)).join(small(q), "query_id")
-    df = df.withColumn("score", field_score(fields)).where("score > 0")
-    held = lambda n: F.lower(T.text(n)).contains(F.col("raw"))
-    kind_of = F.lit("fulltext")
-    for n in ("content", "filename", "title"):
-        if n in names:
-            kind_of = F.when(held(n), n).otherwise(kind_of)
-    return df.select("query_id", F.lit(kind).alias("kind"), "doc_id", F.concat_ws(":", F.lit(kind), *id_cols).alias("item_id"), "score", kind_of.alias("match_type"))
+    texts = []
+    for name, _, _, loose in fields:
+        texts += [F.lower(T.text(name)), T.tight(name)] if loose else [F.lower(T.text(name))]
+    return score_items(prepared(queries).select("query_id", "raw", "tight", "tokens"), items, F.concat_ws(":", F.lit(kind), *id_cols), kind, fields, texts, top)
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame, units: DataFrame, chunks: DataFrame, top: int = 80) -> DataFrame:
     """Documents, units and chunks for each query, the best ``top`` of them."""
-    legs = keyword_leg(queries, docs, "document", ["doc_id"], L.DOCUMENT_FIELDS)
-    legs = legs.unionByName(keyword_leg(queries, units, "unit", ["doc_id", "chunk_no"], L.UNIT_FIELDS)).unionByName(keyword_leg(queries, chunks, "chunk", ["doc_id", "chunk_no"], L.CHUNK_FIELDS))
+    legs = keyword_leg(queries, docs, "document", ["doc_id"], L.DOCUMENT_FIELDS, top)
+    legs = legs.unionByName(keyword_leg(queries, units, "unit", ["doc_id", "chunk_no"], L.UNIT_FIELDS, top)).unionByName(keyword_leg(queries, chunks, "chunk", ["doc_id", "chunk_no"], L.CHUNK_FIELDS, top))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
     return legs.withColumn("rank", rank).where(F.col("rank") <= top)
 
@@ -106,20 +88,28 @@ def hash_embedding(text, dims: int = 32, most: int = 2048) -> Column:
     return T.let(sums, lambda x: F.coalesce(normalized(x), x))
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int, *, least: float = 0.05, weight: float = 3.0, q_vector: str = "vector", vector: str = "vector", blocks: int = 64) -> DataFrame:
-    """(query_id, item_id, cosine, score, rank): exact, in blocks.
+def vector_topk(queries: DataFrame, items: DataFrame, k: int, *, least: float = 0.05, weight: float = 3.0, q_vector: str = "vector", vector: str = "vector") -> DataFrame:
+    """(query_id, item_id, cosine, score, rank): exact.
 
-    A stated set of queries meets all items: items lie in blocks, each query goes to each block once, a block keeps
-    the k best of each query, and those are ranked again. Vectors of other lengths don't compare.
+    Blocks of a stated set of queries meet all items where these lie; each task keeps the k best of each query, and those are
+    ranked again. Vectors of other lengths don't compare.
     """
-    i = items.select("item_id", normalized(F.col(vector)).alias("v")).where("v is not null").withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
-    q = queries.select("query_id", normalized(F.col(q_vector)).alias("q")).where("q is not null").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    df = i.join(q, "block").where(F.size("v") == F.size("q")).select("query_id", "item_id", "block", F.round(F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 6).alias("cosine")).where(F.col("cosine") > least)
-    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("cosine"), "item_id"))
-    df = df.withColumn("rank", best("query_id", "block")).where(F.col("rank") <= k).withColumn("rank", best("query_id")).where(F.col("rank") <= k)
+    i = items.select("item_id", normalized(F.col(vector)).alias("v")).where("v is not null")
+    q = queries.select("query_id", normalized(F.col(q_vector)).alias("q")).where("q is not null")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "item_id"))
+    df = nearest(q, i, k, least).withColumn("rank", best).where(F.col("rank") <= k)
     return df.select("query_id", "item_id", "cosine", F.round(F.col("cosine") * weight, 6).alias("score"), "rank")
 
 
+def semantic_leg(queries: DataFrame, items: DataFrame, k: int, embed=None) -> DataFrame:
+    """(query_id, item_id, cosine, score, rank): the k items whose texts are nearest to each query by their embeddings.
+
+    queries(query_id, query), items(item_id, text). All items are scanned, so no pass over candidate documents is needed first.
+    """
+    embed = embed or hash_embedding
+    return vector_topk(queries.select("query_id", embed(F.lower(F.trim(T.text("query")))).alias("vector")), items.select("item_id", embed(T.text("text")).alias("vector")), k)
+
+
 def vector_audit(items: DataFrame, vectors: DataFrame) -> DataFrame:
     """Rows per dimension, and rows without a vector (dimension null)."""
     return items.select("item_id").join(vectors, "item_id", "left").groupBy(F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dimensions")).agg(F.count("*").alias("n"))
@@ -131,7 +121,7 @@ def hybrid_merge(keyword: DataFrame, semantic: DataFrame, w_keyword: float = 1.1
     df = best(keyword, "k").join(best(semantic, "s"), ["query_id", "item_id"], "full_outer")
     both = F.col("k").isNotNull() & F.col("s").isNotNull()
     score = F.when(both, w_keyword * F.col("k") + w_semantic * F.col("s")).otherwise(F.coalesce("k", "s"))
-    return df.select("query_id", "item_id", F.round(score, 6).alias("score"), F.when(both, "hybrid").when(F.col("k").isNotNull(), "keyword").otherwise("semantic").alias("leg"))
+    return df.select("query_id", "item_id", F.round(score + 1e-9, 6).alias("score"), F.when(both, "hybrid").when(F.col("k").isNotNull(), "keyword").otherwise("semantic").alias("leg"))
 
 
 def phrase_hit(field, raw: str = "raw") -> Column:
@@ -258,7 +248,7 @@ def weighted_hybrid(keyword: DataFrame, vector: DataFrame, adjustment: Column |
     df = best(keyword, "k").join(best(vector, "v"), ["query_id", "item_id"], "full_outer")
     both = F.col("k").isNotNull() & F.col("v").isNotNull()
     score = F.coalesce("k", F.lit(0.0)) * w_keyword + F.coalesce("v", F.lit(0.0)) * w_vector + F.when(both, boost).otherwise(0.0) + adjustment
-    return df.select("query_id", "item_id", F.round(score + F.when(both, adjustment).otherwise(0.0) if compat else score, 6).alias("score"), both.alias("both"))
+    return df.select("query_id", "item_id", F.round((score + F.when(both, adjustment).otherwise(0.0) if compat else score) + 1e-9, 6).alias("score"), both.alias("both"))
 
 
 def unified_search(units: DataFrame, chunks: DataFrame, per_doc: int, size: int, number: int = 1) -> DataFrame:
@@ -274,6 +264,17 @@ def unified_search(units: DataFrame, chunks: DataFrame, per_doc: int, size: int,
     return diversify(hits, per_doc).where(F.col("place").between((number - 1) * size + 1, number * size))
 
 
+def search_for_qa(units: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The k best units and chunks of a question, without chunks that one of its units stands for.
+
+    Both: (query_id, doc_id, chunk_no, score); ties: units first, then by place.
+    """
+    alone = chunks.join(units.select("query_id", "doc_id", "chunk_no"), ["query_id", "doc_id", "chunk_no"], "left_anti")
+    hits = units.withColumn("kind", F.lit("unit")).unionByName(alone.withColumn("kind", F.lit("chunk"))).groupBy("query_id", "kind", "doc_id", "chunk_no").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("kind"), "doc_id", "chunk_no"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def citations(hits: DataFrame, k: int = 3) -> DataFrame:
     """The first k hits of each query as an array of (rank, item_id, score)."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))

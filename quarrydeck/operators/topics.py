@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .contain import holding
+from .retrieval import small
 
 GENERIC = ("系统", "平台", "项目", "工作", "情况", "问题", "内容", "其他")
 
@@ -59,18 +62,20 @@ def dedupe_seeds(seeds: DataFrame, blocked: Sequence[str] = (), term: str = "top
 
 
 def discover_candidates(seeds: DataFrame, chunks: DataFrame, least_signals: int = 6, refs: int = 5) -> DataFrame:
-    """Seeds with their support: chunks and documents that hold the seed's terms, references and titles.
+    """Seeds with their support: chunks and documents that hold the seed's text, references, and the documents' keywords.
 
-    A seed is supported by a chunk that holds all its terms: an equi-join on terms, then a count.
+    (topic, signals, documents, evidence, keywords): ``keywords`` are the five words of the supporting chunks' titles that
+    occur in most of them.
     """
-    terms = seeds.select("topic", F.explode(T.search_terms("topic")).alias("term"))
-    need = terms.groupBy("topic").agg(F.count("*").alias("need"))
-    c = chunks.select("doc_id", "chunk_no", F.explode(T.search_terms("content")).alias("term"))
-    hit = c.join(terms, "term").groupBy("topic", "doc_id", "chunk_no").agg(F.count("*").alias("have")).join(need, "topic").where("have = need")
+    low = seeds.select("topic", F.lower("topic").alias("term"))
+    hit = holding(chunks, ["doc_id", "chunk_no", "title"], {"content": F.lower(T.text("content"))}, low).join(low, "term").select("topic", "doc_id", "chunk_no", "title")
     total = hit.groupBy("topic").agg(F.count("*").alias("signals"), F.countDistinct("doc_id").alias("documents")).where(F.col("signals") >= least_signals)
     top = hit.withColumn("k", F.row_number().over(Window.partitionBy("topic").orderBy("doc_id", "chunk_no"))).where(F.col("k") <= refs)
     top = top.groupBy("topic").agg(F.array_sort(F.collect_list(F.concat_ws(":", F.lit("chunk"), "doc_id", "chunk_no"))).alias("evidence"))
-    return total.join(top, "topic").join(seeds, "topic", "left_semi")
+    words = hit.select("topic", F.explode(T.search_terms("title")).alias("word")).where(F.length("word") >= 2).groupBy("topic", "word").agg(F.count("*").alias("n"))
+    words = words.withColumn("k", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "word"))).where("k <= 5")
+    words = words.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("keywords"))
+    return total.join(top, "topic").join(words, "topic", "left")
 
 
 def discovery_slices(spark, earliest: str, cursor: str, hours: int = 72) -> DataFrame:
@@ -100,12 +105,10 @@ def negative_scope(c, cues: str = r"不包括|不含|排除|除外|exclude[sd]?|
 
 
 def filter_excluded(items: DataFrame, excluded: DataFrame, fields: Sequence[str], by: str = "domain_id") -> DataFrame:
-    """Items of a domain whose terms hold all terms of one of its excluded phrases go. items(by, item_id, ...), excluded(by, phrase)."""
-    t = excluded.select(by, "phrase", F.explode(T.search_terms("phrase")).alias("term"))
-    need = t.groupBy(by, "phrase").agg(F.count("*").alias("need"))
-    i = items.select(by, "item_id", F.explode(T.search_terms(F.concat_ws(" ", *fields))).alias("term"))
-    gone = i.join(t, [by, "term"]).groupBy(by, "item_id", "phrase").agg(F.count("*").alias("have")).join(need, [by, "phrase"]).where("have = need")
-    return items.join(gone.select(by, "item_id"), [by, "item_id"], "left_anti")
+    """Items of a domain that hold one of its excluded phrases go. items(by, item_id, ...), excluded(by, phrase)."""
+    t = excluded.select(by, F.lower(F.trim("phrase")).alias("term")).where("term != ''").distinct()
+    gone = holding(items, [by, "item_id"], {"text": F.lower(F.concat_ws(" ", *fields))}, t).join(t, [by, "term"], "left_semi")
+    return items.join(gone.select(by, "item_id").distinct(), [by, "item_id"], "left_anti")
 
 
 #: Passes of a retrieval plan: name, weight, most terms.
@@ -125,15 +128,12 @@ def retrieval_plan(domains: DataFrame, passes=PASSES, most: int = 8) -> DataFram
 
 
 def recall_items(plan: DataFrame, items: DataFrame, fields: Sequence[tuple[str, float]], per_term: int) -> DataFrame:
-    """(domain_id, item_id, score): items that hold a plan term's words, field by field, the best ``per_term`` a term."""
-    t = plan.select("domain_id", "term", "weight", F.explode(T.search_terms("term")).alias("word"))
-    need = plan.select("domain_id", "term", F.size(T.search_terms("term")).alias("need"))
-    rows = None
-    for name, w in fields:
-        part = items.select("item_id", F.explode(T.search_terms(name)).alias("word")).join(t, "word").groupBy("domain_id", "term", "item_id").agg(F.count("*").alias("have"), F.max("weight").alias("weight"))
-        part = part.join(need, ["domain_id", "term"]).where("have = need").select("domain_id", "term", "item_id", (F.col("weight") * w).alias("s"))
-        rows = part if rows is None else rows.unionByName(part)
-    rows = rows.groupBy("domain_id", "term", "item_id").agg(F.sum("s").alias("s"))
+    """(domain_id, item_id, score): items whose fields hold a term of the plan, the best ``per_term`` a term."""
+    t = plan.select("domain_id", "term", "weight")
+    factor = F.create_map(*(x for name, w in fields for x in (F.lit(name), F.lit(float(w)))))
+    held = holding(items, ["item_id"], {name: F.lower(T.text(name)) for name, _ in fields}, t)
+    held = held.groupBy("item_id", "term").agg(F.sum(factor[F.col("field")]).alias("f"))  # an item's rows lie together: a partial sum
+    rows = held.join(small(t), "term").select("domain_id", "term", "item_id", (F.col("weight") * F.col("f")).alias("s"))
     rank = F.row_number().over(Window.partitionBy("domain_id", "term").orderBy(F.desc("s"), "item_id"))
     rows = rows.withColumn("k", rank).where(F.col("k") <= per_term)
     return rows.groupBy("domain_id", "item_id").agg(F.round(F.sum("s"), 6).alias("score"), F.count("*").alias("terms"))
@@ -149,7 +149,7 @@ def coverage_backfill(have: DataFrame, spare: DataFrame, least: int, weight: flo
     more = spare.join(have.select("domain_id", "item_id"), ["domain_id", "item_id"], "left_anti").join(n, "domain_id", "left").fillna(0, ["n"])
     rank = F.row_number().over(Window.partitionBy("domain_id").orderBy(F.desc("score"), "item_id"))
     more = more.withColumn("k", rank).where(F.col("n") + F.col("k") <= least)
-    return have.select("domain_id", "item_id", "score", F.lit("recall").alias("origin")).unionByName(more.select("domain_id", "item_id", F.round(F.col("score") * weight, 6).alias("score"), F.lit("backfill").alias("origin")))
+    return have.select("domain_id", "item_id", "score", F.lit("recall").alias("origin")).unionByName(more.select("domain_id", "item_id", F.round(F.col("score") * weight + 1e-9, 6).alias("score"), F.lit("backfill").alias("origin")))
 
 
 def documents_from_evidence(evidence: DataFrame, items: DataFrame, factor: float = 0.95) -> DataFrame:
@@ -159,36 +159,76 @@ def documents_from_evidence(evidence: DataFrame, items: DataFrame, factor: float
     return parents.join(evidence.select("domain_id", "item_id"), ["domain_id", "item_id"], "left_anti")
 
 
-def _grams(t: str) -> set[str]:
-    t = "".join(t.split())[:600]
-    return {t[i : i + 4] for i in range(max(1, len(t) - 3))}
-
-
-def select_evidence_mmr(candidates: DataFrame, n: int = 160, soft: int = 12, hard: int = 48, pool: int = 400) -> DataFrame:
+def _overlap(left: str, right: str) -> float:
+    """Share of every fourth four-character piece of the left text's head that the right text holds."""
+    if not left or not right:
+        return 0.0
+    sample = min(len(left), len(right), 180)
+    if sample < 12:
+        return float(left == right)
+    pieces = [p for p in (left[i : i + 4] for i in range(0, sample - 3, 4)) if p.strip()]
+    return sum(p in right for p in pieces) / len(pieces) if pieces else 0.0
+
+
+def choose_evidence(rows: Sequence[tuple], n: int, soft: int, hard: int) -> list[int]:
+    """Places of the chosen rows, in order; rows are (item_id, doc_id, score, text) by falling score, then item."""
+    strength: dict = {}
+    for _, doc, score, _ in rows:
+        strength[doc] = max(strength.get(doc, score), score)
+    top = max(strength.values(), default=0.0)
+    top = top if top > 0 else 1.0
+    share = {d: max(0.0, min(1.0, s / top)) for d, s in strength.items()}
+    cap = {d: max(soft, min(hard, math.ceil(soft + (hard - soft) * x * 0.6))) for d, x in share.items()}
+    near, used, chosen = [0.0] * len(rows), dict.fromkeys(strength, 0), []
+    open_ = dict.fromkeys(range(len(rows)))
+    while open_ and len(chosen) < n:
+        best, value = None, -math.inf
+        for i in open_:
+            _, doc, score, _ = rows[i]
+            if chosen and 0.78 * score <= value:
+                break  # the scores fall, so no later row can be better
+            if used[doc] >= cap[doc]:
+                continue
+            own = 0.78 * score - 1.25 * near[i] - 0.35 * used[doc] if chosen else score
+            if own > value:
+                best, value = i, own
+        if best is None:
+            break
+        chosen.append(best)
+        del open_[best]
+        used[rows[best][1]] += 1
+        for i in open_:
+            near[i] = max(near[i], 0.28 * (rows[i][1] == rows[best][1]) + 0.72 * _overlap(rows[i][3], rows[best][3]))
+    for i in open_:  # what is left fills up in the order of its score, up to the hard cap
+        if len(chosen) == n:
+            break
+        if used[rows[i][1]] < hard:
+            chosen.append(i)
+            used[rows[i][1]] += 1
+    return chosen
+
+
+def select_evidence_mmr(candidates: DataFrame, n: int = 160, soft: int = 12, hard: int = 48) -> DataFrame:
     """Greedy choice per domain: .78 * score - 1.25 * largest similarity - .35 * hits of the document so far.
 
     candidates(domain_id, item_id, doc_id, score, text). Similarity: .28 for the same document and .72 of the overlap of
-    four-character grams. No document gives more than a cap between ``soft`` and ``hard`` while others remain. The best
-    ``pool`` candidates of a domain by score enter, so a group is bounded by that.
+    their texts. A document gives at most its cap, between ``soft`` and ``hard`` by its best score; if then fewer than ``n``
+    are chosen, the best of the rest follow up to ``hard`` a document.
+
+    A domain's group is cut where nothing can change the choice: the n best rows with at most ``soft`` a document are always
+    open to it, so a row is out of reach below the least score of these minus all penalties ((1.25 + .35 * soft) / .78),
+    as long as those n rows exist.
     """
-    rank = F.row_number().over(Window.partitionBy("domain_id").orderBy(F.desc("score"), "item_id"))
-    rows = candidates.withColumn("k", rank).where(F.col("k") <= pool).select("domain_id", "item_id", "doc_id", "score", F.substring(T.text("text"), 1, 600).alias("text"))
+    text = T.tight("text")
+    by_doc = F.row_number().over(Window.partitionBy("domain_id", "doc_id").orderBy(F.desc("score"), "item_id"))
+    rows = candidates.select("domain_id", "item_id", "doc_id", "score", text.alias("text"), by_doc.alias("k"))
+    first = rows.where(F.col("k") <= soft).withColumn("r", F.row_number().over(Window.partitionBy("domain_id").orderBy(F.desc("score"), "item_id")))
+    reach = first.where(F.col("r") == n).select("domain_id", (F.col("score") - (1.25 + 0.35 * soft) / 0.78).alias("least"))
+    rows = rows.join(reach, "domain_id", "left").where(F.col("least").isNull() | (F.col("score") >= F.col("least"))).select("domain_id", "item_id", "doc_id", "score", "text")
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["score", "item_id"], ascending=[False, True]).reset_index(drop=True)
-        grams = [_grams(t) for t in g["text"]]
-        near, used, order = [0.0] * len(g), {}, []
-        cap = min(hard, max(soft, n // max(1, g["doc_id"].nunique())))
-        open_ = list(range(len(g)))
-        while open_ and len(order) < n:
-            allowed = [i for i in open_ if used.get(g["doc_id"][i], 0) < cap] or open_
-            best = max(allowed, key=lambda i: (0.78 * g["score"][i] - 1.25 * near[i] - 0.35 * used.get(g["doc_id"][i], 0), -i))
-            order.append(best)
-            open_.remove(best)
-            used[g["doc_id"][best]] = used.get(g["doc_id"][best], 0) + 1
-            for i in open_:
-                same = 0.28 * (g["doc_id"][i] == g["doc_id"][best])
-                near[i] = max(near[i], same + 0.72 * len(grams[i] & grams[best]) / max(1, min(len(grams[i]), len(grams[best]))))
+        order = choose_evidence(list(zip(g["item_id"], g["doc_id"], g["score"], g["text"])), n, soft, hard)
         out = g.loc[order, ["domain_id", "item_id", "doc_id", "score"]]
         return out.assign(place=range(1, len(out) + 1))
 
@@ -237,24 +277,24 @@ def recent_fill(domains: DataFrame, have: DataFrame, items: DataFrame, least: in
 
 
 def group_evidence(items: DataFrame, dimensions: DataFrame, most: int = 20) -> DataFrame:
-    """Each item goes to its best dimension: 4 for the name, 2 a keyword; at most ``most`` items a dimension.
+    """Each item goes to its best dimension: 4 if it holds the name, 2 a keyword; at most ``most`` items a dimension.
 
     items(domain_id, item_id, text), dimensions(domain_id, dimension, keywords).
     """
-    words = dimensions.select("domain_id", "dimension", F.explode(F.array_union(F.transform("keywords", lambda k: F.lower(k)), F.array(F.lower("dimension")))).alias("word"))
-    words = words.withColumn("points", F.when(F.col("word") == F.lower("dimension"), 4).otherwise(2))
-    hit = items.select("domain_id", "item_id", F.explode(T.search_terms("text")).alias("word")).join(words, ["domain_id", "word"])
+    words = dimensions.select("domain_id", "dimension", F.explode(F.array_distinct(F.concat(F.transform("keywords", lambda k: F.lower(k)), F.array(F.lower("dimension"))))).alias("term"))
+    words = words.where("term != ''").withColumn("points", F.when(F.col("term") == F.lower("dimension"), 4).otherwise(2))
+    hit = holding(items, ["domain_id", "item_id"], {"text": F.lower(T.text("text"))}, words).join(small(words), ["domain_id", "term"])
     score = hit.groupBy("domain_id", "item_id", "dimension").agg(F.sum("points").alias("points"))
     best = score.groupBy("domain_id", "item_id").agg(F.min(F.struct((-F.col("points")).alias("n"), "dimension")).alias("x")).select("domain_id", "item_id", F.col("x.dimension").alias("dimension"), (-F.col("x.n")).alias("points"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("domain_id", "dimension").orderBy(F.desc("points"), "item_id"))).where(F.col("rank") <= most)
 
 
 def topic_subgraph(facts: DataFrame, topics: DataFrame, most: int = 80) -> DataFrame:
-    """Facts with a term of a topic, at most ``most`` a topic, as edges: (topic_id, subject, object, predicate, rank)."""
-    t = topics.select("topic_id", F.explode(T.search_terms("topic")).alias("term"))
-    f = facts.select("fact_id", "subject", "object", "predicate", F.explode(T.search_terms(F.concat_ws(" ", "subject", "object"))).alias("term"))
-    df = f.join(t, "term").groupBy("topic_id", "fact_id", "subject", "object", "predicate").agg(F.count("*").alias("hits"))
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("hits"), "fact_id"))).where(F.col("rank") <= most)
+    """Facts that hold a term of a topic, at most ``most`` a topic, as edges: (topic_id, subject, object, predicate, rank)."""
+    t = topics.select("topic_id", F.explode(F.filter(T.search_terms("topic"), lambda x: F.length(x) >= 2)).alias("term"))
+    keys = ["fact_id", "subject", "object", "predicate"]
+    df = holding(facts, keys, {"text": F.lower(F.concat_ws(" ", "subject", "object"))}, t).join(small(t), "term").groupBy("topic_id", *keys).agg(F.countDistinct("term").alias("hits"))
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("hits"), *keys))).where(F.col("rank") <= most)
 
 
 def evidence_pack(grouped: DataFrame, refs: int = 20) -> DataFrame:

@@ -527,10 +527,10 @@ def context_window(spark, d):
     return R.context_window(c.where(F.col("content").contains("then")), c, 1).select("doc_id", "anchor", "chunk_no", "distance")
 
 
-@query("SELECT doc_id, p_name AS term FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM docs) JOIN (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS p_name FROM part UNION SELECT 'then' UNION SELECT 'pour' UNION SELECT 'with') ON w = p_name", V.DOCS)
+@query("SELECT doc_id, p_name AS term FROM docs JOIN (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS p_name FROM part UNION SELECT 'then' UNION SELECT 'pour' UNION SELECT 'with') ON contains(lower(text), p_name)", V.DOCS)
 def containment_join(spark, d):
     terms = V.table(spark, d, "part").select(F.lower(F.split("p_name", " ")[0]).alias("term")).union(spark.createDataFrame([("then",), ("pour",), ("with",)], "term string"))
-    return R.containment_join(V.docs(spark, d), terms, tokens=T.search_terms("text"), id_col="doc_id", term_col="term").select("doc_id", "term")
+    return R.containment_join(V.docs(spark, d), terms, text=F.lower("text"), id_col="doc_id", term_col="term")
 
 
 @query("SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.s, 0) AS left_score, coalesce(b.s, 0) AS right_score FROM (SELECT user_id, round(sum(value), 4) AS s FROM events WHERE event_type = 'click' GROUP BY 1) a FULL JOIN (SELECT user_id, round(sum(value), 4) AS s FROM events WHERE event_type = 'view' GROUP BY 1) b ON a.user_id = b.user_id")

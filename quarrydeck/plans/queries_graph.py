@@ -200,10 +200,10 @@ def apply_cluster_decisions(spark, d):
     return G.apply_cluster_decisions(V.facts(spark, d), x, 0.8).select("fact_id", "fact_kind")
 
 
-@query("SELECT CASE WHEN shape = 'long_text' THEN 'demote_long' WHEN predicate = 'brand' THEN 'template' WHEN shape = 'date' THEN 'generic_key' WHEN shape = 'scalar' THEN 'scalar' ELSE 'attribute_candidate' END AS reason, count(*) AS n FROM atts GROUP BY 1", ATTRS)
+@query("SELECT fact_id, CASE WHEN shape = 'long_text' THEN 'demote_long' WHEN predicate = 'brand' THEN 'template' WHEN shape = 'date' THEN 'generic_key' WHEN shape = 'scalar' THEN 'scalar' ELSE 'attribute_candidate' END AS reason FROM atts", ATTRS)
 def govern_attributes(spark, d):
     hints = spark.createDataFrame([("product", "Brand")], "entity_type string, attribute string")
-    return G.govern_attributes(V.facts(spark, d).where("fact_kind = 'attribute'"), hints).groupBy("reason").agg(F.count("*").alias("n"))
+    return G.govern_attributes(V.facts(spark, d).where("fact_kind = 'attribute'"), hints).select("fact_id", "reason")
 
 
 @query("SELECT fact_id, NOT contains(subject, object) AND NOT contains(object, subject) AS mismatch FROM facts", V.FACTS)
@@ -218,15 +218,18 @@ b2 AS (SELECT b1.*, coalesce(s.id, 'made:' || sn) AS subject_id, coalesce(o.id,
 b3 AS (SELECT *, CASE WHEN subject_id = object_id THEN 'self_loop' WHEN row_number() OVER (PARTITION BY subject_id, kind, predicate, {NORM.format('object')} ORDER BY fact_id) > 1 THEN 'repeat' ELSE 'kept' END AS reason FROM b2)"""
 
 
-@query("SELECT reason, count(*) AS n FROM b3 GROUP BY reason", BOUND)
+@query("SELECT subject_id, kind AS fact_kind, predicate, object, object_id, count(*) AS n FROM b3 WHERE reason = 'kept' GROUP BY ALL UNION ALL SELECT reason, NULL, NULL, NULL, NULL, count(*) FROM b3 GROUP BY reason", BOUND)
 def bind_facts(spark, d):
-    return G.bind_facts(V.facts(spark, d), V.entities(spark, d))[2]
+    kept, _, reasons = G.bind_facts(V.facts(spark, d), V.entities(spark, d))
+    rows = kept.groupBy("subject_id", "fact_kind", "predicate", "object", "object_id").agg(F.count("*").alias("n"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("fact_kind", "predicate", "object", "object_id")]
+    return rows.unionByName(reasons.select(F.col("reason").alias("subject_id"), *none, "n"))
 
 
-@query("SELECT role, count(*) AS n FROM (SELECT e.entity_id, CASE WHEN x.id IS NOT NULL THEN 'fact_endpoint' ELSE 'context_mention' END AS role FROM entities e LEFT JOIN (SELECT subject_id AS id FROM b3 WHERE reason = 'kept' UNION SELECT object_id FROM b3 WHERE reason = 'kept' AND object_id IS NOT NULL) x ON x.id = e.entity_id) GROUP BY role", BOUND)
+@query("SELECT e.entity_id, CASE WHEN x.id IS NOT NULL THEN 'fact_endpoint' ELSE 'context_mention' END AS role FROM entities e LEFT JOIN (SELECT subject_id AS id FROM b3 WHERE reason = 'kept' UNION SELECT object_id FROM b3 WHERE reason = 'kept' AND object_id IS NOT NULL) x ON x.id = e.entity_id", BOUND)
 def mark_entity_roles(spark, d):
     facts, _, _ = G.bind_facts(V.facts(spark, d), V.entities(spark, d))
-    return G.mark_entity_roles(V.entities(spark, d), facts).groupBy("role").agg(F.count("*").alias("n"))
+    return G.mark_entity_roles(V.entities(spark, d), facts).select("entity_id", "role")
 
 
 @query("SELECT subject, predicate, object, min(fact_id) AS fact_id FROM facts GROUP BY ALL", V.FACTS)
@@ -283,23 +286,24 @@ def multi_hop(spark, d):
 
 
 FS = V.FACTS + f""",
-gq AS (SELECT p_partkey AS query_id, unnest({WORDS.format('p_name')}) AS term FROM part WHERE p_partkey % 100 = 0),
-fw AS (SELECT fact_id, unnest({WORDS.format("concat_ws(' ', subject, predicate, object)")}) AS term FROM facts WHERE predicate <> 'ordered'),
-fs AS (SELECT query_id, fact_id, token_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY token_score DESC, fact_id DESC)::INT AS rank FROM (SELECT query_id, fact_id, count(*) AS token_score FROM fw JOIN gq USING (term) GROUP BY ALL)) WHERE rank <= 20)"""
+gq AS (SELECT p_partkey AS query_id, unnest(list_distinct(list_filter(list_concat(regexp_split_to_array(lower(trim(p_name, ' ')), '[\\p{{P}}\\p{{S}}\\s]+'), [{TIGHT.format('p_name')}]), lambda x: length(x) BETWEEN 2 AND 48))) AS term FROM part WHERE p_partkey % 100 = 0),
+ft AS MATERIALIZED (SELECT fact_id, doc_id, confidence, lower(concat_ws(' ', subject, predicate, object)) AS hay FROM facts),
+fi AS (SELECT fact_id, min(doc_id) AS doc_id, max(confidence) AS confidence FROM ft GROUP BY fact_id),
+fs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY token_score DESC, fact_id DESC)::INT AS rank FROM (SELECT query_id, fact_id, count(DISTINCT term) AS token_score FROM ft JOIN gq ON contains(hay, term) GROUP BY ALL)) JOIN fi USING (fact_id) WHERE rank <= 20)"""
 
 
 def _fact_hits(spark, d):
     q = V.table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
-    f = V.facts(spark, d).where("predicate != 'ordered'")
+    f = V.facts(spark, d)
     return G.fact_search(q, f, 20), f
 
 
-@query("SELECT * FROM fs", FS)
+@query("SELECT query_id, fact_id, token_score, rank FROM fs", FS)
 def fact_search(spark, d):
     return _fact_hits(spark, d)[0]
 
 
-@query("SELECT query_id, 'fact:' || fact_id AS item_id, doc_id, round(4.2 + 0.35 * least(3, token_score) + greatest(0, confidence), 6)::DOUBLE AS score FROM fs JOIN facts USING (fact_id)", FS)
+@query("SELECT query_id, 'fact:' || fact_id AS item_id, doc_id, round(4.2 + 0.35 * least(3, token_score) + greatest(0, confidence), 6)::DOUBLE AS score FROM fs", FS)
 def graph_hits(spark, d):
     return G.graph_hits(*_fact_hits(spark, d))
 
@@ -332,16 +336,21 @@ def clear_ledger(spark, d):
     return G.clear_ledger(e, e.where("event_type = 'error' and value > 150")).select("event_id")
 
 
+def _scope_leg(table: str, base: float, fields) -> str:
+    held = lambda name: f"contains(lower(coalesce({name}, '')), raw)"
+    names = ", ".join(f"{name}" for name, _ in fields)
+    return f"""SELECT scope_id, doc_id, {base} + {" + ".join(f"CASE WHEN {held(n)} THEN {w} ELSE 0 END" for n, w in fields)} AS s
+  FROM (SELECT *, {WORDS.format(f"concat_ws(' ', {names})")} AS have FROM {table}) JOIN sc ON {" OR ".join(held(n) for n, _ in fields)} OR (len(terms) > 0 AND list_has_all(have, terms))"""
+
+
 SCOPES = PREP + f""",
-sc AS (SELECT query_id AS scope_id, unnest(terms) AS term FROM prep WHERE starts_with(query_id, 'd')),
-sl AS (SELECT scope_id, doc_id, sum(s) AS s FROM (SELECT DISTINCT scope_id, doc_id, 140.0 AS s, 'a' AS f FROM (SELECT doc_id, unnest({WORDS.format('title')}) AS term FROM docs) JOIN sc USING (term) UNION ALL SELECT DISTINCT scope_id, doc_id, 80.0, 'b' FROM (SELECT doc_id, unnest({WORDS.format('path')}) AS term FROM docs) JOIN sc USING (term) UNION ALL SELECT DISTINCT scope_id, doc_id, 60.0, 'c' FROM (SELECT doc_id, unnest({WORDS.format('filename')}) AS term FROM docs) JOIN sc USING (term)) GROUP BY ALL
- UNION ALL SELECT scope_id, doc_id, max(s) FROM (SELECT scope_id, doc_id, 70.0 AS s FROM (SELECT doc_id, unnest({WORDS.format('title')}) AS term FROM chunks) JOIN sc USING (term) UNION ALL SELECT scope_id, doc_id, 55.0 FROM (SELECT doc_id, unnest({WORDS.format('content')}) AS term FROM chunks) JOIN sc USING (term)) GROUP BY ALL
- UNION ALL SELECT scope_id, doc_id, max(s) FROM (SELECT scope_id, doc_id, 90.0 AS s FROM (SELECT doc_id, unnest({WORDS.format('subject')}) AS term FROM units) JOIN sc USING (term) UNION ALL SELECT scope_id, doc_id, 70.0 FROM (SELECT doc_id, unnest({WORDS.format('content')}) AS term FROM units) JOIN sc USING (term)) GROUP BY ALL),
-sr AS (SELECT scope_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY score DESC, doc_id)::INT AS rank FROM (SELECT scope_id, doc_id, sum(s)::DOUBLE AS score FROM sl GROUP BY ALL)) WHERE rank <= 20)"""
+sc AS (SELECT query_id AS scope_id, raw, terms FROM prep WHERE raw <> ''),
+sl AS ({_scope_leg('docs', *G.SCOPE_DOCUMENT)} UNION ALL {_scope_leg('chunks', *G.SCOPE_CHUNK)} UNION ALL {_scope_leg('units', *G.SCOPE_UNIT)}),
+sr AS (SELECT scope_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY score DESC, doc_id)::INT AS rank FROM (SELECT scope_id, doc_id, max(s)::DOUBLE AS score FROM sl GROUP BY ALL)) WHERE rank <= 20)"""
 
 
 def _recall(spark, d):
-    scopes = V.queries_in(spark, d).where("query_id like 'd%'").select(F.col("query_id").alias("scope_id"), F.col("query").alias("scope"))
+    scopes = V.queries_in(spark, d).select(F.col("query_id").alias("scope_id"), F.col("query").alias("scope"))
     return G.scope_recall(scopes, V.docs(spark, d), V.chunks(spark, d), V.units(spark, d), 20)
 
 
@@ -350,9 +359,9 @@ def scope_recall(spark, d):
     return _recall(spark, d)
 
 
-@query("SELECT doc_id, count(DISTINCT scope_id) AS scopes, sum(score)::DOUBLE AS score FROM sr WHERE doc_id % 5 <> 0 GROUP BY doc_id", SCOPES)
+@query("SELECT doc_id, scopes, score, place FROM (SELECT *, row_number() OVER (ORDER BY scopes DESC, score DESC, doc_id)::INT AS place FROM (SELECT doc_id, count(DISTINCT scope_id) AS scopes, sum(score)::DOUBLE AS score FROM sr WHERE doc_id % 5 <> 0 GROUP BY doc_id)) WHERE place <= 40", SCOPES)
 def enrichment_queue(spark, d):
-    return G.enrichment_queue(_recall(spark, d), V.docs(spark, d).where("doc_id % 5 = 0"))
+    return G.enrichment_queue(_recall(spark, d), V.docs(spark, d).where("doc_id % 5 = 0"), 40)
 
 
 @query()
@@ -395,10 +404,18 @@ def dedupe_seeds(spark, d):
     return O.dedupe_seeds(O.chunk_topic_seeds(V.chunks(spark, d), 40), ["with"]).select("topic")
 
 
-@query(f"SELECT topic, count(*) AS signals, count(DISTINCT doc_id) AS documents FROM (SELECT topic, doc_id, chunk_no, count(*) AS have, any_value(need) AS need FROM (SELECT doc_id, chunk_no, unnest({WORDS.format('content')}) AS term FROM chunks) JOIN (SELECT topic, unnest(w) AS term, len(w) AS need FROM (SELECT topic, {WORDS.format('topic')} AS w FROM seeds)) USING (term) GROUP BY topic, doc_id, chunk_no) WHERE have = need GROUP BY topic HAVING count(*) >= 6", SEEDS)
+CANDIDATES = SEEDS + """,
+dh AS (SELECT topic, doc_id, chunk_no, title FROM seeds JOIN chunks ON contains(lower(content), lower(topic))),
+dt AS (SELECT topic, count(*) AS signals, count(DISTINCT doc_id) AS documents FROM dh GROUP BY topic HAVING count(*) >= 6),
+de AS (SELECT topic, array_to_string(list_sort(list(e)), ',') AS evidence FROM (SELECT topic, 'chunk:' || doc_id || ':' || chunk_no AS e, row_number() OVER (PARTITION BY topic ORDER BY doc_id, chunk_no) AS k FROM dh) WHERE k <= 5 GROUP BY topic),
+dk AS (SELECT topic, array_to_string(list(word ORDER BY k), ',') AS keywords FROM (SELECT topic, word, row_number() OVER (PARTITION BY topic ORDER BY n DESC, word) AS k FROM (SELECT topic, word, count(*) AS n FROM (SELECT topic, unnest(""" + WORDS.format("title") + """) AS word FROM dh) WHERE length(word) >= 2 GROUP BY ALL)) WHERE k <= 5 GROUP BY topic)"""
+
+
+@query("SELECT topic, signals, documents, evidence, keywords FROM dt JOIN de USING (topic) LEFT JOIN dk USING (topic)", CANDIDATES)
 def discover_candidates(spark, d):
     c = V.chunks(spark, d)
-    return O.discover_candidates(O.chunk_topic_seeds(c, 40), c).select("topic", "signals", "documents")
+    df = O.discover_candidates(O.chunk_topic_seeds(c, 40), c)
+    return df.select("topic", "signals", "documents", F.array_join("evidence", ",").alias("evidence"), F.array_join("keywords", ",").alias("keywords"))
 
 
 @query(f"SELECT kind, id FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, kind, id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts DESC, id) AS k FROM (SELECT 'document' AS kind, doc_id::VARCHAR AS id, {TS.format('doc_id')} AS ts FROM docs UNION ALL SELECT 'unit', doc_id || ':' || chunk_no, {TS.format('doc_id')} FROM units UNION ALL SELECT 'chunk', doc_id || ':' || chunk_no, {TS.format('doc_id')} FROM chunks) WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20') WHERE k <= 50) WHERE r <= 50", V.UNITS)
@@ -408,14 +425,22 @@ def recent_signals(spark, d):
     return O.recent_signals(_timed(V.docs(spark, d)), _timed(V.units(spark, d)), _timed(V.chunks(spark, d)), datetime.datetime(2024, 1, 5), datetime.datetime(2024, 1, 20), 50).select("kind", "id")
 
 
+_PASS = "SELECT domain_id, {} AS pass_no, '{}' AS pass, {} AS weight, unnest(range(len(t))) AS pos, unnest(t) AS term FROM (SELECT domain_id, list_transform(list_filter(range(1, len(t0) + 1), lambda i: NOT list_contains(t0[1:i - 1], t0[i])), lambda i: t0[i])[1:8] AS t FROM (SELECT domain_id, {} AS t0 FROM dom))"
 PLAN = PREP + """,
-dom AS (SELECT query_id AS domain_id, query AS name FROM queries_in),
-pl AS (SELECT domain_id, pass, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY domain_id, term ORDER BY pass_no, pos) AS k FROM (SELECT domain_id, 0 AS pass_no, 'core' AS pass, 3.0 AS weight, 0 AS pos, lower(trim(name, ' ')) AS term FROM dom UNION ALL SELECT domain_id, 3, 'recall', 1.2, unnest(range(len(t))), unnest(t) FROM (SELECT domain_id, (list_filter(list_transform(regexp_split_to_array(lower(name), '和|与|及|的|、|,|，|/|\\s+'), lambda x: trim(x, ' ')), lambda x: length(x) BETWEEN 2 AND 64)) AS t0, list_filter(range(1, len(t0) + 1), lambda i: NOT list_contains(t0[1:i - 1], t0[i])) AS keep, list_transform(keep, lambda i: t0[i])[1:8] AS t FROM dom)) WHERE term <> '') WHERE k = 1)"""
+dom AS (SELECT query_id AS domain_id, query AS name, list_filter(string_split(query, ' '), lambda x: length(x) >= 3)[1:2] AS dimensions, list_filter(list_transform(regexp_split_to_array(query, '[^\\p{L}]+'), lambda x: x || ' '), lambda x: length(x) >= 5) AS keywords FROM queries_in),
+pl AS (SELECT domain_id, pass, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY domain_id, term ORDER BY pass_no, pos) AS k FROM (""" + " UNION ALL ".join(_PASS.format(i, *x) for i, x in enumerate((
+    ("core", 3.0, "[lower(trim(name, ' '))]"),
+    ("dimension", 2.4, "list_transform(dimensions, lambda x: lower(trim(x, ' ')))"),
+    ("expanded", 2.0, "list_transform(keywords, lambda x: lower(trim(x, ' ')))"),
+    ("recall", 1.2, "list_filter(list_transform(regexp_split_to_array(lower(name), '和|与|及|的|、|,|，|/|\\s+'), lambda x: trim(x, ' ')), lambda x: length(x) BETWEEN 2 AND 64)"),
+))) + ") WHERE term <> '') WHERE k = 1)"
 
 
 def _domains(spark, d):
-    none = F.array().cast("array<string>")
-    return V.queries_in(spark, d).select(F.col("query_id").alias("domain_id"), F.col("query").alias("name"), none.alias("dimensions"), none.alias("keywords"))
+    """A domain a query: its first two words of three letters are dimensions, its words of four letters keywords."""
+    q = V.queries_in(spark, d).select(F.col("query_id").alias("domain_id"), F.col("query").alias("name"))
+    q = q.withColumn("dimensions", F.slice(F.filter(F.split("name", " "), lambda x: F.length(x) >= 3), 1, 2))
+    return q.withColumn("keywords", F.filter(F.transform(F.split("name", r"[^\p{L}]+"), lambda x: F.concat(x, F.lit(" "))), lambda x: F.length(x) >= 5))
 
 
 @query("SELECT domain_id, pass, term, weight::DOUBLE AS weight FROM pl", PLAN)
@@ -423,10 +448,9 @@ def retrieval_plan(spark, d):
     return O.retrieval_plan(_domains(spark, d))
 
 
-RECALL = PLAN + f""",
-pw AS (SELECT domain_id, term, weight, unnest(w) AS word, len(w) AS need FROM (SELECT *, {WORDS.format('term')} AS w FROM pl)),
-it AS (SELECT doc_id || ':' || chunk_no AS item_id, title, content FROM chunks),
-ri AS (SELECT domain_id, item_id, round(sum(s), 6)::DOUBLE AS score, count(*) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY domain_id, term ORDER BY s DESC, item_id) AS k FROM (SELECT domain_id, term, item_id, sum(s) AS s FROM (SELECT domain_id, term, item_id, max(weight) * 2.0 AS s FROM (SELECT item_id, unnest({WORDS.format('title')}) AS word FROM it) JOIN pw USING (word) GROUP BY domain_id, term, item_id HAVING count(*) = any_value(need) UNION ALL SELECT domain_id, term, item_id, max(weight) * 1.0 FROM (SELECT item_id, unnest({WORDS.format('content')}) AS word FROM it) JOIN pw USING (word) GROUP BY domain_id, term, item_id HAVING count(*) = any_value(need)) GROUP BY ALL)) WHERE k <= 6 GROUP BY ALL)"""
+RECALL = PLAN + """,
+it AS MATERIALIZED (SELECT doc_id, doc_id || ':' || chunk_no AS item_id, title, content, lower(title) AS lt, lower(content) AS lc FROM chunks),
+ri AS (SELECT domain_id, item_id, round(sum(s), 6)::DOUBLE AS score, count(*) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY domain_id, term ORDER BY s DESC, item_id) AS k FROM (SELECT domain_id, term, item_id, weight * (CASE WHEN contains(lt, term) THEN 2.0 ELSE 0 END + CASE WHEN contains(lc, term) THEN 1.0 ELSE 0 END) AS s FROM it JOIN pl ON contains(lc, term) OR contains(lt, term))) WHERE k <= 6 GROUP BY ALL)"""
 
 
 def _items(spark, d):
@@ -452,11 +476,11 @@ def documents_from_evidence(spark, d):
     return O.documents_from_evidence(_recalled(spark, d), _items(spark, d)).withColumn("score", F.round("score", 5))
 
 
-@query("SELECT domain_id, count(*) AS n FROM (SELECT domain_id, item_id FROM ri WHERE NOT ends_with(item_id, '0') UNION ALL SELECT domain_id, item_id FROM (SELECT r.*, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY r.domain_id ORDER BY score DESC, item_id) AS k FROM ri r LEFT JOIN (SELECT domain_id, count(*) AS n FROM ri WHERE NOT ends_with(item_id, '0') GROUP BY 1) h ON h.domain_id = r.domain_id WHERE ends_with(item_id, '0')) WHERE n + k <= 12) GROUP BY domain_id", RECALL)
+@query("SELECT domain_id, item_id, score, 'recall' AS origin FROM ri WHERE NOT ends_with(item_id, '0') UNION ALL SELECT domain_id, item_id, round(score * 0.85 + 1e-9, 6), 'backfill' FROM (SELECT r.*, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY r.domain_id ORDER BY score DESC, item_id) AS k FROM ri r LEFT JOIN (SELECT domain_id, count(*) AS n FROM ri WHERE NOT ends_with(item_id, '0') GROUP BY 1) h ON h.domain_id = r.domain_id WHERE ends_with(item_id, '0')) WHERE n + k <= 12", RECALL)
 def coverage_backfill(spark, d):
     r = _recalled(spark, d)
     zero = F.col("item_id").endswith("0")
-    return O.coverage_backfill(r.where(~zero), r.where(zero), 12).groupBy("domain_id").agg(F.count("*").alias("n"))
+    return O.coverage_backfill(r.where(~zero), r.where(zero), 12)
 
 
 @query()
@@ -465,18 +489,18 @@ def select_evidence_mmr(spark, d):
     return O.select_evidence_mmr(rows, 20, 3, 6)
 
 
-@query(f"SELECT domain_id, count(*) AS n FROM ri JOIN it USING (item_id) WHERE NOT (list_contains({WORDS.format('content')}, 'then') OR list_contains({WORDS.format('content')}, 'pour')) GROUP BY domain_id", RECALL)
+@query("SELECT domain_id, item_id, score FROM ri JOIN it USING (item_id) WHERE NOT (contains(lc, 'then') OR contains(lc, 'our the'))", RECALL)
 def filter_excluded(spark, d):
     items = _recalled(spark, d).join(_items(spark, d).select("item_id", "content"), "item_id")
-    ex = _domains(spark, d).select("domain_id", F.explode(F.array(F.lit("then"), F.lit("pour"))).alias("phrase"))
-    return O.filter_excluded(items, ex, ["content"]).groupBy("domain_id").agg(F.count("*").alias("n"))
+    ex = _domains(spark, d).select("domain_id", F.explode(F.array(F.lit("Then "), F.lit("our the"))).alias("phrase"))
+    return O.filter_excluded(items, ex, ["content"]).select("domain_id", "item_id", "score")
 
 
-@query(f"SELECT domain_id, item_id, dimension FROM (SELECT domain_id, item_id, dimension, row_number() OVER (PARTITION BY domain_id, item_id ORDER BY p DESC, dimension) AS k FROM (SELECT domain_id, item_id, unnest(['then', 'with', 'und']) AS dimension, list_contains(w, unnest(['then', 'with', 'und']))::INT * 4 + list_contains(w, unnest(['the', 'of', 'der']))::INT * 2 AS p FROM (SELECT domain_id, item_id, {WORDS.format('content')} AS w FROM ri JOIN it USING (item_id))) WHERE p > 0) WHERE k = 1", RECALL)
+@query("SELECT domain_id, item_id, dimension, points::INT AS points FROM (SELECT domain_id, item_id, dimension, p AS points, row_number() OVER (PARTITION BY domain_id, item_id ORDER BY p DESC, dimension) AS k FROM (SELECT domain_id, item_id, unnest(['then', 'with', 'und']) AS dimension, contains(lc, unnest(['then', 'with', 'und']))::INT * 4 + contains(lc, unnest(['the', 'of', 'der']))::INT * 2 AS p FROM ri JOIN it USING (item_id)) WHERE p > 0) WHERE k = 1", RECALL)
 def group_evidence(spark, d):
     items = _recalled(spark, d).join(_items(spark, d).select("item_id", F.col("content").alias("text")), "item_id")
     dims = _domains(spark, d).select("domain_id", F.explode(F.array(*(F.struct(F.lit(a).alias("dimension"), F.array(F.lit(b)).alias("keywords")) for a, b in (("then", "the"), ("with", "of"), ("und", "der"))))).alias("x")).select("domain_id", "x.*")
-    return O.group_evidence(items, dims, 10_000).select("domain_id", "item_id", "dimension")
+    return O.group_evidence(items, dims, 10_000).select("domain_id", "item_id", "dimension", F.col("points").cast("int").alias("points"))
 
 
 @query()
@@ -492,10 +516,10 @@ def resolve_refs(spark, d):
     return O.resolve_refs(refs, V.docs(spark, d), V.chunks(spark, d)).select("ref", "doc_id", "text")
 
 
-@query(f"SELECT topic_id, fact_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY hits DESC, fact_id)::INT AS rank FROM (SELECT p_partkey AS topic_id, fact_id, count(*) AS hits FROM (SELECT fact_id, unnest({WORDS.format("concat_ws(' ', subject, object)")}) AS term FROM facts WHERE predicate = 'supplies') JOIN (SELECT p_partkey, unnest({WORDS.format('p_name')}) AS term FROM part WHERE p_partkey % 100 = 0) USING (term) GROUP BY ALL)) WHERE rank <= 80", V.FACTS)
+@query(f"SELECT topic_id, fact_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY hits DESC, fact_id, subject, object, predicate)::INT AS rank FROM (SELECT p_partkey AS topic_id, fact_id, subject, object, predicate, count(DISTINCT term) AS hits FROM (SELECT fact_id, subject, object, predicate, lower(concat_ws(' ', subject, object)) AS hay FROM facts) JOIN (SELECT p_partkey, unnest(list_filter({WORDS.format('p_name')}, lambda x: length(x) >= 2)) AS term FROM part WHERE p_partkey % 100 = 0) ON contains(hay, term) GROUP BY ALL)) WHERE rank <= 80", V.FACTS)
 def topic_subgraph(spark, d):
     t = V.table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("topic_id"), F.col("p_name").alias("topic"))
-    return O.topic_subgraph(V.facts(spark, d).where("predicate = 'supplies'"), t).select("topic_id", "fact_id", "rank")
+    return O.topic_subgraph(V.facts(spark, d), t).select("topic_id", "fact_id", "rank")
 
 
 def _cards(spark, d):

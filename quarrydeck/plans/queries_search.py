@@ -41,11 +41,10 @@ def _score(fields) -> str:
 
 
 def _leg(kind: str, table: str, ids: str, fields) -> str:
-    names = ", ".join(f"coalesce({f[0]}, '')" for f in fields)
     item = f"'{kind}:' || " + " || ':' || ".join(i.strip() for i in ids.split(","))
     have = [f[0] for f in fields]
     kinds = " ".join(f"WHEN contains(lower(coalesce({n}, '')), raw) THEN '{n}'" for n in ("title", "filename", "content") if n in have)
-    return f"""SELECT * FROM (SELECT query_id, '{kind}' AS kind, doc_id, {item} AS item_id, {_score(fields)} AS score, CASE {kinds} ELSE 'fulltext' END AS match_type FROM {table} JOIN prep ON list_has_any(terms, {WORDS.format(f"concat_ws(' ', {names})")})) WHERE score > 0"""
+    return f"""SELECT * FROM (SELECT query_id, '{kind}' AS kind, doc_id, {item} AS item_id, {_score(fields)} AS score, CASE {kinds} ELSE 'fulltext' END AS match_type FROM {table} JOIN prep ON raw <> '') WHERE score > 0"""
 
 
 PREP = V.UNITS + "," + V.QUERIES_IN + f""",
@@ -123,27 +122,36 @@ def answer_rows(spark, d):
 
 
 HYBRID = DOC_HITS + """,
-sem AS (SELECT query_id, item_id, round(score * 0.5, 6) AS score FROM hits WHERE doc_id % 3 = 0 UNION ALL SELECT query_id, 'document:' || doc_id, round(score, 6) FROM dh)"""
+em AS (SELECT item_id, list_transform(range(0, 32), lambda d: coalesce(list_sum(list_transform(range(d + 1, len(s) + 1, 32), lambda i: (unicode(s[i]) % 97) / 97.0::DOUBLE)), 0)) AS v, is_query FROM (
+  SELECT item_id, string_split(substr(t, 1, 2048), '') AS s, is_query FROM (SELECT 'unit:' || doc_id || ':' || chunk_no AS item_id, content AS t, false AS is_query FROM units UNION ALL SELECT 'chunk:' || doc_id || ':' || chunk_no, content, false FROM chunks UNION ALL SELECT query_id, raw, true FROM prep) WHERE t <> '')),
+ev AS MATERIALIZED (SELECT item_id, is_query, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM em WHERE list_sum(v) > 0),
+sem AS (SELECT query_id, item_id, round(cosine * 3, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS k FROM (SELECT q.item_id AS query_id, i.item_id, round(list_dot_product(q.v, i.v), 6) AS cosine FROM ev q JOIN ev i ON q.is_query AND NOT i.is_query) WHERE cosine > 0.05) WHERE k <= 40)"""
 
 
-def _semantic(spark, d, hits):
-    return hits.where("doc_id % 3 = 0").select("query_id", "item_id", F.round(F.col("score") * 0.5, 6).alias("score")).unionByName(S.doc_hits(hits).select("query_id", F.concat(F.lit("document:"), F.col("doc_id")).alias("item_id"), "score"))
+def _e4():
+    """The score in ten-thousandths, rounded alike by both engines where it lies halfway."""
+    return F.floor(F.col("score") * 10000 + 0.500001).alias("score_e4")
 
 
-@query("SELECT query_id, item_id, round(CASE WHEN k IS NOT NULL AND s IS NOT NULL THEN 1.12 * k + 0.22 * s ELSE coalesce(k, s) END, 5)::DOUBLE AS score, CASE WHEN k IS NOT NULL AND s IS NOT NULL THEN 'hybrid' WHEN k IS NOT NULL THEN 'keyword' ELSE 'semantic' END AS leg FROM (SELECT query_id, item_id, max(score) AS k FROM hits GROUP BY ALL) FULL JOIN (SELECT query_id, item_id, max(score) AS s FROM sem GROUP BY ALL) USING (query_id, item_id)", HYBRID)
+def _semantic(spark, d):
+    part = lambda kind, df: df.select(F.concat_ws(":", F.lit(kind), "doc_id", "chunk_no").alias("item_id"), F.col("content").alias("text"))
+    return S.semantic_leg(V.queries_in(spark, d), part("unit", V.units(spark, d)).unionByName(part("chunk", V.chunks(spark, d))), 40)
+
+
+@query("SELECT query_id, item_id, floor(round((CASE WHEN k IS NOT NULL AND s IS NOT NULL THEN 1.12 * k + 0.22 * s ELSE coalesce(k, s) END) + 1e-9, 6) * 10000 + 0.500001)::BIGINT AS score_e4, CASE WHEN k IS NOT NULL AND s IS NOT NULL THEN 'hybrid' WHEN k IS NOT NULL THEN 'keyword' ELSE 'semantic' END AS leg FROM (SELECT query_id, item_id, max(score) AS k FROM hits GROUP BY ALL) FULL JOIN (SELECT query_id, item_id, max(score) AS s FROM sem GROUP BY ALL) USING (query_id, item_id)", HYBRID)
 def hybrid_merge(spark, d):
     h = _hits_df(spark, d)
-    return S.hybrid_merge(h, _semantic(spark, d, h)).withColumn("score", F.round("score", 5))
+    return S.hybrid_merge(h, _semantic(spark, d)).select("query_id", "item_id", _e4(), "leg")
 
 
 def _weighted(w_k: float, w_v: float, boost: float) -> str:
-    return f"SELECT query_id, item_id, round(coalesce(k, 0) * {w_k} + coalesce(s, 0) * {w_v} + CASE WHEN k IS NOT NULL AND s IS NOT NULL THEN {boost} ELSE 0 END, 5)::DOUBLE AS score, k IS NOT NULL AND s IS NOT NULL AS both FROM (SELECT query_id, item_id, max(score) AS k FROM hits WHERE kind = '{'unit' if w_k == 0.7 else 'chunk'}' GROUP BY ALL) FULL JOIN (SELECT query_id, item_id, max(score) AS s FROM sem WHERE starts_with(item_id, '{'unit' if w_k == 0.7 else 'chunk'}') GROUP BY ALL) USING (query_id, item_id)"
+    return f"SELECT query_id, item_id, floor(round((coalesce(k, 0) * {w_k} + coalesce(s, 0) * {w_v} + CASE WHEN k IS NOT NULL AND s IS NOT NULL THEN {boost} ELSE 0 END) + 1e-9, 6) * 10000 + 0.500001)::BIGINT AS score_e4, k IS NOT NULL AND s IS NOT NULL AS both FROM (SELECT query_id, item_id, max(score) AS k FROM hits WHERE kind = '{'unit' if w_k == 0.7 else 'chunk'}' GROUP BY ALL) FULL JOIN (SELECT query_id, item_id, max(score) AS s FROM sem WHERE starts_with(item_id, '{'unit' if w_k == 0.7 else 'chunk'}') GROUP BY ALL) USING (query_id, item_id)"
 
 
 def _weighted_df(spark, d, kind, **w):
     h = _hits_df(spark, d)
-    df = S.weighted_hybrid(h.where(F.col("kind") == kind), _semantic(spark, d, h).where(F.col("item_id").startswith(kind)), **w)
-    return df.withColumn("score", F.round("score", 5))
+    df = S.weighted_hybrid(h.where(F.col("kind") == kind), _semantic(spark, d).where(F.col("item_id").startswith(kind)), **w)
+    return df.select("query_id", "item_id", _e4(), "both")
 
 
 @query(_weighted(0.7, 0.8, 0.4), HYBRID)
@@ -167,9 +175,10 @@ def _phrase(c: str) -> str:
     return f"CASE WHEN trim(lower({c}), ' ') = '' THEN 0 WHEN raw <> '' AND contains(lower({c}), raw) THEN 3 WHEN regexp_replace(raw, '\\s+', '', 'g') <> '' AND contains(regexp_replace(lower({c}), '\\s+', '', 'g'), regexp_replace(raw, '\\s+', '', 'g')) THEN 2 WHEN tight <> '' AND contains({TIGHT.format(c)}, tight) THEN 1 ELSE 0 END"
 
 
-@query(f"SELECT query_id, doc_id, 3 * {_phrase('title')} + 4 * {_phrase('text')} + 2 * {_phrase('filename')} + {_phrase('path')} AS priority, CASE WHEN {_phrase('title')} > 0 THEN 4 ELSE 0 END + CASE WHEN {_phrase('text')} > 0 THEN 4 ELSE 0 END + CASE WHEN {_phrase('filename')} > 0 THEN 2 ELSE 0 END + CASE WHEN {_phrase('path')} > 0 THEN 1 ELSE 0 END + 3 + 2 AS lexical FROM hits JOIN docs USING (doc_id) JOIN prep USING (query_id) WHERE kind = 'document'", KEYWORD)
+@query(f"SELECT query_id, doc_id, 3 * {_phrase('title')} + 4 * {_phrase('text')} + 2 * {_phrase('filename')} + {_phrase('path')} AS priority, CASE WHEN {_phrase('title')} > 0 THEN 4 ELSE 0 END + CASE WHEN {_phrase('text')} > 0 THEN 4 ELSE 0 END + CASE WHEN {_phrase('filename')} > 0 THEN 2 ELSE 0 END + CASE WHEN {_phrase('path')} > 0 THEN 1 ELSE 0 END + CASE WHEN leg IN ('keyword', 'hybrid') THEN 3 ELSE 0 END + CASE WHEN match_type IN ('fulltext', 'title', 'filename') THEN 2 ELSE 0 END AS lexical FROM (SELECT query_id, doc_id, match_type, CASE WHEN doc_id % 3 = 0 THEN 'semantic' ELSE 'keyword' END AS leg FROM hits WHERE kind = 'document' UNION ALL SELECT query_id, doc_id, match_type, 'hybrid' FROM hits WHERE kind = 'chunk') JOIN docs USING (doc_id) JOIN prep USING (query_id)", KEYWORD)
 def exact_phrase_priority(spark, d):
-    h = _hits_df(spark, d).where("kind = 'document'").select("query_id", "doc_id", F.lit("keyword").alias("leg"), F.lit("title").alias("match_type"))
+    leg = F.when(F.col("kind") == "chunk", "hybrid").when(F.col("doc_id") % 3 == 0, "semantic").otherwise("keyword")
+    h = _hits_df(spark, d).where("kind != 'unit'").select("query_id", "doc_id", leg.alias("leg"), "match_type")
     df = h.join(V.docs(spark, d).withColumn("content", F.col("text")), "doc_id").join(S.prepared(V.queries_in(spark, d)), "query_id")
     return df.select("query_id", "doc_id", S.exact_phrase_priority().alias("priority"), S.lexical_priority().alias("lexical"))
 
@@ -254,10 +263,10 @@ def cosine_similarity(spark, d):
     return e.join(nxt, "vec_id").select("vec_id", F.round(S.cosine("embedding", "other"), 6).alias("cosine"))
 
 
-@query("SELECT doc_id, round(sqrt(list_sum(list_transform(s, lambda x: x * x))), 5)::DOUBLE AS length, round(s[1], 5)::DOUBLE AS first FROM (SELECT doc_id, list_transform(range(0, 32), lambda d: coalesce(list_sum(list_transform(list_filter(range(1, length(t) + 1), lambda i: (i - 1) % 32 = d), lambda i: (unicode(substr(t, i, 1)) % 97) / 97.0::DOUBLE)), 0)) AS s FROM (SELECT doc_id, substr(text, 1, 2048) AS t FROM docs))".replace("round(sqrt(list_sum(list_transform(s, lambda x: x * x))), 5)::DOUBLE AS length, round(s[1], 5)::DOUBLE AS first", "round(s[1] / sqrt(list_sum(list_transform(s, lambda x: x * x))), 5)::DOUBLE AS first, round(s[32] / sqrt(list_sum(list_transform(s, lambda x: x * x))), 5)::DOUBLE AS last"), V.DOCS)
+@query("SELECT doc_id, array_to_string(list_transform(s, lambda x: round(x / sqrt(list_sum(list_transform(s, lambda y: y * y))) * 100000)::BIGINT), ',') AS vector FROM (SELECT doc_id, list_transform(range(0, 32), lambda d: coalesce(list_sum(list_transform(range(d + 1, len(t) + 1, 32), lambda i: (unicode(t[i]) % 97) / 97.0::DOUBLE)), 0)) AS s FROM (SELECT doc_id, string_split(substr(text, 1, 2048), '') AS t FROM docs))", V.DOCS)
 def hash_embedding(spark, d):
     df = V.docs(spark, d).select("doc_id", S.hash_embedding("text").alias("v"))
-    return df.select("doc_id", F.round(F.col("v")[0], 5).alias("first"), F.round(F.col("v")[31], 5).alias("last"))
+    return df.select("doc_id", F.array_join(F.transform("v", lambda x: F.round(x * 100000).cast("long")), ",").alias("vector"))
 
 
 @query("SELECT CASE WHEN e.vec_id % 9 <> 0 THEN len(embedding)::VARCHAR ELSE 'none' END AS dimensions, count(*) AS n FROM embeddings e GROUP BY 1")
