@@ -97,3 +97,17 @@ CONNECTORS = "以及|及其|以及其|与|和|及|或|并|并且|相关|包括|
 QUESTION_HEAD = "^(请问|如何|怎么|哪些|什么是|什么|用于|为了|围绕|关于)"
 QUESTION_TAIL = "(有哪些|是什么|怎么做|如何做|吗|呢)$"
 NEGATIVE_CUES = "(排除|不包含|不包括|不纳入范围|不纳入)"
+
+# States by their texts: words of a phase in their order, words without meaning for a state, and texts that say nothing.
+STATE_PHASES = (
+    ("phase:1", ("一期", "第一阶段", "第一期", "v1", "1.0")),
+    ("phase:2", ("二期", "第二阶段", "第二期", "v2", "2.0")),
+    ("phase:3", ("三期", "第三阶段", "第三期", "v3", "3.0")),
+    ("phase:upgrade", ("升级", "改造", "新版", "新版本")),
+)
+STATE_FILLERS = ("项目名称之一", "项目名称", "系统名称", "文档中提及的", "指该申报书", "指本次申报", "指代", "指", "一个具体的", "具体的", "一个", "核心", "名称", "。", "，")
+STATE_EMPTY = ("项目", "系统", "项目或系统", "智慧管理系统")
+
+# Texts of structure facts that point to noise.
+STRUCTURE_NUMBERS = "「[0-9.]+」"
+STRUCTURE_FIELDS = ("字段", "单价", "支出标准", "计量单位", "备注", "序号")

@@ -247,6 +247,40 @@ def fuse_states(states: DataFrame) -> DataFrame:
     return states.groupBy("entity_key", "signal", "label").agg(F.max_by("definition", F.struct(F.length("definition"), "definition")).alias("definition"), F.count("*").alias("states"))
 
 
+def state_signature(entity_name, state_text, valid_from, valid_to, phases=L.STATE_PHASES, fillers=L.STATE_FILLERS, empty=L.STATE_EMPTY) -> Column:
+    """What makes two states of an entity the same: a phase, else the time range, else default for texts that say nothing,
+    else the head of the text without the entity's name and filler words."""
+    low = F.lower(T.text(state_text))
+    bare = F.replace(low, F.lower(T.text(entity_name)), F.lit(""))
+    for word in fillers:
+        bare = F.replace(bare, F.lit(word), F.lit(""))
+    bare, a, b = F.trim(bare), T.text(valid_from), T.text(valid_to)
+    rest = F.when((a != "") | (b != ""), F.concat(F.lit("time:"), a, F.lit("|"), b)).when((bare == "") | bare.isin(*empty), "default").otherwise(F.concat(F.lit("text:"), F.substring(bare, 1, 48)))
+    found = T.first_cue(low, phases, "")
+    return F.when(found != "", found).otherwise(rest)
+
+
+def fuse_states_by_text(states: DataFrame) -> DataFrame:
+    """(entity_key, signature, definition, states): states of an entity with one signature; the longest definition stands for them.
+
+    states(entity_key, entity_name, state_name, definition, valid_from, valid_to).
+    """
+    text = F.concat_ws(" ", T.text("state_name"), T.text("definition"))
+    df = states.withColumn("signature", state_signature("entity_name", text, "valid_from", "valid_to"))
+    return df.groupBy("entity_key", "signature").agg(F.max_by("definition", F.struct(F.length("definition"), "definition")).alias("definition"), F.count("*").alias("states"))
+
+
+def phase_relations(transitions: DataFrame, states: DataFrame, facts: DataFrame) -> DataFrame:
+    """(state_key, fact_id): states of a phase, version or status that a transition leads to become subjects of its fact.
+
+    transitions(fact_id, to_state), states(state_key, signal), facts(fact_id, fact_kind).
+    """
+    kind = normalize_fact_kind("fact_kind")
+    anchors = states.where(F.col("signal").isin("phase", "version", "status")).select(F.col("state_key").alias("to_state"))
+    told = facts.where(kind.isin("relation_fact", "transition_fact")).select("fact_id")
+    return transitions.join(anchors, "to_state", "left_semi").join(told, "fact_id", "left_semi").select(F.col("to_state").alias("state_key"), "fact_id").distinct()
+
+
 def inferred_transitions(states: DataFrame) -> DataFrame:
     """(entity_key, signal, from_label, to_label, confidence): consecutive distinct states of an entity in the order of their dates."""
     w = Window.partitionBy("entity_key", "signal").orderBy("since", "label")
@@ -358,23 +392,71 @@ def graph_stats(graph: Mapping[str, DataFrame]) -> DataFrame:
     return out.unionByName(graph["state"].where("is_default").agg(F.count("*").alias("n")).select(F.lit("default_state").alias("part"), "n"))
 
 
-def graph_quality(graph: Mapping[str, DataFrame]) -> DataFrame:
-    """One row: facts, without evidence, of low confidence, relations, entities, isolated ones, and a quality ratio."""
-    fact, entity = graph["fact"], graph["entity"]
-    ends = fact.select(F.col("subject_state").alias("s")).union(fact.where("object_state is not null").select("object_state")).distinct()
-    linked = graph["state"].join(ends, F.col("state_key") == F.col("s"), "left_semi").select("key").distinct()
-    alone = entity.join(linked, "key", "left_anti").agg(F.count("*").alias("isolated"))
-    f = fact.agg(F.count("*").alias("facts"), F.count_if(F.col("evidence") == 0).alias("no_evidence"), F.count_if(F.col("confidence") < 0.6).alias("weak"), F.count_if(F.col("object_state").isNotNull()).alias("relations"))
-    e = entity.agg(F.count("*").alias("entities"))
-    df = f.crossJoin(e).crossJoin(alone)  # one row each
-    return df.withColumn("quality", F.round(1 - (F.col("no_evidence") + F.col("weak")) / F.greatest(F.col("facts"), F.lit(1)) * 0.5 - F.col("isolated") / F.greatest(F.col("entities"), F.lit(1)) * 0.5, 6))
+def unlinked_entities(graph: Mapping[str, DataFrame]) -> DataFrame:
+    """(key, name, entity_type, mentioned): entities whose default state is in no fact."""
+    fact = graph["fact"]
+    ends = fact.select(F.col("subject_state").alias("state_key")).union(fact.where("object_state is not null").select("object_state")).distinct()
+    alone = graph["state"].where("is_default").join(ends, "state_key", "left_anti").select("key").distinct()
+    seen = graph["mention"].select("key").distinct().withColumn("mentioned", F.lit(True))
+    return graph["entity"].select("key", "name", "entity_type").join(alone, "key", "left_semi").join(seen, "key", "left").fillna(False, ["mentioned"])
+
+
+def is_suspicious_name(name: str = "name") -> Column:
+    return (F.length(T.text(name)) <= 1) | T.is_value_like(name)
+
 
+def graph_quality(graph: Mapping[str, DataFrame], *, eligible: DataFrame, clusters: DataFrame, transitions: DataFrame, structure: DataFrame, numbers: str = L.STRUCTURE_NUMBERS, fields: Sequence[str] = L.STRUCTURE_FIELDS) -> DataFrame:
+    """One row of fifteen counts and the relations per entity.
 
-def quality_risks(graph: Mapping[str, DataFrame], samples: int = 30) -> DataFrame:
-    """(risk, item, detail) rows: low confidence, value-like names and isolated entities; at most ``samples`` each."""
-    rows = graph["fact"].where("confidence < 0.6").select(F.lit("weak_fact").alias("risk"), F.col("fact_key").alias("item"), F.col("predicate").alias("detail"))
-    rows = rows.unionByName(graph["entity"].where(T.is_value_like("name")).select(F.lit("value_like_name").alias("risk"), F.col("key").alias("item"), F.col("entity_type").alias("detail")))
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("risk").orderBy("item"))).where(F.col("k") <= samples).drop("k")
+    eligible(key), clusters (a row each), transitions (a row each), structure(statement): facts of structure enhancement.
+    """
+    count = lambda df, **cols: df.agg(*(F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in cols.items()))
+    every, kind = F.count("*"), normalize_fact_kind("fact_kind")
+    parts = [
+        count(graph["entity"], entities=every, suspicious_names=F.count_if(is_suspicious_name())),
+        count(eligible, fusion_eligible=every),
+        count(graph["fact"], facts=every, relation_facts=F.count_if(kind == "relation_fact"), attribute_facts=F.count_if(kind == "attribute_fact"), attribute_candidates=F.count_if(norm("fact_kind") == "attribute_candidate")),
+        count(clusters, entity_clusters=every),
+        count(graph["state"], real_states=F.count_if(~F.col("is_default"))),
+        count(transitions, transition_edges=every),
+        count(unlinked_entities(graph), unlinked_entities=every, isolated_entities=F.count_if(~F.col("mentioned"))),
+        count(structure, structure_facts=every, numeric_structure_facts=F.count_if(F.col("statement").rlike(numbers)), field_structure_facts=F.count_if(T.any_of(T.text("statement"), fields))),
+    ]
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.crossJoin(part)  # one row each
+    return df.withColumn("relation_per_entity", F.when(F.col("entities") == 0, 0.0).otherwise(F.round(F.col("relation_facts") / F.col("entities"), 2)))
+
+
+def quality_risks(quality: DataFrame) -> DataFrame:
+    """(risk, stage, n): the risks that a quality row shows, or ``none``."""
+    c = F.col
+    found = F.array(
+        *(F.when(yes, F.struct(F.lit(risk).alias("risk"), F.lit(stage).alias("stage"), n.cast("long").alias("n"))) for risk, stage, n, yes in (
+            ("attribute_backlog", "attribute_governance", c("attribute_candidates"), c("attribute_candidates") > 0),
+            ("structure_noise", "structure_enhancement", c("numeric_structure_facts") + c("field_structure_facts"), c("numeric_structure_facts") + c("field_structure_facts") > 0),
+            ("suspicious_names", "entity_extraction", c("suspicious_names"), c("suspicious_names") > 0),
+            ("isolated_entities", "entity_extraction", c("isolated_entities"), c("isolated_entities") > 0),
+            ("unlinked_entities", "relation_enrichment", c("unlinked_entities"), c("unlinked_entities") > 0),
+            ("sparse_relations", "relation_enrichment", F.round(c("relation_per_entity") * 100), (c("relation_per_entity") < 0.5) & (c("entities") > 0)),
+        ))
+    )
+    found = F.filter(found, lambda x: x.isNotNull())
+    none = F.array(F.struct(F.lit("none").alias("risk"), F.lit("ok").alias("stage"), F.lit(0).cast("long").alias("n")))
+    return quality.select(F.explode(F.when(F.size(found) > 0, found).otherwise(none)).alias("x")).select("x.*")
+
+
+def quality_samples(graph: Mapping[str, DataFrame], structure: DataFrame, *, most: int = 30, most_types: int = 20, numbers: str = L.STRUCTURE_NUMBERS, fields: Sequence[str] = L.STRUCTURE_FIELDS) -> DataFrame:
+    """(sample, item, detail): the first ``most`` unlinked entities, suspicious names and noisy structure facts, and the most
+    frequent kinds of relations. structure(statement, confidence)."""
+    kind = normalize_fact_kind("fact_kind")
+    rows = lambda df, sample, item, detail, n, *order: df.orderBy(*order).limit(n).select(F.lit(sample).alias("sample"), item.cast("string").alias("item"), detail.cast("string").alias("detail"))
+    noisy = structure.where(F.col("statement").rlike(numbers) | T.any_of(T.text("statement"), fields))
+    relations = graph["fact"].where(kind == "relation_fact").groupBy("predicate").agg(F.count("*").alias("n"))
+    out = rows(unlinked_entities(graph), "unlinked", F.col("name"), F.col("entity_type"), most, "name", "key")
+    out = out.unionByName(rows(graph["entity"].where(is_suspicious_name()), "suspicious", F.col("name"), F.col("entity_type"), most, "name", "key"))
+    out = out.unionByName(rows(noisy, "structure", F.col("statement"), F.col("confidence"), most, "confidence", "statement"))
+    return out.unionByName(rows(relations, "relations", F.col("predicate"), F.col("n"), most_types, F.desc("n"), "predicate"))
 
 
 def relation_counts(facts: DataFrame) -> DataFrame:

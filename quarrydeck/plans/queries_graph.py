@@ -82,9 +82,9 @@ def build_graph_states(spark, d):
     return _graph(spark, d)["state"]
 
 
-@query("SELECT fact_key, subject_state, object_state, evidence FROM fact", GRAPH)
+@query("SELECT fact_key, max_by(ss, [doc_id::VARCHAR, fact_id]) AS subject_state, max_by(os, [doc_id::VARCHAR, fact_id]) AS object_state, any_value(predicate) AS predicate, any_value(fact_kind) AS fact_kind, count(*) AS evidence FROM f3 GROUP BY fact_key", GRAPH)
 def build_graph_facts(spark, d):
-    return _graph(spark, d)["fact"].select("fact_key", "subject_state", "object_state", "evidence")
+    return _graph(spark, d)["fact"].select("fact_key", "subject_state", "object_state", "predicate", "fact_kind", "evidence")
 
 
 @query("SELECT 'entity' AS part, count(*) AS n FROM entity UNION ALL SELECT 'state', count(*) FROM state UNION ALL SELECT 'fact', count(*) FROM fact UNION ALL SELECT 'mention', count(*) FROM (SELECT DISTINCT key, doc_id FROM e1) UNION ALL SELECT 'evidence', count(*) FROM (SELECT DISTINCT fact_key, doc_id FROM f3) UNION ALL SELECT 'default_state', count(*) FROM state WHERE is_default", GRAPH)
@@ -145,9 +145,12 @@ def near_groups(spark, d):
     return G.near_groups(G.near_name_pairs(_keyed(spark, d).where("entity_type != 'customer'")))
 
 
-@query("SELECT fact_id, subject, signal, label FROM (SELECT fact_id, subject, 'time' AS signal, valid_from || '-' || valid_to AS label FROM facts) WHERE label <> ''", V.FACTS)
+@query("SELECT fact_id, subject, signal, label, confidence FROM (SELECT fact_id, subject, 'time' AS signal, valid_from || '-' || valid_to AS label, 0.78::DOUBLE AS confidence FROM df UNION ALL SELECT fact_id, subject, 'phase', nullif(regexp_extract(lower(predicate || ' ' || object), '(一期|二期|三期|四期|phase\\s*[1-4])', 1), ''), 0.82 FROM df UNION ALL SELECT fact_id, subject, 'version', nullif(regexp_extract(lower(predicate || ' ' || object), '(?i)\\b(v\\d+(?:\\.\\d+)*)', 1), ''), 0.76 FROM df UNION ALL SELECT fact_id, subject, 'status', CASE WHEN contains(object, 'planned') THEN 'planned' WHEN contains(object, 'running') THEN 'running' WHEN contains(object, 'done') THEN 'done' WHEN contains(object, 'closed') THEN 'closed' END, 0.70 FROM df) WHERE label <> ''", V.FACTS + ",\ndf AS (SELECT fact_id, subject, predicate, CASE WHEN fact_kind = 'attribute' THEN object || CASE (doc_id % 4) WHEN 0 THEN ' Phase 2 done' WHEN 1 THEN ' v1.' || doc_id WHEN 2 THEN ' running' ELSE '' END ELSE object END AS object, valid_from, valid_to FROM facts)")
 def derive_states(spark, d):
-    return G.derive_states(V.facts(spark, d)).where("signal = 'time'").select("fact_id", "subject", "signal", "label")
+    m = F.col("doc_id") % 4
+    tail = F.when(m == 0, " Phase 2 done").when(m == 1, F.concat(F.lit(" v1."), "doc_id")).when(m == 2, " running").otherwise("")
+    f = V.facts(spark, d).withColumn("object", F.when(F.col("fact_kind") == "attribute", F.concat("object", tail)).otherwise(F.col("object")))
+    return G.derive_states(f).select("fact_id", "subject", "signal", "label", "confidence")
 
 
 STATES = V.JOBS + ",\nst AS (SELECT file_id AS entity_key, stage AS signal, status AS label, status || repeat('x', (job_id % 7)::INT) AS definition, started AS since FROM jobs)"
@@ -237,14 +240,70 @@ def dedupe_facts(spark, d):
     return G.dedupe_facts(V.facts(spark, d), ["subject", "predicate", "object"], ["fact_id"]).select("subject", "predicate", "object", "fact_id")
 
 
-@query("SELECT count(*) AS facts, count(*) FILTER (WHERE object_state IS NOT NULL) AS relations, (SELECT count(*) FROM entity) AS entities FROM fact", GRAPH)
+STRUCTURE_FIELDS = ("then", "pour")
+QUALITY = GRAPH + "," + V.CHUNKS.strip() + f""",
+kinds AS (SELECT fact_key, any_value(predicate) AS predicate, any_value(fact_kind) AS kind FROM f3 GROUP BY fact_key),
+men AS (SELECT DISTINCT key FROM e1 WHERE doc_id % 7 <> 0),
+ends AS (SELECT subject_state AS s FROM fact UNION SELECT object_state FROM fact WHERE object_state IS NOT NULL),
+alone AS (SELECT e.key, name, entity_type, e.key IN (SELECT key FROM men) AS mentioned FROM entity e WHERE key || ':state:default' NOT IN (SELECT s FROM ends)),
+names AS (SELECT key, {FUSION.format('min(name)')} AS fk, {GROUP.format('min(entity_type)')} AS grp FROM e1 GROUP BY key),
+struc AS (SELECT content AS statement, (doc_id % 10) / 10.0 AS confidence FROM chunks),
+q AS (SELECT (SELECT count(*) FROM entity) AS entities, 0::BIGINT AS suspicious_names, (SELECT count(*) FROM names WHERE length(fk) >= 2) AS fusion_eligible, (SELECT count(*) FROM fact) AS facts, (SELECT count(*) FROM kinds WHERE kind = 'relation') AS relation_facts, (SELECT count(*) FROM kinds WHERE kind = 'attribute') AS attribute_facts, 0::BIGINT AS attribute_candidates,
+  (SELECT count(*) FROM (SELECT 1 FROM names WHERE length(fk) >= 2 GROUP BY grp, fk HAVING count(*) BETWEEN 2 AND 50)) AS entity_clusters, (SELECT count(*) FROM state WHERE NOT is_default) AS real_states, (SELECT count(*) FROM facts WHERE predicate = 'located_in') AS transition_edges, (SELECT count(*) FROM alone) AS unlinked_entities, (SELECT count(*) FROM alone WHERE NOT mentioned) AS isolated_entities,
+  (SELECT count(*) FROM struc) AS structure_facts, (SELECT count(*) FROM struc WHERE regexp_matches(statement, '[0-9]+')) AS numeric_structure_facts, (SELECT count(*) FROM struc WHERE contains(statement, 'then') OR contains(statement, 'pour')) AS field_structure_facts),
+q2 AS (SELECT *, CASE WHEN entities = 0 THEN 0 ELSE round(relation_facts / entities, 2) END::DOUBLE AS relation_per_entity FROM q)"""
+
+
+def _seen_graph(spark, d):
+    """The graph with the mentions of some documents lost, and the statements of its chunks as structure facts."""
+    g = _graph(spark, d)
+    structure = V.chunks(spark, d).select(F.col("content").alias("statement"), (F.col("doc_id") % 10 / 10).alias("confidence"))
+    return g | {"mention": g["mention"].where("doc_id % 7 != 0")}, structure
+
+
+def _quality(spark, d):
+    g, structure = _seen_graph(spark, d)
+    f = V.facts(spark, d)
+    features = G.fusion_features(V.entities(spark, d), f)
+    named = features.withColumn("fusion_key", G.fusion_key("entity_type", "name"))
+    clusters = G.fuse_exact(features).where("role = 'canonical'")
+    return G.graph_quality(g, eligible=named.where(G.fusion_eligible()), clusters=clusters, transitions=f.where("predicate = 'located_in'"), structure=structure, numbers="[0-9]+", fields=STRUCTURE_FIELDS)
+
+
+@query("SELECT * FROM q2", QUALITY)
 def graph_quality(spark, d):
-    return G.graph_quality(_graph(spark, d)).select("facts", "relations", "entities")
+    return _quality(spark, d)
 
 
-@query("SELECT risk, count(*) AS n FROM (SELECT 'weak_fact' AS risk, fact_key FROM (SELECT fact_key, max_by(confidence, [doc_id::VARCHAR, fact_id]) AS c FROM f3 GROUP BY 1) WHERE c < 0.6 LIMIT 30) GROUP BY risk", GRAPH)
+@query("SELECT * FROM (SELECT 'structure_noise' AS risk, 'structure_enhancement' AS stage, numeric_structure_facts + field_structure_facts AS n FROM q2 UNION ALL SELECT 'isolated_entities', 'entity_extraction', isolated_entities FROM q2 UNION ALL SELECT 'unlinked_entities', 'relation_enrichment', unlinked_entities FROM q2 UNION ALL SELECT 'sparse_relations', 'relation_enrichment', CASE WHEN relation_per_entity < 0.5 THEN round(relation_per_entity * 100)::BIGINT ELSE 0 END FROM q2) WHERE n > 0", QUALITY)
 def quality_risks(spark, d):
-    return G.quality_risks(_graph(spark, d)).groupBy("risk").agg(F.count("*").alias("n"))
+    return G.quality_risks(_quality(spark, d))
+
+
+@query("SELECT 'unlinked' AS sample, name AS item, entity_type AS detail FROM (SELECT * FROM alone ORDER BY name, key LIMIT 30) UNION ALL SELECT 'structure', statement, floor(confidence * 10)::INT::VARCHAR FROM (SELECT * FROM struc WHERE regexp_matches(statement, '[0-9]+') OR contains(statement, 'then') OR contains(statement, 'pour') ORDER BY confidence, statement LIMIT 30) UNION ALL SELECT 'relations', predicate, count(*)::VARCHAR FROM kinds WHERE kind = 'relation' GROUP BY predicate", QUALITY)
+def quality_samples(spark, d):
+    g, structure = _seen_graph(spark, d)
+    s = G.quality_samples(g, structure, numbers="[0-9]+", fields=STRUCTURE_FIELDS)
+    return s.withColumn("detail", F.when(F.col("sample") == "structure", F.floor(F.col("detail").cast("double") * 10).cast("string")).otherwise(F.col("detail")))
+
+
+PHASED = V.JOBS + ",\nps AS (SELECT job_id, file_id AS entity_key, 'file ' || file_id AS entity_name, CASE job_id % 5 WHEN 0 THEN 'release v1 ' WHEN 1 THEN 'release 2.0 ' WHEN 2 THEN 'file ' || file_id WHEN 3 THEN 'state ' || status ELSE '' END AS state_name, CASE WHEN job_id % 5 = 2 THEN '' ELSE stage END AS definition, CASE WHEN job_id % 5 = 4 THEN '2024' ELSE '' END AS valid_from FROM jobs)"
+
+
+@query("SELECT entity_key, signature, max_by(definition, [length(definition)::VARCHAR, definition]) AS definition, count(*) AS states FROM (SELECT *, CASE WHEN contains(t, 'v1') OR contains(t, '1.0') THEN 'phase:1' WHEN contains(t, 'v2') OR contains(t, '2.0') THEN 'phase:2' WHEN contains(t, 'v3') OR contains(t, '3.0') THEN 'phase:3' WHEN valid_from <> '' THEN 'time:' || valid_from || '|' WHEN trim(replace(t, entity_name, ''), ' ') = '' THEN 'default' ELSE 'text:' || substr(trim(replace(t, entity_name, ''), ' '), 1, 48) END AS signature FROM (SELECT *, lower(state_name || ' ' || definition) AS t FROM ps)) GROUP BY entity_key, signature", PHASED)
+def fuse_states_by_text(spark, d):
+    j, m = V.jobs(spark, d), F.col("job_id") % 5
+    name = F.concat(F.lit("file "), "file_id")
+    rows = j.select(F.col("file_id").alias("entity_key"), name.alias("entity_name"), F.when(m == 0, "release v1 ").when(m == 1, "release 2.0 ").when(m == 2, name).when(m == 3, F.concat(F.lit("state "), "status")).otherwise("").alias("state_name"), F.when(m == 2, "").otherwise(F.col("stage")).alias("definition"), F.when(m == 4, "2024").otherwise("").alias("valid_from"), F.lit("").alias("valid_to"))
+    return G.fuse_states_by_text(rows)
+
+
+@query("SELECT DISTINCT 'st-' || (l_partkey % 50) AS state_key, fact_id FROM (SELECT fact_id, doc_id AS l_partkey FROM facts WHERE predicate IN ('located_in', 'brand')) WHERE (l_partkey % 50) % 4 <> 3 AND NOT starts_with(fact_id, 'a-')", V.FACTS)
+def phase_relations(spark, d):
+    f = V.facts(spark, d)
+    t = f.where("predicate in ('located_in', 'brand')").select("fact_id", F.concat(F.lit("st-"), F.col("doc_id") % 50).alias("to_state"))
+    states = spark.createDataFrame([(f"st-{i}", ("phase", "version", "status", "time")[i % 4]) for i in range(50)], "state_key string, signal string")
+    return G.phase_relations(t, states, f)
 
 
 @query("SELECT predicate, CASE fact_kind WHEN 'attribute' THEN 'attribute_fact' ELSE 'relation_fact' END AS fact_kind, count(*) AS n, count(DISTINCT subject) AS subjects FROM facts GROUP BY ALL", V.FACTS)
