@@ -246,43 +246,31 @@ def possible_duplicates(docs: DataFrame, threshold: float = 0.82, **candidates)
     return df.select("doc_id", F.col("x.other_id").alias("other_id"), (-F.col("x.n")).alias("score"))
 
 
-def related_documents(docs: DataFrame, vectors: DataFrame, k: int = 5, least: float = 0.2, *, queries: DataFrame | None = None, blocks: int = 16) -> DataFrame:
-    """Documents that share their hash (1.0) or candidates weighed .25 title + .15 preview trigrams + .6 vector cosine.
+def related_documents(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.2, *, block_rows: int = 20_000) -> DataFrame:
+    """(doc_id, other_id, score, rank, relation) of the documents of ``queries`` (doc_id), a stated set, against all others.
 
-    The documents of ``queries`` (doc_id), a stated set, are weighed against all others: these lie in blocks, and a block
-    keeps the k best of each query. Candidates of the other documents share rare terms of their titles (4k documents hold
-    one at most), the 4k with most of them for each document, and the k first copies of their content.
+    Equal hashes score 1, others .25 title + .15 preview trigrams + .6 vector cosine. The k best from ``least`` on are
+    related, and the best one is shown in any case. Exact: all documents lie in blocks of bounded size, each query goes to
+    each block once, and a block keeps the k best of each query.
     """
     from .retrieval import cosine
 
-    base = cut(docs.select("doc_id", "file_hash", *(F.transform(T.trigrams(c), lambda x: F.xxhash64(x)).alias(name) for c, name in (("title", "tt"), ("preview", "tp")))).join(vectors.select("doc_id", "vector"), "doc_id", "left"))
+    hashed = lambda c: F.transform(T.trigrams(c), lambda x: F.xxhash64(x))
+    base = cut(docs.select("doc_id", "file_hash", hashed("title").alias("tt"), hashed("preview").alias("tp")).join(vectors.select("doc_id", "vector"), "doc_id", "left"))
+    blocks = max(16, -(-base.count() // block_rows))
     side = lambda p: base.select(F.col("doc_id").alias(p), *(F.col(c).alias(f"{c}_{p}") for c in ("tt", "tp", "file_hash", "vector")))
     both = lambda x: F.size(F.array_intersect(f"{x}_a", f"{x}_b")).alias(f"{x}_both")
     alike = lambda x: F.col(f"{x}_both") / F.greatest(F.size(f"{x}_a") + F.size(f"{x}_b") - F.col(f"{x}_both"), F.lit(1))
     score = F.when(F.col("file_hash_a") == F.col("file_hash_b"), 1.0).otherwise(0.25 * alike("tt") + 0.15 * alike("tp") + 0.6 * cosine("vector_a", "vector_b"))
-    weighed = lambda df: df.select("*", both("tt"), both("tp")).withColumn("score", F.round(score, 6))
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "other_id"))
 
-    terms = docs.select("doc_id", F.explode(T.search_terms("title")).alias("term"))
-    rare = terms.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n").between(2, 4 * k)).select("term")
-    terms = terms.join(rare, "term")
-    shared = terms.alias("x").join(terms.alias("y"), (F.col("x.term") == F.col("y.term")) & (F.col("x.doc_id") != F.col("y.doc_id"))).groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("n"))
-    near = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
-    shared = shared.withColumn("near", near).where(F.col("near") <= 4 * k).select("a", "b")
-    first = F.row_number().over(Window.partitionBy("file_hash").orderBy("b"))
-    copies = docs.where("file_hash is not null").select("file_hash", F.col("doc_id").alias("b")).withColumn("first", first).where(F.col("first") <= k + 1).drop("first")
-    copies = docs.select("file_hash", F.col("doc_id").alias("a")).join(copies, "file_hash").where("a != b").select("a", "b")
-    pairs = shared.unionByName(copies).distinct()
-    stated = None if queries is None else queries.select(F.col("doc_id").alias("a")).distinct()
-    pairs = pairs if stated is None else pairs.join(stated, "a", "left_anti")
-    df = weighed(pairs.join(side("a"), "a").join(side("b"), "b")).select(F.col("a").alias("doc_id"), F.col("b").alias("other_id"), "score")
-    if stated is not None:
-        q = side("a").join(stated, "a", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        found = weighed(side("b").withColumn("block", F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int")).join(q, "block").where("a != b"))
-        found = found.select(F.col("a").alias("doc_id"), F.col("b").alias("other_id"), "score", "block").withColumn("rank", rank("doc_id", "block")).where(F.col("rank") <= k)
-        df = df.unionByName(found.select("doc_id", "other_id", "score"))
-    df = df.withColumn("rank", rank("doc_id"))
-    return df.where(((F.col("score") >= least) & (F.col("rank") <= k)) | (F.col("rank") == 1)).withColumn("relation", F.when(F.col("score") == 1, "exact").when(F.col("score") >= least, "possible").otherwise("nearest"))
+    q = side("a").join(queries.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    df = side("b").withColumn("block", F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int")).join(q, "block").where("a != b")
+    df = df.select("a", "b", "block", *(F.col(f"{c}_{p}") for c in ("tt", "tp", "file_hash", "vector") for p in "ab"), both("tt"), both("tp"))
+    df = df.select(F.col("a").alias("doc_id"), F.col("b").alias("other_id"), "block", F.round(score + 1e-9, 6).alias("score"))
+    df = df.withColumn("rank", rank("doc_id", "block")).where(F.col("rank") <= k).withColumn("rank", rank("doc_id"))
+    df = df.where(((F.col("score") >= least) & (F.col("rank") <= k)) | (F.col("rank") == 1))
+    return df.select("doc_id", "other_id", "score", "rank", F.when(F.col("score") == 1, "exact").when(F.col("score") >= least, "possible").otherwise("nearest").alias("relation"))
 
 
 def document_detail(docs: DataFrame, chunks: DataFrame, units: DataFrame) -> DataFrame:

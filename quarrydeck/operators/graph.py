@@ -205,7 +205,8 @@ def near_name_pairs(features: DataFrame) -> DataFrame:
 
 
 def near_groups(pairs: DataFrame) -> DataFrame:
-    """Greedy groups over pairs: in a seeded order of the keys, a free key is a seed and takes its free neighbours. (key, seed).
+    """Greedy groups over pairs: in a seeded order of the keys, a free key is a seed and takes its free neighbours: (key, seed,
+    role, confidence).
 
     The order is that of the keys' hashes, so that rounds of joins settle it in about log(n) steps (in key order, chains of
     numbered names would need one round a link); a key belongs to its first seed in that order.
@@ -221,7 +222,8 @@ def near_groups(pairs: DataFrame) -> DataFrame:
         keys = cut(keys.join(seen, "key", "left").select("key", now.alias("state")))
     seeds = keys.where("state = 'seed'").select(F.col("key").alias("other"))
     own = before.join(seeds, "other").groupBy("key").agg(F.min(order("other")).alias("x")).select("key", F.col("x.k").alias("seed"))
-    return keys.join(own, "key", "left").select("key", F.when(F.col("state") == "seed", F.col("key")).otherwise(F.col("seed")).alias("seed"))
+    seed = F.when(F.col("state") == "seed", F.col("key")).otherwise(F.col("seed"))
+    return keys.join(own, "key", "left").select("key", seed.alias("seed"), F.when(F.col("state") == "seed", "canonical").otherwise("member").alias("role"), F.lit(0.78).alias("confidence"))
 
 
 PHASE = r"(一期|二期|三期|四期|phase\s*[1-4])"

@@ -50,6 +50,7 @@ def _first(c: str, cues, default: str) -> str:
 
 
 TIGHT = "regexp_replace(lower({}), '[\\p{{P}}\\p{{S}}\\s]+', '', 'g')"
+TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 SPACE = "trim(regexp_replace({}, '\\s+', ' ', 'g'), ' ')"
 
 # Inventory -----------------------------------------------------------------------------------------------------------
@@ -223,9 +224,14 @@ def mapreduce_summary(spark, d):
     return D.mapreduce_summary(V.chunks(spark, d))
 
 
-@query()
+@query(f"""SELECT d.doc_id, coalesce(summary, '') AS summary, coalesce(sections, '') AS sections, coalesce(keywords, '') AS keywords, entities, time_range, coalesce(conclusions, '') AS conclusions FROM documents d LEFT JOIN ({SQL['mapreduce_summary']}) USING (doc_id) LEFT JOIN ({SQL['detect_time_range']}) USING (doc_id)
+  LEFT JOIN (SELECT doc_id, array_to_string(list(keyword ORDER BY rank), '|') AS keywords FROM ({SQL['top_keywords']}) GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, array_to_string(list(conclusion ORDER BY rank), '|') AS conclusions FROM ({SQL['detect_conclusions']}) GROUP BY doc_id) USING (doc_id)
+  LEFT JOIN (SELECT doc_id, array_to_string(list(s ORDER BY k, s)[1:16], '|') AS sections FROM (SELECT doc_id, trim(title, ' ') AS s, min(chunk_no) AS k FROM (WITH {V.CHUNKS.strip()} SELECT * FROM chunks) WHERE trim(title, ' ') <> '' GROUP BY ALL) GROUP BY doc_id) USING (doc_id)
+  LEFT JOIN (SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(e) + 1), lambda i: NOT list_contains(e[1:i - 1], e[i])), lambda i: e[i])[1:10], '|') AS entities FROM (SELECT doc_id, regexp_extract_all(text, '([A-Z][a-z]+tion)[ ,.]', 1) AS e FROM documents)) USING (doc_id)""")
 def doc_overview(spark, d):
-    return D.document_overview(V.docs(spark, d), V.chunks(spark, d), CONCLUSION_CUES, r"([A-Z][a-z]+tion)[ ,.]")
+    df = D.document_overview(V.docs(spark, d), V.chunks(spark, d), CONCLUSION_CUES, r"([A-Z][a-z]+tion)[ ,.]")
+    listed = [F.coalesce(F.array_join(F.col("overview")[c], "|"), F.lit("")).alias(c) for c in ("sections", "keywords", "entities", "conclusions")]
+    return df.select("doc_id", F.coalesce("overview.summary", F.lit("")).alias("summary"), *listed, "overview.time_range")
 
 
 @query("SELECT doc_id, min(doc_id) OVER w AS canonical_id, count(*) OVER w AS duplicates, doc_id <> min(doc_id) OVER w AS is_duplicate FROM docs WINDOW w AS (PARTITION BY file_hash)", V.DOCS)
@@ -238,12 +244,17 @@ def possible_duplicates(spark, d):
     return D.possible_duplicates(V.docs(spark, d))
 
 
-@query()
+RELATED = V.DOCS + f""",
+rb AS MATERIALIZED (SELECT doc_id, file_hash, {TRI.format('title')} AS tt, {TRI.format('preview')} AS tp, list_transform(range(0, 32), lambda d: coalesce(list_sum(list_transform(range(d + 1, len(t) + 1, 32), lambda i: (unicode(t[i]) % 97) / 97.0::DOUBLE)), 0)) AS v FROM (SELECT *, string_split(text, '') AS t FROM docs)),
+rs AS (SELECT a.doc_id, b.doc_id AS other_id, round(CASE WHEN a.file_hash = b.file_hash THEN 1.0 ELSE 0.25 * len(list_intersect(a.tt, b.tt)) / greatest(1, len(a.tt) + len(b.tt) - len(list_intersect(a.tt, b.tt))) + 0.15 * len(list_intersect(a.tp, b.tp)) / greatest(1, len(a.tp) + len(b.tp) - len(list_intersect(a.tp, b.tp))) + 0.6 * list_cosine_similarity(a.v, b.v) END + 1e-9, 6)::DOUBLE AS score FROM rb a JOIN rb b ON a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id)"""
+
+
+@query("SELECT doc_id, other_id, score, rank::INT AS rank, CASE WHEN score = 1 THEN 'exact' WHEN score >= 0.2 THEN 'possible' ELSE 'nearest' END AS relation FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other_id) AS rank FROM rs) WHERE (score >= 0.2 AND rank <= 5) OR rank = 1", RELATED)
 def related_documents(spark, d):
     from ..operators import retrieval as S
 
     df = V.docs(spark, d)
-    return D.related_documents(df, df.select("doc_id", S.hash_embedding("text", most=2**31 - 1).alias("vector")), queries=df.where("doc_id % 100 = 0"))
+    return D.related_documents(df, df.select("doc_id", S.hash_embedding("text", most=2**31 - 1).alias("vector")), df.where("doc_id % 100 = 0"))
 
 
 @query("SELECT d.doc_id, title, filename, source, coalesce(nc, 0) AS n_chunks, coalesce(nu, 0) AS n_units, count(*) OVER (PARTITION BY file_hash) - 1 AS n_copies FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS nc FROM chunks GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS nu FROM units GROUP BY 1) USING (doc_id)", V.UNITS)
@@ -316,7 +327,10 @@ def sample_chunks(spark, d):
 SCORE = "round(CASE WHEN trim(title, ' ') <> '' THEN 1.2 ELSE 0 END + CASE chunk_type WHEN 'table_row' THEN 1.1 WHEN 'list' THEN 0.8 ELSE 0.4 END + CASE WHEN length(trim(content, ' ')) BETWEEN 60 AND 700 THEN 1.0 WHEN length(trim(content, ' ')) > 700 THEN 0.3 ELSE 0 END, 6)::DOUBLE"
 
 
-@query()
+_EVEN = "greatest(1, floor(quota * 0.75)::INT)"
+
+
+@query(f"SELECT doc_id, chunk_no, quota FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fixed DESC, score DESC, pos) AS rank FROM (SELECT *, {_positions(_EVEN, '(0.25 / 0.75)', '(0.15 / 0.75)')} AS fixed FROM (SELECT doc_id, chunk_no, {SCORE} AS score, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no) - 1)::INT AS pos, count(*) OVER (PARTITION BY doc_id) AS n, least(count(*) OVER (PARTITION BY doc_id), 40, greatest(8, ceil(count(*) OVER (PARTITION BY doc_id) * 0.1)))::INT AS quota FROM chunks))) WHERE rank <= quota", V.CHUNKS)
 def sample_overview(spark, d):
     return C.sample_overview(V.chunks(spark, d)).select("doc_id", "chunk_no", "quota")
 
@@ -413,9 +427,12 @@ def structural_topics(spark, d):
     return U.structural_topics(V.docs(spark, d), V.chunks(spark, d), V.units(spark, d))
 
 
-@query()
+_WORDS8 = "list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, chunk_no, array_to_string(list_sort(CASE WHEN len(g) < 8 THEN list_distinct(list_concat(g, list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(w[1:i - 1], w[i])), lambda i: w[i])[1:8])) ELSE g END), '|') AS signals FROM (SELECT c.doc_id, c.chunk_no, list_distinct(list_filter(list_concat([trim(c.title, ' ')], coalesce(list_transform(s, lambda x: trim(x, ' ')), [])), lambda x: x <> '')) AS g, {_WORDS8} AS w FROM chunks c LEFT JOIN (SELECT doc_id, chunk_no, list(DISTINCT s) AS s FROM (SELECT doc_id, chunk_no, subject AS s FROM units UNION ALL SELECT doc_id, chunk_no, indicator FROM units) GROUP BY ALL) USING (doc_id, chunk_no))", V.UNITS)
 def structure_signals(spark, d):
-    return U.structure_signals(V.chunks(spark, d), V.units(spark, d))
+    return U.structure_signals(V.chunks(spark, d), V.units(spark, d)).select("doc_id", "chunk_no", F.array_join(F.array_sort("signals"), "|").alias("signals"))
 
 
 # Text functions ------------------------------------------------------------------------------------------------------
@@ -455,7 +472,6 @@ def query_type(spark, d):
     return V.queries_in(spark, d).select("query_id", T.query_type("query", QCUES).alias("query_type"))
 
 
-TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
 @query(f"SELECT doc_id, CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) ELSE 0 END::DOUBLE AS similarity FROM (SELECT doc_id, {TRI.format('title')} AS a, {TRI.format('filename')} AS b FROM docs)".replace("'filename'", "filename"), V.DOCS)

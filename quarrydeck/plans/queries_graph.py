@@ -142,7 +142,7 @@ def fuse_near(spark, d):
 
 @query()
 def near_groups(spark, d):
-    return G.near_groups(G.near_name_pairs(_keyed(spark, d).where("entity_type != 'customer'")))
+    return G.near_groups(G.near_name_pairs(_keyed(spark, d)))
 
 
 @query("SELECT fact_id, subject, signal, label, confidence FROM (SELECT fact_id, subject, 'time' AS signal, valid_from || '-' || valid_to AS label, 0.78::DOUBLE AS confidence FROM df UNION ALL SELECT fact_id, subject, 'phase', nullif(regexp_extract(lower(predicate || ' ' || object), '(一期|二期|三期|四期|phase\\s*[1-4])', 1), ''), 0.82 FROM df UNION ALL SELECT fact_id, subject, 'version', nullif(regexp_extract(lower(predicate || ' ' || object), '(?i)\\b(v\\d+(?:\\.\\d+)*)', 1), ''), 0.76 FROM df UNION ALL SELECT fact_id, subject, 'status', CASE WHEN contains(object, 'planned') THEN 'planned' WHEN contains(object, 'running') THEN 'running' WHEN contains(object, 'done') THEN 'done' WHEN contains(object, 'closed') THEN 'closed' END, 0.70 FROM df) WHERE label <> ''", V.FACTS + ",\ndf AS (SELECT fact_id, subject, predicate, CASE WHEN fact_kind = 'attribute' THEN object || CASE (doc_id % 4) WHEN 0 THEN ' Phase 2 done' WHEN 1 THEN ' v1.' || doc_id WHEN 2 THEN ' running' ELSE '' END ELSE object END AS object, valid_from, valid_to FROM facts)")
@@ -423,9 +423,16 @@ def enrichment_queue(spark, d):
     return G.enrichment_queue(_recall(spark, d), V.docs(spark, d).where("doc_id % 5 = 0"), 40)
 
 
-@query()
+STRUCTURE = V.CHUNKS + f""",
+sm AS (SELECT doc_id, chunk_no, name, instr(lower(title), name) AS t, instr(lower(content), name) AS c FROM (SELECT doc_id, chunk_no, title, content, unnest({WORDS.format('content')}) AS name FROM chunks) WHERE length(name) >= 5),
+sk AS (SELECT *, first_value(name) OVER (PARTITION BY doc_id, chunk_no ORDER BY (t = 0)::INT, t, c, name) AS anchor FROM sm),
+sf AS (SELECT anchor, name AS entity_id, max(CASE WHEN t > 0 THEN 0.72 ELSE 0.62 END)::DOUBLE AS confidence, count(*) AS evidence FROM sk WHERE name <> anchor GROUP BY ALL)"""
+
+
+@query("SELECT a.* FROM sf a LEFT JOIN sf b ON a.anchor = b.entity_id AND a.entity_id = b.anchor WHERE b.anchor IS NULL OR a.confidence > b.confidence OR (a.confidence = b.confidence AND (a.evidence > b.evidence OR (a.evidence = b.evidence AND a.anchor < a.entity_id)))", STRUCTURE)
 def enhance_structure(spark, d):
-    m = V.chunks(spark, d).select("doc_id", "chunk_no", F.explode(F.slice(T.search_terms("content"), 1, 6)).alias("name")).withColumn("entity_id", F.col("name")).where(F.length("name") >= 5)
+    """Every word of five letters or more is an entity of its chunk."""
+    m = V.chunks(spark, d).select("doc_id", "chunk_no", F.explode(T.search_terms("content")).alias("name")).withColumn("entity_id", F.col("name")).where(F.length("name") >= 5)
     return G.enhance_structure(V.chunks(spark, d), m)
 
 
@@ -562,11 +569,11 @@ def group_evidence(spark, d):
     return O.group_evidence(items, dims, 10_000).select("domain_id", "item_id", "dimension", F.col("points").cast("int").alias("points"))
 
 
-@query()
+@query("SELECT domain_id, count(*) AS items, '# ' || domain_id || chr(10) || chr(10) || '## then' || chr(10) || chr(10) || '- ' || array_to_string(list_sort(list(item_id)), chr(10) || '- ') AS markdown FROM (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY p DESC, item_id) AS k FROM (SELECT domain_id, item_id, contains(lc, 'then')::INT * 4 + contains(lc, 'the')::INT * 2 + contains(lc, 'of')::INT * 2 AS p FROM ri JOIN it USING (item_id)) WHERE p > 0) WHERE k <= 20 GROUP BY domain_id", RECALL)
 def evidence_pack(spark, d):
     items = _recalled(spark, d).join(_items(spark, d).select("item_id", F.col("content").alias("text")), "item_id")
     dims = _domains(spark, d).select("domain_id", F.lit("then").alias("dimension"), F.array(F.lit("the"), F.lit("of")).alias("keywords"))
-    return O.evidence_pack(O.group_evidence(items, dims))
+    return O.evidence_pack(O.group_evidence(items, dims)).select("domain_id", "items", "markdown")
 
 
 @query("SELECT 'chunk:' || doc_id || ':' || chunk_no AS ref, doc_id, content AS text FROM chunks WHERE chunk_no = 0 UNION ALL SELECT 'document:' || doc_id, doc_id, title FROM docs", V.CHUNKS)
