@@ -46,7 +46,8 @@ def numbers_in(finder: ahocorasick.Automaton | None, texts: Sequence[str | None]
 def _blocks(df: DataFrame, key: str, most: int) -> Iterator[list]:
     n = -(-df.count() // most)
     for b in range(n):
-        yield df.where(F.pmod(F.xxhash64(key), F.lit(n)) == b).collect()
+        if rows := df.where(F.pmod(F.xxhash64(key), F.lit(n)) == b).collect():
+            yield rows
 
 
 def held_terms(items: DataFrame, keys: Sequence[str], fields: Mapping[str, Column], terms: DataFrame, *, term_col: str = "term", most_terms: int = MOST_TERMS) -> DataFrame:

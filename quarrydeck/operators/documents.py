@@ -246,29 +246,35 @@ def possible_duplicates(docs: DataFrame, threshold: float = 0.82, **candidates)
     return df.select("doc_id", F.col("x.other_id").alias("other_id"), (-F.col("x.n")).alias("score"))
 
 
-def related_documents(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.2, *, block_rows: int = 20_000) -> DataFrame:
+def related_documents(docs: DataFrame, vectors: DataFrame, k: int = 5, least: float = 0.2, *, queries: DataFrame | None = None, blocks: int | None = None, block_rows: int = 20_000) -> DataFrame:
     """(doc_id, other_id, score, rank, relation) of the documents of ``queries`` (doc_id), a stated set, against all others.
 
     Equal hashes score 1, others .25 title + .15 preview trigrams + .6 vector cosine. The k best from ``least`` on are
     related, and the best one is shown in any case. Exact: all documents lie in blocks of bounded size, each query goes to
-    each block once, and a block keeps the k best of each query.
+    each block once, and a block keeps the k best of each query. All other documents get the k first copies of their content
+    by the hash alone. Without ``queries`` every document is one, which costs all pairs.
     """
     from .retrieval import cosine
 
     hashed = lambda c: F.transform(T.trigrams(c), lambda x: F.xxhash64(x))
     base = cut(docs.select("doc_id", "file_hash", hashed("title").alias("tt"), hashed("preview").alias("tp")).join(vectors.select("doc_id", "vector"), "doc_id", "left"))
-    blocks = max(16, -(-base.count() // block_rows))
+    blocks = blocks or max(16, -(-base.count() // block_rows))
+    stated = (docs if queries is None else queries).select(F.col("doc_id").alias("a")).distinct()
     side = lambda p: base.select(F.col("doc_id").alias(p), *(F.col(c).alias(f"{c}_{p}") for c in ("tt", "tp", "file_hash", "vector")))
     both = lambda x: F.size(F.array_intersect(f"{x}_a", f"{x}_b")).alias(f"{x}_both")
     alike = lambda x: F.col(f"{x}_both") / F.greatest(F.size(f"{x}_a") + F.size(f"{x}_b") - F.col(f"{x}_both"), F.lit(1))
     score = F.when(F.col("file_hash_a") == F.col("file_hash_b"), 1.0).otherwise(0.25 * alike("tt") + 0.15 * alike("tp") + 0.6 * cosine("vector_a", "vector_b"))
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "other_id"))
 
-    q = side("a").join(queries.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = side("a").join(stated, "a", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     df = side("b").withColumn("block", F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int")).join(q, "block").where("a != b")
     df = df.select("a", "b", "block", *(F.col(f"{c}_{p}") for c in ("tt", "tp", "file_hash", "vector") for p in "ab"), both("tt"), both("tp"))
     df = df.select(F.col("a").alias("doc_id"), F.col("b").alias("other_id"), "block", F.round(score + 1e-9, 6).alias("score"))
-    df = df.withColumn("rank", rank("doc_id", "block")).where(F.col("rank") <= k).withColumn("rank", rank("doc_id"))
+    df = df.withColumn("rank", rank("doc_id", "block")).where(F.col("rank") <= k).select("doc_id", "other_id", "score")
+    first = F.row_number().over(Window.partitionBy("file_hash").orderBy("other_id"))
+    copies = docs.where("file_hash is not null").select("file_hash", F.col("doc_id").alias("other_id")).withColumn("first", first).where(F.col("first") <= k + 1).drop("first")
+    rest = docs.select("file_hash", F.col("doc_id").alias("a")).join(stated, "a", "left_anti").join(copies, "file_hash").where("a != other_id")
+    df = df.unionByName(rest.select(F.col("a").alias("doc_id"), "other_id", F.lit(1.0).alias("score"))).withColumn("rank", rank("doc_id"))
     df = df.where(((F.col("score") >= least) & (F.col("rank") <= k)) | (F.col("rank") == 1))
     return df.select("doc_id", "other_id", "score", "rank", F.when(F.col("score") == 1, "exact").when(F.col("score") >= least, "possible").otherwise("nearest").alias("relation"))
 

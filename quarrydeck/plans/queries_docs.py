@@ -246,7 +246,7 @@ def possible_duplicates(spark, d):
 
 RELATED = V.DOCS + f""",
 rb AS MATERIALIZED (SELECT doc_id, file_hash, {TRI.format('title')} AS tt, {TRI.format('preview')} AS tp, list_transform(range(0, 32), lambda d: coalesce(list_sum(list_transform(range(d + 1, len(t) + 1, 32), lambda i: (unicode(t[i]) % 97) / 97.0::DOUBLE)), 0)) AS v FROM (SELECT *, string_split(text, '') AS t FROM docs)),
-rs AS (SELECT a.doc_id, b.doc_id AS other_id, round(CASE WHEN a.file_hash = b.file_hash THEN 1.0 ELSE 0.25 * len(list_intersect(a.tt, b.tt)) / greatest(1, len(a.tt) + len(b.tt) - len(list_intersect(a.tt, b.tt))) + 0.15 * len(list_intersect(a.tp, b.tp)) / greatest(1, len(a.tp) + len(b.tp) - len(list_intersect(a.tp, b.tp))) + 0.6 * list_cosine_similarity(a.v, b.v) END + 1e-9, 6)::DOUBLE AS score FROM rb a JOIN rb b ON a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id)"""
+rs AS (SELECT a.doc_id, b.doc_id AS other_id, round(CASE WHEN a.file_hash = b.file_hash THEN 1.0 ELSE 0.25 * len(list_intersect(a.tt, b.tt)) / greatest(1, len(a.tt) + len(b.tt) - len(list_intersect(a.tt, b.tt))) + 0.15 * len(list_intersect(a.tp, b.tp)) / greatest(1, len(a.tp) + len(b.tp) - len(list_intersect(a.tp, b.tp))) + 0.6 * list_cosine_similarity(a.v, b.v) END + 1e-9, 6)::DOUBLE AS score FROM rb a JOIN rb b ON a.doc_id <> b.doc_id AND (a.doc_id % 100 = 0 OR a.file_hash = b.file_hash))"""
 
 
 @query("SELECT doc_id, other_id, score, rank::INT AS rank, CASE WHEN score = 1 THEN 'exact' WHEN score >= 0.2 THEN 'possible' ELSE 'nearest' END AS relation FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other_id) AS rank FROM rs) WHERE (score >= 0.2 AND rank <= 5) OR rank = 1", RELATED)
@@ -254,7 +254,7 @@ def related_documents(spark, d):
     from ..operators import retrieval as S
 
     df = V.docs(spark, d)
-    return D.related_documents(df, df.select("doc_id", S.hash_embedding("text", most=2**31 - 1).alias("vector")), df.where("doc_id % 100 = 0"))
+    return D.related_documents(df, df.select("doc_id", S.hash_embedding("text", most=2**31 - 1).alias("vector")), queries=df.where("doc_id % 100 = 0"))
 
 
 @query("SELECT d.doc_id, title, filename, source, coalesce(nc, 0) AS n_chunks, coalesce(nu, 0) AS n_units, count(*) OVER (PARTITION BY file_hash) - 1 AS n_copies FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS nc FROM chunks GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS nu FROM units GROUP BY 1) USING (doc_id)", V.UNITS)
