@@ -89,9 +89,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """
     ids = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
     many = ids.count()
-    ids = ids.where(hash_below(min(1.0, 4.0 * sample_rows / max(many, 1)), "id")).distinct()
+    ids = ids.where(hash_below(min(1.0, 2.0 * sample_rows / max(many, 1)), "id")).distinct()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(f"`{text_col}`", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(ids), "id")  # about four times sample_rows ids at most, by the share above
+    rows = texts.join(F.broadcast(ids), "id")  # about twice sample_rows ids at most, by the share above
     rows = rows.select("id", "label", F.xxhash64("id", "text").alias("draw"), stretch(F.col("text"), sample_chars, "id", "text").alias("text"))
     return rows.orderBy("draw", "id", "label", "text").limit(sample_rows).select("text", "label").toPandas()
 
