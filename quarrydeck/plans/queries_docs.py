@@ -135,14 +135,14 @@ def reset_index(spark, d):
 # Documents -----------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, CASE WHEN ext = 'xlsx' THEN 'excel' ELSE coalesce(nullif({_first('stem', STEM_CUES, '')}, ''), {_first('substr(preview, 1, 4000)', PREVIEW_CUES, 'unknown')}) END AS doc_type FROM docs", V.DOCS)
+@query(f"SELECT doc_id, CASE WHEN ext = 'xlsx' THEN 'excel' ELSE coalesce(nullif({_first('stem', STEM_CUES, '')}, ''), {_first('substr(text, 1, 4000)', PREVIEW_CUES, 'unknown')}) END AS doc_type FROM docs", V.DOCS)
 def classify_doc_type(spark, d):
-    return D.classify_doc_type(V.docs(spark, d), stem_cues=STEM_CUES, preview_cues=PREVIEW_CUES).select("doc_id", "doc_type")
+    return D.classify_doc_type(V.docs(spark, d).withColumn("preview", F.substring("text", 1, 4000)), stem_cues=STEM_CUES, preview_cues=PREVIEW_CUES).select("doc_id", "doc_type")
 
 
-@query(f"SELECT doc_id, is_dev, CASE WHEN is_dev THEN 'development' ELSE 'business' END AS domain FROM (SELECT doc_id, ext = 'sql' OR {_count('lower(filename)', L.DEV_TITLE_CUES)} >= 1 OR {_count('lower(preview)', DEV_TEXT)} >= 2 AS is_dev FROM docs)", V.DOCS)
+@query(f"SELECT doc_id, is_dev, CASE WHEN is_dev THEN 'development' ELSE 'business' END AS domain FROM (SELECT doc_id, ext = 'sql' OR {_count('lower(filename)', L.DEV_TITLE_CUES)} >= 1 OR {_count('lower(substr(text, 1, 4000))', DEV_TEXT)} >= 2 AS is_dev FROM docs)", V.DOCS)
 def detect_dev_domain(spark, d):
-    return D.detect_dev_domain(V.docs(spark, d), text_cues=DEV_TEXT).select("doc_id", "is_dev", "domain")
+    return D.detect_dev_domain(V.docs(spark, d).withColumn("preview", F.substring("text", 1, 4000)), text_cues=DEV_TEXT).select("doc_id", "is_dev", "domain")
 
 
 _PROFILE = V.UNITS + f""",
@@ -403,14 +403,25 @@ def rule_fields(spark, d):
     return V.chunks(spark, d).withColumn("f", f).select("doc_id", "chunk_no", *(F.array_join(F.array_sort(F.col("f")[k]), ";").alias(k) for k in RULES), "f.approval_required")
 
 
-@query("SELECT doc_id, chunk_no, nullif(regexp_extract(content, '(\\d{4}年(?:\\d{1,2}月)?|\\d{4}-\\d{2}(?:-\\d{2})?)', 1), '') AS time, nullif(regexp_extract(content, '([A-Z][a-z]{2,12}tion)', 1), '') AS region FROM chunks", V.CHUNKS)
+_MARKED = "content || CASE chunk_no % 4 WHEN 0 THEN ' 同比增长' || doc_id || '.5%' WHEN 1 THEN ' 环比下降' || doc_id || '%' WHEN 2 THEN ' 同比' || chunk_no ELSE '' END"
+
+
+@query(f"SELECT doc_id, chunk_no, nullif(regexp_extract(t, '(\\d{{4}}年(?:\\d{{1,2}}月)?|\\d{{4}}-\\d{{2}}(?:-\\d{{2}})?)', 1), '') AS time, nullif(regexp_extract(t, '([A-Z][a-z]{{2,12}}tion)', 1), '') AS region, nullif(regexp_extract(t, '同比(?:增长|上升|下降|减少)?([-\\d.]+%?)', 1), '') AS yoy, nullif(regexp_extract(t, '环比(?:增长|上升|下降|减少)?([-\\d.]+%?)', 1), '') AS mom FROM (SELECT *, {_MARKED} AS t FROM chunks)", V.CHUNKS)
 def report_fields(spark, d):
-    return V.chunks(spark, d).withColumn("f", U.report_fields("content", region="([A-Z][a-z]{2,12}tion)")).select("doc_id", "chunk_no", "f.time", "f.region")
+    m = F.col("chunk_no") % 4
+    tail = F.when(m == 0, F.concat(F.lit(" 同比增长"), "doc_id", F.lit(".5%"))).when(m == 1, F.concat(F.lit(" 环比下降"), "doc_id", F.lit("%"))).when(m == 2, F.concat(F.lit(" 同比"), "chunk_no")).otherwise("")
+    df = V.chunks(spark, d).withColumn("t", F.concat("content", tail))
+    return df.withColumn("f", U.report_fields("t", region="([A-Z][a-z]{2,12}tion)")).select("doc_id", "chunk_no", "f.time", "f.region", "f.yoy", "f.mom")
 
 
-@query("SELECT doc_id, chunk_no, len(list_filter(regexp_split_to_array(trim(content, ' '), '\\s*\\|\\s*'), lambda x: x <> '')[1:6])::INT AS headers FROM chunks", V.CHUNKS)
+@query("SELECT doc_id, chunk_no, array_to_string(h, ',') AS headers, h[1] || '=' || doc_id || CASE WHEN len(h) >= 3 THEN ';' || h[3] || '=' || chunk_no ELSE '' END AS metrics, CASE WHEN len(h) >= 2 THEN h[2] || '=' || chunk_type ELSE '' END AS dimensions FROM (SELECT *, list_filter(list_transform(string_split(content, ' ')[1:8], lambda x: replace(x, '|', '')), lambda x: x <> '')[1:6] AS w, list_transform(range(1, len(w) + 1), lambda i: i || w[i]) AS h FROM chunks) WHERE len(h) > 0", V.CHUNKS)
 def table_fields(spark, d):
-    return V.chunks(spark, d).select("doc_id", "chunk_no", F.size(U.table_fields("content")["headers"]).alias("headers"))
+    w = F.slice(F.filter(F.transform(F.slice(F.split("content", " "), 1, 8), lambda x: F.replace(x, F.lit("|"), F.lit(""))), lambda x: x != ""), 1, 6)
+    heads = F.transform(w, lambda x, i: F.concat((i + 1).cast("string"), x))
+    df = V.chunks(spark, d).withColumn("h", heads).where(F.size("h") > 0).withColumn("t", F.concat(F.array_join("h", " | "), F.lit("\n"), F.concat_ws(" | ", F.col("doc_id").cast("string"), "chunk_type", F.col("chunk_no").cast("string"))))
+    f = df.withColumn("f", U.table_fields("t"))
+    pairs = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return f.select("doc_id", "chunk_no", F.array_join("f.headers", ",").alias("headers"), pairs("f.metrics").alias("metrics"), pairs("f.dimensions").alias("dimensions"))
 
 
 @query(f"SELECT doc_id, chunk_no, CASE WHEN doc_type = 'rule' AND {_hits('content', ('then', 'pour'))} THEN substr({SPACE.format('content')}, 1, 160) END AS duty, CASE WHEN doc_type = 'speech' THEN substr({SPACE.format('content')}, 1, 300) END AS stance, CASE WHEN doc_type = 'report' AND contains(content, '%') THEN 'contains_percentage' END AS trend FROM chunks JOIN docs USING (doc_id)", V.CHUNKS)

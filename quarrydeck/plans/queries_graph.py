@@ -118,12 +118,11 @@ def fusion_features(spark, d):
     return G.fusion_features(V.entities(spark, d), V.facts(spark, d)).select("key", "mentions", "relations", "attributes")
 
 
-@query(f"""SELECT key, canonical, CASE WHEN key = canonical THEN 'canonical' ELSE 'member' END AS role, size FROM (SELECT key, first_value(key) OVER (PARTITION BY grp, fk ORDER BY mentions DESC, length(name) DESC, key) AS canonical, count(*) OVER (PARTITION BY grp, fk) AS size FROM (SELECT *, {FUSION.format('name')} AS fk, {GROUP.format('entity_type')} AS grp FROM (SELECT key, min(name) AS name, min(entity_type) AS entity_type, count(DISTINCT doc_id) AS mentions FROM (SELECT *, {KEY.format('entity_type', 'name')} AS key FROM (SELECT entity_id, entity_type, doc_id, regexp_replace(name, '#0*([0-9]{{1,6}})$', '# \\1') AS name FROM (SELECT entity_id, entity_type, doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(name) || ' ' || chr(45) ELSE name END AS name FROM entities))) GROUP BY key)) WHERE length(fk) >= 2) WHERE size BETWEEN 2 AND 50""", V.ENTITIES)
+@query(f"""SELECT key, canonical, CASE WHEN key = canonical THEN 'canonical' ELSE 'member' END AS role, size FROM (SELECT key, first_value(key) OVER (PARTITION BY grp, fk ORDER BY coalesce(relations, 0) DESC, mentions DESC, length(name) DESC, key) AS canonical, count(*) OVER (PARTITION BY grp, fk) AS size FROM (SELECT *, {FUSION.format('name')} AS fk, {GROUP.format('entity_type')} AS grp FROM (SELECT key, min(name) AS name, min(entity_type) AS entity_type, count(DISTINCT doc_id) AS mentions FROM (SELECT *, {KEY.format('entity_type', 'name')} AS key FROM (SELECT entity_id, entity_type, doc_id, regexp_replace(name, '#0*([0-9]{{1,6}})$', '# \\1') AS name FROM (SELECT entity_id, entity_type, doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(name) || ' ' || chr(45) ELSE name END AS name FROM entities))) GROUP BY key) LEFT JOIN (SELECT key, count(*) AS relations FROM (SELECT {KEY.format('subject_type', 'subject')} AS key FROM facts WHERE object_type IS NOT NULL UNION ALL SELECT {KEY.format('object_type', 'object')} FROM facts WHERE object_type IS NOT NULL) GROUP BY 1) USING (key)) WHERE length(fk) >= 2) WHERE size BETWEEN 2 AND 50""", V.ENTITIES + "," + V.FACTS)
 def fuse_exact(spark, d):
     e = V.entities(spark, d).withColumn("name", F.when(F.col("doc_id") % 3 == 0, F.concat(F.upper("name"), F.lit(" -"))).otherwise(F.col("name")))
     e = e.withColumn("name", F.regexp_replace("name", "#0*([0-9]{1,6})$", "# $1"))
-    none = V.facts(spark, d).where("false")
-    return G.fuse_exact(G.fusion_features(e, none)).select("key", "canonical", "role", "size")
+    return G.fuse_exact(G.fusion_features(e, V.facts(spark, d))).select("key", "canonical", "role", "size")
 
 
 NEAR = V.ENTITIES + f""",
@@ -593,15 +592,16 @@ def _cards(spark, d):
     return o.groupBy(F.col("l_orderkey").alias("card_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_returnflag").alias("claim_id"), "refs"))).alias("claims"))
 
 
-@query("SELECT l_partkey::VARCHAR AS ref, count(DISTINCT l_orderkey) AS cards, count(*) AS claims FROM lineitem GROUP BY 1")
+@query("SELECT l_partkey::VARCHAR AS ref, array_to_string(list_sort(list(DISTINCT l_orderkey)), ',') AS cards, count(*) AS claims FROM lineitem GROUP BY 1")
 def evidence_bindings(spark, d):
-    return O.evidence_bindings(_cards(spark, d)).select("ref", F.size("cards").cast("long").alias("cards"), "claims")
+    return O.evidence_bindings(_cards(spark, d)).select("ref", F.array_join("cards", ",").alias("cards"), "claims")
 
 
-@query("SELECT l_orderkey AS card_id, count(DISTINCT l_returnflag) AS claims FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1")
+@query("SELECT l_orderkey AS card_id, array_to_string(list_sort(list(c)), ';') AS claims FROM (SELECT l_orderkey, l_returnflag || ':' || array_to_string(list_sort(list(l_partkey::VARCHAR))[1:20], ',') AS c FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY l_orderkey, l_returnflag) GROUP BY 1")
 def prune_structured_content(spark, d):
     valid = V.table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("ref"))
-    return O.prune_cards(_cards(spark, d), valid).select("card_id", F.size("claims").cast("long").alias("claims"))
+    text = F.transform("claims", lambda c: F.concat(c["claim_id"], F.lit(":"), F.array_join(c["refs"], ",")))
+    return O.prune_cards(_cards(spark, d), valid).select("card_id", F.array_join(F.array_sort(text), ";").alias("claims"))
 
 
 PACKS = "pk AS (SELECT o_orderkey AS pack_id, o_custkey AS domain_id, count(l_orderkey) AS items, count(l_orderkey) AS claims, count(*) FILTER (WHERE l_discount < 0.08) AS bound, count(*) FILTER (WHERE l_tax > 0.07) AS warnings, max(l_linenumber) AS depth, count(DISTINCT l_suppkey) AS roots, any_value(o_orderdate) AS created, any_value(o_orderstatus) AS st FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)"

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
 from ..operators import documents as D
 from ..operators import reports as R
 from ..streaming import streams as X
 from . import views as V
-from .queries_docs import _files
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -167,7 +166,7 @@ def _events(spark, d):
 
 def _drained(spark, df, mode: str, name: str):
     """Run a stream over what is there now and return its rows."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = shared_folder(spark)
     name = f"{name}_{uuid.uuid4().hex[:8]}"
     out = f"{base}/{name}"
 
@@ -198,8 +197,7 @@ def sliding_counts(spark, d):
 
 @query("SELECT user_id, count(*) AS n FROM (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events) WHERE fresh = 1 GROUP BY user_id")
 def session_windows(spark, d):
-    e = V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return X.session_windows(e).groupBy("user_id").agg(F.count("*").alias("n"))
+    return _drained(spark, X.session_windows(_events(spark, d)), "complete", "sessions").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type AS stage, CASE WHEN value < 50 THEN 'low' ELSE 'high' END AS status, count(*) AS n FROM events GROUP BY ALL")
@@ -223,7 +221,11 @@ def stream_stream_join(spark, d):
 
 @query("SELECT source, path, file_hash FROM docs", V.DOCS)
 def stream_ingest_twin(spark, d):
-    from ..sources.inventory import upsert_by_key
-
-    f = _files(spark, d).select("source", "path", "file_hash")
-    return upsert_by_key(f.where("false"), f, ["source", "path"])
+    """A stream of the documents' files into a table of buckets, and what that holds then."""
+    base = f"{shared_folder(spark)}/ingest_{uuid.uuid4().hex[:8]}"
+    schema = V.table(spark, d, "documents").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/document[s].parquet")
+    name = F.concat(F.lit("doc_"), F.col("doc_id"), F.when(F.col("doc_id") % 7 == 0, ".xlsx").when(F.col("doc_id") % 11 == 0, ".sql").otherwise(".txt"))
+    files = stream.select("source", F.concat("source", F.lit("/"), name).alias("path"), F.sha2("text", 256).alias("file_hash"))
+    X.stream_ingest(files, f"{base}/table", ["source", "path"], f"{base}/state", buckets=8).awaitTermination()
+    return X.current_rows(spark, f"{base}/table").select("source", "path", "file_hash")

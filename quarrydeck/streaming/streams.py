@@ -18,17 +18,34 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType | str, file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def stream_ingest(stream: DataFrame, target: str, keys: list[str], checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None):
-    """Upsert each micro-batch into a table of Parquet versions: the newest version holds the current rows.
+def current_rows(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """The rows of a table of bucket versions: each bucket's newest version, or the newest before a batch."""
+    df = spark.read.parquet(target)
+    if before is not None:
+        df = df.where(F.col("version") < before)
+    newest = df.groupBy("bucket").agg(F.max("version").alias("version"))  # one row a bucket, from the folders' names
+    return df.join(F.broadcast(newest), ["bucket", "version"])
 
-    A batch is written as version ``batch_id``, so a batch that runs again after a failure writes the same version.
+
+def stream_ingest(stream: DataFrame, target: str, keys: list[str], checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 64):
+    """Upsert each micro-batch into a Parquet table of ``buckets`` by the keys' hash; ``current_rows`` reads it.
+
+    A batch rewrites only the buckets that its keys fall into, as version ``batch_id``. A batch that runs again after a
+    failure reads the versions before its own and writes the same ones again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = (transform(batch) if transform else batch).dropDuplicates(keys)
-        rows = fresh if batch_id == 0 else upsert_by_key(spark.read.parquet(f"{target}/version={batch_id - 1}"), fresh, keys)
-        rows.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        fresh = fresh.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        rows = fresh
+        if batch_id > 0:
+            known = current_rows(spark, target, batch_id).where(F.col("bucket").isin(touched)).drop("version")
+            rows = upsert_by_key(known, fresh, keys)
+        rows = rows.withColumn("version", F.lit(batch_id)).repartition("bucket")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(target)
+        fresh.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

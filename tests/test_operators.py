@@ -169,7 +169,28 @@ def test_stream_ingest(spark, tmp_path):
     X.stream_ingest(stream(), str(target), ["k"], str(tmp_path / "cp")).awaitTermination()
     spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string").write.mode("append").parquet(str(src))
     X.stream_ingest(stream(), str(target), ["k"], str(tmp_path / "cp")).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(target / "version=1")).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    rows = lambda **kw: sorted(map(tuple, X.current_rows(spark, str(target), **kw).select("k", "v").collect()))
+    assert rows() == [(1, "a"), (2, "c"), (3, "d")] and rows(before=1) == [(1, "a"), (2, "b")]
+    new = {str(f.relative_to(target)).split("/")[0] for f in target.rglob("version=1")}
+    assert new and len(new) <= 2  # only the buckets of the second batch's keys were written again
+
+
+def test_stale_detector_stream(spark, tmp_path):
+    """A running job that stays silent becomes stale by a timer; one that ends does not."""
+    src = tmp_path / "in"
+    for i, rows in enumerate([[(1, "running", "2024-01-01 00:00:00"), (2, "running", "2024-01-01 00:00:00")], [(2, "success", "2024-01-01 00:10:00")], [(3, "running", "2024-01-01 03:00:00")], [(4, "queued", "2024-01-01 03:05:00")]]):
+        spark.createDataFrame(rows, "file_id long, status string, at string").select("file_id", "status", F.to_timestamp("at").alias("ts")).coalesce(1).write.parquet(str(src / f"{i}"))
+    out = str(tmp_path / "out")
+    live = tmp_path / "live"
+    live.mkdir()
+    for i in range(4):  # one file a run, so that the watermark moves between them
+        for f in (src / f"{i}").glob("*.parquet"):
+            f.rename(live / f"{i}-{f.name}")
+        stream = spark.readStream.schema("file_id long, status string, ts timestamp").parquet(str(live))
+        q = X.stale_detector(stream, 60 * 60 * 1000).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = [(r.file_id, r.status, r.stale) for r in spark.read.parquet(out).collect()]
+    assert (1, "failed", True) in got and not any(x[0] == 2 and x[2] for x in got) and (2, "success", False) in got
 
 
 def test_split_late(spark):
