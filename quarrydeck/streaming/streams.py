@@ -98,7 +98,7 @@ class StaleJobs(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("status", T.StringType()), T.StructField("ts", T.LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         status, ts = self.last.get() if self.last.exists() else (None, -1)
         for part in rows:
             part = part.sort_values("ts")
@@ -112,7 +112,7 @@ class StaleJobs(StatefulProcessor):
             self.handle.registerTimer(ts + self.timeout_ms)
         yield pd.DataFrame({"file_id": [key[0]], "status": [status], "stale": [False]})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
         yield pd.DataFrame({"file_id": [key[0]], "status": ["failed"], "stale": [True]})
 
