@@ -37,12 +37,15 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
-def join_one(rows: DataFrame, facts: DataFrame, key: str, total: int, share: int = 4096) -> DataFrame:
+def join_one(rows: DataFrame, facts: DataFrame, key: str, total: int, share: int = 4096, least: int = 0) -> DataFrame:
     """Inner join of ``rows`` with at most one row of ``facts`` a key; ``facts`` has n, the key's count of rows.
 
     Keys with more than one of ``share`` of all ``total`` rows, fewer than ``share`` keys whatever the input, are sent to
-    the rows; only the other keys meet by a shuffle, so that no task gets a hot key's rows.
+    the rows; only the other keys meet by a shuffle, so that no task gets a hot key's rows. Up to ``least`` rows in all, which
+    one task could bear, the plain join does.
     """
+    if total <= least:
+        return rows.join(facts.drop("n"), key)
     hot = F.broadcast(facts.where(F.col("n") > total / share).drop("n"))
     rest = rows.join(hot.select(key), key, "left_anti").join(facts.drop("n"), key)
     return rows.join(hot, key).unionByName(rest)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, join_one, slices
-from .components import connected_components
+from .components import ONE_TASK, connected_components
 
 SEED, SLICE, LEAF, FRONT = 42, 1 << 15, 16, 1 << 16
 #: A fingerprint with more than one row in so many of all counts as hot: fewer than so many can be.
@@ -228,7 +228,7 @@ def linked_rows(fps: DataFrame, *, budget: int = 3, group_rows: int = 2048, hot_
     linked = connected_components(hamming_forest(nodes.select("fp"), budget=budget, group_rows=group_rows))
     nodes = cut(nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     roots = nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    named = cut(join_one(nodes.select("root", "fp", F.col("n").alias("rows")), roots, "root", total, hot_share).withColumnRenamed("rows", "n"))
+    named = cut(join_one(nodes.select("root", "fp", F.col("n").alias("rows")), roots, "root", total, hot_share, ONE_TASK).withColumnRenamed("rows", "n"))
     return join_one(fps, named, "fp", total, hot_share)
 
 

@@ -139,7 +139,7 @@ def train(texts: list[str], labels: np.ndarray, bits: int = 18, dim: int = 16, e
     return QualityModel((vectors @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]), bits)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 2000, sample_chars: int = 20_000, **training) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 2000, sample_chars: int = 8000, **training) -> QualityModel:
     """Fit on a bounded sample: ``sample_rows`` rows, and of a long text a stretch of ``sample_chars`` characters."""
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, sample_rows, sample_chars)
     return train(rows["text"].tolist(), rows["label"].to_numpy().astype(int), **training)

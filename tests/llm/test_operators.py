@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarrydeck.llm import crf_langid, license_scan, piece_codec, pivot_search, queries, simhash_dedup, source_mix, subword_quality, tiff_media, token_counts, url_filter
+from quarrydeck.llm import components, crf_langid, license_scan, piece_codec, pivot_search, queries, simhash_dedup, source_mix, subword_quality, tiff_media, token_counts, url_filter
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = [" " * 1_000_000, "\t" * 1_000_000, "\n" * 300_000, "x" * 1_000_000, "ab " * 400_000, "a" + " " * 1_000_000 + "b", "-" * 1_000_000]
@@ -627,7 +627,29 @@ def test_two_linked_fingerprints_share_a_key(spark):
         assert top[0] >= 0 and most // 64 < top[1] < most
 
 
-def test_simhash_odd(odd):
+def test_components_with_hubs(spark, monkeypatch):
+    """Hubs are split from the rest alike, whether rows are few or many."""
+    rng = random.Random(7)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(5, 5), (None, 3)]
+    up = {x: x for e in edges for x in e if x is not None}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    df = spark.createDataFrame(edges, "a long, b long")
+    for least in (0, components.ONE_TASK):
+        monkeypatch.setattr(components, "ONE_TASK", least)
+        got = {r.node: r.root for r in components.connected_components(df).collect()}
+        assert got == {x: root(x) for x in got} and set(got) == {x for a, b in edges if a is not None and a != b for x in (a, b)}
+
+
+def test_simhash_odd(odd, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "ONE_TASK", 0)
     got = simhash_dedup.near_duplicates(odd).collect()
     assert sorted(got, key=repr) == sorted(simhash_dedup.near_duplicates(odd, hot_share=3).collect(), key=repr)
     assert len(got) == odd.count()
