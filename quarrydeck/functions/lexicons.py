@@ -111,3 +111,22 @@ STATE_EMPTY = ("项目", "系统", "项目或系统", "智慧管理系统")
 # Texts of structure facts that point to noise.
 STRUCTURE_NUMBERS = "「[0-9.]+」"
 STRUCTURE_FIELDS = ("字段", "单价", "支出标准", "计量单位", "备注", "序号")
+
+# Patterns of the default unit rules (CODE_HINT in any case).
+NUMBER = r"(\d+(?:\.\d+)?)\s*(元/晚|元|亿元|万元|%|人|家)?"
+CODE_HINT = r"(```|class\s+\w+|def\s+\w+|from\s+\w+\s+import|POST\s+/api/|GET\s+/api/)"
+TIME = r"(\d{4}年(?:\d{1,2}月)?|\d{4}-\d{2}(?:-\d{2})?)"
+REGION = r"((?:[\u4e00-\u9fa5]{2,12})(?:省|市|区|县))"
+CONDITION = r"(符合[^，。；]{2,60}|经[^，。；]{2,40}(?:批准|同意)|在[^，。；]{2,60}情况下)"
+CONSTRAINT = r"((?:不超过|不得超过|不得|必须|应当|原则上不高于)[^，。；]{2,80})"
+EXCEPTION = r"(特殊情况[^，。；]{0,60}|例外情况[^，。；]{0,60}|确需[^，。；]{0,60})"
+YEAR_ON_YEAR = r"同比(?:增长|下降)?\s*(\d+(?:\.\d+)?)\s*%"
+MONTH_ON_MONTH = r"环比(?:增长|下降)?\s*(\d+(?:\.\d+)?)\s*%"
+
+# Patterns of value shapes.
+SHAPE_MONEY = r"[0-9]+(\.[0-9]+)?(元|万元|亿元)"
+SHAPE_PERCENT = "^[0-9.]+(%|％)$"
+SHAPE_YEAR = r"^(19|20)[0-9]{2}$"
+SHAPE_DATE = r"^(19|20)[0-9]{2}[年./．-][0-9]{1,2}([月./．-][0-9]{1,2})?日?$"
+SHAPE_STAGE = r"^(第[一二三四五六七八九十0-9]+阶段|一期|二期|三期|试点期|建设期|质保期)$"
+SHAPE_SCALAR = r"^[0-9.]+([个项名所次篇位人万亿年月日小时分钟秒]+)?$"

@@ -148,10 +148,9 @@ def fts_all(tokens: Column, terms: Column) -> Column:
 
 def value_shape(value) -> Column:
     v = F.regexp_replace(F.lower(F.trim(text(value))), r"\s+", "")
-    money = v.rlike(r"[0-9]+(\.[0-9]+)?(元|万元|亿元)")
-    temporal = v.rlike(r"^(19|20)[0-9]{2}$") | v.rlike(r"^(19|20)[0-9]{2}[年./．-][0-9]{1,2}([月./．-][0-9]{1,2})?日?$") | v.rlike(r"^(第[一二三四五六七八九十0-9]+阶段|一期|二期|三期|试点期|建设期|质保期)$")
-    scalar = v.rlike(r"^[0-9.]+([个项名所次篇位人万亿年月日小时分钟秒]+)?$")
-    return F.when(v == "", "empty").when(money, "money").when(v.rlike("^[0-9.]+(%|％)$"), "percent").when((F.length(v) <= 24) & temporal, "date").when(scalar, "scalar").when(F.length(v) <= 32, "short_text").otherwise("long_text")
+    money, scalar = v.rlike(L.SHAPE_MONEY), v.rlike(L.SHAPE_SCALAR)
+    temporal = v.rlike(L.SHAPE_YEAR) | v.rlike(L.SHAPE_DATE) | v.rlike(L.SHAPE_STAGE)
+    return F.when(v == "", "empty").when(money, "money").when(v.rlike(L.SHAPE_PERCENT), "percent").when((F.length(v) <= 24) & temporal, "date").when(scalar, "scalar").when(F.length(v) <= 32, "short_text").otherwise("long_text")
 
 
 def statement_pattern(statement) -> Column:

@@ -16,12 +16,14 @@ from ..functions import text as T
 from .contain import nearest, score_items
 from .relational import sum_of_best
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint behind a check of the size: nothing above ``rows`` rows is broadcast."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint behind a check of the size: nothing above ``rows`` rows, or ``size`` characters as JSON, is broadcast."""
+    head = df.limit(rows + 1).select(F.length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))).alias("n"))
+    n, total = head.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 def prepared(queries: DataFrame, most_tokens: int = 6) -> DataFrame:
@@ -196,7 +198,7 @@ def fts_rank(postings_: DataFrame, query_terms: DataFrame) -> DataFrame:
 
     postings_(doc_id, term, weight, pos), query_terms(query_id, term). The span is taken between first places.
     """
-    df = postings_.join(query_terms, "term").groupBy("query_id", "doc_id", "term").agg(F.max("weight").alias("w"), F.min("pos").alias("pos"))
+    df = postings_.join(small(query_terms), "term").groupBy("query_id", "doc_id", "term").agg(F.max("weight").alias("w"), F.min("pos").alias("pos"))
     df = df.groupBy("query_id", "doc_id").agg(F.sum("w").alias("w"), (F.max("pos") - F.min("pos") + 1).alias("span"), F.count("*").alias("terms"))
     return df.select("query_id", "doc_id", "terms", F.round(F.col("w") / (1 + F.log2(F.col("span"))), 6).alias("rank"))
 

@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..functions import text as T
 
 #: Patterns of the default rules.
-CODE = r"(?i)(```|class\s+\w+|def\s+\w+|from\s+\w+\s+import|post\s+/api/|get\s+/api/)"
-NUMBER = r"(\d+(?:\.\d+)?)\s*(元/晚|元|亿元|万元|%|人|家)?"
-TIME = r"(\d{4}年(?:\d{1,2}月)?|\d{4}-\d{2}(?:-\d{2})?)"
-REGION = r"([一-龥]{2,12}(?:省|市|区|县))"
-CONDITION = r"(符合[^，。；]{2,60}|经[^，。；]{2,40}(?:批准|同意)|在[^，。；]{2,60}情况下)"
-CONSTRAINT = r"((?:不超过|不得超过|不得|必须|应当|原则上不高于)[^，。；]{2,80})"
-EXCEPTION = r"(特殊情况[^，。；]{0,60}|例外情况[^，。；]{0,60}|确需[^，。；]{0,60})"
+CODE = "(?i)" + L.CODE_HINT
+NUMBER, TIME, REGION, CONDITION, CONSTRAINT, EXCEPTION = L.NUMBER, L.TIME, L.REGION, L.CONDITION, L.CONSTRAINT, L.EXCEPTION
 APPROVAL = ("批准", "审批", "同意")
 DUTY = ("不得", "不超过", "必须", "应当")
 UNIT_TYPES = {"rule": ("rule", "comply"), "speech": ("statement", "state"), "report": ("fact", "report"), "notice": ("fact", "report"), "minutes": ("fact", "report"), "excel": ("table_record", "record")}
@@ -45,10 +41,11 @@ def rule_fields(content, conditions: str = CONDITION, constraints: str = CONSTRA
     return F.struct(_all(t, conditions).alias("conditions"), _all(t, constraints).alias("constraints"), _all(t, exceptions).alias("exceptions"), T.any_of(t, approval).alias("approval_required"))
 
 
-def report_fields(content, time: str = TIME, region: str = REGION, rise: str = "增长|上升", fall: str = "下降|减少") -> Column:
+def report_fields(content, time: str = TIME, region: str = REGION, yoy: str = L.YEAR_ON_YEAR, mom: str = L.MONTH_ON_MONTH) -> Column:
+    """Time, region, and the percentages against the year and the month before, as texts; null where there is none."""
     t = T.text(content)
     one = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
-    return F.struct(one(time).alias("time"), one(region).alias("region"), one(rf"同比(?:{rise}|{fall})?([-\d.]+%?)").alias("yoy"), one(rf"环比(?:{rise}|{fall})?([-\d.]+%?)").alias("mom"))
+    return F.struct(one(time).alias("time"), one(region).alias("region"), one(yoy).alias("yoy"), one(mom).alias("mom"))
 
 
 def table_fields(content, sep: str = r"\s*\|\s*", most: int = 6) -> Column:

@@ -406,7 +406,7 @@ def rule_fields(spark, d):
 _MARKED = "content || CASE chunk_no % 4 WHEN 0 THEN ' 同比增长' || doc_id || '.5%' WHEN 1 THEN ' 环比下降' || doc_id || '%' WHEN 2 THEN ' 同比' || chunk_no ELSE '' END"
 
 
-@query(f"SELECT doc_id, chunk_no, nullif(regexp_extract(t, '(\\d{{4}}年(?:\\d{{1,2}}月)?|\\d{{4}}-\\d{{2}}(?:-\\d{{2}})?)', 1), '') AS time, nullif(regexp_extract(t, '([A-Z][a-z]{{2,12}}tion)', 1), '') AS region, nullif(regexp_extract(t, '同比(?:增长|上升|下降|减少)?([-\\d.]+%?)', 1), '') AS yoy, nullif(regexp_extract(t, '环比(?:增长|上升|下降|减少)?([-\\d.]+%?)', 1), '') AS mom FROM (SELECT *, {_MARKED} AS t FROM chunks)", V.CHUNKS)
+@query(f"SELECT doc_id, chunk_no, nullif(regexp_extract(t, '(\\d{{4}}年(?:\\d{{1,2}}月)?|\\d{{4}}-\\d{{2}}(?:-\\d{{2}})?)', 1), '') AS time, nullif(regexp_extract(t, '([A-Z][a-z]{{2,12}}tion)', 1), '') AS region, nullif(regexp_extract(t, '同比(?:增长|下降)?\\s*(\\d+(?:\\.\\d+)?)\\s*%', 1), '') AS yoy, nullif(regexp_extract(t, '环比(?:增长|下降)?\\s*(\\d+(?:\\.\\d+)?)\\s*%', 1), '') AS mom FROM (SELECT *, {_MARKED} AS t FROM chunks)", V.CHUNKS)
 def report_fields(spark, d):
     m = F.col("chunk_no") % 4
     tail = F.when(m == 0, F.concat(F.lit(" 同比增长"), "doc_id", F.lit(".5%"))).when(m == 1, F.concat(F.lit(" 环比下降"), "doc_id", F.lit("%"))).when(m == 2, F.concat(F.lit(" 同比"), "chunk_no")).otherwise("")
