@@ -12,7 +12,9 @@ result is the best path under those scores, which is what the library gives for
 can differ from its BPE merges. Characters without a piece become byte pieces where the model has them, else ``unk``.
 
 Cases: a null or empty text has no pieces and decodes to an empty text; decoding turns U+2581 in the original into a blank,
-as the library does, so such a text doesn't come back as it was; words of any length are encoded whole; extra columns pass.
+as the library does, so such a text doesn't come back as it was; words of any length are encoded whole; repeated rows stay
+rows with equal results; an empty table gives an empty one; extra columns pass, but one that is called like a made column
+(``piece_ids``, ``decoded``) is replaced by it.
 """
 
 from __future__ import annotations

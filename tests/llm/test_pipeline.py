@@ -71,3 +71,35 @@ def test_pieces_stage(stages):
 
 def test_run(spark, sf, stages):
     assert P.run(spark, sf).count() == stages["pieces"][1].count()
+
+
+def test_stages_with_odd_rows(spark, sf, tmp_path):
+    """Nulls, repeated ids and rows, long texts and clashing columns pass every stage; its decisions hold."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    good = [r.text for r in docs.where("lang = 'en' and n_chars > 300").limit(3).collect()]
+    rows = [(1, good[0], "en", "s", 1), (3, good[0], "en", "s", 1), (3, good[1], "en", "s", 1), (None, good[2], None, None, None), (None, good[0], "en", None, 2), (7, None, "en", "s", 0), (8, "", "en", "s", 0), (9, " \n\t " * 50_000, "en", "s", 0), (10, good[1] * 200, "en", "s", 0)]
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id > 20").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    clash = ("target", "size", "score", "component_id", "fp", "__x", "n", "a.b")
+    for c in clash:
+        odd = odd.withColumn(c, F.lit("own"))
+    before = odd
+    for i, (name, stage) in enumerate(P.STAGES):
+        stage(spark, before, sf).write.parquet(str(tmp_path / str(i)))
+        after = spark.read.parquet(str(tmp_path / str(i)))
+        if name == "pieces":
+            assert after.where("not round_trip").count() == 0 and after.count() == before.count()
+            continue
+        assert after.columns == odd.columns and all(after.where(F.col(f"`{c}`") != "own").count() == 0 for c in clash)
+        if name == "language":
+            assert after.where("trim(coalesce(text, '')) = ''").count() == 0
+        if name == "near_duplicates":
+            texts = [(r.doc_id, r.text) for r in after.collect()]
+            assert sum(t == good[0] for _, t in texts) == 1 and (1, good[0]) in texts  # the smallest id stands for the copies
+            assert (3, good[1]) in texts or (10, good[1] * 200) in texts and (None, good[2]) in texts
+        before = after
+
+
+def test_stages_on_empty_tables(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
+    for name, stage in P.STAGES:
+        assert stage(spark, docs, sf).count() == 0, name
