@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,20 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
+def arrow_map(rows: DataFrame, made, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` for tables with any column names: those with dots or quotes, which it can't take, are other ones inside."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    safe = {c: c if re.fullmatch(r"\w+", c) else f"__c{i}" for i, c in enumerate(rows.columns)}
+    inner = StructType([StructField(safe.get(f.name, f.name), f.dataType, True) for f in schema])
+    names = inner.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in made(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+
+    return rows.toDF(*safe.values()).mapInArrow(run, inner).toDF(*schema.names)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that a worker's arrays stay small; freed Arrow memory goes back each time."""
     for batch in batches:

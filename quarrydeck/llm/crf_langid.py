@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, hash_below, slices, stretch, subword_buckets, tokens_of, word_blocks
+from ._common import arrow_map, cut, hash_below, slices, stretch, subword_buckets, tokens_of, word_blocks
 
 ORDERS, AFFIXES = (2, 3, 4), (2, 3, 4, 5)
 BREAK = r"[^\p{L}]+"
@@ -187,7 +187,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, *, text_col: str =
     schema = docs.select(*(F.col(f"`{c}`") for c in kept)).withColumn(lang_col, F.lit("")).withColumn(score_col, F.lit(0.0)).schema
     for field in schema:
         field.nullable = True
-    return rows.mapInArrow(labelled, schema)
+    return arrow_map(rows, labelled, schema)
 
 
 def label_words(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from ._common import slices
+from ._common import arrow_map, slices
 
 MARK = "\u2581"
 WORD = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -170,7 +170,7 @@ def _mapped(df: DataFrame, column: str, added: dict[str, str], made) -> DataFram
 
     rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{column}`").alias("__in"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept), *(f"`{name}` {kind}" for name, kind in added.items())])
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def _model(spark: SparkSession, model: PieceModel | str):

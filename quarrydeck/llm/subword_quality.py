@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import PRIME, framed_bytes, hash_below, slices, stretch, subword_buckets, tokens_of, word_blocks
+from ._common import PRIME, arrow_map, framed_bytes, hash_below, slices, stretch, subword_buckets, tokens_of, word_blocks
 
 ORDERS = (3, 4, 5)
 BIGRAM_BITS = 16
@@ -159,4 +159,4 @@ def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text
     schema = docs.select(*(F.col(f"`{c}`") for c in kept)).withColumn(score_col, F.lit(0.0)).schema
     for field in schema:
         field.nullable = True
-    return rows.mapInArrow(scored, schema)
+    return arrow_map(rows, scored, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import arrow_map, slices
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Bytes of a value by TIFF field type.
@@ -258,7 +258,7 @@ def tiff_pages(df: DataFrame, *, content_col: str = "content", most_bytes: int =
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).take(row) for j in range(len(kept))), *own], names=[*kept, *names])
 
     rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{content_col}`").alias("__in"))
-    return rows.mapInArrow(_gathered(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept), PAGE_SCHEMA]))
+    return arrow_map(rows, _gathered(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept), PAGE_SCHEMA]))
 
 
 def _fitting(value, kind: pa.DataType):
@@ -304,7 +304,7 @@ def texts_as_tiff(docs: DataFrame, *, text_col: str = "text", width: int = 64) -
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=[*kept, "n_bytes", "content"])
 
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__in"))
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), "n_bytes long, content binary"]))
+    return arrow_map(rows, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), "n_bytes long, content binary"]))
 
 
 def average_hash(pixels: bytes, width: int, height: int, samples: int) -> str:
@@ -327,4 +327,4 @@ def page_features(pages: DataFrame) -> DataFrame:
             found = [average_hash(*(x.as_py() for x in row)) if row[0].is_valid else None for row in zip(*pick)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(found, pa.string())], names=[*kept, "feature"])
 
-    return pages.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in kept), "feature string"]))
+    return arrow_map(pages.select(*(F.col(f"`{c}`") for c in kept)), run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in kept), "feature string"]))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import arrow_map
+
 #: Terms that block a URL alone.
 STRICT = (
     "bestiality", "blowjob", "camgirls", "camsex", "carding", "casino", "casinos", "crackz", "cumshot", "escort", "escorts", "fakeid", "gangbang", "hardcoresex", "hentai", "jackpot", "keygen", "livesex",
@@ -128,7 +130,7 @@ def judge_urls(pages: DataFrame, *, url_col: str = "url", vocabulary: DataFrame
 
     rows = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{url_col}`").alias("__url"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in kept), "host string, path string, rule string, verdict string, strict_hits int, soft_hits int, soft_weight double"])
-    return rows.mapInArrow(judged, schema)
+    return arrow_map(rows, judged, schema)
 
 
 def oracle() -> str:

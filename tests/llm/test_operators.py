@@ -287,10 +287,10 @@ def test_tiff_malformed_pages(spark):
 
 
 def test_tiff_clashing_names(spark):
-    df = spark.createDataFrame([(1, "abc", "old", 7, "w")], "doc_id long, text string, content string, n_bytes int, width string")
+    df = spark.createDataFrame([(1, "abc", "old", 7, "w", "d")], "doc_id long, text string, content string, n_bytes int, width string, `a.b` string")
     stored = tiff_media.texts_as_tiff(df)
     page = tiff_media.page_features(tiff_media.tiff_pages(stored)).first()
-    assert page.n_bytes == 3 and page.width == 64 and page.doc_id == 1 and page.pixels[:3] == b"abc"
+    assert page["a.b"] == "d" and page.n_bytes == 3 and page.width == 64 and page.doc_id == 1 and page.pixels[:3] == b"abc"
 
 
 def test_tiff_query(spark, tmp_path, odd):
