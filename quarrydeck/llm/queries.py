@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_langid, license_scan, piece_codec, pivot_search, simhash_dedup, source_mix, subword_quality, tiff_media, token_counts, url_filter
+from . import crf_langid, hard_negatives, license_scan, piece_codec, pivot_search, simhash_dedup, source_mix, subword_quality, tiff_media, token_counts, url_filter
 from ._common import crc_mod, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -74,13 +74,18 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pivot_search, op3_url_filter, op4_piece_codec, op5_tiff_media, op6_crf_langid, op7_token_counts, op8_source_mix, op9_subword_quality, op10_simhash_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pivot_search, op3_url_filter, op4_piece_codec, op5_tiff_media, op6_crf_langid, op7_token_counts, op8_source_mix, op9_subword_quality, op10_simhash_dedup, op11_hard_negatives, pipeline)}
 
 OP2_SQL = """
 WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -91,9 +96,23 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC,
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+OP11_SQL = """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row, a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same, list_sum(list_transform(list_zip(a.v, x.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v x ON a.vec_id % 100 = 0 AND x.row <> a.row AND len(x.v) = len(a.v)),
+p AS (SELECT row, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.row, p.place ORDER BY s.score DESC, s.vec_id)::INT AS rank
+  FROM p JOIN s ON p.row = s.row AND NOT s.same AND p.place <= 5 AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 SQL = {
     "op1_license_scan": license_scan.oracle(),
     "op2_pivot_search": OP2_SQL,
     "op3_url_filter": url_filter.oracle(),
     "op8_source_mix": source_mix.ORACLE,
+    "op11_hard_negatives": OP11_SQL,
 }
