@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -39,27 +38,20 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
-def join_one(rows: DataFrame, facts: DataFrame, key: str, total: int, share: int = 4096, least: int = 0) -> DataFrame:
+def join_one(rows: DataFrame, facts: DataFrame, key: str, total: int, share: int = 4096, spread: Column | None = None) -> DataFrame:
     """Inner join of ``rows`` with at most one row of ``facts`` a key; ``facts`` has n, the key's count of rows.
 
-    Keys with more than one of ``share`` of all ``total`` rows, fewer than ``share`` keys whatever the input, are sent to
-    the rows; only the other keys meet by a shuffle, so that no task gets a hot key's rows. Up to ``least`` rows in all, which
-    one task could bear, the plain join does.
+    A key with more than one of ``share`` of all ``total`` rows is dealt over n * share / total tasks and its fact goes to each
+    of them; such keys are fewer than ``share``, whatever the input, so their list is broadcast. The rows meet in one join.
+    ``spread`` deals out a key's rows: by default the hash of the row, else a number that stays the same if a task runs again.
     """
-    if total <= least:
-        return rows.join(facts.drop("n"), key)
-    hot = F.broadcast(facts.where(F.col("n") > total / share).drop("n"))
-    rest = rows.join(hot.select(key), key, "left_anti").join(facts.drop("n"), key)
-    return rows.join(hot, key).unionByName(rest)
-
-
-def stretch(text, most: int, *parts):
-    """The text itself up to ``most`` characters; of a longer one ``most`` characters at a place drawn by the hash of
-    ``parts``, without the cut words at its ends (if it has white space at all)."""
-    at = F.pmod(F.xxhash64(*parts), F.length(text) - most + 1).cast("int") + 1
-    inner = F.substring(text, at, F.lit(most))
-    whole = F.regexp_replace(inner, r"^\S+\s|\s\S+$", "")
-    return F.when(F.length(text) <= most, text).otherwise(F.when(whole == "", inner).otherwise(whole))
+    many = F.col("n") > total / share
+    lanes = F.ceil(F.col("n") * share / max(total, 1)).cast("int")
+    hot = F.broadcast(facts.where(many).select(F.col(key).alias("__hot"), lanes.alias("__lanes")))
+    lane = F.coalesce(F.pmod(F.xxhash64(*rows.columns) if spread is None else spread, F.col("__lanes")).cast("int"), F.lit(0))
+    dealt = rows.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__lane", lane).drop("__hot", "__lanes")
+    copies = facts.withColumn("__lane", F.explode(F.sequence(F.lit(0), F.when(many, lanes - 1).otherwise(0)))).drop("n")
+    return dealt.join(copies, [key, "__lane"]).drop("__lane")
 
 
 def hash_below(share, *parts):
@@ -73,17 +65,24 @@ def crc_mod(column: str, n: int):
 
 
 def arrow_map(rows: DataFrame, made, schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` for tables with any column names: those with dots or quotes, which it can't take, are other ones inside."""
+    """``mapInArrow`` for tables with any column names, also repeated ones: inside, columns are known by their place."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    safe = {c: c if re.fullmatch(r"\w+", c) else f"__c{i}" for i, c in enumerate(rows.columns)}
-    inner = StructType([StructField(safe.get(f.name, f.name), f.dataType, True) for f in schema])
+    inner = StructType([StructField(f"_{i}", f.dataType, True) for i, f in enumerate(schema)])
     names = inner.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in made(batches):
             yield pa.RecordBatch.from_arrays(batch.columns, names=names)
 
-    return rows.toDF(*safe.values()).mapInArrow(run, inner).toDF(*schema.names)
+    return rows.toDF(*(f"_{i}" for i in range(len(rows.columns)))).mapInArrow(run, inner).toDF(*schema.names)
+
+
+def free_name(name: str, *taken: DataFrame) -> str:
+    """``name``, with as many underscores behind it as it takes to be none of the tables' columns."""
+    used = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:

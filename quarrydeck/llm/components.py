@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from ._common import cut, join_one
 
-ONE_TASK = 1 << 20
-
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node with an edge; ``root`` is the smallest node of its component.
 
     Each round is two joins on node keys and one checkpoint; only a count and a checksum reach the driver. A hub's
-    neighbours stay where they are and get its smallest neighbour by a broadcast of under 4,096 rows; up to a million edges,
-    which one task can bear, nothing is split. Self edges and edges with a null end are no links.
+    neighbours are dealt over several tasks, each with a copy of its smallest neighbour. Self edges and edges with a null end are no links.
     """
 
     def lowest(df: DataFrame) -> DataFrame:
@@ -27,9 +24,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = lowest(both).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_one(both.where("v > u"), low, "u", 2 * size, least=ONE_TASK).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = join_one(both.where("v > u"), low, "u", 2 * size).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = lowest(large)
-        small = join_one(large, low, "u", size, least=ONE_TASK).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_one(large, low, "u", size).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == mark:

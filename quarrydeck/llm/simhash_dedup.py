@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, join_one, slices
-from .components import ONE_TASK, connected_components
+from .components import connected_components
 
 SEED, SLICE, LEAF, FRONT = 42, 1 << 15, 16, 1 << 16
 #: A fingerprint with more than one row in so many of all counts as hot: fewer than so many can be.
@@ -228,20 +228,20 @@ def linked_rows(fps: DataFrame, *, budget: int = 3, group_rows: int = 2048, hot_
     linked = connected_components(hamming_forest(nodes.select("fp"), budget=budget, group_rows=group_rows))
     nodes = cut(nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     roots = nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    named = cut(join_one(nodes.select("root", "fp", F.col("n").alias("rows")), roots, "root", total, hot_share, ONE_TASK).withColumnRenamed("rows", "n"))
-    return join_one(fps, named, "fp", total, hot_share)
+    named = cut(join_one(nodes.select("root", "fp", F.col("n").alias("rows")), roots, "root", total, hot_share).withColumnRenamed("rows", "n"))
+    return join_one(fps, named, "fp", total, hot_share, F.monotonically_increasing_id())  # as often as rows repeat; fps is a checkpoint
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
     """One row of each component, with all columns of ``docs``: the smallest id (rows without one last), then the smallest
     digest of the whole row. Rows that are equal in every column count as one; rows that share an id only do not."""
-    digest = F.md5(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), {"ignoreNullFields": "false"}))
-    keyed = docs.withColumn("__digest", digest)
-    fps = fingerprints(keyed, id_col=id_col, text_col=text_col, words=words, others=("__digest",))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), whole.alias("row")).withColumn("digest", F.md5(F.to_json("row", {"ignoreNullFields": "false"})))
+    fps = fingerprints(keyed, id_col="id", text_col="text", words=words, others=("digest",))
     rows = linked_rows(fps, budget=budget)
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("__digest").alias("digest"))).alias("best"))
-    keep = best.select(F.col("best.digest").alias("__digest"))
-    return keyed.join(keep, "__digest", "left_semi").dropDuplicates(["__digest"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
+    keep = best.select(F.col("best.digest").alias("digest"))
+    return keyed.join(keep, "digest", "left_semi").dropDuplicates(["digest"]).select("row.*")
 
 
 def hex_fingerprint(fp: str = "fp"):

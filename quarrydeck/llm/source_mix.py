@@ -2,9 +2,10 @@
 
 Each source gets its weight's share of the words of the mix; no source may give more than ``max_epochs`` times its own
 words, and what that cuts off goes to the others in proportion to their weights, until none is above. A source that is
-asked for r epochs gives each row floor(r) times, and the rest of r by systematic sampling: inside strata of rows of like
-size, in a seeded order, every 1/f-th row once more. Strata are small, so that a hot source spreads over many tasks, and
-the words taken stay near the target.
+asked for r epochs gives each row floor(r) times, and the rest f of r by one systematic sample over all its rows, smaller
+ones first: every 1/f-th row once more. A row's place is its place among the rows of its size plus the number of smaller rows,
+which comes from a table of sizes, so no task puts a source in order. As sizes rise along the places, the words taken
+miss the target by less than the largest row; of ``PHASES`` seeded starts the one that misses it least is taken.
 
 All of it is DataFrame functions. Cases: a null text has size 0; a null source is a source of its own; a source without
 words has target 0; rows with equal ids, texts or sizes are rows of their own, and rows equal in all of these may be taken
@@ -18,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, join_one
+from ._common import cut
 
-#: Up to so many sources their targets are sent to all tasks; beyond, they are joined by a shuffle.
-BROADCAST_SOURCES = 50_000
+#: Rows of a source and size that one task puts in order, and the phases tried for a source.
+STRATUM_ROWS, PHASES = 1 << 16, 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,13 +66,14 @@ def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
     return parts.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + inner - 1).drop("__part", "__before")
 
 
-def _mixed(docs: DataFrame, weights: DataFrame | None, id_col: str, text_col: str, source_col: str, share: float, max_epochs: float, seed: int, stratum_rows: int) -> DataFrame:
-    """``docs`` with the columns __mix_size, __mix_source_size, __mix_target and __mix_repeats."""
+def _mixed(docs: DataFrame, weights: DataFrame | None, id_col: str, text_col: str, source_col: str, share: float, max_epochs: float, seed: int) -> DataFrame:
+    """(row, size, source_size, target, repeats): each row of ``docs`` as one column, and what the mix makes of it."""
     at = lambda c: F.col(f"`{c}`")
-    source = at(source_col)
-    key = F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("none"))
-    sized = docs.withColumn("__mix_size", word_count(f"`{text_col}`")).withColumn("__mix_key", key)
-    sources = sized.groupBy("__mix_key").agg(F.first(source).alias("source"), F.sum("__mix_size").alias("source_size"), F.count("*").alias("n"))
+    key = F.coalesce(F.concat(F.lit("s"), at(source_col).cast("string")), F.lit("none"))
+    sized = docs.select(F.struct(*(at(c) for c in docs.columns)).alias("row"), key.alias("key"), at(source_col).alias("source"), at(id_col).alias("id"), word_count(f"`{text_col}`").alias("size"), seeded(seed, at(id_col)).alias("draw"))
+    light = docs.select(key.alias("key"), at(source_col).alias("source"), word_count(f"`{text_col}`").alias("size"), seeded(seed, at(id_col)).alias("draw"))
+    sizes = cut(light.groupBy("key", "size").agg(F.first("source").alias("source"), F.count("*").alias("n")))  # a row for each different size of a source
+    sources = sizes.groupBy("key").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
     if weights is None:
         sources = numbered(sources, "source", "place")
         sources = sources.withColumn("weight", F.element_at(F.array(F.lit(3.0), F.lit(1.0), F.lit(2.0)), (F.pmod("place", F.lit(3)) + 1).cast("int")))
@@ -79,39 +81,55 @@ def _mixed(docs: DataFrame, weights: DataFrame | None, id_col: str, text_col: st
         own = weights.select(F.col("source").alias("__s"), F.col("weight").cast("double").alias("weight"))
         sources = sources.join(own, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     sources = cut(sources)  # one row a source
-    filled = fill_targets(sources, share=share, max_epochs=max_epochs)
-    filled = filled.select("__mix_key", F.col("source_size").alias("__mix_source_size"), F.col("n").alias("__mix_rows"), F.col("target").alias("__mix_target"), "n")
+    epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    filled = fill_targets(sources, share=share, max_epochs=max_epochs).withColumn("epochs", epochs).withColumn("part", F.col("epochs") - F.floor("epochs"))
     total = sources.agg(F.count("*"), F.sum("n")).first()
-    if total[0] <= BROADCAST_SOURCES:
-        df = sized.join(F.broadcast(filled.drop("n")), "__mix_key")
-    else:
-        df = join_one(sized, filled, "__mix_key", total[1])
-    epochs = F.when(F.col("__mix_source_size") > 0, F.col("__mix_target") / F.col("__mix_source_size")).otherwise(0.0)
-    df = df.withColumn("__mix_epochs", epochs).withColumn("__mix_part", F.col("__mix_epochs") - F.floor("__mix_epochs"))
-    df = df.withColumn("__mix_class", F.length(F.bin("__mix_size"))).withColumn("__mix_draw", seeded(seed, at(id_col)))
-    df = df.withColumn("__mix_bucket", F.pmod("__mix_draw", F.ceil(F.col("__mix_rows") / stratum_rows)))
-    place = F.row_number().over(Window.partitionBy("__mix_key", "__mix_class", "__mix_bucket").orderBy("__mix_size", "__mix_draw", at(id_col)))
-    phase = seeded(seed, source, F.col("__mix_class"), F.col("__mix_bucket")) / F.lit(4294967296.0)
-    df = df.withColumn("__mix_place", place).withColumn("__mix_phase", phase)
-    once = F.floor(F.col("__mix_place") * F.col("__mix_part") + F.col("__mix_phase")) - F.floor((F.col("__mix_place") - 1) * F.col("__mix_part") + F.col("__mix_phase"))
-    return df.withColumn("__mix_repeats", (F.floor("__mix_epochs") + once).cast("int"))
-
-
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, stratum_rows: int = 512) -> DataFrame:
+
+    # Sizes that more than ``STRATUM_ROWS`` rows and one in 4,096 have, fewer than so many, are dealt by their draw.
+    many = sizes.where((F.col("n") > STRATUM_ROWS) & (F.col("n") > F.lit(total[1] or 0) / 4096)).select("key", "size", F.ceil(F.col("n") / STRATUM_ROWS).alias("buckets"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        bucket = F.floor(F.col("draw") * F.coalesce("buckets", F.lit(1)) / F.lit(4294967296.0)).cast("int")
+        return df.join(F.broadcast(many), ["key", "size"], "left").withColumn("bucket", bucket).drop("buckets")
+
+    apart = dealt(light.join(F.broadcast(many.select("key", "size")), ["key", "size"], "left_semi")).groupBy("key", "size", "bucket").agg(F.count("*").alias("n"))
+    strata = sizes.join(F.broadcast(many), ["key", "size"], "left_anti").select("key", "size", F.lit(0).alias("bucket"), "n").unionByName(apart)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("size", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    strata = strata.withColumn("before", before)
+
+    def extra(last, n, phase):
+        return F.floor(last * F.col("part") + phase) - F.floor((last - n) * F.col("part") + phase)
+
+    # Of the phases that a source can start with, the one that takes most nearly its target.
+    first = seeded(seed, F.col("source")) / F.lit(4294967296.0)
+    phases = [(F.lit(float(k)) + first) / F.lit(float(PHASES)) for k in range(PHASES)]
+    tried = strata.join(filled.select("key", "source", "part"), "key")
+    sums = tried.groupBy("key").agg(*(F.sum(F.col("size") * extra(F.col("before") + F.col("n"), F.col("n"), p)).alias(f"p{k}") for k, p in enumerate(phases)))
+    off = F.array(*(F.struct(F.abs(F.col(f"p{k}") - F.col("part") * F.col("source_size")).alias("off"), F.lit(k).alias("k"), p.alias("phase")) for k, p in enumerate(phases)))
+    filled = cut(filled.join(sums, "key").withColumn("phase", F.array_min(off)["phase"]).select("key", "n", "source_size", "target", "epochs", "part", "phase"))
+
+    strata = strata.drop("n").join(filled.drop("n"), "key")
+    place = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("draw", "id"))
+    df = dealt(sized).withColumn("place", place).join(strata, ["key", "size", "bucket"])
+    repeats = F.floor("epochs") + extra(F.col("before") + F.col("place"), F.lit(1), F.col("phase"))
+    return df.select("row", "size", "source_size", "target", repeats.cast("int").alias("repeats"))
+
+
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """Add size, source_size, target (of the source), repeats and taken (words, repeats counted) to every row.
 
     ``weights``: (source, weight). Without it the sources weigh 3, 1, 2 and so on in the order of their code points.
     """
-    df = _mixed(docs, weights, id_col, text_col, source_col, share, max_epochs, seed, stratum_rows)
-    made = {c: F.col(f"__mix_{c}") for c in ("size", "source_size", "target", "repeats")}
-    made["taken"] = (F.col("__mix_size") * F.col("__mix_repeats")).cast("long")
-    return df.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made), *(x.alias(c) for c, x in made.items()))
+    df = _mixed(docs, weights, id_col, text_col, source_col, share, max_epochs, seed)
+    made = {c: F.col(c) for c in ("size", "source_size", "target", "repeats")}
+    made["taken"] = (F.col("size") * F.col("repeats")).cast("long")
+    return df.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in made), *(x.alias(c) for c, x in made.items()))
 
 
-def sample_mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, stratum_rows: int = 512) -> DataFrame:
+def sample_mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns as they are, each as often as it is taken."""
-    df = _mixed(docs, weights, id_col, text_col, source_col, share, max_epochs, seed, stratum_rows).where("__mix_repeats > 0")
-    return df.withColumn("__mix_k", F.explode(F.array_repeat(F.lit(0), F.col("__mix_repeats")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    df = _mixed(docs, weights, id_col, text_col, source_col, share, max_epochs, seed).where("repeats > 0")
+    return df.withColumn("k", F.explode(F.array_repeat(F.lit(0), F.col("repeats")))).select("row.*")
 
 
 ORACLE = r"""
@@ -122,9 +140,11 @@ filled AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS total, coalesce(s
   sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy FROM weighed),
 capped AS (SELECT *, (total - before_) * weight >= cap * heavy AS full_ FROM filled),
 target AS (SELECT source, source_size, n, CASE WHEN full_ THEN cap ELSE weight * ((total - coalesce(sum(CASE WHEN full_ THEN cap END) OVER (), 0)) / sum(CASE WHEN NOT full_ THEN weight END) OVER ()) END AS target FROM capped),
-strata AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS epochs, length(bin(d.size)) AS class, d.source,
-  ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '~')), 1, 8))::BIGINT AS draw, ceil(t.n / 512.0)::BIGINT AS buckets FROM sized d JOIN target t ON d.source IS NOT DISTINCT FROM t.source),
-placed AS (SELECT *, draw % buckets AS bucket, row_number() OVER (PARTITION BY source, class, draw % buckets ORDER BY size, draw, doc_id) AS place,
-  ('0x' || substr(md5('17:' || coalesce(source, '~') || ':' || class || ':' || (draw % buckets)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS phase, epochs - floor(epochs) AS part FROM strata)
-SELECT doc_id, size, source_size, target, (size * (floor(epochs) + floor(place * part + phase) - floor((place - 1) * part + phase)))::BIGINT AS taken FROM placed
+rows_ AS (SELECT d.doc_id, d.size, t.source, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS epochs, epochs - floor(epochs) AS part,
+  row_number() OVER (PARTITION BY t.source ORDER BY d.size, ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '~')), 1, 8))::BIGINT, d.doc_id) AS place,
+  ('0x' || substr(md5('17:' || coalesce(t.source, '~')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS first_ FROM sized d JOIN target t ON d.source IS NOT DISTINCT FROM t.source),
+tried AS (SELECT *, k, (k::DOUBLE + first_) / 16.0::DOUBLE AS phase, size * (floor(place * part + phase) - floor((place - 1) * part + phase)) AS more FROM rows_, (SELECT unnest(range(16)) AS k)),
+off AS (SELECT source, k, abs(sum(more)::BIGINT - any_value(part) * any_value(source_size)) AS off FROM tried GROUP BY source, k),
+best AS (SELECT source, min_by(k, (off, k)) AS k FROM off GROUP BY source)
+SELECT doc_id, size, source_size, target, (size * floor(epochs) + more)::BIGINT AS taken FROM tried JOIN best ON tried.k = best.k AND tried.source IS NOT DISTINCT FROM best.source
 """
