@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrydeck.llm import crf_langid, piece_codec, simhash_dedup, source_mix, subword_quality
-from quarrydeck.llm._common import crc_mod, shared_folder, table
+from quarrydeck.llm._common import crc_mod, free_name, shared_folder, table
 from quarrydeck.llm.queries import QUALITY_CUT, TOKENIZERS
 
 #: A text in a learned language has a mean marginal far above this, and a word or two of one stay above it as well; noise
@@ -34,14 +34,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose quality score is below the cut go."""
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
     model = subword_quality.fit_quality(docs, labels)
-    return same_columns(subword_quality.score_quality(docs, model, score_col="__score").where(F.col("__score") >= QUALITY_CUT), docs)
+    score = free_name("score", docs)
+    return same_columns(subword_quality.score_quality(docs, model, score_col=score).where(F.col(score) >= QUALITY_CUT), docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without letters or without a clear language go."""
     model = crf_langid.fit_language(docs.where(crc_mod("doc_id", 4) != 2))
-    found = crf_langid.identify_language(docs, model, lang_col="__lang", score_col="__score")
-    return same_columns(found.where((F.col("__lang") != "und") & (F.col("__score") >= LANGUAGE_CUT)), docs)
+    lang, score = free_name("lang_pred", docs), free_name("score", docs)
+    found = crf_langid.identify_language(docs, model, lang_col=lang, score_col=score)
+    return same_columns(found.where((F.col(lang) != "und") & (F.col(score) >= LANGUAGE_CUT)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +59,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether decoding gives the text back."""
     model = piece_codec.load_model(os.path.join(TOKENIZERS, "piece_bpe_32k.model"))
-    done = piece_codec.round_trip(docs, model, decoded_col="__back")
-    return done.withColumn("round_trip", F.col("__back") == F.coalesce("text", F.lit(""))).drop("__back")
+    back = free_name("decoded", docs)
+    done = piece_codec.round_trip(docs, model, decoded_col=back)
+    return done.withColumn("round_trip", F.col(back) == F.coalesce("text", F.lit(""))).drop(back)
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("mix", mix), ("pieces", pieces)]
