@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import cut
+
 PIVOTS, SAMPLE, ROW_BLOCK, QUERY_BLOCK, TILE = 32, 1024, 8192, 8192, 512
 LONG = (1 << 63) - 1
 
@@ -205,7 +207,9 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "ve
     q = q.select("id", "v", "dim", "copies", "q_key").mapInArrow(to_cells, q_schema).withColumn("qb", F.pmod(F.xxhash64("q_key"), F.lit(query_blocks)).cast("int"))
     blocks = F.broadcast(spark.createDataFrame([(d, c[0], c[1]) for d, known in table.items() for c in known], "dim int, cluster int, blocks int"))  # PIVOTS rows a length
     x = x.join(blocks, ["dim", "cluster"]).withColumn("rb", F.pmod(F.xxhash64("id", "v", "again"), F.col("blocks")).cast("int"))
-    x = x.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select("id", "v", "dim", "far", "cluster", "rb", "qb")
+    q = cut(q)
+    live = q.groupBy("dim", "cluster").agg(F.collect_set("qb").alias("qbs"))  # PIVOTS rows a length; a row goes where a query of the block came
+    x = x.join(F.broadcast(live), ["dim", "cluster"]).withColumn("qb", F.explode("qbs")).select("id", "v", "dim", "far", "cluster", "rb", "qb")
     names = ("dim", "cluster", "rb", "qb")
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
