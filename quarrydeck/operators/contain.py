@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 #: Terms, and queries, that are sent to the tasks at once; more of them are taken in several passes.
 MOST_TERMS, MOST_QUERIES = 200_000, 4096
 CELLS = 1 << 22
@@ -43,7 +45,14 @@ def numbers_in(finder: ahocorasick.Automaton | None, texts: Sequence[str | None]
     return np.repeat(places, counts), np.array(found, np.int64)
 
 
-def _blocks(df: DataFrame, key: str, most: int) -> Iterator[list]:
+def query_blocks(df: DataFrame, key: str, most: int) -> Iterator[list]:
+    """The rows in lists of about ``most``; the table is computed once."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) <= most:
+        if rows:
+            yield rows
+        return
+    df = cut(df)
     n = -(-df.count() // most)
     for b in range(n):
         if rows := df.where(F.pmod(F.xxhash64(key), F.lit(n)) == b).collect():
@@ -59,7 +68,7 @@ def held_terms(items: DataFrame, keys: Sequence[str], fields: Mapping[str, Colum
     rows = items.select(*keys, *(t.alias(f"__{i}") for i, t in enumerate(fields.values())))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*keys).schema), "field string, terms array<string>"])
     out = None
-    for block in _blocks(distinct, "term", most_terms):
+    for block in query_blocks(distinct, "term", most_terms):
         held = items.sparkSession.sparkContext.broadcast([r.term for r in block])
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -172,7 +181,7 @@ def score_items(queries: DataFrame, items: DataFrame, item_id: Column, kind: str
     rows = items.select("doc_id", item_id.alias("item_id"), *(t.alias(f"__{i}") for i, t in enumerate(texts)))
     schema = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, item_id string, score double, match_type string"
     out = None
-    for block in _blocks(queries.where("raw != ''"), "query_id", MOST_QUERIES):
+    for block in query_blocks(queries.where("raw != ''"), "query_id", MOST_QUERIES):
         held = items.sparkSession.sparkContext.broadcast([(r.query_id, r.raw, r.tight, r.tokens) for r in block])
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -214,7 +223,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, least: float) -> DataF
     kinds = dict(queries.dtypes) | dict(items.dtypes)
     schema = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, cosine double"
     out = None
-    for block in _blocks(queries, "query_id", MOST_QUERIES):
+    for block in query_blocks(queries, "query_id", MOST_QUERIES):
         held = items.sparkSession.sparkContext.broadcast([(r.query_id, r.q) for r in block])
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

@@ -32,11 +32,6 @@ def prepared(queries: DataFrame, most_tokens: int = 6) -> DataFrame:
     return queries.select("query_id", "query", F.lower(F.trim(T.text("query"))).alias("raw"), T.tight("query").alias("tight"), tokens.alias("tokens"))
 
 
-def postings(items: DataFrame, id_cols: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """(term, ids): the distinct terms of an item's fields, to be written once and bucketed by term for repeated use."""
-    return items.select(*id_cols, F.explode(T.search_terms(F.concat_ws(" ", *fields))).alias("term"))
-
-
 def keyword_leg(queries: DataFrame, items: DataFrame, kind: str, id_cols: Sequence[str], fields, top: int | None = None) -> DataFrame:
     """(query_id, kind, doc_id, item_id, score, match_type) of items that hold the query, its tight form or a token of it.
 
@@ -168,14 +163,7 @@ def search_filters(hits: DataFrame, docs: DataFrame, *, sources: Sequence[str] =
     return hits.join(allowed.select("doc_id"), "doc_id", "left_semi")
 
 
-def trigram_score(fields: Sequence[str], query: str = "query") -> Column:
-    """The best of the fields' trigram similarity to the query and the share of its terms that the fields hold."""
-    terms = T.search_terms(query)
-    held = F.size(F.array_intersect(T.search_terms(F.concat_ws(" ", *fields)), terms)) / F.greatest(F.size(terms), F.lit(1))
-    return F.round(F.greatest(held, *(T.trigram_similarity(f, query) for f in fields)), 6)
-
-
-#: Weights of term classes and the spread penalty of fts_rank.
+#: Weights of term classes.
 CLASS_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
 
@@ -192,15 +180,41 @@ def weighted_terms(fields: Sequence[tuple[str, str]]) -> Column:
     return F.concat(*parts)
 
 
-def fts_rank(postings_: DataFrame, query_terms: DataFrame) -> DataFrame:
-    """(query_id, doc_id, rank): sum over matched terms of their best class weight, divided by 1 + log2 of the smallest
-    span from a first to a last matched term.
+def weighted_postings(items: DataFrame, id_col: str, fields: Sequence[tuple[str, str]], terms: DataFrame) -> DataFrame:
+    """(id, term, weight, pos) of the words that are among ``terms`` (term); places count on from field to field."""
+    words = [F.regexp_extract_all(F.lower(T.text(name)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)) for name, _ in fields]
+    wanted, found, at = small(terms.select("term").distinct()), None, F.lit(0)
+    for own, (_, kind) in zip(words, fields):
+        part = items.select(F.col(id_col), at.alias("at"), F.posexplode(own).alias("pos", "term")).join(wanted, "term", "left_semi")
+        part = part.select(id_col, "term", F.lit(CLASS_WEIGHTS[kind]).alias("weight"), (F.col("at") + F.col("pos")).alias("pos"))
+        found, at = part if found is None else found.unionByName(part), at + F.size(own)
+    return found
+
+
+def fts_rank(postings: DataFrame, query_terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(query_id, id, covers, rank) of items that hold all terms of a query: the sum over covers of their weight by their density.
+
+    A cover is a stretch from one place of a term to another that holds all terms while no shorter stretch inside does. It
+    counts the harmonic mean of the weights of its matched places, divided by 1 plus the number of other words in it.
 
-    postings_(doc_id, term, weight, pos), query_terms(query_id, term). The span is taken between first places.
+    A sweep over the places of an item and query in order: at each place the last place of every term so far is known, and a
+    cover ends where the earliest of them has moved on. postings(id, term, weight, pos), query_terms(query_id, term).
     """
-    df = postings_.join(small(query_terms), "term").groupBy("query_id", "doc_id", "term").agg(F.max("weight").alias("w"), F.min("pos").alias("pos"))
-    df = df.groupBy("query_id", "doc_id").agg(F.sum("w").alias("w"), (F.max("pos") - F.min("pos") + 1).alias("span"), F.count("*").alias("terms"))
-    return df.select("query_id", "doc_id", "terms", F.round(F.col("w") / (1 + F.log2(F.col("span"))), 6).alias("rank"))
+    by_query = Window.partitionBy("query_id")
+    terms = query_terms.select("query_id", "term").distinct()
+    terms = terms.withColumn("no", F.row_number().over(by_query.orderBy("term")) - 1).withColumn("k", F.count("*").over(by_query))
+    most = terms.agg(F.max("k")).first()[0] or 1
+    along = Window.partitionBy("query_id", id_col).orderBy("pos")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    df = postings.join(small(terms), "term").withColumn("n", F.row_number().over(along)).withColumn("sum", F.sum(1 / F.col("weight")).over(so_far))
+    here = F.struct("pos", "n", (F.col("sum") - 1 / F.col("weight")).alias("before"))
+    last = F.array_compact(F.array(*(F.max(F.when(F.col("no") == i, here)).over(so_far) for i in range(most))))
+    df = df.withColumn("last", last).where(F.size("last") == F.col("k")).withColumn("begin", F.array_min("last"))
+    df = df.withColumn("passed", F.lag("begin.pos").over(along)).where(F.col("passed").isNull() | (F.col("begin.pos") > F.col("passed")))
+    n = F.col("n") - F.col("begin.n") + 1
+    noise = F.col("pos") - F.col("begin.pos") - n + 1
+    df = df.select("query_id", id_col, (n / (F.col("sum") - F.col("begin.before")) / (1 + noise)).alias("cover"))
+    return df.groupBy("query_id", id_col).agg(F.count("*").alias("covers"), F.round(F.sum("cover"), 6).alias("rank"))
 
 
 def noise_penalty(title: str = "title", filename: str = "filename", content: str = "content", doc_type: str = "doc_type", *, title_cues=L.DEV_TITLE_CUES, text_cues=L.DEV_TEXT_CUES, w=L.NOISE, bonus=L.DOC_TYPE_BONUS) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Sequence
 
@@ -179,26 +180,29 @@ def choose_evidence(rows: Sequence[tuple], n: int, soft: int, hard: int) -> list
     top = top if top > 0 else 1.0
     share = {d: max(0.0, min(1.0, s / top)) for d, s in strength.items()}
     cap = {d: max(soft, min(hard, math.ceil(soft + (hard - soft) * x * 0.6))) for d, x in share.items()}
-    near, used, chosen = [0.0] * len(rows), dict.fromkeys(strength, 0), []
-    open_ = dict.fromkeys(range(len(rows)))
-    while open_ and len(chosen) < n:
-        best, value = None, -math.inf
-        for i in open_:
-            _, doc, score, _ = rows[i]
-            if chosen and 0.78 * score <= value:
-                break  # the scores fall, so no later row can be better
-            if used[doc] >= cap[doc]:
-                continue
-            own = 0.78 * score - 1.25 * near[i] - 0.35 * used[doc] if chosen else score
-            if own > value:
-                best, value = i, own
-        if best is None:
-            break
-        chosen.append(best)
-        del open_[best]
-        used[rows[best][1]] += 1
-        for i in open_:
-            near[i] = max(near[i], 0.28 * (rows[i][1] == rows[best][1]) + 0.72 * _overlap(rows[i][3], rows[best][3]))
+    used, chosen = dict.fromkeys(strength, 0), []
+    near, met = [0.0] * len(rows), [0] * len(rows)  # the largest similarity so far, and how many of the chosen it covers
+    # Penalties only grow, so a value once computed bounds its row: the top of the heap is computed anew until it stays there.
+    heap = [(-score if i == 0 else -0.78 * score, i) for i, (_, _, score, _) in enumerate(rows)]
+    heapq.heapify(heap)
+    while heap and len(chosen) < n:
+        bound, i = heap[0]
+        _, doc, score, text = rows[i]
+        if used[doc] >= cap[doc]:
+            heapq.heappop(heap)
+            continue
+        for c in chosen[met[i] :]:
+            near[i] = max(near[i], 0.28 * (rows[c][1] == doc) + 0.72 * _overlap(text, rows[c][3]))
+        met[i] = len(chosen)
+        own = -(0.78 * score - 1.25 * near[i] - 0.35 * used[doc]) if chosen else bound
+        if own > bound:
+            heapq.heapreplace(heap, (own, i))
+            continue
+        heapq.heappop(heap)
+        chosen.append(i)
+        used[doc] += 1
+    taken = set(chosen)
+    open_ = [i for i in range(len(rows)) if i not in taken]
     for i in open_:  # what is left fills up in the order of its score, up to the hard cap
         if len(chosen) == n:
             break
@@ -215,15 +219,19 @@ def select_evidence_mmr(candidates: DataFrame, n: int = 160, soft: int = 12, har
     their texts. A document gives at most its cap, between ``soft`` and ``hard`` by its best score; if then fewer than ``n``
     are chosen, the best of the rest follow up to ``hard`` a document.
 
-    A domain's group is cut where nothing can change the choice: the n best rows with at most ``soft`` a document are always
-    open to it, so a row is out of reach below the least score of these minus all penalties ((1.25 + .35 * soft) / .78),
-    as long as those n rows exist.
+    A domain's group is cut where nothing can change the choice. Of n documents one is untouched before the n-th choice, and
+    its best row costs no more than the overlap with others, so rows below the n-th best document by 1.25 * .72 / .78 are out
+    of reach. Where there are fewer documents: the n best rows with at most ``soft`` a document are always open, so rows below
+    the least of these by (1.25 + .35 * soft) / .78 are.
     """
     text = T.tight("text")
     by_doc = F.row_number().over(Window.partitionBy("domain_id", "doc_id").orderBy(F.desc("score"), "item_id"))
     rows = candidates.select("domain_id", "item_id", "doc_id", "score", text.alias("text"), by_doc.alias("k"))
     first = rows.where(F.col("k") <= soft).withColumn("r", F.row_number().over(Window.partitionBy("domain_id").orderBy(F.desc("score"), "item_id")))
     reach = first.where(F.col("r") == n).select("domain_id", (F.col("score") - (1.25 + 0.35 * soft) / 0.78).alias("least"))
+    heads = rows.where("k = 1").withColumn("r", F.row_number().over(Window.partitionBy("domain_id").orderBy(F.desc("score"), "item_id")))
+    reach = reach.unionByName(heads.where(F.col("r") == n).select("domain_id", (F.col("score") - 1.25 * 0.72 / 0.78 - 1e-9).alias("least")))
+    reach = reach.groupBy("domain_id").agg(F.max("least").alias("least"))
     rows = rows.join(reach, "domain_id", "left").where(F.col("least").isNull() | (F.col("score") >= F.col("least"))).select("domain_id", "item_id", "doc_id", "score", "text")
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:

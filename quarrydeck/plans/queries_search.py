@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..operators import fuzzy as Z
 from ..operators import relational as R
 from ..operators import retrieval as S
 from . import views as V
@@ -209,9 +211,38 @@ def phrase_adjustment(spark, d):
     return _pairs(spark, d).select("query_id", "doc_id", S.phrase_adjustment(content="text").alias("phrase"), F.round(S.exact_boost(content="text"), 6).alias("exact"), S.match_type(content="text").alias("kind"))
 
 
-@query(f"SELECT query_id, doc_id, round(greatest(held, CASE WHEN len(list_distinct(list_concat(a, q))) > 0 THEN len(list_intersect(a, q)) / len(list_distinct(list_concat(a, q))) ELSE 0 END, CASE WHEN len(list_distinct(list_concat(b, q))) > 0 THEN len(list_intersect(b, q)) / len(list_distinct(list_concat(b, q))) ELSE 0 END), 6)::DOUBLE AS score FROM (SELECT query_id, doc_id, len(list_intersect({WORDS.format('concat_ws(chr(32), title, filename)')}, {WORDS.format('query')})) / greatest(1, len({WORDS.format('query')})) AS held, {TRI.format('title')} AS a, {TRI.format('filename')} AS b, {TRI.format('query')} AS q FROM pairs)", PAIRS)
+def _asked(spark, d):
+    """The queries, and each without its third character."""
+    q = V.queries_in(spark, d)
+    return q.unionByName(q.select(F.concat("query_id", F.lit("~")).alias("query_id"), F.concat(F.substring("query", 1, 2), F.expr("substring(query, 4)")).alias("query")))
+
+
+FUZZY = f"""{V.UNITS}, {V.QUERIES_IN},
+asked AS (SELECT query_id, query FROM queries_in UNION ALL SELECT query_id || '~', substr(query, 1, 2) || substr(query, 4) FROM queries_in),
+qg AS (SELECT query_id, len(grams) AS n, unnest(grams) AS gram FROM (SELECT query_id, {TRI.format("query")} AS grams FROM asked)),
+fields AS (SELECT 'document' AS kind, doc_id::VARCHAR AS item_id, unnest([title, filename]) AS field FROM docs UNION ALL SELECT 'unit', doc_id || ':' || unit_no, unnest([title, subject, indicator, normalized, content]) FROM units
+  UNION ALL SELECT 'chunk', doc_id || ':' || chunk_no, unnest([title, content]) FROM chunks),
+texts AS MATERIALIZED (SELECT row_number() OVER () AS id, field FROM (SELECT DISTINCT field FROM fields)),
+fg AS (SELECT id, len(grams) AS n, unnest(grams) AS gram FROM (SELECT id, {TRI.format("field")} AS grams FROM texts) WHERE len(grams) > 0),
+alike AS (SELECT id, query_id, count(*) AS both_, any_value(fg.n) AS n, any_value(qg.n) AS m FROM fg JOIN qg USING (gram) GROUP BY id, query_id),
+named AS (SELECT field, query_id, both_ / (n + m - both_) AS score FROM alike JOIN texts USING (id)),
+found AS (SELECT query_id, kind, item_id, max(score)::DOUBLE AS score FROM fields JOIN named USING (field) WHERE score > 0.05 GROUP BY ALL)"""
+
+
+@query("SELECT query_id, kind, item_id, score, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, item_id)::INT AS place FROM found QUALIFY place <= 30", FUZZY)
 def trigram_keyword_search(spark, d):
-    return _pairs(spark, d).select("query_id", "doc_id", S.trigram_score(["title", "filename"]).alias("score"))
+    """The 30 documents, units and chunks most alike to each query, also to one with a typo."""
+    asked, found = _asked(spark, d), None
+    at = lambda df, no: df.withColumn("item_id", F.concat_ws(":", "doc_id", no))
+    for kind, items, fields in (
+        ("document", V.docs(spark, d).withColumn("item_id", F.col("doc_id").cast("string")), ("title", "filename")),
+        ("unit", at(V.units(spark, d), "unit_no"), ("title", "subject", "indicator", "normalized", "content")),
+        ("chunk", at(V.chunks(spark, d), "chunk_no"), ("title", "content")),
+    ):
+        part = Z.fuzzy_leg(asked, items, "item_id", fields, top=30).withColumn("kind", F.lit(kind))
+        found = part if found is None else found.unionByName(part)
+    place = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), "item_id"))
+    return found.select("query_id", "kind", "item_id", "score", place.alias("place"))
 
 
 @query(f"SELECT query_id, doc_id, list_has_any(a, q) AS any_, len(list_filter(q, lambda x: NOT list_contains(a, x))) = 0 AND len(q) > 0 AS all_ FROM (SELECT query_id, doc_id, {WORDS.format('title')} AS a, {WORDS.format('query')} AS q FROM pairs)", PAIRS)
@@ -236,10 +267,18 @@ def weighted_terms(spark, d):
     return _weighted_terms(spark, d).groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.max("weight").alias("weight"), F.min("pos").cast("long").alias("first"))
 
 
-@query("SELECT query_id, doc_id, count(*) AS terms, round(sum(w) / (1 + log2(max(p) - min(p) + 1)), 6)::DOUBLE AS rank FROM (SELECT query_id, doc_id, term, max(weight) AS w, min(pos) AS p FROM wt JOIN qt USING (term) GROUP BY ALL) GROUP BY query_id, doc_id", RANK)
+COVERS = RANK + """,
+qk AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS k FROM (SELECT DISTINCT query_id, term FROM qt)),
+m AS (SELECT query_id, doc_id, term, k, weight, pos FROM wt JOIN qk USING (term)),
+o AS (SELECT *, row_number() OVER w AS n, sum(1 / weight) OVER w AS total FROM m SEMI JOIN (SELECT query_id, doc_id FROM m GROUP BY ALL HAVING count(DISTINCT term) = any_value(k)) USING (query_id, doc_id) WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY pos)),
+ends AS (SELECT query_id, doc_id, pos, min(last_) AS first_ FROM (SELECT e.query_id, e.doc_id, e.pos, e.k, x.term, max(x.pos) AS last_ FROM o e JOIN o x ON x.query_id = e.query_id AND x.doc_id = e.doc_id AND x.pos <= e.pos GROUP BY ALL) GROUP BY ALL HAVING count(*) = any_value(k)),
+covers AS (SELECT * FROM ends QUALIFY coalesce(first_ > lag(first_) OVER (PARTITION BY query_id, doc_id ORDER BY pos), true))"""
+
+
+@query("SELECT c.query_id, c.doc_id, count(*) AS covers, round(sum((e.n - b.n + 1) / (e.total - b.total + 1 / b.weight) / (1 + e.pos - b.pos - (e.n - b.n))), 6)::DOUBLE AS rank FROM covers c JOIN o e ON e.query_id = c.query_id AND e.doc_id = c.doc_id AND e.pos = c.pos JOIN o b ON b.query_id = c.query_id AND b.doc_id = c.doc_id AND b.pos = c.first_ GROUP BY ALL", COVERS)
 def fts_rank(spark, d):
     terms = V.queries_in(spark, d).select("query_id", F.explode(T.search_terms("query")).alias("term"))
-    return S.fts_rank(_weighted_terms(spark, d), terms)
+    return S.fts_rank(S.weighted_postings(V.docs(spark, d), "doc_id", [("title", "A"), ("filename", "A"), ("text", "B")], terms), terms)
 
 
 @query("SELECT doc_id, lower(concat_ws(chr(10), title, filename, text)) AS blob FROM docs", V.DOCS)

@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarrydeck.functions import lexicons as L
-from quarrydeck.operators import contain, documents, graph, names, recall, relational, retrieval, topics
+from quarrydeck.operators import contain, documents, fuzzy, graph, names, recall, relational, retrieval, topics
 
 
 
@@ -135,6 +137,78 @@ def test_evidence_choice(spark, seed):
     assert [r.item_id for r in got] == plain_choice(rows, n, soft, hard)
 
 
+def test_evidence_choice_of_many_documents(spark):
+    """More documents than choices, so that rows far below the n-th document's best are cut; and a large domain in short time."""
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta"]
+    rows = [(f"i{n:04d}", rng.randrange(60), round(rng.uniform(0.35, 4), 3), " ".join(rng.choices(words, k=rng.randint(3, 12)))) for n in range(400)]
+    rows.sort(key=lambda r: (-r[2], r[0]))
+    plain = plain_choice([(i, d, s, t.replace(" ", "")) for i, d, s, t in rows], 20, 2, 5)
+    df = spark.createDataFrame([(1, *r) for r in rows], "domain_id int, item_id string, doc_id int, score double, text string")
+    assert [r.item_id for r in topics.select_evidence_mmr(df, 20, 2, 5).orderBy("place").collect()] == plain
+    many = [(f"i{n}", n % 900, round(rng.uniform(0.35, 4), 3), " ".join(rng.choices(words, k=20))) for n in range(20_000)]
+    many.sort(key=lambda r: (-r[2], r[0]))
+    start = time.perf_counter()
+    assert len(topics.choose_evidence(many, 160, 12, 48)) == 160
+    assert time.perf_counter() - start < 5
+
+
+def plain_grams(text):
+    words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    return {f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)}
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_fuzzy_leg_against_all_pairs(spark, most):
+    rng = random.Random(4)
+    words = ["governance", "data", "platform", "Ünïcode", "数据治理", "a", "x9", "naïve", "report"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 8))) for _ in range(80)] + [None, "", "--", "governance " * 3000, "word" * 5000]
+    items = [(f"k{i}", t, rng.choice(texts)) for i, t in enumerate(texts)] + [("k1", texts[1], None)]
+    asked = [(f"q{i}", t) for i, t in enumerate(["govrnance", "dat platfrom", "数据治", "naive", "", None, "?!", "report 2020 x9", "governance data", "zzz"])]
+    least = 0.05
+    want = []
+    for q, query in asked:
+        for k, *own in items:
+            score = max(len(g & plain_grams(query)) / max(len(g | plain_grams(query)), 1) for g in map(plain_grams, own))
+            if score > least:
+                want.append((q, k, score))
+    queries = spark.createDataFrame(asked, "query_id string, query string")
+    df = spark.createDataFrame([(*i, "clash") for i in items], "key string, a string, b string, score string").repartition(5)
+    got = [tuple(r) for r in fuzzy.fuzzy_leg(queries, df, "key", ["a", "b"], most=most).collect()]
+    assert sorted(got) == sorted(want) and {q for q, *_ in got} >= {"q0", "q1", "q2", "q3"}
+    best = []
+    for q, _ in asked:
+        best += sorted((x for x in want if x[0] == q), key=lambda x: (-x[2], x[1]))[:7]
+    assert sorted(map(tuple, fuzzy.fuzzy_leg(queries, df, "key", ["a", "b"], top=7, most=most).collect())) == sorted(best)
+    assert fuzzy.fuzzy_leg(queries.where("false"), df, "key", ["a"]).count() == fuzzy.fuzzy_leg(queries, df.where("false"), "key", ["a"], top=3).count() == 0
+
+
+def test_fts_rank_is_cover_density(spark):
+    """Covers by their definition: stretches with all terms of which no shorter stretch inside has all."""
+    rng = random.Random(6)
+    weights = {"A": 1.0, "B": 0.4}
+    docs = [(i, " ".join(rng.choices("abcdef", k=rng.randint(0, 4))), " ".join(rng.choices("abcdefghij", k=rng.randint(0, 40)))) for i in range(60)]
+    asked = {"q1": ["a"], "q2": ["a", "b"], "q3": ["c", "d", "e"], "q4": ["j", "zz"], "q5": list("abcde")}
+    want = {}
+    for i, title, text in docs:
+        words = [(w, weights["A"]) for w in title.split()] + [(w, weights["B"]) for w in text.split()]
+        for q, terms in asked.items():
+            at = [p for p, (w, _) in enumerate(words) if w in terms]
+            whole = [(b, e) for b in at for e in at if b <= e and set(terms) <= {w for w, _ in words[b : e + 1]}]
+            covers = [c for c in whole if not any(o != c and o[0] >= c[0] and o[1] <= c[1] for o in whole)]
+            if covers:
+                rank = 0.0
+                for b, e in covers:
+                    own = [w for t, w in words[b : e + 1] if t in terms]
+                    rank += len(own) / sum(1 / w for w in own) / (1 + (e - b + 1 - len(own)))
+                want[q, i] = (len(covers), rank)
+    df = spark.createDataFrame(docs + [(99, None, None)], "doc_id int, title string, text string")
+    terms = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts + ts[:1]], "query_id string, term string")
+    got = {(r.query_id, r.doc_id): (r.covers, r["rank"]) for r in retrieval.fts_rank(retrieval.weighted_postings(df, "doc_id", [("title", "A"), ("text", "B")], terms), terms).collect()}
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-6) for k in want)
+    assert retrieval.fts_rank(retrieval.weighted_postings(df, "doc_id", [("title", "A")], terms), terms.where("false")).count() == 0
+
+
 def test_possible_duplicates_against_all_pairs(spark):
     """Every link of shingle sets at .8 or more is found, copies included; scores and partners are those of all pairs."""
     from difflib import SequenceMatcher
