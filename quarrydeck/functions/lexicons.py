@@ -130,3 +130,15 @@ SHAPE_YEAR = r"^(19|20)[0-9]{2}$"
 SHAPE_DATE = r"^(19|20)[0-9]{2}[年./．-][0-9]{1,2}([月./．-][0-9]{1,2})?日?$"
 SHAPE_STAGE = r"^(第[一二三四五六七八九十0-9]+阶段|一期|二期|三期|试点期|建设期|质保期)$"
 SHAPE_SCALAR = r"^[0-9.]+([个项名所次篇位人万亿年月日小时分钟秒]+)?$"
+
+# Structure facts: types, names and fragments that stay out or make a parent, and confidences.
+STRUCTURE_LONGEST = 30
+STRUCTURE_ANCHORS = ("system", "project", "policy", "standard", "organization")
+STRUCTURE_TARGETS = ("organization", "document", "project", "product", "system", "policy", "process", "indicator", "concept", "technology", "resource", "requirement", "outcome", "standard")
+STRUCTURE_PARENTS = ("requirement", "concept", "process", "standard", "policy", "system", "project", "technology", "resource", "outcome", "document", "product")
+STRUCTURE_PARENT_PARTS = ("要求", "指标", "标准", "规范", "规则", "流程", "模块", "方案", "体系", "机制", "服务", "接口", "安全", "质量", "技术", "条件", "范围", "策略", "能力", "内容")
+STRUCTURE_EXCLUDED_NAMES = ("我国", "本项目", "本系统", "项目", "系统", "平台", "高校", "院校", "功能", "关键词", "重要内容", "相关工作", "相关工作的负责人", "其他", "内容", "要求", "摘要信息", "表1", "表2")
+STRUCTURE_EXCLUDED_FIELDS = ("序号", "编号", "姓名", "性别", "日期", "时间", "填报日期", "申报日期", "申报时间", "申报单位", "备注", "说明", "附件", "内部", "主要内容", "联系电话", "通讯地址")
+STRUCTURE_EXCLUDED_PARTS = ("取得了", "开展了", "主持", "贯彻", "部署", "颁布", "取消", "提出", "给予", "作出", "决定", "提供")
+STRUCTURE_BREAKS = ("、", "，", "；")
+STRUCTURE_SURE = {"title": 0.72, "keyword": 0.68, "parent": 0.74}

@@ -365,23 +365,6 @@ def govern_attributes(facts: DataFrame, hints: DataFrame) -> DataFrame:
     return df.withColumn("reason", reason).withColumn("governed_key", F.when(F.col("reason").isin("template", "generic_key", "scalar"), F.coalesce("__hint", key["key"], F.col("__a")))).drop("__t", "__a", "__hint", "__shape", "__key")
 
 
-def enhance_structure(chunks: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Facts between a chunk's anchor and its other entities: the anchor is the mention whose name stands first in the chunk's
-    title, else in its text; a target in the title counts .72, elsewhere .62; of two reciprocal facts the weaker goes.
-
-    chunks(doc_id, chunk_no, title, content), mentions(doc_id, chunk_no, entity_id, name).
-    """
-    m = mentions.join(chunks, ["doc_id", "chunk_no"]).withColumn("in_title", F.instr(F.lower(T.text("title")), F.lower("name"))).withColumn("in_text", F.instr(F.lower(T.text("content")), F.lower("name")))
-    order = Window.partitionBy("doc_id", "chunk_no").orderBy((F.col("in_title") == 0).cast("int"), "in_title", "in_text", "entity_id")
-    m = m.withColumn("k", F.row_number().over(order))
-    anchor = m.where("k = 1").select("doc_id", "chunk_no", F.col("entity_id").alias("anchor"))
-    f = m.where("k > 1").join(anchor, ["doc_id", "chunk_no"]).where("entity_id != anchor").select("anchor", "entity_id", F.when(F.col("in_title") > 0, 0.72).otherwise(0.62).alias("confidence"), "doc_id", "chunk_no")
-    f = f.groupBy("anchor", "entity_id").agg(F.max("confidence").alias("confidence"), F.count("*").alias("evidence"))
-    r = f.select(F.col("entity_id").alias("anchor"), F.col("anchor").alias("entity_id"), F.struct("confidence", "evidence").alias("other"))
-    own = F.struct("confidence", "evidence")
-    return f.join(r, ["anchor", "entity_id"], "left").where(F.col("other").isNull() | (own > F.col("other")) | ((own == F.col("other")) & (F.col("anchor") < F.col("entity_id")))).drop("other")
-
-
 def link_sections(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
     return mentions.join(chunks.where(F.trim("title") != "").select("doc_id", "chunk_no", F.col("title").alias("section")), ["doc_id", "chunk_no"]).select("entity_id", "doc_id", "section").distinct()
 

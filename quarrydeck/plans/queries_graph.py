@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import plugins as P
 from ..functions import text as T
 from ..operators import graph as G
+from ..operators import structure as X
 from ..operators import topics as O
 from . import views as V
 from .queries_docs import TIGHT
@@ -422,17 +423,36 @@ def enrichment_queue(spark, d):
     return G.enrichment_queue(_recall(spark, d), V.docs(spark, d).where("doc_id % 5 = 0"), 40)
 
 
+KINDS = {8: "system", 9: "requirement", 10: "process", 11: "concept"}
 STRUCTURE = V.CHUNKS + f""",
-sm AS (SELECT doc_id, chunk_no, name, instr(lower(title), name) AS t, instr(lower(content), name) AS c FROM (SELECT doc_id, chunk_no, title, content, unnest({WORDS.format('content')}) AS name FROM chunks) WHERE length(name) >= 5),
-sk AS (SELECT *, first_value(name) OVER (PARTITION BY doc_id, chunk_no ORDER BY (t = 0)::INT, t, c, name) AS anchor FROM sm),
-sf AS (SELECT anchor, name AS entity_id, max(CASE WHEN t > 0 THEN 0.72 ELSE 0.62 END)::DOUBLE AS confidence, count(*) AS evidence FROM sk WHERE name <> anchor GROUP BY ALL)"""
-
-
-@query("SELECT a.* FROM sf a LEFT JOIN sf b ON a.anchor = b.entity_id AND a.entity_id = b.anchor WHERE b.anchor IS NULL OR a.confidence > b.confidence OR (a.confidence = b.confidence AND (a.evidence > b.evidence OR (a.evidence = b.evidence AND a.anchor < a.entity_id)))", STRUCTURE)
+sc AS (SELECT doc_id, chunk_no, d.title AS doc_title, c.title, list_filter({WORDS.format('content')}, lambda w: length(w) >= 9 AND regexp_matches(w, '[aeo]$')) AS words, {WORDS.format('content')} AS every FROM chunks c JOIN docs d USING (doc_id)),
+sm AS (SELECT doc_id, chunk_no, name, CASE length(name) {" ".join(f"WHEN {n} THEN '{kind}'" for n, kind in KINDS.items())} ELSE 'policy' END AS kind, doc_title, title, words FROM (SELECT *, unnest(list_filter(every, lambda w: length(w) BETWEEN 8 AND 30)) AS name FROM sc)),
+se AS (SELECT *, kind || ':' || name AS key, contains(lower(title), name) AS in_title, len(list_filter(words, lambda w: contains(w, name) OR contains(name, w))) > 0 AS in_words FROM sm),
+an AS (SELECT DISTINCT name, key FROM se WHERE kind IN ('system', 'policy')),
+cand AS (SELECT doc_id, chunk_no, 2 AS rank, name, key FROM sc JOIN an ON contains(lower(doc_title), name) UNION ALL SELECT doc_id, chunk_no, 1, name, key FROM sc JOIN an ON contains(lower(title), name) UNION ALL SELECT doc_id, chunk_no, 0, name, key FROM se WHERE kind IN ('system', 'policy') AND in_words),
+anchor AS (SELECT doc_id, chunk_no, key AS anchor, name AS anchor_name FROM cand QUALIFY row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY rank DESC, length(name) DESC, key) = 1),
+own AS (SELECT * FROM se JOIN anchor USING (doc_id, chunk_no) WHERE key <> anchor AND (in_title OR in_words) AND NOT regexp_full_match(title, '[0-9]+(\\.[0-9]+)?')),
+target AS (SELECT * FROM own WHERE NOT regexp_full_match(name, '[0-9]+') QUALIFY row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY in_title DESC, in_words DESC, length(name) DESC, key) <= 6),
+pair AS (SELECT t.*, p.key AS parent, p.name AS parent_name FROM target t LEFT JOIN own p ON p.doc_id = t.doc_id AND p.chunk_no = t.chunk_no AND p.key <> t.key AND (p.kind <> 'concept' OR p.in_title)
+  QUALIFY row_number() OVER (PARTITION BY t.doc_id, t.chunk_no, t.key ORDER BY p.in_title DESC, length(p.name) DESC, p.key) = 1),
+ev AS (SELECT doc_id, chunk_no, anchor, coalesce(parent, anchor) AS subject, coalesce(parent_name, anchor_name) AS subject_name, key AS target, CASE WHEN parent IS NULL THEN 'anchor_child' ELSE 'local_parent_child' END AS role, CASE WHEN in_title THEN 0.72 ELSE 0.68 END::DOUBLE AS confidence FROM pair WHERE parent IS NOT NULL OR in_title),
+sf AS (SELECT subject, target, max(role) AS role, max(confidence) AS confidence, count(*) AS evidence, length(min(subject_name)) AS n FROM ev GROUP BY ALL),
+stay AS (SELECT a.* FROM sf a LEFT JOIN sf b ON a.subject = b.target AND a.target = b.subject AND a.role = 'local_parent_child' AND b.role = 'local_parent_child' WHERE b.subject IS NULL OR a.n < b.n OR (a.n = b.n AND a.subject < b.subject)),
+above AS (SELECT anchor, subject, count(*) AS evidence FROM (SELECT DISTINCT anchor, subject, doc_id, chunk_no FROM ev SEMI JOIN stay USING (subject, target) WHERE role = 'local_parent_child' AND anchor <> subject) GROUP BY ALL)"""
+
+
+@query("SELECT subject, target AS object, role, confidence, evidence FROM stay UNION ALL SELECT anchor, subject, 'anchor_parent', 0.74::DOUBLE, evidence FROM above", STRUCTURE)
 def enhance_structure(spark, d):
-    """Every word of five letters or more is an entity of its chunk."""
-    m = V.chunks(spark, d).select("doc_id", "chunk_no", F.explode(T.search_terms("content")).alias("name")).withColumn("entity_id", F.col("name")).where(F.length("name") >= 5)
-    return G.enhance_structure(V.chunks(spark, d), m)
+    """Every word of eight letters or more is an entity of its chunk, of a type by its length; words from nine letters on that end in
+    a vowel are keywords."""
+    words = T.search_terms("content")
+    c = V.chunks(spark, d).join(V.docs(spark, d).select("doc_id", F.col("title").alias("doc_title")), "doc_id")
+    c = c.select("doc_id", "chunk_no", "doc_title", "title", F.filter(words, lambda w: (F.length(w) >= 9) & w.rlike("[aeo]$")).alias("keywords"), words.alias("words"))
+    kind = F.lit("policy")
+    for n, name in KINDS.items():
+        kind = F.when(F.length("name") == n, name).otherwise(kind)
+    m = c.select("doc_id", "chunk_no", F.explode("words").alias("name")).where(F.length("name").between(8, 30)).withColumn("entity_type", kind)
+    return X.enhance_structure(c, m.withColumn("key", F.concat_ws(":", "entity_type", "name")))
 
 
 @query("SELECT DISTINCT doc_id, title AS section, left(content, 5) AS entity_id FROM chunks WHERE trim(title, ' ') <> ''", V.CHUNKS)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrydeck.functions import lexicons as L
-from quarrydeck.operators import contain, documents, fuzzy, graph, names, recall, relational, retrieval, topics
+from quarrydeck.operators import contain, documents, fuzzy, graph, names, recall, relational, retrieval, structure, topics
 
 
 
@@ -314,3 +314,30 @@ def test_shared_folder():
     assert shared_folder(session("spark://x", "hdfs://y")) == "hdfs://y" and shared_folder(session("local[2]"))
     with pytest.raises(ValueError):
         shared_folder(session("yarn"))
+
+
+def test_structure_facts(spark):
+    """Anchor by the document's title, parents by title and keyword, reverse facts, and names that stay out."""
+    chunks = [
+        (1, 0, "数据治理平台建设方案", "数据质量标准 校验规则", ["校验"]),
+        (1, 1, "数据治理平台建设方案", "校验规则 数据质量标准", ["校验"]),
+        (1, 2, "数据治理平台建设方案", "3.2", ["校验"]),
+        (2, 0, "other", "a part of it", ["校验规则", "采集"]),
+        (3, 0, None, None, None),
+        (4, 0, "数据治理平台建设方案", "日志接口", []),
+    ]
+    names = {"数据治理平台": "system", "平台": "system", "数据质量标准": "standard", "校验规则": "requirement", "采集": "process", "日志接口": "concept", "三月": "time", "备注": "concept", "总体政策、附则": "policy"}
+    every = [(d, n, f"{k}:{x}", x, k) for d, n, *_ in chunks[:3] for x, k in names.items() if x not in ("采集", "日志接口")]
+    every += [(2, 0, "requirement:校验规则", "校验规则", "requirement"), (2, 0, "process:采集", "采集", "process"), (2, 0, "standard:采集标准", "采集标准", "standard"), (4, 0, "concept:日志接口", "日志接口", "concept"), (3, 0, "system:数据治理平台", "数据治理平台", "system")]
+    c = spark.createDataFrame(chunks, "doc_id int, chunk_no int, doc_title string, title string, keywords array<string>")
+    m = spark.createDataFrame(every + every[:3], "doc_id int, chunk_no int, key string, name string, entity_type string")
+    found = {(r.doc_id, r.chunk_no): r.anchor for r in structure.anchors(c, m).collect()}
+    assert found[1, 0] == found[4, 0] == "system:数据治理平台" and found[2, 0] == "standard:采集标准" and (3, 0) not in found
+    got = {(r.subject.split(":")[1], r.object.split(":")[1]): (r.role, r.confidence, r.evidence) for r in structure.enhance_structure(c, m).collect()}
+    assert got[("校验规则", "数据质量标准")] == ("local_parent_child", 0.72, 2) and ("数据质量标准", "校验规则") not in got
+    assert got[("数据治理平台", "校验规则")][:2] == ("anchor_parent", 0.74) and got[("数据治理平台", "日志接口")] == ("anchor_child", 0.72, 1)
+    assert got[("采集", "校验规则")] == ("local_parent_child", 0.68, 1) and ("校验规则", "采集") not in got  # the shorter subject stays
+    assert not {x for pair in got for x in pair} & {"平台", "三月", "备注", "总体政策、附则"}
+    none = structure.enhance_structure(c, m, spark.createDataFrame([("concept:日志接口",)], "key string"))
+    assert ("数据治理平台", "日志接口") not in {(r.subject.split(":")[1], r.object.split(":")[1]) for r in none.collect()}
+    assert structure.enhance_structure(c.where("false"), m).count() == structure.enhance_structure(c, m.where("false")).count() == 0
