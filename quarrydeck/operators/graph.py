@@ -498,6 +498,49 @@ def multi_hop(facts: DataFrame, first: Column, second: Column) -> DataFrame:
     return a.join(b, "middle").groupBy("start", "end").agg(F.sum(F.col("n1") * F.col("n2")).alias("paths"), F.count("*").alias("middles"))
 
 
+HUB_ROWS = 1 << 16
+
+
+def state_edges(facts: DataFrame) -> DataFrame:
+    """(src, src_state, fact_id, predicate, confidence, dst_state, dst): each fact between two entities, from both ends, as a step
+    from an entity over one of its states and the fact to a state of the other entity."""
+    f = facts.where("object_type is not null").select(canonical_key("subject_type", "subject").alias("s"), canonical_key("object_type", "object").alias("o"), "fact_id", "predicate", "confidence", "valid_from", "valid_to")
+    f = f.select("s", state_key(F.col("s"), "valid_from", "valid_to").alias("s_state"), "fact_id", "predicate", "confidence", state_key(F.col("o"), "valid_from", "valid_to").alias("o_state"), "o")
+    names = ["src", "src_state", "fact_id", "predicate", "confidence", "dst_state", "dst"]
+    return f.toDF(*names).unionByName(f.select("o", "o_state", "fact_id", "predicate", "confidence", "s_state", "s").toDF(*names))
+
+
+def entity_paths(edges: DataFrame, starts: DataFrame, steps: Sequence[Sequence[str] | None], *, least: int = 2, same_state: bool = False) -> DataFrame:
+    """(start, end, n_facts, path, states, confidence) of all paths of ``least`` to len(steps) facts from starts(key).
+
+    Each step takes the facts of the given predicates (all for None). An entity comes once in a path. With ``same_state`` a
+    step leaves by the state that the last one reached, else by any state of the entity. path: the fact ids; states: those
+    passed. The frontier grows by a join a step; an entity with many facts is dealt over lanes, and only the frontier's rows at
+    such a hub are copied to its lanes.
+    """
+    wanted = None if any(s is None for s in steps) else sorted({p for s in steps for p in s})
+    used = edges if wanted is None else edges.where(F.col("predicate").isin(wanted))
+    degree = used.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > HUB_ROWS)
+    hubs = small(cut(degree.select("src", F.ceil(F.col("n") / HUB_ROWS).cast("int").alias("lanes"))))
+    dealt = lambda df, key: df.join(hubs.withColumnRenamed("src", key), key, "left").withColumn("lanes", F.coalesce("lanes", F.lit(1)))
+    rows = cut(dealt(used, "src").withColumn("lane", F.pmod(F.xxhash64("fact_id", "dst"), F.col("lanes")).cast("int")).drop("lanes"))
+    none = F.array().cast("array<string>")
+    front = starts.select(F.col("key").alias("start"), F.col("key").alias("at"), F.lit(None).cast("string").alias("state"), F.array("key").alias("seen"), none.alias("path"), none.alias("states"), F.lit(1.0).alias("sure")).distinct()
+    found = None
+    for n, step in enumerate(steps, 1):
+        now = dealt(front, "at").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).drop("lanes")
+        own = rows if step is None else rows.where(F.col("predicate").isin(list(step)))
+        df = now.join(own, (F.col("at") == F.col("src")) & (now["lane"] == own["lane"])).where(~F.array_contains("seen", F.col("dst")))
+        if same_state:
+            df = df.where(F.col("state").isNull() | (F.col("state") == F.col("src_state")))
+        grown = lambda c, *more: F.concat(c, F.array(*more)).alias(c)
+        front = cut(df.select("start", F.col("dst").alias("at"), F.col("dst_state").alias("state"), grown("seen", "dst"), grown("path", "fact_id"), grown("states", "src_state", "dst_state"), (F.col("sure") * F.col("confidence")).alias("sure")))
+        if n >= least:
+            part = front.select("start", F.col("at").alias("end"), F.lit(n).alias("n_facts"), "path", "states", F.round("sure", 6).alias("confidence"))
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
 def fact_search(queries: DataFrame, facts: DataFrame, k: int) -> DataFrame:
     """(query_id, fact_id, token_score, rank): facts whose texts hold tokens of the query; most tokens, then newest, first."""
     q = queries.select("query_id", F.explode(T.graph_tokens("query")).alias("term"))

@@ -344,6 +344,22 @@ def multi_hop(spark, d):
     return G.multi_hop(turned.unionByName(f.where("predicate = 'located_in'")), F.col("predicate") == "supplies", F.col("predicate") == "located_in")
 
 
+PATHS = "RECURSIVE " + V.FACTS.strip() + f""",
+sf AS (SELECT *, {KEY.format('subject_type', 'subject')} AS s, {KEY.format('object_type', 'object')} AS o FROM facts WHERE object_type IS NOT NULL),
+st AS (SELECT *, {STATE.format('s')} AS s_state, {STATE.format('o')} AS o_state FROM sf),
+e AS (SELECT s AS src, s_state AS src_state, fact_id, predicate, confidence, o_state AS dst_state, o AS dst FROM st UNION ALL SELECT o, o_state, fact_id, predicate, confidence, s_state, s FROM st),
+p AS (SELECT key AS start, key AS at_, [key] AS seen, []::VARCHAR[] AS path, []::VARCHAR[] AS states, 1.0::DOUBLE AS sure, 0 AS n FROM (SELECT DISTINCT {KEY.format("'customer'", 'c_name')} AS key FROM customer WHERE c_custkey % 1000 = 0)
+  UNION ALL SELECT start, dst, list_append(seen, dst), list_append(path, fact_id), list_concat(states, [src_state, dst_state]), sure * confidence, n + 1 FROM p JOIN e ON src = at_ AND predicate = ['ordered', 'supplies', 'located_in', 'located_in'][n + 1] AND NOT list_contains(seen, dst) WHERE n < 4)"""
+
+
+@query("SELECT start, at_ AS end, n::INT AS n_facts, array_to_string(path, '>') AS path, array_to_string(states, '>') AS states, round(sure, 6)::DOUBLE AS confidence FROM p WHERE n >= 2", PATHS)
+def entity_paths(spark, d):
+    """From every 1,000th customer over ordered products and their suppliers to places, and on to other suppliers there."""
+    starts = V.table(spark, d, "customer").where("c_custkey % 1000 = 0").select(G.canonical_key(F.lit("customer"), "c_name").alias("key"))
+    found = G.entity_paths(G.state_edges(V.facts(spark, d)), starts, [["ordered"], ["supplies"], ["located_in"], ["located_in"]])
+    return found.withColumns({"path": F.array_join("path", ">"), "states": F.array_join("states", ">")})
+
+
 FS = V.FACTS + f""",
 gq AS (SELECT p_partkey AS query_id, unnest(list_distinct(list_filter(list_concat(regexp_split_to_array(lower(trim(p_name, ' ')), '[\\p{{P}}\\p{{S}}\\s]+'), [{TIGHT.format('p_name')}]), lambda x: length(x) BETWEEN 2 AND 48))) AS term FROM part WHERE p_partkey % 100 = 0),
 ft AS MATERIALIZED (SELECT fact_id, doc_id, confidence, lower(concat_ws(' ', subject, predicate, object)) AS hay FROM facts),

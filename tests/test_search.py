@@ -341,3 +341,32 @@ def test_structure_facts(spark):
     none = structure.enhance_structure(c, m, spark.createDataFrame([("concept:日志接口",)], "key string"))
     assert ("数据治理平台", "日志接口") not in {(r.subject.split(":")[1], r.object.split(":")[1]) for r in none.collect()}
     assert structure.enhance_structure(c.where("false"), m).count() == structure.enhance_structure(c, m.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("seed,same,hub", [(1, False, 1 << 16), (2, True, 1 << 16), (3, False, 3)])
+def test_entity_paths_against_a_walk(spark, seed, same, hub, monkeypatch):
+    """All simple paths of 2 to 4 facts, over any predicate or given ones; hubs are dealt over lanes."""
+    monkeypatch.setattr(graph, "HUB_ROWS", hub)
+    rng = random.Random(seed)
+    facts = [(f"f{i}", f"n{rng.choice([0, 0, rng.randrange(9)])}", f"n{rng.randrange(9)}", rng.choice("pqr"), rng.choice(["", "2020"]), 0.5) for i in range(26)]
+    df = spark.createDataFrame([(i, s, "t", o, "t", p, v, "", c) for i, s, o, p, v, c in facts] + [("x", "n0", "t", "value", None, "p", "", "", 1.0)], "fact_id string, subject string, subject_type string, object string, object_type string, predicate string, valid_from string, valid_to string, confidence double")
+    state = lambda n, v: f"t:{n}:state:" + (f"{v}:" if v else "default")
+    edges = [(a, state(a, v), i, p, state(b, v), b) for i, s, o, p, v, _ in facts for a, b in ((s, o), (o, s))]
+    for steps in ([None] * 4, [["p"], ["q", "r"], ["p", "q"]]):
+        want = []
+
+        def walk(at, now, seen, path, states, steps=steps, want=want):
+            if len(path) >= 2:
+                want.append((f"t:{seen[0]}", f"t:{at}", path, states))
+            if len(path) < len(steps):
+                allowed = steps[len(path)]
+                for src, left, i, p, reached, dst in edges:
+                    if src == at and dst not in seen and (allowed is None or p in allowed) and (not same or now in (None, left)):
+                        walk(dst, reached, seen + [dst], path + [i], states + [left, reached])
+
+        for start in ("n0", "n1", "gone"):
+            walk(start, None, [start], [], [])
+        starts = spark.createDataFrame([("t:n0",), ("t:n1",), ("t:n1",), ("t:gone",)], "key string")
+        got = graph.entity_paths(graph.state_edges(df), starts, steps, same_state=same).collect()
+        assert want and sorted((r.start, r.end, r.path, r.states) for r in got) == sorted(want)
+        assert all(r.n_facts == len(r.path) and r.confidence == pytest.approx(0.5**r.n_facts) for r in got)
