@@ -157,7 +157,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     """Fit on a bounded sample: ``sample_rows`` rows, and of the features of a whole text at most ``sample_features``."""
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, sample_rows, sample_features, bits)
     own = list(zip(*([x.values.to_numpy()[a:b] for a, b in zip(ends, ends[1:])] for x, ends in ((x, x.offsets.to_numpy()) for x in (rows[c].combine_chunks() for c in ("buckets", "weights"))))))
-    return train(own, rows["label"].to_numpy(), bits, **training)
+    model = train(own, rows["label"].to_numpy(), bits, **training)
+    del own, rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
