@@ -197,40 +197,56 @@ def shingle_links(docs: DataFrame, *, text: str = "text", words: int = 5, hashes
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
-    """Ratio of matching blocks, as the standard library's sequence matcher gives it (pandas UDF)."""
+    """Ratio of matching blocks, as the standard library's sequence matcher gives it, 0 for an empty side (pandas UDF)."""
     return F.pandas_udf(_ratio, "double")(a, b)
 
 
 def possible_duplicates(docs: DataFrame, threshold: float = 0.82, **candidates) -> DataFrame:
-    """Best near-duplicate (doc_id, other_id, score) of each document among those that share shingles, ties by the smaller id.
+    """Best near-duplicate (doc_id, other_id, score) of each document among its candidates, ties by the smaller id.
 
     score = .45 title ratio + .45 ratio of the first 1,200 characters + .1 same type + .1 sizes within a tenth.
 
-    Documents of equal shingles, title, preview, type and size have the same scores and count as one copy group: groups are
-    weighed against each other and against themselves, and every document takes its group's best, so copies make no pairs.
+    Candidates share title and first characters, whatever the rest of the text, or share shingles of the whole text or of the
+    first 1,200 characters (sets at ``jaccard`` or more). Documents of equal title, first characters, type and size have the
+    same scores and count as one copy group: groups are weighed against each other and against themselves, and every document
+    takes its group's best, so copies make no pairs. A document without a word has no row.
     """
     own = {k: candidates[k] for k in ("text", "words") if k in candidates}
-    links = cut(shingle_links(docs, threshold=candidates.pop("jaccard", 0.8), **candidates).select("a", "b"))
-    parts = ["representative", "title", "preview", "doc_type", "size"]
+    jaccard = candidates.pop("jaccard", 0.8)
     named = docs.select("doc_id", T.text("title").alias("title"), F.substring(T.text(own.get("text", "text")), 1, 1200).alias("preview"), "doc_type", F.col("size").cast("long").alias("size"))
+    whole = shingle_members(docs, **own).withColumnRenamed("representative", "of_text")
+    head = own | {"text": "preview"}
+    heads = shingle_members(named, **head).withColumnRenamed("representative", "of_preview")
     # A document's group is a hash of the parts as JSON: null and empty differ, and no part runs into the next.
-    rows = named.join(shingle_members(docs, **own), "doc_id").withColumn("face", F.md5(F.to_json(F.struct(*parts[:3])))).withColumn("grp", F.md5(F.to_json(F.struct("face", *parts[3:]))))
-    members = cut(rows.select("doc_id", "grp").distinct())
-    groups = cut(rows.groupBy("grp").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("face", *parts))))
+    rows = named.join(whole, "doc_id").join(heads, "doc_id", "left").withColumn("face", F.md5(F.to_json(F.struct("title", "preview"))))
+    rows = cut(rows.withColumn("grp", F.md5(F.to_json(F.struct("face", "doc_type", "size")))).distinct())
+    members = rows.select("doc_id", "grp").distinct()
+    groups = cut(rows.groupBy("grp").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("face", "title", "preview", "doc_type", "size"))))
     second = members.join(groups.select("grp", "first"), "grp").where(F.col("doc_id") > F.col("first")).groupBy("grp").agg(F.min("doc_id").alias("second"))
 
-    faces = groups.groupBy("face", "representative", "title", "preview").agg(F.min("first").alias("at"))
+    faces = groups.groupBy("face", "title", "preview").agg(F.min("first").alias("at"))
     side = lambda df, p: df.select(*(F.col(c).alias(f"{c}_{p}") for c in df.columns))
-    a, b = side(faces, "a"), side(faces, "b")
-    within = a.join(b, F.col("representative_a") == F.col("representative_b")).where("at_a < at_b")
-    across = a.join(links, F.col("representative_a") == F.col("a")).join(b, F.col("representative_b") == F.col("b")).drop("a", "b")
-    ratio = 0.45 * sequence_ratio("title_a", "title_b") + 0.45 * sequence_ratio("preview_a", "preview_b")
-    weighed = within.unionByName(across).select("face_a", "face_b", ratio.alias("alike")).where(F.col("alike") + 0.2 >= threshold - 1e-6)
-    weighed = cut(weighed.union(weighed.select("face_b", "face_a", "alike"))).union(faces.select("face", F.col("face").alias("other"), F.lit(0.9)))
+    pairs = None
+    for table, by, how in ((docs, "of_text", candidates), (named, "of_preview", candidates | head)):
+        links = cut(shingle_links(table, threshold=jaccard, **how).select("a", "b"))
+        kin = rows.where(F.col(by).isNotNull()).groupBy("face", F.col(by).alias("set")).agg(F.min("doc_id").alias("at"))
+        a, b = side(kin, "a"), side(kin, "b")
+        within = a.join(b, (F.col("set_a") == F.col("set_b")) & (F.col("face_a") != F.col("face_b"))).select("face_a", "face_b")
+        across = a.join(links, F.col("set_a") == F.col("a")).join(b, F.col("set_b") == F.col("b")).where("face_a != face_b").select("face_a", "face_b")
+        part = within.unionByName(across)
+        pairs = part if pairs is None else pairs.unionByName(part)
+    pairs = pairs.select(F.least("face_a", "face_b").alias("face_a"), F.greatest("face_a", "face_b").alias("face_b")).distinct()
+    both = pairs.join(side(faces, "a"), "face_a").join(side(faces, "b"), "face_b")
+    turned = F.col("at_a") > F.col("at_b")  # the ratio depends on the order: the smaller document comes first
+    pick = lambda c: (F.when(turned, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")), F.when(turned, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")))
+    ratio = 0.45 * sequence_ratio(*pick("title")) + 0.45 * sequence_ratio(*pick("preview"))
+    weighed = both.select("face_a", "face_b", ratio.alias("alike")).where(F.col("alike") + 0.2 >= threshold - 1e-6)
+    itself = 0.45 * (F.col("title") != "").cast("int") + 0.45 * (F.col("preview") != "").cast("int")
+    weighed = cut(weighed.union(weighed.select("face_b", "face_a", "alike"))).union(faces.select("face", F.col("face").alias("other"), itself))
 
     traits = groups.join(second, "grp", "left").select("grp", "face", "first", "second", "doc_type", "size")
     a, b = side(traits, "a"), side(traits.drop("second"), "b")

@@ -241,6 +241,35 @@ def test_possible_duplicates_against_all_pairs(spark):
     assert all(got[i][1] == pytest.approx(-want[i][0], abs=2e-2) for i in want)
 
 
+def test_possible_duplicates_with_other_tails(spark):
+    """Against all pairs of the rule itself: equal or nearly equal titles and heads with tails of their own, copies, and others."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGH", k=rng.randint(3, 9))) for _ in range(n))
+    rows = []
+    for i in range(8):
+        title, head = f"Report {prose(3)}", prose(240)
+        for k in range(4):
+            words = head.split()
+            if k == 2:
+                words[40] = "changed"
+            rows.append((len(rows), title if k < 3 else title.replace("Report", "Reports"), " ".join(words) + " " + prose(300), "a", 4000))
+    rows += [(len(rows) + i, *rows[i][1:]) for i in range(3)] + [(90, "", "", "a", 0), (91, "", "", "a", 0), (92, None, rows[0][2], "b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, text string, doc_type string, size long")
+    got = {r.doc_id: r.score for r in documents.possible_duplicates(df).collect()}
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    want = {}
+    for i, t, x, kind, size in rows:
+        for j, u, y, other, n in rows:
+            if i != j and x and y:
+                (c, d), (e, f) = ((t, u), (x[:1200], y[:1200])) if i < j else ((u, t), (y[:1200], x[:1200]))
+                score = 0.45 * ratio(c, d) + 0.45 * ratio(e, f) + 0.1 * (kind == other) + 0.1 * bool(size and n and min(size, n) / max(size, n) >= 0.9)
+                if round(score, 6) >= 0.82:
+                    want[i] = max(want.get(i, 0), round(score, 6))
+    assert len(want) >= 25 and set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=2e-2) for i in want)
+
+
 def test_chunk_blocks_packs_greedily(spark):
     rng = random.Random(2)
     texts = ["\n\n".join("x" * rng.choice([0, 1, 5, 30, 95, 250]) for _ in range(rng.randint(0, 12))) for _ in range(40)] + [None, "", "\r\n\r\n a \r\n\r\n b"]
