@@ -196,6 +196,28 @@ def shingle_links(docs: DataFrame, *, text: str = "text", words: int = 5, hashes
     return pairs.select("a", "b", F.round(both / (F.size("sa") + F.size("sb") - both), 6).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def set_links(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, jaccard) of sets (doc_id, s) at the threshold or more, all of them, by prefix filters.
+
+    The members of a set are put in the order of how few sets hold them. Two sets of sizes m and n at the threshold t share
+    one of the first m - ceil(t * m) + 1 and n - ceil(t * n) + 1, so only these meet; a pair is dropped unseen if its sizes are
+    too far apart, or if too little is left of either behind the first that they share (position filter). ``sets`` are distinct.
+    """
+    members = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("m"))
+    held = members.groupBy("m").agg(F.count("*").alias("sets"))
+    order = members.join(held, "m").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "m"))).alias("o"))
+    first = F.slice("o", 1, F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1)
+    heads = cut(order.select("doc_id", "n", F.posexplode(first).alias("at", "x")).where("x.sets > 1").select("doc_id", "n", "at", F.col("x.m").alias("m")))
+    side = lambda p: heads.select("m", *(F.col(c).alias(f"{c}_{p}") for c in ("doc_id", "n", "at")))
+    least = F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    near = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least - F.least("at_a", "at_b"))
+    pairs = side("a").join(side("b"), "m").where((F.col("doc_id_a") < F.col("doc_id_b")) & near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    alike = both / (F.size("sa") + F.size("sb") - both)
+    return pairs.select("a", "b", alike.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-9)
+
+
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
 
@@ -210,17 +232,16 @@ def possible_duplicates(docs: DataFrame, threshold: float = 0.82, **candidates)
 
     score = .45 title ratio + .45 ratio of the first 1,200 characters + .1 same type + .1 sizes within a tenth.
 
-    Candidates share title and first characters, whatever the rest of the text, or share shingles of the whole text or of the
-    first 1,200 characters (sets at ``jaccard`` or more). Documents of equal title, first characters, type and size have the
+    Candidates share title and first characters, whatever the rest of the text, or shingles of the whole text (sets at
+    ``jaccard`` or more), or pairs of words of the first 1,200 characters (sets at ``head`` or more). Documents of equal title, first characters, type and size have the
     same scores and count as one copy group: groups are weighed against each other and against themselves, and every document
     takes its group's best, so copies make no pairs. A document without a word has no row.
     """
     own = {k: candidates[k] for k in ("text", "words") if k in candidates}
-    jaccard = candidates.pop("jaccard", 0.8)
+    jaccard, head = candidates.pop("jaccard", 0.8), candidates.pop("head", 0.6)
     named = docs.select("doc_id", T.text("title").alias("title"), F.substring(T.text(own.get("text", "text")), 1, 1200).alias("preview"), "doc_type", F.col("size").cast("long").alias("size"))
     whole = shingle_members(docs, **own).withColumnRenamed("representative", "of_text")
-    head = own | {"text": "preview"}
-    heads = shingle_members(named, **head).withColumnRenamed("representative", "of_preview")
+    heads = shingle_members(named, text="preview", words=2).withColumnRenamed("representative", "of_preview")
     # A document's group is a hash of the parts as JSON: null and empty differ, and no part runs into the next.
     rows = named.join(whole, "doc_id").join(heads, "doc_id", "left").withColumn("face", F.md5(F.to_json(F.struct("title", "preview"))))
     rows = cut(rows.withColumn("grp", F.md5(F.to_json(F.struct("face", "doc_type", "size")))).distinct())
@@ -231,8 +252,9 @@ def possible_duplicates(docs: DataFrame, threshold: float = 0.82, **candidates)
     faces = groups.groupBy("face", "title", "preview").agg(F.min("first").alias("at"))
     side = lambda df, p: df.select(*(F.col(c).alias(f"{c}_{p}") for c in df.columns))
     pairs = None
-    for table, by, how in ((docs, "of_text", candidates), (named, "of_preview", candidates | head)):
-        links = cut(shingle_links(table, threshold=jaccard, **how).select("a", "b"))
+    pairs_of_words = cut(shingle_sets(named, text="preview", words=2).groupBy("key").agg(F.min(F.struct("doc_id", "s")).alias("x")).select("x.doc_id", "x.s"))
+    for by, found in (("of_text", shingle_links(docs, threshold=jaccard, **candidates)), ("of_preview", set_links(pairs_of_words, head))):
+        links = cut(found.select("a", "b"))
         kin = rows.where(F.col(by).isNotNull()).groupBy("face", F.col(by).alias("set")).agg(F.min("doc_id").alias("at"))
         a, b = side(kin, "a"), side(kin, "b")
         within = a.join(b, (F.col("set_a") == F.col("set_b")) & (F.col("face_a") != F.col("face_b"))).select("face_a", "face_b")

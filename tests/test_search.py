@@ -241,6 +241,17 @@ def test_possible_duplicates_against_all_pairs(spark):
     assert all(got[i][1] == pytest.approx(-want[i][0], abs=2e-2) for i in want)
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.8, 1.0])
+def test_set_links_are_all_pairs(spark, threshold):
+    rng = random.Random(int(threshold * 10))
+    sets = [frozenset(rng.choices(range(30), k=rng.randint(1, 14))) for _ in range(50)]
+    sets += [frozenset(list(x)[1:] + [rng.randrange(60)]) for x in sets[:30] if len(x) > 1] + [frozenset(range(100, 100 + n)) for n in (1, 2, 40, 41, 45)]
+    sets = list(dict.fromkeys(sets))
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) >= threshold * len(a | b) - 1e-9}
+    got = documents.set_links(spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "doc_id long, s array<long>"), threshold).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and (want or threshold == 1.0)
+
+
 def test_possible_duplicates_with_other_tails(spark):
     """Against all pairs of the rule itself: equal or nearly equal titles and heads with tails of their own, copies, and others."""
     from difflib import SequenceMatcher
