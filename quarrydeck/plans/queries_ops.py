@@ -195,9 +195,10 @@ def sliding_counts(spark, d):
     return df.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n")
 
 
-@query("SELECT user_id, count(*) AS n FROM (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events) WHERE fresh = 1 GROUP BY user_id")
+@query("SELECT user_id, epoch_us(min(ts))::BIGINT AS start, (epoch_us(max(ts)) + 1800000000)::BIGINT AS end, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))) GROUP BY user_id, session")
 def session_windows(spark, d):
-    return _drained(spark, X.session_windows(_events(spark, d)), "complete", "sessions").groupBy("user_id").agg(F.count("*").alias("n"))
+    df = _drained(spark, X.session_windows(_events(spark, d)), "complete", "sessions")
+    return df.select("user_id", F.unix_micros("session_window.start").alias("start"), F.unix_micros("session_window.end").alias("end"), "n")
 
 
 @query("SELECT event_type AS stage, CASE WHEN value < 50 THEN 'low' ELSE 'high' END AS status, count(*) AS n FROM events GROUP BY ALL")
@@ -206,17 +207,17 @@ def stage_progress_stream(spark, d):
     return _drained(spark, X.stage_progress_stream(e), "complete", "progress").select("stage", "status", "n")
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, d):
     df = X.stream_dedup(_events(spark, d), ["user_id", "event_type"], "3650 days")
-    return _drained(spark, df, "append", "dedup").groupBy("user_id").agg(F.count("*").alias("kinds"))
+    return _drained(spark, df, "append", "dedup").select("user_id", "event_type")
 
 
-@query("SELECT count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR")
+@query("SELECT a.user_id, epoch_us(a.ts)::BIGINT AS clicked, epoch_us(b.ts)::BIGINT AS bought FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR")
 def stream_stream_join(spark, d):
     e = _events(spark, d)
     df = X.stream_stream_join(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), "user_id")
-    return _drained(spark, df, "append", "join").agg(F.count("*").alias("n"))
+    return _drained(spark, df, "append", "join").select(F.col("a_key").alias("user_id"), F.unix_micros("a_ts").alias("clicked"), F.unix_micros("b_ts").alias("bought"))
 
 
 @query("SELECT source, path, file_hash FROM docs", V.DOCS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,16 +27,35 @@ def current_rows(spark: SparkSession, target: str, before: int | None = None) ->
     return df.join(F.broadcast(newest), ["bucket", "version"])
 
 
-def stream_ingest(stream: DataFrame, target: str, keys: list[str], checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 64):
+def _drop_old_versions(spark: SparkSession, target: str, touched: list[int], batch_id: int) -> None:
+    """Of the buckets that a batch has written, keep its version and the one before, from which it can run again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    for bucket in touched:
+        found = [f.getPath() for f in files.listStatus(path(f"{target}/bucket={bucket}"))]
+        versions = sorted((int(p.getName().partition("=")[2]), p) for p in found if p.getName().startswith("version="))
+        for _, old in [v for v in versions if v[0] < batch_id][:-1]:
+            files.delete(old, True)
+
+
+def stream_ingest(stream: DataFrame, target: str, keys: list[str], checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 64, newest: Sequence[str] = ()):
     """Upsert each micro-batch into a Parquet table of ``buckets`` by the keys' hash; ``current_rows`` reads it.
 
-    A batch rewrites only the buckets that its keys fall into, as version ``batch_id``. A batch that runs again after a
-    failure reads the versions before its own and writes the same ones again.
+    Of a key's rows in a batch the one with the greatest ``newest`` columns stays, then the greatest other values, so a batch
+    that runs again takes the same rows. A batch rewrites only the buckets that its keys fall into, as version ``batch_id``, and
+    then removes their versions before the last one, so the table holds at most twice its live rows. A batch that runs again
+    after a failure reads the versions before its own and writes the same ones again. A reader that started before a batch
+    may lose the files it reads if it takes longer than the next two batches of a bucket.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = (transform(batch) if transform else batch).dropDuplicates(keys)
+        fresh = transform(batch) if transform else batch
+        names, rest = fresh.columns, [*newest, *(c for c in fresh.columns if c not in keys and c not in newest)]
+        if rest:
+            fresh = fresh.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__x")).select(*keys, "__x.*").select(*names)
+        else:
+            fresh = fresh.dropDuplicates(keys)
         fresh = fresh.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
         touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
         rows = fresh
@@ -46,6 +65,7 @@ def stream_ingest(stream: DataFrame, target: str, keys: list[str], checkpoint: s
         rows = rows.withColumn("version", F.lit(batch_id)).repartition("bucket")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(target)
         fresh.unpersist()
+        _drop_old_versions(spark, target, touched, batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

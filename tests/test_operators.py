@@ -175,6 +175,21 @@ def test_stream_ingest(spark, tmp_path):
     assert new and len(new) <= 2  # only the buckets of the second batch's keys were written again
 
 
+def test_stream_ingest_keeps_two_versions(spark, tmp_path):
+    """Twelve batches: the newest row of each key, whatever the order in a batch, and never more than two versions a bucket."""
+    src, target = tmp_path / "in", tmp_path / "out"
+    want = {}
+    for batch in range(12):
+        rows = [(k % 7, batch * 10 + k, f"v{batch}-{k}") for k in range(batch % 5 + 3)] + [(1, batch * 10 - 5, "older")]
+        for k, at, v in sorted(rows, key=lambda r: (r[1], r[2])):
+            want[k] = (at, v)
+        spark.createDataFrame(rows, "k long, at long, v string").coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema("k long, at long, v string").parquet(str(src))
+        X.stream_ingest(stream, str(target), ["k"], str(tmp_path / "cp"), buckets=4, newest=["at"]).awaitTermination()
+        assert {r.k: (r.at, r.v) for r in X.current_rows(spark, str(target)).collect()} == want
+        assert all(len(list(b.glob("version=*"))) <= 2 for b in target.glob("bucket=*"))
+
+
 def test_stale_detector_stream(spark, tmp_path):
     """A running job that stays silent becomes stale by a timer; one that ends does not."""
     src = tmp_path / "in"
