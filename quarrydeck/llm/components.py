@@ -11,7 +11,7 @@ from ._common import cut
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node with an edge; ``root`` is the smallest node of its component.
 
-    Each round is two joins on node keys and one checkpoint; only a count and a checksum reach the driver. The joins
+    Each round is two joins on node keys, each written to a checkpoint, so that no plan holds another one three times; only a count and a checksum reach the driver. The joins
     are plain ones on both sides' shuffles, so that Spark splits the partition of a hub, of any size, when it has seen it
     (adaptive skew joins), and the plans of the rounds stay small. Self edges and edges with a null end are no links.
     """
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = lowest(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         low = lowest(large)
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())

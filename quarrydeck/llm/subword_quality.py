@@ -156,7 +156,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: i
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 2000, sample_features: int = 4096, bits: int = 18, **training) -> QualityModel:
     """Fit on a bounded sample: ``sample_rows`` rows, and of the features of a whole text at most ``sample_features``."""
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, sample_rows, sample_features, bits)
-    own = list(zip(*([x.values.to_numpy()[a:b] for a, b in zip(ends, ends[1:])] for x, ends in ((x, x.offsets.to_numpy()) for x in (rows[c].combine_chunks() for c in ("buckets", "weights"))))))
+    own = []  # views of the table's arrays, without a copy
+    for batch in rows.to_batches():
+        parts = [(x.values.to_numpy(), x.offsets.to_numpy()) for x in (batch.column("buckets"), batch.column("weights"))]
+        own += [tuple(v[at[i] : at[i + 1]] for v, at in parts) for i in range(batch.num_rows)]
     model = train(own, rows["label"].to_numpy(), bits, **training)
     del own, rows
     pa.default_memory_pool().release_unused()
