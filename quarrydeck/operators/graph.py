@@ -478,9 +478,11 @@ def entity_list(entities: DataFrame, facts: DataFrame, search: str | None = None
     return df.fillna(0, ["n_out", "n_in"])
 
 
-def entity_detail(ids: DataFrame, facts: DataFrame, sources: int = 8) -> DataFrame:
-    """For a batch of entities: formal attributes, connections out and in with their counts, and source documents."""
-    a = facts.join(ids, facts["subject"] == ids["entity"]).where("object_type is null").groupBy("entity").agg(F.array_sort(F.collect_set(F.concat_ws("=", "predicate", "object"))).alias("attributes"))
+def entity_detail(ids: DataFrame, facts: DataFrame, sources: int = 8, attributes: int = 200) -> DataFrame:
+    """For a batch of entities: the first ``attributes`` formal attributes, connections out and in with their counts, and the
+    first ``sources`` documents."""
+    a = facts.join(ids, facts["subject"] == ids["entity"]).where("object_type is null").select("entity", F.concat_ws("=", "predicate", "object").alias("a")).distinct()
+    a = a.withColumn("k", F.row_number().over(Window.partitionBy("entity").orderBy("a"))).where(F.col("k") <= attributes).groupBy("entity").agg(F.array_sort(F.collect_list("a")).alias("attributes"))
     out = facts.join(ids, facts["subject"] == ids["entity"]).where("object_type is not null").groupBy("entity").agg(F.count("*").alias("n_out"), F.countDistinct("object").alias("n_targets"))
     in_ = facts.join(ids, facts["object"] == ids["entity"]).where("object_type is not null").groupBy("entity").agg(F.count("*").alias("n_in"))
     ranked = facts.join(ids, facts["subject"] == ids["entity"]).select("entity", "doc_id").distinct().withColumn("k", F.row_number().over(Window.partitionBy("entity").orderBy("doc_id"))).where(F.col("k") <= sources)
