@@ -267,17 +267,31 @@ def weighted_hybrid(keyword: DataFrame, vector: DataFrame, adjustment: Column |
     return df.select("query_id", "item_id", F.round((score + F.when(both, adjustment).otherwise(0.0) if compat else score) + 1e-9, 6).alias("score"), both.alias("both"))
 
 
-def unified_search(units: DataFrame, chunks: DataFrame, per_doc: int, size: int, number: int = 1) -> DataFrame:
-    """Units, and chunks that no unit of the same place stands for; distinct, spread over documents, one page a query.
-
-    Both: (query_id, doc_id, chunk_no, score).
+def unified_search(queries: DataFrame, units: DataFrame, chunks: DataFrame, size: int, number: int = 1) -> DataFrame:
+    """A page of units and chunks for each query: (query_id, kind, doc_id, chunk_no, score, place).
+
+    queries(query_id, query); both: (query_id, doc_id, chunk_no, score, match_type, title, span). A chunk of which a unit is
+    found stays out, unless the query is an exact one. Of hits of one document, match type, title and span the best counts
+    (of equal ones the unit, then the first), where the span says nothing of matches by title, filename, summary or caption.
+    Equal scores: units first, chunks first for exact queries. Each document gives three hits, two for exact queries, before
+    what it has more of.
     """
     from .relational import diversify
 
-    alone = chunks.join(units.select("query_id", "doc_id", "chunk_no"), ["query_id", "doc_id", "chunk_no"], "left_anti")
-    hits = units.withColumn("kind", F.lit("unit")).unionByName(alone.withColumn("kind", F.lit("chunk")))
-    hits = hits.groupBy("query_id", "kind", "doc_id", "chunk_no").agg(F.max("score").alias("score")).withColumn("item_id", F.concat_ws(":", "kind", "doc_id", "chunk_no"))
-    return diversify(hits, per_doc).where(F.col("place").between((number - 1) * size + 1, number * size))
+    exact = queries.select("query_id", T.is_exactish("query").alias("exact"))
+    place = ["query_id", "doc_id", "chunk_no"]
+    named = lambda df, kind: df.select(*place, "score", "match_type", "title", "span", F.lit(kind).alias("kind")).join(exact, "query_id")
+    kept = named(chunks, "chunk").join(units.select(*place).distinct().withColumn("unit", F.lit(True)), place, "left").where("exact or unit is null").drop("unit")
+    hits = named(units, "unit").unionByName(kept)
+    clean = lambda c: F.lower(F.trim(T.text(c)))
+    by_name = F.col("match_type").isin("title", "filename", "summary", "caption")
+    key = ["query_id", "doc_id", F.coalesce("match_type", F.lit("content")), clean("title"), F.when(by_name, "").otherwise(clean("span"))]
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), F.desc("kind"), "chunk_no"))
+    hits = hits.withColumn("first", first).where("first = 1")
+    ahead = F.when((F.col("kind") == "chunk") == F.col("exact"), 0).otherwise(1)
+    hits = hits.withColumn("tie", F.struct(ahead.alias("ahead"), "doc_id", "chunk_no"))
+    hits = diversify(hits.where("exact"), 2, tie="tie").unionByName(diversify(hits.where("not exact"), 3, tie="tie"))
+    return hits.where(F.col("place").between((number - 1) * size + 1, number * size)).select(*place, "kind", "score", "place")
 
 
 def search_for_qa(units: DataFrame, chunks: DataFrame, k: int) -> DataFrame:

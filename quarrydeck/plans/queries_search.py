@@ -166,11 +166,19 @@ def hybrid_chunks(spark, d):
     return _weighted_df(spark, d, "chunk", w_keyword=0.65, w_vector=0.85, boost=0.45)
 
 
-@query("SELECT query_id, kind, doc_id, chunk_no, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over_, score DESC, item_id)::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, item_id) > 2 AS over_ FROM (SELECT query_id, kind, doc_id, split_part(item_id, ':', 3)::INT AS chunk_no, score, item_id FROM hits h WHERE kind = 'unit' OR (kind = 'chunk' AND NOT EXISTS (SELECT 1 FROM hits u WHERE u.query_id = h.query_id AND u.item_id = 'unit' || substr(h.item_id, 6)))))) WHERE place <= 10", KEYWORD)
+UNIFIED = KEYWORD + """,
+uh AS (SELECT h.*, split_part(item_id, ':', 3)::INT AS chunk_no, contains(query, '"') OR length(trim(query, ' ')) >= 8 OR contains(query, chr(39)) AS exact FROM hits h JOIN queries_in USING (query_id) WHERE kind <> 'document'),
+uk AS (SELECT u.*, lower(trim(c.title, ' ')) AS name, CASE WHEN match_type IN ('title', 'filename', 'summary', 'caption') THEN '' ELSE left(c.content, 12) END AS span FROM uh u JOIN chunks c USING (doc_id, chunk_no)
+  WHERE kind = 'unit' OR exact OR NOT EXISTS (SELECT 1 FROM uh o WHERE o.query_id = u.query_id AND o.kind = 'unit' AND o.doc_id = u.doc_id AND o.chunk_no = u.chunk_no)),
+ud AS (SELECT *, CASE WHEN (kind = 'chunk') = exact THEN 0 ELSE 1 END AS ahead FROM uk QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, match_type, name, lower(trim(span, ' ')) ORDER BY score DESC, kind DESC, chunk_no) = 1),
+uo AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, ahead, chunk_no) > CASE WHEN exact THEN 2 ELSE 3 END AS over_ FROM ud)"""
+
+
+@query("SELECT query_id, kind, doc_id, chunk_no, score, row_number() OVER (PARTITION BY query_id ORDER BY over_, score DESC, ahead, doc_id, chunk_no)::INT AS place FROM uo QUALIFY place <= 10", UNIFIED)
 def unified_search(spark, d):
-    h = _hits_df(spark, d).withColumn("chunk_no", F.get(F.split("item_id", ":"), F.lit(2)).try_cast("int"))
-    cols = ("query_id", "doc_id", "chunk_no", "score")
-    return S.unified_search(h.where("kind = 'unit'").select(*cols), h.where("kind = 'chunk'").select(*cols), 2, 10).select("query_id", "kind", "doc_id", "chunk_no", "place")
+    h = _hits_df(spark, d).where("kind != 'document'").withColumn("chunk_no", F.get(F.split("item_id", ":"), F.lit(2)).try_cast("int"))
+    h = h.join(V.chunks(spark, d).select("doc_id", "chunk_no", "title", F.substring("content", 1, 12).alias("span")), ["doc_id", "chunk_no"])
+    return S.unified_search(V.queries_in(spark, d), h.where("kind = 'unit'"), h.where("kind = 'chunk'"), 10).select("query_id", "kind", "doc_id", "chunk_no", "score", "place")
 
 
 def _phrase(c: str) -> str:

@@ -410,3 +410,16 @@ def test_entity_paths_against_a_walk(spark, seed, same, hub, monkeypatch):
         got = graph.entity_paths(graph.state_edges(df), starts, steps, same_state=same).collect()
         assert want and sorted((r.start, r.end, r.path, r.states) for r in got) == sorted(want)
         assert all(r.n_facts == len(r.path) and r.confidence == pytest.approx(0.5**r.n_facts) for r in got)
+
+
+def test_unified_search_modes(spark):
+    """Exact queries keep chunks beside their units and put them first; others hide them; equal titles of a document count once."""
+    queries = spark.createDataFrame([("q", "data"), ("x", '"data"')], "query_id string, query string")
+    unit = [(1, 0, 5.0, "title", "T", "a"), (1, 1, 4.0, "title", " t ", "b"), (1, 2, 3.0, "content", "T", "c"), (1, 3, 2.9, "content", "T", "C "), (2, 0, 1.0, None, "", None)]
+    chunk = [(1, 0, 5.0, "content", "U", "u"), (1, 9, 2.0, "content", "V", "v"), (1, 8, 1.5, "content", "W", "w"), (3, 0, 1.0, "content", "Z", "z")]
+    side = lambda rows: spark.createDataFrame([(q, *r) for q in "qx" for r in rows], "query_id string, doc_id int, chunk_no int, score double, match_type string, title string, span string")
+    got = retrieval.unified_search(queries, side(unit), side(chunk), 20).orderBy("query_id", "place").collect()
+    rows = {q: [(r.kind, r.doc_id, r.chunk_no) for r in got if r.query_id == q] for q in "qx"}
+    assert rows["q"] == [("unit", 1, 0), ("unit", 1, 2), ("chunk", 1, 9), ("unit", 2, 0), ("chunk", 3, 0), ("chunk", 1, 8)]
+    assert rows["x"] == [("chunk", 1, 0), ("unit", 1, 0), ("chunk", 3, 0), ("unit", 2, 0), ("unit", 1, 2), ("chunk", 1, 9), ("chunk", 1, 8)]
+    assert [r.place for r in retrieval.unified_search(queries, side(unit), side(chunk), 2, 2).where("query_id = 'q'").orderBy("place").collect()] == [3, 4]
