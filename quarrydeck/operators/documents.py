@@ -99,10 +99,10 @@ def profile_stats(docs: DataFrame, chunks: DataFrame, profiles: DataFrame) -> Da
 
 
 def preview_text(chunks: DataFrame, n: int = 2000, joiner: str = "\n\n") -> DataFrame:
-    """The chunks' text in order, joined by blank lines, cut to n characters; only chunks that start before are collected."""
+    """The chunks' text in order, joined by blank lines, cut to n characters; only chunks that start (or whose joiner starts) before are collected."""
     rows = F.array_sort(F.collect_list(F.struct("chunk_no", "content")))
     before = F.sum(F.length("content") + len(joiner)).over(Window.partitionBy("doc_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1))
-    chunks = chunks.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < n).select("doc_id", "chunk_no", F.substring("content", 1, n).alias("content"))
+    chunks = chunks.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < n + len(joiner)).select("doc_id", "chunk_no", F.substring("content", 1, n).alias("content"))
     return chunks.groupBy("doc_id").agg(F.substring(F.array_join(F.transform(rows, lambda x: x["content"]), joiner), 1, n).alias("preview"))
 
 
