@@ -113,6 +113,19 @@ def tokens_of(texts: pa.Array, pattern: str | None = None) -> tuple[pa.Array, np
     return words, ids[np.diff(full) > 0], bounds
 
 
+def sampled_words(texts: pa.Array, most: int, pattern: str | None = None, run: int = 64) -> list[str]:
+    """Each text's words with blanks between; of more than ``most``, runs of words from all over it, drawn by a seed."""
+    words, ids, at = tokens_of(texts, pattern)
+    known, out = words.to_pylist(), []
+    for a, b in zip(at, at[1:]):
+        own = ids[a:b]
+        if len(own) > most:
+            chosen = np.sort(np.random.default_rng(len(own)).permutation(len(own) // run)[: max(most // run, 1)])
+            own = own[(chosen[:, None] * run + np.arange(run)).ravel()]
+        out.append(" ".join([known[i] for i in own]))
+    return out
+
+
 def framed_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The words' UTF-8 bytes between a start and an end mark, in one array, and each word's offset in it."""
     framed = pc.binary_join_element_wise("\x02", words, "\x03", "")

@@ -23,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, cut, hash_below, slices, subword_buckets, tokens_of, word_blocks
+from ._common import arrow_map, cut, hash_below, sampled_words, slices, subword_buckets, tokens_of, word_blocks
 
 ORDERS, AFFIXES = (2, 3, 4), (2, 3, 4, 5)
 BREAK = r"[^\p{L}]+"
 BITS = 18
-CHUNK_WORDS, RUN = 1 << 18, 64
+CHUNK_WORDS = 1 << 18
 
 
 @dataclass
@@ -150,24 +150,11 @@ def train(texts: list[str], langs: list[str], steps: int = 320, batch: int = 64,
     return LanguageModel(labels, weight, trans)
 
 
-def sampled_runs(texts: pa.Array, most: int) -> list[str]:
-    """The words of each text; of more than ``most``, runs of words from all over it, drawn by a seed."""
-    words, ids, at = tokens_of(pc.utf8_lower(texts), BREAK)
-    known, out = words.to_pylist(), []
-    for a, b in zip(at, at[1:]):
-        own = ids[a:b]
-        if len(own) > most:
-            chosen = np.sort(np.random.default_rng(len(own)).permutation(len(own) // RUN)[: max(most // RUN, 1)])
-            own = own[(chosen[:, None] * RUN + np.arange(RUN)).ravel()]
-        out.append(" ".join([known[i] for i in own]))
-    return out
-
-
 def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1500, sample_words: int = 4096) -> LanguageModel:
     """Fit on about ``sample_rows`` rows, at most as many from each language, so that a rare one is learned as well.
 
     Rows are drawn by the hash of id and text. A whole text is read; of one with more than ``sample_words`` words so
-    many are learned from, in runs of ``RUN`` words drawn by a seed from all of it.
+    many are learned from, in runs of words drawn by a seed from all of it.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang is not null and text is not null")
     sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))  # one row a language
@@ -176,7 +163,7 @@ def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sampled_runs(batch.column(2), sample_words), pa.string())], names=["lang", "draw", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sampled_words(pc.utf8_lower(batch.column(2)), sample_words, BREAK), pa.string())], names=["lang", "draw", "text"])
 
     rows = rows.select(F.col("lang").cast("string"), F.xxhash64("id", "text").alias("draw"), "text").mapInArrow(runs, "lang string, draw long, text string")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))  # about twice the quota a language

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import PRIME, arrow_map, framed_bytes, hash_below, slices, subword_buckets, tokens_of, word_blocks
+from ._common import PRIME, arrow_map, framed_bytes, hash_below, sampled_words, slices, subword_buckets, tokens_of, word_blocks
 
 ORDERS = (3, 4, 5)
 BIGRAM_BITS = 16
@@ -80,30 +80,28 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(mean + self.bias, -60, 60)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, sample_features: int, bits: int) -> pa.Table:
-    """(label, buckets, weights) of at most ``sample_rows`` rows of ``docs`` with a label, by the hash of id and text.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, sample_words: int) -> pa.Table:
+    """(text, label) of at most ``sample_rows`` rows of ``docs`` with a label, by the hash of id and text.
 
-    Features are those of the whole text, made where the rows lie; of more than ``sample_features`` different ones, as many are
-    drawn by a seed. An id with several labels gives a row each; an id with several rows takes part with each.
+    Whole texts are read where they lie; of one with more than ``sample_words`` words so many come, in runs from all over it. An
+    id with several labels gives a row each; an id with several rows takes part with each.
     """
     ids = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
     many = ids.count()
     ids = ids.where(hash_below(min(1.0, 2.0 * sample_rows / max(many, 1)), "id")).distinct()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(f"`{text_col}`", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(ids), "id")  # about twice sample_rows ids at most, by the share above
-    rows = rows.select("label", F.xxhash64("id", "text").alias("draw"), "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            found = text_features(batch.column(2), bits, sample_features)
-            own = [pa.array([x[i] for x in found], pa.list_(kind)) for i, kind in ((0, pa.int32()), (1, pa.float32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], names=["label", "draw", "buckets", "weights"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sampled_words(batch.column(2), sample_words), pa.string())], names=["label", "draw", "text"])
 
-    return rows.mapInArrow(made, "label int, draw long, buckets array<int>, weights array<float>").orderBy("draw", "label").limit(sample_rows).drop("draw").toArrow()
+    rows = rows.select("label", F.xxhash64("id", "text").alias("draw"), "text").mapInArrow(made, "label int, draw long, text string")
+    return rows.orderBy("draw", "label", "text").limit(sample_rows).select("text", "label").toArrow()
 
 
-def text_features(texts: pa.Array, bits: int, most: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The different buckets of each text and their shares of all its features; of more than ``most`` a seeded part."""
+def text_features(texts: pa.Array, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The different buckets of each text and their shares of all its features."""
     words, ids, at = tokens_of(texts)
     bucket, starts = features_of(words, bits)
     pair, first = bigrams_of(words, ids, at)
@@ -115,14 +113,11 @@ def text_features(texts: pa.Array, bits: int, most: int | None = None) -> list[t
         near = pair[first[i] : first[i + 1]]
         found, back = np.unique(np.concatenate([bucket[flat], (1 << bits) + near]), return_inverse=True)
         weight = np.bincount(back, np.concatenate([np.repeat(times, sizes), np.ones(len(near))]), len(found))
-        if most is not None and len(found) > most:
-            kept = np.sort(np.random.default_rng(int(weight.sum())).permutation(len(found))[:most])
-            found, weight = found[kept], weight[kept]
         rows.append((found.astype(np.int32), (weight / max(weight.sum(), 1)).astype(np.float32)))
     return rows
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = 18, dim: int = 16, epochs: int = 6, least_steps: int = 12_000, rate: float = 0.5, seed: int = 7) -> QualityModel:
+def train(texts: pa.Array, labels: np.ndarray, bits: int = 18, dim: int = 16, epochs: int = 6, least_steps: int = 12_000, rate: float = 0.5, seed: int = 7) -> QualityModel:
     """Fit vectors and softmax by stochastic gradient descent, one document a step, with a linearly falling rate; few rows are
     gone through more often, so that there are at least ``least_steps`` steps."""
     rng = np.random.default_rng(seed)
@@ -134,6 +129,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: i
     vectors = rng.uniform(-1 / dim, 1 / dim, (size, dim)).astype(np.float32)
     vectors[1 << bits :] = 0  # a bigram that was never seen says nothing
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
+    rows = text_features(texts, bits)
     epochs = max(epochs, -(-least_steps // len(rows)))
     step, steps = 0, epochs * len(rows)
     for _ in range(epochs):
@@ -153,15 +149,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: i
     return QualityModel((vectors @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]), bits)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 2000, sample_features: int = 4096, bits: int = 18, **training) -> QualityModel:
-    """Fit on a bounded sample: ``sample_rows`` rows, and of the features of a whole text at most ``sample_features``."""
-    rows = labelled_sample(docs, labels, id_col, text_col, label_col, sample_rows, sample_features, bits)
-    own = []  # views of the table's arrays, without a copy
-    for batch in rows.to_batches():
-        parts = [(x.values.to_numpy(), x.offsets.to_numpy()) for x in (batch.column("buckets"), batch.column("weights"))]
-        own += [tuple(v[at[i] : at[i + 1]] for v, at in parts) for i in range(batch.num_rows)]
-    model = train(own, rows["label"].to_numpy(), bits, **training)
-    del own, rows
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 2000, sample_words: int = 4096, **training) -> QualityModel:
+    """Fit on a bounded sample: ``sample_rows`` rows, and of a text with more than ``sample_words`` words so many from all over it."""
+    rows = labelled_sample(docs, labels, id_col, text_col, label_col, sample_rows, sample_words)
+    model = train(rows["text"].combine_chunks() if len(rows) else pa.array([], pa.string()), rows["label"].to_numpy(), **training)
     pa.default_memory_pool().release_unused()
     return model
 

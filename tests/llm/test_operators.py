@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quarrydeck.llm import components, crf_langid, license_scan, piece_codec, pivot_search, queries, simhash_dedup, source_mix, subword_quality, tiff_media, token_counts, url_filter
+from quarrydeck.llm._common import sampled_words
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = [" " * 1_000_000, "\t" * 1_000_000, "\n" * 300_000, "x" * 1_000_000, "ab " * 400_000, "a" + " " * 1_000_000 + "b", "-" * 1_000_000]
@@ -445,18 +446,16 @@ def test_quality_of_long_and_repeated_rows(spark, docs):
     got = subword_quality.score_quality(rows, model).collect()
     assert all((r.score >= 0.3) == (r.doc_id % 2 == 1) for r in got)
     hot = rows.withColumn("doc_id", F.lit(1)).unionByName(rows)
-    assert len(subword_quality.labelled_sample(hot, labels, "doc_id", "text", "quality", 7, 100, 18)) == 7
-    sample = subword_quality.labelled_sample(rows, labels, "doc_id", "text", "quality", 100, 20, 18).to_pylist()
-    whole = {tuple(found): weight for found, weight in subword_quality.text_features(pa.array([r.text for r in rows.collect()]), 18)}
-    assert len(sample) == 40 and all(len(r["buckets"]) == 20 and sum(r["weights"]) == pytest.approx(1) and any(set(r["buckets"]) < set(w) for w in whole) for r in sample)
-    late = spark.createDataFrame([(i, "the same words " * 20_000 + ("fine end" if i % 2 else "grim close")) for i in range(2)], "doc_id long, text string")
-    found = [set(r["buckets"]) for r in subword_quality.labelled_sample(late, labels, "doc_id", "text", "quality", 9, 1 << 20, 18).to_pylist()]
-    assert found[0] - found[1] and found[1] - found[0]
+    assert len(subword_quality.labelled_sample(hot, labels, "doc_id", "text", "quality", 7, 100)) == 7
+    sample = subword_quality.labelled_sample(rows, labels, "doc_id", "text", "quality", 100, 128).to_pylist()
+    assert len(sample) == 40 and all(len(r["text"].split()) == 128 and set(r["text"].split()) <= {"good", "prose", "here", "bad***", "junk###"} for r in sample)
+    late = spark.createDataFrame([(i, "the same words " * 1000 + ("fine end" if i % 2 else "grim close")) for i in range(2)], "doc_id long, text string")
+    assert {r["text"].split()[-1] for r in subword_quality.labelled_sample(late, labels, "doc_id", "text", "quality", 9, 4096).to_pylist()} == {"end", "close"}
 
 
 def test_language_sample_covers_the_whole_text():
     text = " ".join(f"w{'abcdefghij'[i // 1000]}" for i in range(10_000))
-    got = crf_langid.sampled_runs(pa.array([text, "a b", ""]), 4096)
+    got = sampled_words(pa.array([text, "a  b", ""]), 4096, crf_langid.BREAK)
     assert len(got[0].split()) == 4096 and len(set(got[0].split())) == 10 and got[1:] == ["a b", ""]
 
 
