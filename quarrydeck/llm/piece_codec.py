@@ -2,9 +2,10 @@
 
 White space becomes the mark U+2581, and a text is cut into marked words: a run of marks and what follows up to the next
 mark. No piece of the model holds a mark behind another character (this is checked), so the best segmentation of a text is
-that of its words in turn. The distinct words of a batch are sorted, which puts them in the order of a depth-first walk
-through their trie; forward scores along the path are kept on a stack, and a word computes only those beyond the prefix
-that it shares with the word before it.
+that of its words in turn. The distinct words of a batch are sorted, so that a word adds to their trie only the nodes beyond
+the prefix that it shares with the word before it. Each node of this trie gets one forward score: the pieces that end there
+are found by a walk up to the root along the trie of the reversed pieces, for all nodes at once, and the scores are computed
+level by level, for all nodes of a depth at once (one by one where a level has few nodes, as behind very long words).
 
 Segmentation maximises the sum of piece scores, as the library does for a model of the unigram kind; of equal sums the one
 whose last piece starts first wins. The scores in a file of the BPE kind are negated merge ranks: with such a file the
@@ -19,7 +20,7 @@ rows with equal results; an empty table gives an empty one; extra columns pass,
 
 from __future__ import annotations
 
-from array import array
+import random
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -36,7 +37,57 @@ from ._common import arrow_map, slices
 
 MARK = "\u2581"
 WORD = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-SLICE_ROWS, CACHE_WORDS = 1024, 300_000
+SLICE_ROWS, BLOCK_CHARS = 1024, 1 << 19
+FEW = 64  # levels with fewer nodes are taken node by node
+
+
+class ReversedTrie:
+    """The pieces' trie, read from their last characters: the child of a state by a character is ``target[base[state] + character]``
+    if ``owner`` has the state there. Characters are numbered from 1 on; 0 is any that no piece holds."""
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        numbers = {c: i for i, c in enumerate(sorted({c for p in pieces for c in p}), 1)}
+        children, ends = [{}], [-1]
+        for piece, i in pieces.items():
+            state = 0
+            for c in reversed(piece):
+                if (child := children[state].get(numbers[c])) is None:
+                    child = children[state][numbers[c]] = len(children)
+                    children.append({})
+                    ends.append(-1)
+                state = child
+            ends[state] = i
+        span, draw = 8 * len(children), random.Random(0)
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in numbers]] = list(numbers.values())
+        self.base, self.ends = np.zeros(len(children), np.int32), np.array(ends, np.int32)
+        owner, target = [-1] * (span + len(numbers) + 1), [0] * (span + len(numbers) + 1)
+        for state in sorted(range(len(children)), key=lambda i: -len(children[i])):  # the largest first, while all is free
+            at = draw.randrange(span)
+            while any(owner[at + c] >= 0 for c in children[state]):
+                at = draw.randrange(span)
+            self.base[state] = at
+            for c, child in children[state].items():
+                owner[at + c], target[at + c] = state, child
+        self.owner, self.target = np.array(owner, np.int32), np.array(target, np.int32)
+
+
+def shared_prefixes(chars: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many characters each word shares with the word before it."""
+    shared = np.zeros(len(sizes), np.int64)
+    left = np.arange(1, len(sizes))
+    most = np.minimum(sizes[1:], sizes[:-1])
+    for depth in range(FEW):
+        left = left[most[left - 1] > depth]
+        left = left[chars[begin[left] + depth] == chars[begin[left - 1] + depth]]
+        if not len(left):
+            return shared
+        shared[left] = depth + 1
+    for i in left.tolist():
+        a, b, m = begin[i - 1], begin[i], most[i - 1]
+        differ = np.flatnonzero(chars[a : a + m] != chars[b : b + m])
+        shared[i] = differ[0] if len(differ) else m
+    return shared
 
 
 @dataclass
@@ -50,6 +101,8 @@ class PieceModel:
     unknown: int = 0
     unknown_score: float = 0.0
     bytes_: list[int] | None = None
+    trie: ReversedTrie | None = None
+    score_of: np.ndarray | None = None
 
     def __post_init__(self) -> None:
         self.scored = {p: (s, i) for i, (p, k, s) in enumerate(zip(self.pieces, self.kinds, self.scores)) if k == "normal"}
@@ -58,68 +111,166 @@ class PieceModel:
         self.longest = max(map(len, self.scored), default=0)
         self.unknown = self.kinds.index("unknown")
         self.unknown_score = min((s for s, _ in self.scored.values()), default=0.0) - 10
+        self.trie = ReversedTrie({p: i for p, (_, i) in self.scored.items()})
+        self.score_of = np.array([*self.scores, self.unknown_score])
         by_name = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == "byte"}
         self.bytes_ = [by_name[f"<0x{b:02X}>"] for b in range(256)] if len(by_name) == 256 else None
 
+    def ending_pieces(self, low: int, high: int, char: np.ndarray, parent: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """The pieces that end at the nodes from ``low`` to ``high``, the longest first, an array each for node, start, piece (-1: an
+        unknown character) and score; nodes ascend for each length."""
+        trie = self.trie
+        node = np.arange(low, high, dtype=np.int32)
+        at, state, found = node, np.zeros(len(node), np.int32), []
+        for length in range(1, max(self.longest, 1) + 1):
+            slot = trie.base[state] + char[at]
+            on = np.flatnonzero(trie.owner[slot] == state)
+            if length == 1:
+                piece = np.full(len(node), -1, np.int32)
+                piece[on] = trie.ends[trie.target[slot[on]]]
+                found.append((node, parent[low:high], piece))
+            node, at, state = node[on], parent[at[on]], trie.target[slot[on]]
+            if length > 1:
+                hit = np.flatnonzero(trie.ends[state] >= 0)
+                found.append((node[hit], at[hit], trie.ends[state[hit]]))
+        return [(*x, self.score_of[x[2]]) for x in reversed(found)]
+
+    def encode_block(self, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of sorted words, one after the other, and the number of each word's; ``chars`` are the words' code points."""
+        n = len(sizes)
+        begin = np.cumsum(sizes) - sizes
+        shared = shared_prefixes(chars, begin, sizes)
+        fresh = sizes - shared
+        ends = np.cumsum(fresh)
+        total = int(ends[-1]) if n else 0
+        if not total:
+            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+
+        # nodes by depth, the root is 0; a word's first own node hangs on the last one of an earlier word
+        depth = np.arange(total) - np.repeat(ends - fresh - shared, fresh)
+        order = np.argsort(depth.astype(np.uint16) if depth.max() < 1 << 16 else depth, kind="stable")
+        number = np.empty(total, np.int32)
+        number[order] = np.arange(1, total + 1, dtype=np.int32)
+        point = np.concatenate([[0], chars[(np.repeat(begin, fresh) + depth)[order]]])
+        char = self.trie.number[point]
+        char[0] = 0
+        keys = (depth * n + np.repeat(np.arange(n), fresh))[order]
+        up = np.concatenate([[0], number[:-1]])
+        own = fresh > 0
+        up[(ends - fresh)[own]] = np.searchsorted(keys, ((shared - 1) * n + np.arange(n))[own], "right")
+        parent = np.zeros(total + 1, np.int32)
+        parent[number] = up
+        stop = np.searchsorted(keys, (sizes - 1) * n + np.arange(n), "right")
+        level = np.concatenate([[1], 1 + np.cumsum(np.bincount(depth))])
+        del depth, order, number, keys, up
+
+        width = np.ones(total + 1, np.int64)  # ids of an unknown character
+        if self.bytes_:
+            width += sum((point >= x).astype(np.int64) for x in (0x80, 0x800, 0x10000))
+        best, came, used, ids = np.full(total + 1, -np.inf), np.zeros(total + 1, np.int32), np.zeros(total + 1, np.int32), np.zeros(total + 1, np.int64)
+        best[0] = 0
+        many = np.flatnonzero(np.diff(level) >= FEW)
+        wide = int(many[-1]) + 1 if len(many) else 0
+        found = self.ending_pieces(1, int(level[wide]), char, parent)
+        bounds = [np.searchsorted(x[0], level[: wide + 1]).tolist() for x in found]
+        for d in range(wide):
+            for (node, start, piece, score), bound in zip(found, bounds):
+                if bound[d] < bound[d + 1]:
+                    part = slice(bound[d], bound[d + 1])
+                    sums = best[start[part]] + score[part]
+                    more = np.flatnonzero(sums > best[node[part]])
+                    own = node[part][more]
+                    best[own], came[own], used[own] = sums[more], start[part][more], piece[part][more]
+            part = slice(level[d], level[d + 1])
+            ids[part] = ids[came[part]] + np.where(used[part] < 0, width[part], 1)
+        tops, starts, pieces, made, wides = map(memoryview, (best, came, used, ids, width))  # quicker one by one
+        for low in range(int(level[wide]), total + 1, 1 << 14):
+            found = [np.concatenate(x) for x in zip(*self.ending_pieces(low, min(low + (1 << 14), total + 1), char, parent))]
+            order = np.argsort(found[0], kind="stable")
+            now, top, come, use = low, -np.inf, 0, 0
+            for own, start, piece, score in zip(*(x[order].tolist() for x in found)):
+                if own != now:
+                    tops[now], starts[now], pieces[now], made[now] = top, come, use, made[come] + (wides[now] if use < 0 else 1)
+                    now, top = own, -np.inf
+                if (total_score := tops[start] + score) > top:
+                    top, come, use = total_score, start, piece
+            tops[now], starts[now], pieces[now], made[now] = top, come, use, made[come] + (wides[now] if use < 0 else 1)
+
+        # back from the words' ends: an id's place is the number of ids before it
+        counts = ids[stop]
+        flat = np.empty(int(counts.sum()), np.int32)
+        now, first, unknown = stop[stop > 0], (np.cumsum(counts) - counts)[stop > 0], []
+        while len(now) >= FEW:
+            start = came[now]
+            flat[first + ids[start]] = used[now]
+            odd = np.flatnonzero(used[now] < 0)
+            unknown.extend(zip(now[odd].tolist(), (first + ids[start])[odd].tolist()))
+            on = np.flatnonzero(start)
+            now, first = start[on], first[on]
+        out = memoryview(flat)
+        for own, to in zip(now.tolist(), first.tolist()):
+            while own:
+                start, piece = starts[own], pieces[own]
+                out[to + made[start]] = piece
+                if piece < 0:
+                    unknown.append((own, to + made[start]))
+                own = start
+        for own, to in unknown:
+            flat[to : to + width[own]] = [self.bytes_[b] for b in chr(point[own]).encode()] if self.bytes_ else self.unknown
+        return flat, counts
+
+    def encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of sorted words, one after the other, and the number of each word's; in blocks of bounded size."""
+        if not len(words):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        words = pa.concat_arrays([words])
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        chars = np.frombuffer(words.buffers()[2][offsets[0] : offsets[-1]].to_pybytes().decode().encode("utf-32-le"), np.int32)
+        sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        done, at = [], 0
+        while at < len(sizes):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + BLOCK_CHARS, "right")))
+            done.append(self.encode_block(chars[before : ends[to - 1]], sizes[at:to]))
+            at = to
+        return np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
+
     def encode_sorted(self, words: Sequence[str]) -> list[bytes]:
-        """Piece ids of each word, as the bytes of 32-bit numbers; the words are sorted, so that neighbours share their prefixes."""
-        scored, longest, out, before = self.scored, self.longest, [], ""
-        best, last = [0.0], [(0, -1)]  # at each depth of the path: the forward score; the last piece's start and id
-        for word in words:
-            depth = 0
-            for x, y in zip(word, before):
-                if x != y:
-                    break
-                depth += 1
-            del best[depth + 1 :], last[depth + 1 :]
-            for end in range(depth + 1, len(word) + 1):
-                top, come = -np.inf, (end - 1, -1)
-                for start in range(max(0, end - longest), end):
-                    if found := scored.get(word[start:end]):
-                        if (score := best[start] + found[0]) > top:
-                            top, come = score, (start, found[1])
-                if word[end - 1] not in scored and (score := best[end - 1] + self.unknown_score) > top:
-                    top, come = score, (end - 1, -1)
-                best.append(top)
-                last.append(come)
-            ids, end = [], len(word)
-            while end:
-                start, piece = last[end]
-                if piece >= 0:
-                    ids.append(piece)
-                elif self.bytes_:
-                    ids.extend(self.bytes_[b] for b in reversed(word[start:end].encode()))
-                else:
-                    ids.append(self.unknown)
-                end = start
-            out.append(array("i", ids[::-1]).tobytes())
-            before = word
-        return out
+        """Piece ids of each of the sorted words, as the bytes of 32-bit numbers."""
+        flat, counts = self.encode_words(pa.array(words, pa.string()))
+        return [x.tobytes() for x in np.split(flat, np.cumsum(counts)[:-1])] if len(words) else []
 
     def marked_words(self, texts: pa.Array) -> pa.ListArray:
-        texts = pc.replace_substring(pc.fill_null(texts, ""), " ", MARK)
+        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), " ", MARK)
         if self.dummy_prefix:
             texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(MARK, texts, ""))
-        if pc.any(pc.match_substring(texts, "\0")).as_py():
-            return pa.array([WORD.findall(x) for x in texts.to_pylist()], pa.list_(pa.string()))
-        return pc.split_pattern(pc.replace_substring_regex(texts, f"([^{MARK}]){MARK}", f"\\1\0{MARK}"), "\0")
+        texts = pa.concat_arrays([texts])
+        if not len(texts) or not texts.buffers()[2]:
+            return pa.array([[]] * len(texts), pa.list_(pa.string()))
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[: bounds[-1]]
+        a, b, c = MARK.encode()
+        mark = np.zeros(len(data) + 3, bool)  # as of the fourth place: does a mark start here
+        mark[3:-2] = (data[:-2] == a) & (data[1:-1] == b) & (data[2:] == c)
+        starts = mark[3:] & ~mark[:-3]
+        starts[bounds[:-1][np.diff(bounds) > 0]] = True
+        starts = np.flatnonzero(starts)
+        starts = starts[starts >= bounds[0]]
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, bounds[-1]).astype(np.int32)), texts.buffers()[2])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, bounds), pa.int32()), words)
 
-    def encode(self, texts: pa.Array, known: dict[str, bytes]) -> pa.ListArray:
-        """Ids of every text; ``known`` holds words of earlier batches and is cleared when it has grown too large."""
+    def encode(self, texts: pa.Array, known: dict | None = None) -> pa.ListArray:
+        """Ids of every text; ``known`` held words of earlier batches and isn't needed any more."""
         words = self.marked_words(texts)
         lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = sorted(w for w in distinct if w not in known)
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = sorted(distinct)
-        known.update(zip(new, self.encode_sorted(new)))
-        found = [known[w] for w in distinct]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), np.int32)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        ids = coded.indices.to_numpy(zero_copy_only=False)
+        order = pc.sort_indices(coded.dictionary)
+        flat, sizes = self.encode_words(coded.dictionary.take(order))
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        ids = rank[coded.indices.to_numpy(zero_copy_only=False)]
+        at = np.cumsum(sizes) - sizes
         ends = np.concatenate([[0], np.cumsum(sizes[ids])])
         place = np.repeat((at[ids] - ends[:-1]).astype(np.int32), sizes[ids]) + np.arange(ends[-1], dtype=np.int32)
         bounds = ends[np.concatenate([[0], np.cumsum(lengths)])]
@@ -160,13 +311,12 @@ def load_model(path: str | None = None, *, blob: bytes | None = None) -> PieceMo
 
 
 def _mapped(df: DataFrame, column: str, added: dict[str, str], made) -> DataFrame:
-    """Add columns (name: type) that ``made`` gives for a slice of one column and the words known so far."""
+    """Add columns (name: type) that ``made`` gives for a slice of one column."""
     kept = [c for c in df.columns if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bytes] = {}
         for part in slices(batches, SLICE_ROWS):
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *made(part.column(len(kept)), known)], names=[*kept, *added])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *made(part.column(len(kept)))], names=[*kept, *added])
 
     rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{column}`").alias("__in"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept), *(f"`{name}` {kind}" for name, kind in added.items())])
@@ -180,21 +330,21 @@ def _model(spark: SparkSession, model: PieceModel | str):
 def encode_pieces(df: DataFrame, model: PieceModel | str, *, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
     """Add the piece ids of the whole text."""
     held = _model(df.sparkSession, model)
-    return _mapped(df, text_col, {ids_col: "array<int>"}, lambda texts, known: [held.value.encode(texts, known)])
+    return _mapped(df, text_col, {ids_col: "array<int>"}, lambda texts: [held.value.encode(texts)])
 
 
 def decode_pieces(df: DataFrame, model: PieceModel | str, *, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:
     """Add the text of the piece ids."""
     held = _model(df.sparkSession, model)
-    return _mapped(df, ids_col, {text_col: "string"}, lambda ids, known: [held.value.decode(ids)])
+    return _mapped(df, ids_col, {text_col: "string"}, lambda ids: [held.value.decode(ids)])
 
 
 def round_trip(df: DataFrame, model: PieceModel | str, *, text_col: str = "text", ids_col: str = "piece_ids", decoded_col: str = "decoded") -> DataFrame:
     """Add the piece ids and the text that they decode to, in one pass through the Python workers."""
     held = _model(df.sparkSession, model)
 
-    def both(texts: pa.Array, known: dict[str, bytes]) -> list[pa.Array]:
-        ids = held.value.encode(texts, known)
+    def both(texts: pa.Array) -> list[pa.Array]:
+        ids = held.value.encode(texts)
         return [ids, held.value.decode(ids)]
 
     return _mapped(df, text_col, {ids_col: "array<int>", decoded_col: "string"}, both)

@@ -230,6 +230,54 @@ def test_pieces_odd(odd):
     assert len(got) == odd.count() and all((r.decoded or "") == (r.text or "") and (r.text or not r.piece_ids) for r in got)
 
 
+def plain_walk(model, word):
+    """Word by word and character by character; of equal sums the one whose last piece starts first."""
+    best, last = [0.0], [None]
+    for end in range(1, len(word) + 1):
+        found = [(start, *model.scored[word[start:end]]) for start in range(max(0, end - model.longest), end) if word[start:end] in model.scored]
+        found += [(end - 1, model.unknown_score, -1)] * (word[end - 1] not in model.scored)
+        start, score, piece = max(found, key=lambda x: (best[x[0]] + x[1], -x[0]))
+        best.append(best[start] + score)
+        last.append((start, piece))
+    ids, end = [], len(word)
+    while end:
+        start, piece = last[end]
+        ids = ([piece] if piece >= 0 else [model.bytes_[b] for b in word[start:end].encode()] if model.bytes_ else [model.unknown]) + ids
+        end = start
+    return ids
+
+
+@pytest.mark.parametrize("few", [1, 4, 64, 1 << 30])
+@pytest.mark.parametrize("bytes_", [True, False])
+def test_pieces_by_level_and_by_node(docs, monkeypatch, few, bytes_):
+    monkeypatch.setattr(piece_codec, "FEW", few)
+    monkeypatch.setattr(piece_codec, "BLOCK_CHARS", 5000)
+    model, seeded = piece_codec.load_model(MODEL), random.Random(few)
+    model.bytes_ = model.bytes_ if bytes_ else None
+    words = {"".join(seeded.choice("▁ab-é漢\U0001f600\n") for _ in range(seeded.choice([1, 3, 9, 90]))) for _ in range(400)} | {"x" * 700, "x" * 699 + "y", "-" * 600, "▁" * 50}
+    words = sorted(words | {w for r in docs.limit(5).collect() for w in piece_codec.WORD.findall(r.text.replace(" ", piece_codec.MARK))})
+    assert [np.frombuffer(x, np.int32).tolist() for x in model.encode_sorted(words)] == [plain_walk(model, w) for w in words]
+    texts = [None, "", " ", "a▁▁ b", "▁", "nul \0 in", *("".join(seeded.choice(" ▁ab\0é") for _ in range(20)) for _ in range(100))]
+    want = [[i for w in piece_codec.WORD.findall(piece_codec.MARK + t.replace(" ", piece_codec.MARK)) for i in plain_walk(model, w)] if t else [] for t in texts]
+    assert model.encode(pa.array(texts)).to_pylist() == want and model.encode(pa.array(texts).slice(3, 40)).to_pylist() == want[3:43]
+
+
+def test_pieces_take_no_lookup_a_character():
+    """Words that are all different cost less than half of what looking up their substrings one by one does."""
+    import time
+
+    model, seeded = piece_codec.load_model(MODEL), random.Random(3)
+    words = sorted({"".join(seeded.choices("etaoinshrdlucmfwypvbgkqjxz", k=12)) for _ in range(30_000)})
+    start = time.process_time()
+    model.encode_sorted(words)
+    middle = time.process_time()
+    for word in words:
+        for end in range(1, len(word) + 1):
+            for at in range(end):
+                model.scored.get(word[at:end])
+    assert 2 * (middle - start) < time.process_time() - middle
+
+
 # op5 -----------------------------------------------------------------------------------------------------------------
 
 
